@@ -8,15 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm.ann import nearest
+from wordloom.llm.bpe import encode_documents, load_ranks
 from wordloom.llm.packing import pack_documents
 from wordloom.llm.shared import shared_dir
+from wordloom.llm.simhash import near_duplicates
 from wordloom.llm.token_files import read_token_files, write_token_files
+from wordloom.llm.topk import exact_top_k, usable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_documents(_table(spark, sf_dir, "documents"), load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    digest = F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(digest, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -28,8 +38,28 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest(rows.filter("vec_id % 50 = 0"), rows, k=5)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doubles = F.col("embedding").cast("array<double>")
+    whole = _table(spark, sf_dir, "embeddings").filter(usable(doubles)).select("vec_id", F.transform(doubles, lambda x: F.floor(x * 256)).alias("vector"))
+    return exact_top_k(whole.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), whole, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op3_token_files": op3_token_files,
+    "op5_multiprobe": op5_multiprobe,
     "op6_packing": op6_packing,
+    "op8_simhash": op8_simhash,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 ORACLE_SQL: dict[str, str] = {}
