@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm import licenses, quality, toxicity
 from wordloom.llm.ann import nearest
 from wordloom.llm.bpe import encode_documents, load_ranks
+from wordloom.llm.line_dedup import dedup_lines
 from wordloom.llm.packing import pack_documents
-from wordloom.llm.shared import shared_dir
+from wordloom.llm.shared import held_out, shared_dir
 from wordloom.llm.simhash import near_duplicates
 from wordloom.llm.token_files import read_token_files, write_token_files
 from wordloom.llm.topk import exact_top_k, usable
@@ -27,6 +29,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(digest, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "removed_chunks", "removed_chars")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -38,16 +45,32 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return nearest(rows.filter("vec_id % 50 = 0"), rows, k=5)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     doubles = F.col("embedding").cast("array<double>")
     whole = _table(spark, sf_dir, "embeddings").filter(usable(doubles)).select("vec_id", F.transform(doubles, lambda x: F.floor(x * 256)).alias("vector"))
@@ -56,10 +79,23 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
+    "op4_licenses": op4_licenses,
     "op5_multiprobe": op5_multiprobe,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
+    "op9_quality": op9_quality,
     "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_OP10 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5"""
+
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op10_exact_top_k": _OP10}
