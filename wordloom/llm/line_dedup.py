@@ -5,7 +5,8 @@ the lines beside them only: a rolling hash over two line hashes picks them, so
 inserted text shifts no border but its own.  A line of ``long_chars`` or more is
 wrapped text; it is bordered on both sides, and beyond ``wrap_chars`` it is
 wrapped at sentence ends.  Chunks that occur again are told apart by their bytes
-(they are grouped by their whole text) and all but the first are removed.
+(they are grouped by their whole text, line ends at its end aside) and all but
+the first are removed.
 
 Everything is built-in Spark functions; no Python runs on executors.
 """
@@ -22,13 +23,18 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _bare(line: Column) -> Column:
+    """A line without its end, which the last line of a text lacks."""
+    return F.rtrim(line, F.lit("\n"))
+
+
 def chunks(text: Column, modulus: int = 4, long_chars: int = 120, wrap_chars: int = 800) -> Column:
     """Chunks of a text, in order: an array of structs (n: lines, text)."""
 
     def lines_of(line: Column) -> Column:
         one = lambda s, first, last: F.struct(s.alias("s"), first.alias("first"), last.alias("last"))
         wrapped = _let(F.split(line, r"(?<=[.!?] )"), lambda parts: F.transform(parts, lambda s, i: one(s, i == 0, i == F.size(parts) - 1)))
-        size = F.length(line)
+        size = F.length(_bare(line))
         return F.when(size < wrap_chars, F.array(one(line, size >= long_chars, size >= long_chars))).otherwise(wrapped)
 
     def borders(lines: Column) -> Column:
@@ -38,7 +44,7 @@ def chunks(text: Column, modulus: int = 4, long_chars: int = 120, wrap_chars: in
             rolling = lambda i: F.pmod(F.xxhash64(F.get(hashes, i - 2), F.get(hashes, i - 1)), F.lit(modulus)) == 0
             return F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | F.get(lines, i - 1)["last"] | F.coalesce(F.get(lines, i)["first"], F.lit(True)) | ((i > 1) & rolling(i)))
 
-        return _let(F.transform(lines, lambda x: F.xxhash64(x["s"])), ends)
+        return _let(F.transform(lines, lambda x: F.xxhash64(_bare(x["s"]))), ends)
 
     def cut(lines: Column) -> Column:
         def runs(ends: Column) -> Column:
@@ -67,7 +73,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     parts = {"modulus": modulus, "long_chars": long_chars, "wrap_chars": wrap_chars}
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).filter(F.col("_text").isNotNull())
     pieces = rows.select("_id", F.xxhash64("_text").alias("_key"), F.posexplode(chunks(F.col("_text"), **parts)).alias("_at", "_chunk"))
-    pieces = pieces.select("_id", "_key", "_at", F.col("_chunk.text").alias("_piece")).filter(F.length("_piece") >= long_chars)
+    pieces = pieces.select("_id", "_key", "_at", _bare(F.col("_chunk.text")).alias("_piece")).filter(F.length("_piece") >= long_chars)
     place = F.coalesce(F.col("_id"), F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**32) + F.col("_at")
     same = pieces.groupBy("_piece").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     marks = lambda c: [F.xxhash64(c).alias("_h1"), F.xxhash64(F.lit("again"), c).alias("_h2")]
