@@ -26,6 +26,7 @@ from wordloom.llm.pretokens import pieces, slices
 
 #: The rank map is dealt into so many small maps, as Spark looks a key up by going through a map.
 BUCKETS = 1 << 15
+IDS, CODED = "array<int>", "struct<ids:array<int>,piece:binary>"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,9 +35,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` worked out once."""
-    return F.transform(F.array(value), body)[0]
+def let(value: Column, kind: str, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` worked out once; ``kind`` is the type of the result, which is not copied."""
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
+
+
+def with_state(value: Column, state: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` with a state and a value worked out once."""
+    return F.aggregate(F.array(value), state, body)
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
@@ -49,11 +55,11 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 
 def piece_array(ranks: dict[bytes, int]) -> Column:
-    """A constant: the pieces by id."""
+    """A constant: the pieces' bytes by id."""
     out = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        out[rank] = piece.decode("iso-8859-1")
-    return F.from_json(F.lit(json.dumps(out)), "array<string>")
+        out[rank] = base64.b64encode(piece).decode()
+    return F.from_json(F.lit(json.dumps(out)), "array<binary>")
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> Column:
@@ -69,54 +75,55 @@ def rank_of(ranks: Column, piece: Column) -> Column:
 def encode_word(ranks: Column, pairs: Column, word: Column) -> Column:
     """Ids of one pretoken, a string of ISO 8859-1 characters.
 
-    The fold's state holds the pieces ``p`` and the ranks ``r`` of adjacent
-    pairs, null where a pair has none.  ``flatten`` joins arrays, as it takes
-    less time for each than ``concat``.
+    The fold's state holds the cuts ``c`` between pieces, from 0 to the length,
+    and ``r``, the ranks of the pairs at these cuts: null at both ends and where
+    a pair has none.  Joining a pair takes its cut away, so only the ranks at
+    the cuts beside it change.
     """
 
-    def join_pair(p: Column, r: Column, i: Column) -> Column:
-        """Pieces i and i + 1 (from 1) become one; only the ranks beside it change."""
+    def piece(c: Column, low: Column, high: Column) -> Column:
+        start = F.get(c, low)
+        return F.substring(word, start + 1, F.get(c, high) - start)
 
-        def joined(x: Column) -> Column:
-            none = F.array().cast("array<int>")
-            left = F.when(i > 1, F.array(rank_of(ranks, F.concat(F.get(p, i - 2), x)))).otherwise(none)
-            right = F.when(i + 1 < F.size(p), F.array(rank_of(ranks, F.concat(x, F.get(p, i + 1))))).otherwise(none)
-            return F.struct(
-                F.flatten(F.array(F.slice(p, F.lit(1), i - 1), F.array(x), F.slice(p, i + 2, F.size(p)))).alias("p"),
-                F.flatten(F.array(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p)))).alias("r"),
-            )
-
-        return let(F.concat(F.get(p, i - 1), F.get(p, i)), joined)
+    def join_pair(s: Column, i: Column) -> Column:
+        c, r = s["c"], s["r"]
+        left, right = rank_of(ranks, piece(c, i - 2, i + 1)), rank_of(ranks, piece(c, i - 1, i + 2))
+        return F.struct(
+            F.array_remove(c, F.get(c, i)).alias("c"),
+            F.flatten(F.array(F.slice(r, F.lit(1), i - 1), F.array(left, right), F.slice(r, i + 3, F.size(r)))).alias("r"),
+        )
 
     def step(s: Column, _: Column) -> Column:
-        place = F.array_position(s["r"], F.array_min(s["r"])).cast("int")
-        return let(place, lambda i: F.when(i.isNull(), s).otherwise(join_pair(s["p"], s["r"], i)))
-
-    def fold(p: Column) -> Column:
-        r = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, 2, F.size(p)), lambda a, b: F.nullif(F.get(pairs, F.ascii(a) * 256 + F.ascii(b)), F.lit(-1)))
-        return F.aggregate(F.sequence(F.lit(2), F.size(p)), F.struct(p.alias("p"), r.alias("r")), step, lambda s: F.transform(s["p"], lambda x: rank_of(ranks, x)))
+        place = F.array_position(s["r"], F.array_min(s["r"])).cast("int") - 1
+        return with_state(place, s, lambda s, i: F.when(i.isNull(), s).otherwise(join_pair(s, i)))
 
-    def split(w: Column) -> Column:
-        return let(F.split(w, ""), lambda p: F.when(F.size(p) < 2, F.transform(p, lambda x: rank_of(ranks, x))).otherwise(fold(p)))
+    def fold(bytes_: Column) -> Column:
+        before = F.flatten(F.array(F.array(F.lit(None).cast("string")), bytes_))
+        r = F.zip_with(before, bytes_, lambda a, b: F.nullif(F.get(pairs, F.ascii(a) * 256 + F.ascii(b)), F.lit(-1)))
+        ids = lambda s: F.transform(F.sequence(F.lit(1), F.size(s["c"]) - 1), lambda j: rank_of(ranks, piece(s["c"], j - 1, j)))
+        return F.aggregate(F.sequence(F.lit(1), F.size(bytes_)), F.struct(F.sequence(F.lit(0), F.size(bytes_)).alias("c"), r.alias("r")), step, ids)
 
-    return let(rank_of(ranks, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(split(word)))
+    return let(rank_of(ranks, word), IDS, lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(let(F.split(word, ""), IDS, fold)))
 
 
 def decode_ids(by_id: Column, ids: Column) -> Column:
     """The bytes of ids: their pieces one after another."""
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(by_id, i)), ""), "ISO-8859-1")
+    return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(by_id, i)))
 
 
 def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
     """For an array of pretokens (binary): an array of structs of their ids and of those ids' bytes."""
 
     def one(table: Column, pairs: Column, by_id: Column, word: Column) -> Column:
-        return let(encode_word(table, pairs, F.decode(word, "ISO-8859-1")), lambda ids: F.struct(ids.alias("ids"), decode_ids(by_id, ids).alias("piece")))
+        ids = let(F.decode(word, "ISO-8859-1"), IDS, lambda w: encode_word(table, pairs, w))
+        return let(ids, CODED, lambda ids: F.struct(ids.alias("ids"), decode_ids(by_id, ids).alias("piece")))
 
-    return let(rank_map(ranks), lambda table: let(pair_ranks(ranks), lambda pairs: let(piece_array(ranks), lambda by_id: F.transform(words, lambda w: one(table, pairs, by_id, w)))))
+    each = lambda table, pairs, by_id: F.transform(words, lambda w: one(table, pairs, by_id, w))
+    kind = f"array<{CODED}>"
+    return let(rank_map(ranks), kind, lambda table: let(pair_ranks(ranks), kind, lambda pairs: let(piece_array(ranks), kind, lambda by_id: each(table, pairs, by_id))))
 
 
-def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 24_000_000, slice_bytes: int = 4_000_000) -> DataFrame:
+def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16_000_000, slice_bytes: int = 4_000_000) -> DataFrame:
     """Per document: doc_id, ids (array of int), decoded (the bytes those ids stand for).
 
     ``block_bytes`` of text share one encoding of their distinct pretokens; a
