@@ -163,7 +163,8 @@ def train(df: DataFrame, labels: DataFrame, most: int = 12000, id_col: str = "do
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pool(b.column("text").to_pylist(), vectors)
+            parts = [pool([t for t, in group], vectors) for group in slices(((t,) for t in b.column("text").to_pylist()), 2_000_000)]
+            x = np.vstack(parts) if parts else np.zeros((0, 2 * SIZE + 1), np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), lists], ["doc_id", "quality", "x"])
 

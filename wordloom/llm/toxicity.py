@@ -40,9 +40,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * np.clip(x, -60, 60)))
 
 
-def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds: int = 120, rate: float = 0.1, decay: float = 6e-3, least: int = 4) -> tuple[np.ndarray, float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 120, rate: float = 0.1, decay: float = 6e-3, least: int = 4) -> tuple[np.ndarray, float]:
     """Weights by bucket and bias, by full-batch Adam on the non-negative risk with the logistic loss.
 
+    A text is the array of its distinct buckets.
     Words of fewer than ``least`` training texts keep weight 0, as do those whose
     weight the first half of the rounds, with decay, leaves small.  Without
     positive or unlabelled texts every score is the prior.  The decay falls with
@@ -52,15 +53,17 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds: in
     start = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not positive or not unlabelled:
         return weights, start
-    parts = [distinct_words(positive), distinct_words(unlabelled)]
-    known = np.flatnonzero(np.bincount(np.concatenate([w for w, _ in parts]), minlength=BUCKETS) >= least)
-    column = np.full(BUCKETS, -1, np.int64)
+    texts = np.zeros(BUCKETS, np.int64)
+    for words in (*positive, *unlabelled):
+        texts[words] += 1
+    known = np.flatnonzero(texts >= least)
+    column = np.full(BUCKETS, -1, np.int32)
     column[known] = np.arange(len(known))
     sets = []
-    for words, counts in parts:
-        row = np.repeat(np.arange(len(counts)), counts)
-        col = column[words]
-        sets.append((row[col >= 0], col[col >= 0], len(counts)))
+    for part in (positive, unlabelled):
+        cols = [column[words] for words in part]
+        cols = [c[c >= 0] for c in cols]
+        sets.append((np.repeat(np.arange(len(part), dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols), len(part)))
     w, mean, square = np.zeros(len(known) + 1), np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     w[-1] = start
     decay = decay / np.sqrt(len(positive))
@@ -100,11 +103,19 @@ def train(df: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
     first = lambda ids, n: ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     ids = first(known.filter("toxic = 1"), most_positive).withColumn("kind", F.lit(1)).unionByName(first(docs, most_unlabelled).withColumn("kind", F.lit(0)))
-    # at most most_positive + most_unlabelled rows, small enough to send and to collect
-    rows = docs.join(F.broadcast(ids), "doc_id").select("kind", F.coalesce("text", F.lit("")).alias("text")).orderBy("kind", "doc_id").toLocalIterator()
+    # at most most_positive + most_unlabelled rows, small enough to send; their words come back, not their texts
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "kind", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group in slices(zip(*(b.column(c).to_pylist() for c in ("text", "doc_id", "kind")), strict=True), 4_000_000):
+                found, counts = distinct_words([t for t, _, _ in group])
+                each = [x.tobytes() for x in np.split(found, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array([i for _, i, _ in group], pa.int64()), pa.array([k for _, _, k in group], pa.int32()), pa.array(each, pa.binary())], ["doc_id", "kind", "words"])
+
     texts: tuple[list, list] = ([], [])
-    for r in rows:
-        texts[r["kind"]].append(r["text"].encode())
+    for r in rows.mapInArrow(words, "doc_id bigint, kind int, words binary").orderBy("kind", F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        texts[r["kind"]].append(np.frombuffer(r["words"], np.int32))
     return fit(texts[1], texts[0], float(share or 0.0))
 
 
