@@ -65,7 +65,7 @@ def test_byte_bpe(odd, empty):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     small = odd.filter("length(text) < 7000 OR text IS NULL")
-    rows = bpe.encode_documents(small, ranks, block_bytes=200).collect()
+    rows = bpe.encode_documents(small, ranks, block_bytes=200, remember=5).collect()
     assert len(rows) == small.count()
     texts = {k: t or "" for k, t in enumerate(TEXTS)} | {None: "the the the"}
     for r in rows:

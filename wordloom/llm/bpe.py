@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding in Spark SQL functions (operator 1).
 
-Texts are cut into pretokens block by block.  The block's distinct pretokens
-are then encoded by higher-order functions: each one's bytes become an array of
+Texts are cut into pretokens block by block.  The distinct pretokens that a task
+has not met before are then encoded by higher-order functions: each one's bytes become an array of
 one-byte pieces, and a fold joins the adjacent pair of the least rank, looked
 up in a literal rank map, until no pair has a rank.  Decoding concatenates the
 pieces of the ids.  Nothing is shuffled and no dictionary of the corpus is kept.
@@ -101,9 +101,9 @@ def encode_word(ranks: Column, pairs: Column, word: Column) -> Column:
         before = F.flatten(F.array(F.array(F.lit(None).cast("string")), bytes_))
         r = F.zip_with(before, bytes_, lambda a, b: F.nullif(F.get(pairs, F.ascii(a) * 256 + F.ascii(b)), F.lit(-1)))
         ids = lambda s: F.transform(F.sequence(F.lit(1), F.size(s["c"]) - 1), lambda j: rank_of(ranks, piece(s["c"], j - 1, j)))
-        return F.aggregate(F.sequence(F.lit(1), F.size(bytes_)), F.struct(F.sequence(F.lit(0), F.size(bytes_)).alias("c"), r.alias("r")), step, ids)
+        return F.aggregate(F.sequence(F.lit(2), F.size(bytes_)), F.struct(F.sequence(F.lit(0), F.size(bytes_)).alias("c"), r.alias("r")), step, ids)
 
-    return let(rank_of(ranks, word), IDS, lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(let(F.split(word, ""), IDS, fold)))
+    return let(rank_of(ranks, word), IDS, lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(let(F.split(word, ""), IDS, lambda b: F.when(F.size(b) > 1, fold(b)).otherwise(F.array(rank_of(ranks, word))))))
 
 
 def decode_ids(by_id: Column, ids: Column) -> Column:
@@ -123,44 +123,52 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
     return let(rank_map(ranks), kind, lambda table: let(pair_ranks(ranks), kind, lambda pairs: let(piece_array(ranks), kind, lambda by_id: each(table, pairs, by_id))))
 
 
-def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16_000_000, slice_bytes: int = 4_000_000) -> DataFrame:
+def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4_000_000, remember: int = 2_000_000) -> DataFrame:
     """Per document: doc_id, ids (array of int), decoded (the bytes those ids stand for).
 
-    ``block_bytes`` of text share one encoding of their distinct pretokens; a
-    longer text is a block of its own.  A null text counts as empty; an empty
-    text has no ids.  Null and repeated doc_ids are kept row by row, and an
-    empty table gives no rows.
+    A task works through its texts in blocks of ``block_bytes`` (a longer text
+    is a block of its own) and encodes the distinct pretokens that its blocks
+    before did not have; it starts anew once it has met over ``remember`` of
+    them, which bounds its memory.  A null text counts as empty; an empty text
+    has no ids.  Null and repeated doc_ids are kept row by row, and an empty
+    table gives no rows.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks: doc_ids, each one's number of pretokens, the new distinct ones, and the numbers of all."""
+        number: dict[bytes, int] = {}
         texts = ((t, i) for b in batches for t, i in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), strict=True))
         for block in slices(texts, block_bytes):
-            parts = [pieces([t for t, _ in part]) for part in slices(iter(block), slice_bytes)]
-            words = pa.chunked_array([w for w, _ in parts]).unify_dictionaries()
-            index = np.concatenate([np.asarray(c.indices, np.int32) for c in words.chunks])
-            distinct = words.chunks[-1].dictionary  # the chunks share one
-            sizes = np.concatenate([n for _, n in parts]).astype(np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.array([i for _, i in block], pa.int64()), pa.array(sizes), distinct)]
-            yield pa.RecordBatch.from_arrays([*lists, pa.array([index.tobytes()], pa.binary())], ["doc_ids", "sizes", "words", "index"])
+            if fresh := len(number) > remember:
+                number.clear()
+            words, sizes = pieces([t for t, _ in block])
+            before = len(number)
+            table = np.array([number.setdefault(w, len(number)) for w in words.dictionary.to_pylist()], np.int32)
+            new = words.dictionary.filter(pa.array(table >= before)) if len(table) else words.dictionary
+            index = table[np.asarray(words.indices)] if len(table) else table
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.array([i for _, i in block], pa.int64()), pa.array(sizes, pa.int64()), new)]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([index.tobytes()], pa.binary()), pa.array([fresh])], ["doc_ids", "sizes", "words", "index", "fresh"])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents from the blocks of one task, in their order."""
+        ids, piece = pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())
         for b in batches:
             for row in range(b.num_rows):
                 docs, sizes, coded = (b.column(c)[row].values for c in ("doc_ids", "sizes", "coded"))
-                index = np.frombuffer(b.column("index")[row].as_py(), np.int32)
-                ids, piece = coded.field("ids"), coded.field("piece")
-                bounds = np.concatenate([[0], np.cumsum(np.asarray(sizes))])
-                part = max(1, len(docs) // 16)
-                for low in range(0, len(docs), part):  # the output in a few batches
-                    high = min(low + part, len(docs))
-                    own, at = pa.array(index[bounds[low] : bounds[high]]), bounds[low : high + 1] - bounds[low]
-                    numbers, text = ids.take(own), piece.take(own)
-                    number_at, text_at = (np.asarray(x.offsets) if isinstance(x, pa.ListArray) else np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset) if len(x) else np.zeros(1, np.int32) for x in (numbers, text))
-                    lists = pa.ListArray.from_arrays(pa.array(number_at[at].astype(np.int32)), numbers.values)
-                    raw = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(text_at[at].astype(np.int32)), text.buffers()[2] or pa.py_buffer(b"")])
-                    yield pa.RecordBatch.from_arrays([docs[low:high], lists, raw], ["doc_id", "ids", "decoded"])
-
-    blocks = rows.mapInArrow(cut, "doc_ids array<bigint>, sizes array<bigint>, words array<binary>, index binary")
-    coded = blocks.select("doc_ids", "sizes", "index", encode_words(F.col("words"), ranks).alias("coded"))
+                if b.column("fresh")[row].as_py():
+                    ids, piece = ids[:0], piece[:0]
+                ids, piece = pa.concat_arrays([ids, coded.field("ids").cast(ids.type)]), pa.concat_arrays([piece, coded.field("piece").cast(piece.type)])
+                index = pa.array(np.frombuffer(b.column("index")[row].as_py(), np.int32))
+                at = np.concatenate([[0], np.cumsum(np.asarray(sizes))])
+                numbers, text = ids.take(index), piece.take(index)
+                number_at = np.asarray(numbers.offsets)
+                text_at = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset) if len(text) else np.zeros(1, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(number_at[at].astype(np.int32)), numbers.values)
+                raw = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(text_at[at].astype(np.int32)), text.buffers()[2] or pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([docs, lists, raw], ["doc_id", "ids", "decoded"])
+
+    # both passes and the expressions between them run in one task, so blocks keep their order
+    blocks = rows.mapInArrow(cut, "doc_ids array<bigint>, sizes array<bigint>, words array<binary>, index binary, fresh boolean")
+    coded = blocks.select("doc_ids", "sizes", "index", "fresh", encode_words(F.col("words"), ranks).alias("coded"))
     return coded.mapInArrow(put_together, "doc_id bigint, ids array<int>, decoded binary")
