@@ -117,7 +117,7 @@ class SumOfSquares:
         return done
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 8_000_000) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 4_000_000) -> DataFrame:
     """Pieces of all documents in windows of at most ``capacity`` ids.
 
     Each row is one piece: doc_id, start and length in its document, the

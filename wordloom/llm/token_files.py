@@ -46,7 +46,7 @@ def unpack_bits(payload: bytes, bits: int, first: int, count: int) -> np.ndarray
 
 
 def write_token_files(
-    df: DataFrame, path: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 18, slice_bytes: int = 8_000_000
+    df: DataFrame, path: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = 1 << 18, slice_bytes: int = 4_000_000
 ) -> None:
     """Encode every text and write token files to ``path``, a folder that all executors reach.
 

@@ -13,7 +13,7 @@ import numpy as np
 from wordloom.llm.pretokens import pieces
 
 #: Distinct pretokens that a worker remembers between slices; later ones are encoded anew.
-MEMO = 600_000
+MEMO = 300_000
 
 _encoders: dict[str, TextEncoder] = {}
 
