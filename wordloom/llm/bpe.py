@@ -123,7 +123,7 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
     return let(rank_map(ranks), kind, lambda table: let(pair_ranks(ranks), kind, lambda pairs: let(piece_array(ranks), kind, lambda by_id: each(table, pairs, by_id))))
 
 
-def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4_000_000, remember: int = 2_000_000) -> DataFrame:
+def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1_000_000, remember: int = 2_000_000) -> DataFrame:
     """Per document: doc_id, ids (array of int), decoded (the bytes those ids stand for).
 
     A task works through its texts in blocks of ``block_bytes`` (a longer text
@@ -135,11 +135,16 @@ def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_
     """
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
 
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
+        """Texts and doc_ids one by one, so that a batch is never held twice."""
+        for b in batches:
+            for text, doc in zip(b.column("text"), b.column("doc_id"), strict=True):
+                yield text.as_py(), doc.as_py()
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks: doc_ids, each one's number of pretokens, the new distinct ones, and the numbers of all."""
         number: dict[bytes, int] = {}
-        texts = ((t, i) for b in batches for t, i in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), strict=True))
-        for block in slices(texts, block_bytes):
+        for block in slices(rows_of(batches), block_bytes):
             if fresh := len(number) > remember:
                 number.clear()
             words, sizes = pieces([t for t, _ in block])
