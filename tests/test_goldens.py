@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -145,3 +146,18 @@ def test_completion_recovers_rank_one():
     holes[0, 1] = np.nan
     u, v = factor.complete_rank(holes, 1, rate=0.01, tolerance=1e-12)
     assert (u @ v)[0, 1] == pytest.approx(2.0, abs=0.05)
+
+
+def test_deviant_ratings_at_the_bound(spark):
+    draw = np.random.default_rng(3)
+    rows = [(f"k{k}", "h", f"s{j}", float(v)) for k in range(200) for j, v in enumerate(draw.integers(1, 8, draw.integers(1, 7)))]
+    want = set()
+    for k in range(200):
+        values = [Fraction(int(r[3])) for r in rows if r[0] == f"k{k}"]
+        mean, n = sum(values) / len(values), len(values)
+        square = sum((v - mean) ** 2 for v in values) / max(n - 1, 1)
+        want |= {(f"k{k}", f"s{j}") for j, v in enumerate(values) if square and (v - mean) ** 2 <= square}
+    study = spark.createDataFrame(rows, "compound string, const string, subject string, rating double")
+    for parts in (1, 5):
+        assert {(r["compound"], r["subject"]) for r in R.drop_deviant_ratings(study.repartition(parts), 1.0).collect()} == want
+    assert R.drop_deviant_ratings(study, -1.0).isEmpty() and R.drop_deviant_ratings(study.limit(0), 1.0).isEmpty()

@@ -83,11 +83,16 @@ def drop_worst_subjects(ratings: DataFrame, count: int | None = None, share: flo
 def drop_deviant_ratings(ratings: DataFrame, threshold: float = 1.0) -> DataFrame:
     """Keep ratings within ``threshold`` deviations of their item's mean.
 
-    Items without spread, or with one rating, lose all of them (Q10).
+    Items without spread, or with one rating, lose all of them (Q10).  The
+    bound is compared in sums, squared and without divisions: exact for whole
+    ratings, so one right at the bound stays whatever the order of the rows.
     """
-    item = W.partitionBy(*ITEM)
-    scored = ratings.withColumns({"_m": F.avg("rating").over(item), "_s": F.stddev_samp("rating").over(item)})
-    return scored.filter((F.col("_s") > 0) & (F.abs(F.col("rating") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)) <= threshold)).select(*COLUMNS)
+    x, item = F.col("rating"), W.partitionBy(*ITEM)
+    sums = {"_n": F.count(x), "_s": F.sum(x), "_q": F.sum(x * x), "_low": F.min(x), "_high": F.max(x)}
+    n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
+    far = (n * x - s) * (n * x - s) * (n - 1)
+    scored = ratings.withColumns({c: f.over(item) for c, f in sums.items()})
+    return scored.filter((F.col("_low") < F.col("_high")) & (far <= n * (n * q - s * s) * threshold**2) & F.lit(threshold >= 0)).select(*COLUMNS)
 
 
 def rebin(ratings: DataFrame, bins: dict[float, float] | list[float] | str) -> DataFrame:
