@@ -135,7 +135,9 @@ query("ratings_agreement", f"{_LOO} SELECT subject, {r6('rho', 'rho')}, n FROM r
 query("ratings_drop_low_rho", f"{_LOO} SELECT compound, const, subject, rating FROM ratings WHERE subject NOT IN (SELECT subject FROM rho WHERE rho < 0.02)")(lambda s, d: R.drop_deviant_subjects(X.ratings(s, d), 0.02))
 query("ratings_drop_n", f"{_LOO} SELECT compound, const, subject, rating FROM ratings WHERE subject NOT IN (SELECT subject FROM rho ORDER BY rho, subject LIMIT 5)")(lambda s, d: R.drop_worst_subjects(X.ratings(s, d), 5))
 query("ratings_drop_share", f"{_LOO} SELECT compound, const, subject, rating FROM ratings WHERE subject NOT IN (SELECT subject FROM (SELECT subject, row_number() OVER (ORDER BY rho, subject) AS k FROM rho) WHERE k <= ceil(0.1 * (SELECT COUNT(DISTINCT subject) FROM ratings)))")(lambda s, d: R.drop_worst_subjects(X.ratings(s, d), share=0.1))
-_Z = f"WITH {X.RATINGS}, z AS (SELECT *, AVG(rating) OVER w AS mu, stddev_samp(rating) OVER w AS sd FROM ratings WINDOW w AS (PARTITION BY compound, const)), kept AS (SELECT compound, const, subject, rating FROM z WHERE sd > 0 AND abs(rating - mu) / nullif(sd, 0) <= 1.0)"
+# the bound in sums, as whole ratings make it exact: with stddev_samp a rating right at it came and went with the order of the rows
+_Z = f"""WITH {X.RATINGS}, z AS (SELECT *, COUNT(*) OVER w AS n, SUM(rating) OVER w AS s, SUM(rating * rating) OVER w AS q FROM ratings WINDOW w AS (PARTITION BY compound, const)),
+kept AS (SELECT compound, const, subject, rating FROM z WHERE n * q > s * s AND (n * rating - s) * (n * rating - s) * (n - 1) <= n * (n * q - s * s))"""
 query("ratings_zscore", f"{_Z} SELECT * FROM kept")(lambda s, d: R.drop_deviant_ratings(X.ratings(s, d), 1.0))
 query("ratings_retained", f"{_Z} SELECT COUNT(*) AS before, (SELECT COUNT(*) FROM kept) AS after, {r6('(SELECT COUNT(*) FROM kept) / COUNT(*)', 'retained')} FROM ratings")(lambda s, d: R.retained(X.ratings(s, d), R.drop_deviant_ratings(X.ratings(s, d), 1.0)))
 query("ratings_rebin", f"WITH {X.RATINGS} SELECT compound, const, subject, CASE rating WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 WHEN 3 THEN 2.0 WHEN 4 THEN 2.0 ELSE rating END AS rating FROM ratings")(lambda s, d: R.rebin(X.ratings(s, d), "1122").select(*R.COLUMNS))
