@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import quality, toxicity
 from wordloom.llm.line_dedup import dedup_lines
+from wordloom.llm.near_copies import near_copies
 from wordloom.llm.packing import pack_documents
 from wordloom.llm.shared import shared_dir, written
-from wordloom.llm.simhash import near_duplicates
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,9 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one of the smallest id."""
-    found = written(near_duplicates(docs), name="near")
-    # rows that share an id would all be the smallest: their least fingerprint decides, then any one of equal rows
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("doc_id").alias("keep_id"), F.min("fp").alias("keep_fp"))
+    """One document of each component of near copies (five-word shingles, similarity 0.8 or more), the one of the smallest id."""
+    found = written(near_copies(docs).select("doc_id", "_fp", "_root"), name="near")
+    firsts = found.groupBy("_root").agg(F.min("doc_id").alias("least")).select("_root", F.col("least").alias("keep_id"))
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     plain = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["keep_id"]), "left_semi")
     if repeated.isEmpty():

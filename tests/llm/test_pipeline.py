@@ -44,3 +44,36 @@ def test_near_stage_keeps_one_of_repeated_rows(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+def _shingles(text: str) -> set:
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_stage_finds_near_copies(spark):
+    """One text of each component at a five-word similarity of 0.8, as brute force has it."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(150)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for at in rng.sample(range(150), changes):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    sets = [_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared / (len(sets[i]) + len(sets[j]) - shared) >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert len(set(label)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()) == sorted(set(label))
