@@ -44,14 +44,11 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, similarity 0.8 or more), the one of the smallest id."""
-    found = written(near_copies(docs).select("doc_id", "_fp", "_root"), name="near")
-    firsts = found.groupBy("_root").agg(F.min("doc_id").alias("least")).select("_root", F.col("least").alias("keep_id"))
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    plain = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["keep_id"]), "left_semi")
-    if repeated.isEmpty():
-        return plain
-    return plain.dropDuplicates(["doc_id"])
+    """One document of each component of near copies (five-word shingles, similarity 0.8 or more), the one of the smallest id; rows without an id come last."""
+    found = written(near_copies(docs), name="near")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), "_row")
+    firsts = found.groupBy("_root").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return found.join(firsts, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,11 @@ def test_near_stage_finds_near_copies(spark):
     assert len(set(label)) < len(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()) == sorted(set(label))
+
+
+def test_near_stage_keeps_different_texts_of_one_id(spark):
+    """Null ids and repeated ids are deduplicated within a component only."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (8, text(4)), (None, text(4)), (9, text(5)), (None, text(5))]
+    out = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (9, text(5))], key=str)
