@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import quality, toxicity
-from wordloom.llm.line_dedup import dedup_lines
+from wordloom.llm.line_dedup import dedup_passages
 from wordloom.llm.near_copies import near_copies
 from wordloom.llm.packing import pack_documents
 from wordloom.llm.shared import shared_dir, written
@@ -38,8 +38,8 @@ def _score_first(docs: DataFrame, score, name: str, keep) -> DataFrame:
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks of lines that an earlier one has; n_chars follows the text."""
-    clean = dedup_lines(docs).drop("removed_chunks", "removed_chars")
+    """All documents, without the passages that an earlier one has; n_chars follows the text."""
+    clean = dedup_passages(docs).drop("removed_chunks", "removed_chars")
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from wordloom.llm import bpe, licenses, quality, queries, toxicity, words
 from wordloom.llm.ann import nearest
-from wordloom.llm.line_dedup import dedup_lines
+from wordloom.llm.line_dedup import dedup_lines, dedup_passages
 from wordloom.llm.packing import SumOfSquares, pack_documents
 from wordloom.llm.pretokens import pieces
 from wordloom.llm.shared import shared_dir
@@ -185,6 +185,27 @@ def test_line_dedup_finds_shifted_passages(spark, odd, empty):
     assert same.columns == [*odd.columns, "removed_chunks", "removed_chars"] and same.count() == odd.count() and dedup_lines(empty).count() == 0
 
 
+def test_passages_in_lines_of_any_length(spark, odd, empty):
+    """No 50 words in a row stay in two texts, wherever the passage begins; first copies stay whole."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    say = lambda n: " ".join(word() + rng.choice(["", "", "", "", "", ","]) for _ in range(n))
+    short = "\n".join(say(2) for _ in range(40))
+    passage = ". ".join(say(20) for _ in range(4))
+    texts = [f"{say(3)}\n{passage}\n{say(4)}.", f"{say(6)} {passage} {say(30)}.\n{say(5)}", f"{say(200)} {passage} {say(100)}\n", f"{say(5)}.\n{short}\n{say(9)}.", f"{say(4)}\n{say(4)}\n{short}\n{say(3)}", f"{short}\n"]
+    rows = [*enumerate(texts), (None, f"{say(7)}\n{passage}"), (None, f"{say(7)}\n{passage}"), (10, None), (11, "")]
+    out = dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    seen = {}
+    for r in out:
+        words = (r["text"] or "").split()
+        for k in range(len(words) - 49):
+            assert seen.setdefault(tuple(words[k : k + 50]), r) is r
+    assert len(out) == len(rows) and {r["doc_id"]: r["text"] for r in out}[0] == texts[0] and {r["doc_id"]: r["text"] for r in out}[3] == texts[3]
+    assert all(r["text"] is not None or r["doc_id"] == 10 for r in out) and sum(r["removed_chars"] for r in out) > 5 * len(passage) * 0.8
+    same = dedup_passages(odd)
+    assert same.columns == [*odd.columns, "removed_chunks", "removed_chars"] and same.count() == odd.count() and dedup_passages(empty).count() == 0
+
+
 def test_licenses(spark, sf, odd, empty):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{sf}/documents.parquet' UNION ALL SELECT 9001, 'Released under the MIT License. All rights reserved.' UNION ALL SELECT 9002, 'LICENSED under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.'")

@@ -8,6 +8,10 @@ wrapped at sentence ends.  Chunks that occur again are told apart by their bytes
 (they are grouped by their whole text, line ends at its end aside) and all but
 the first are removed.
 
+``dedup_lines`` keeps chunks below ``long_chars`` and does not look into lines;
+``dedup_passages``, which the query and the pipeline use, finds the passages
+wherever they begin: it compares the shortest runs of units from every unit on.
+
 Everything is built-in Spark functions; no Python runs on executors.
 """
 
@@ -18,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.shared import written
+
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
@@ -92,3 +98,82 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     columns = [clean.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in df.columns]
     out = joined.select(*columns, F.coalesce(F.size("r._removed"), F.lit(0)).alias("removed_chunks"), text.alias("_was"))
     return out.withColumn("removed_chars", F.coalesce(F.length("_was") - F.length(f"`{text_col}`"), F.lit(0))).drop("_was")
+
+
+#: Where a text is cut, whatever the length of the line: behind line ends, marks, and words of some last letters, so that
+#: a passage that begins or ends inside a long sentence loses a few words only.
+CUT = r"(?<=\n)(?!\n)|(?<=[.!?,;:dnr] )(?! )|(?<=[。！？])(?![。！？])"
+
+
+def units_of(text: Column) -> Column:
+    """The text cut at CUT, in order; joined the units are the text."""
+    return F.filter(F.split(text, CUT), lambda x: x != "")
+
+
+def runs(units: Column, least_chars: int) -> Column:
+    """The shortest run of ``least_chars`` characters from every unit on, and up to every unit.
+
+    An array of structs (at: first unit from 0, n: units, text); white space at
+    the ends of a run is left out of its text.
+    """
+    bare = lambda s: F.trim(s, F.lit(" \n\r\t"))
+
+    def from_each(ends: Column) -> Column:
+        # a unit has a character at least, so a run has no more units than characters
+        def forward(i: Column) -> Column:
+            begin = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+            ahead = F.when(F.get(ends, i + 15) - begin >= least_chars, 16).otherwise(least_chars)
+            n = F.size(F.filter(F.slice(ends, i + 1, ahead), lambda e: e - begin < least_chars)) + 1
+            return F.struct(i.alias("at"), n.alias("n"))
+
+        def backward(i: Column) -> Column:
+            low = F.when(F.get(ends, i) - F.get(ends, i - 16) >= least_chars, i - 16).otherwise(F.greatest(i - least_chars, F.lit(0)))
+            n = F.size(F.filter(F.slice(ends, low + 1, i - low), lambda e: F.get(ends, i) - e < least_chars)) + 1
+            return F.struct((i + 1 - n).alias("at"), n.alias("n"))
+
+        all_of = F.sequence(F.lit(0), F.size(units) - 1)
+        # a run up to a unit that reaches its length only there is one from its first unit on
+        return F.array_union(F.transform(all_of, forward), F.transform(F.filter(all_of, lambda i: F.length(F.get(units, i)) < least_chars), backward))
+
+    ends = F.aggregate(units, F.array().cast("array<int>"), lambda acc, u: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.length(u))))
+    whole = F.filter(_let(ends, from_each), lambda r: (r["at"] >= 0) & (r["at"] + r["n"] <= F.size(units)))
+    named = F.transform(whole, lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), bare(F.array_join(F.slice(units, r["at"] + 1, r["n"]), "")).alias("text")))
+    return F.when(F.size(units) == 0, F.array().cast("array<struct<at:int,n:int,text:string>>")).otherwise(named)
+
+
+def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 120) -> DataFrame:
+    """All columns of ``df``, ``text_col`` without repeated passages, and removed_chunks (units) and removed_chars.
+
+    A passage is a run of whole units (see CUT) with ``least_chars``
+    characters; it repeats wherever it stands and however long its lines are.
+    Every unit of a repeated passage is removed, unless it is in the first
+    copy: the one of the smallest id (rows without an id come last), then of
+    the least hash of the text, then of the least place.  Passages are told
+    apart by 128 bits of hashes.  Repeated rows (equal id and text) are one
+    document and keep the same units.  A null text stays null and an empty
+    one empty; a text of which nothing is left becomes empty.  An empty table
+    gives no rows.
+    """
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).filter(F.col("_text").isNotNull())
+    cut = rows.select("_id", F.xxhash64("_text").alias("_key"), F.explode(_let(units_of(F.col("_text")), lambda u: runs(u, least_chars))).alias("_run"))
+    text = F.col("_run.text")
+    pieces = cut.filter(text != "").select(F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit("again"), text).alias("_h2"), F.struct(F.coalesce("_id", F.lit(2**63 - 1)).alias("i"), F.col("_id").isNull().alias("o"), F.col("_key").alias("k"), F.col("_run.at").alias("at")).alias("_place"), F.col("_run.n").alias("_n"))
+    pieces = written(pieces, name="passages")
+    same = pieces.groupBy("_h1", "_h2").agg(F.count("*").alias("n"), F.min("_place").alias("first")).filter("n > 1").select("_h1", "_h2", "first")
+    again = pieces.join(same, ["_h1", "_h2"]).filter("_place > first")
+    run = F.struct(F.col("_place.at").alias("at"), F.col("_n").alias("n"))
+    removed = again.groupBy(F.when(~F.col("_place.o"), F.col("_place.i")).alias("_id"), F.col("_place.k").alias("_key")).agg(F.collect_set(run).alias("_runs"))
+    removed = removed.select("_id", "_key", F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))).alias("_removed"))
+
+    own = df.withColumns({"_id": F.col(f"`{id_col}`").cast("bigint"), "_key": F.xxhash64(F.col(f"`{text_col}`").cast("string"))}).alias("d")
+    joined = own.join(removed.alias("r"), F.col("d._id").eqNullSafe(F.col("r._id")) & (F.col("d._key") == F.col("r._key")), "left")
+    text = F.col(f"d.`{text_col}`").cast("string")
+
+    def rebuilt(units: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), F.col("r._removed"))
+        return F.array_join(F.transform(kept, lambda i: F.get(units, i)), "")
+
+    clean = F.when(F.col("r._removed").isNull(), text).otherwise(_let(units_of(text), rebuilt))
+    columns = [clean.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in df.columns]
+    out = joined.select(*columns, F.coalesce(F.size("r._removed"), F.lit(0)).alias("removed_chunks"), text.alias("_was"))
+    return out.withColumn("removed_chars", F.coalesce(F.length("_was") - F.length(f"`{text_col}`"), F.lit(0))).drop("_was")

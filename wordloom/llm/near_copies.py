@@ -2,8 +2,8 @@
 
 Texts are sets of five-word shingles; two are near copies if the Jaccard
 similarity of their sets is 0.8 or more.  SimHash fingerprints of such pairs
-differ in 9.7 of 64 bits on average and in up to 17, which no choice of key
-parts finds, so candidates come from MinHash bands: 20 keys of 4 minima each,
+differ in 9.7 of 64 bits on average (deviation 2.9, by calculation), too many
+for keys of whole parts, so candidates come from MinHash bands: 20 keys of 4 minima each,
 of which a pair of similarity 0.8 misses all with a chance of 3 in 100,000.
 Every candidate pair is confirmed on its shingles before it is linked.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wordloom.llm import licenses, quality, toxicity
 from wordloom.llm.ann import nearest
 from wordloom.llm.bpe import encode_documents, load_ranks
-from wordloom.llm.line_dedup import dedup_lines
+from wordloom.llm.line_dedup import dedup_passages
 from wordloom.llm.packing import pack_documents
 from wordloom.llm.shared import held_out, shared_dir
 from wordloom.llm.simhash import near_duplicates
@@ -30,7 +30,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    out = dedup_passages(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "removed_chunks", "removed_chars")
 
 
