@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from wordloom.llm import bpe, licenses, quality, queries, toxicity, words
 from wordloom.llm.ann import nearest
-from wordloom.llm.line_dedup import dedup_lines, dedup_passages
+from wordloom.llm.line_dedup import dedup_lines
 from wordloom.llm.packing import SumOfSquares, pack_documents
 from wordloom.llm.pretokens import pieces
 from wordloom.llm.shared import shared_dir
@@ -135,75 +135,92 @@ def test_sum_of_squares_level():
         assert packer.level(size) == max(h for h in options if after(h) == least)
 
 
-def brute_chunks(text, modulus=4, long_chars=120, wrap_chars=800):
+def brute_lines(text):
+    lines = list(filter(None, re.split(r"(?<=[\n。！？])|(?<=[.,e] )", text)))
+    last = [""] if text == "" or re.search(r"([\n。！？]|[.,e] )\Z", text) else []
+    return [w for line in lines + last for w in (re.split(r"(?<= )", line) if len(line) >= 160 else [line])]
+
+
+def brute_chunks(lines, least_chars=80):
+    """(first line, number of lines) of each chunk."""
+
     def h(*xs):
         seed = 42
         for x in xs:
             seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little"), seed)
         return seed
 
-    lines = []
-    for line in filter(None, re.split(r"(?<=\n)", text)):
-        size = len(line.rstrip("\n"))
-        if size < wrap_chars:
-            lines.append((line, size >= long_chars, size >= long_chars))
-        else:
-            parts = re.split(r"(?<=[.!?] )", line)
-            lines += [(x, k == 0, k == len(parts) - 1) for k, x in enumerate(parts)]
-    out, run = [], []
-    for k, (line, _, last) in enumerate(lines):
-        run.append(line)
-        roll = k > 0 and (h(h(lines[k - 1][0].rstrip("\n")), h(line.rstrip("\n"))) + 2**63) % 2**64 - 2**63
-        if k == len(lines) - 1 or last or lines[k + 1][1] or (k > 0 and roll % modulus == 0):
-            out.append("".join(run))
-            run = []
-    return out
-
-
-def test_line_dedup(spark, sf):
+    def roll(values):
+        twos = [h(*values[i : i + 2]) for i in range(len(values))]
+        return [h(twos[i], twos[i + 2], twos[i + 4]) for i in range(len(values) - 5)]
+
+    rolling = roll([h(x) for x in lines])
+    signed = [(x + 2**63) % 2**64 - 2**63 for x in rolling]
+    begins = {i for low in range(-5, len(signed)) for i in range(max(0, low), min(low + 6, len(signed))) if low >= 0 and signed[i] == min(signed[low : low + 6])}
+    for i in sorted(begins):
+        n = next((n for n in (6, 12, 24, 48) if i + n - 6 < len(rolling) and sum(map(len, lines[i : i + n])) >= least_chars), None)
+        if n:
+            yield i, n
+
+
+def brute_dedup(rows):
+    """Texts without repeated chunks, told apart by their lines."""
+    first, found = {}, []
+    for doc, text in rows:
+        key = xxhash.xxh64_intdigest(text.encode(), 42)
+        lines = brute_lines(text.replace("\x02", "\x02b").replace("\x01", "\x02a"))
+        found.append((doc, key, lines))
+        for at, n in brute_chunks(lines):
+            piece, place = tuple(lines[at : at + n]), (2**63 if doc is None else doc, key >> 28, at)
+            first[piece] = min(first.get(piece, place), place)
+    for doc, key, lines in found:
+        gone = {k for at, n in brute_chunks(lines) if first[tuple(lines[at : at + n])] < (2**63 if doc is None else doc, key >> 28, at) for k in range(at, at + n)}
+        yield doc, "".join(x for k, x in enumerate(lines) if k not in gone).replace("\x02a", "\x01").replace("\x02b", "\x02")
+
+
+@pytest.mark.parametrize("bits", [64, 10])
+def test_line_dedup(spark, sf, bits):
+    """As by brute force; with hashes of 10 bits most chunks share theirs with other texts."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    found = {r["doc_id"]: r for r in dedup_lines(docs).collect()}
-    seen = set()
-    for r in docs.orderBy("doc_id").collect():
-        kept, gone = [], 0
-        for c in brute_chunks(r["text"]):
-            bare = c.rstrip("\n")
-            if len(bare) >= 120 and bare in seen:
-                gone += 1
-                continue
-            seen.add(bare)
-            kept.append(c)
-        assert found[r["doc_id"]]["text"] == "".join(kept) and found[r["doc_id"]]["removed_chunks"] == gone
-
-
-def test_line_dedup_finds_shifted_passages(spark, odd, empty):
-    passage = " ".join(f"word{k} of a passage that repeats." for k in range(12))
-    rows = [(1, f"Intro one.\n{passage}\nEnd."), (2, f"Other\nlines\n{passage}"), (3, "Nothing of the kind here."), (4, None), (5, "")]
-    out = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out == {1: rows[0][1], 2: "Other\nlines\n", 3: rows[2][1], 4: None, 5: ""}
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(docs, bits=bits).collect()}
+    assert found == dict(brute_dedup((r["doc_id"], r["text"]) for r in docs.collect()))
+
+
+def test_line_dedup_of_odd_texts(spark, odd, empty):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choices("abcde", k=rng.randint(2, 9))) for _ in range(n))
+    passage, signs = say(60), "".join(f"\x01{k}\x02b. \x02a\x02{k}e " for k in range(30))
+    rows = [(1, f"{say(9)} {passage} {say(9)}"), (2, f"{passage}\n{say(4)}"), (2, f"{say(7)}. {passage}"), (None, f"{say(5)} {signs}"), (None, f"{signs}{say(5)}"), (None, passage), (None, passage), (3, None), (4, ""), (5, f"{signs} \x01 {say(3)}")]
+    df = spark.createDataFrame([(i, t, 1, "x", 5, 6.0, 7) for i, t in rows], "doc_id long, text string, _id int, _was string, _key int, removed_chunks double, c1 int")
+    out = dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "_id", "_was", "_key", "c1", "removed_chunks", "removed_chars"]
+    got = out.collect()
+    assert all((r["_id"], r["_was"], r["_key"], r["c1"]) == (1, "x", 5, 7) for r in got)
+    assert sorted(((r["doc_id"], r["text"]) for r in got if r["text"] is not None), key=str) == sorted(brute_dedup((i, t) for i, t in rows if t is not None), key=str)
+    assert [r["doc_id"] for r in got if r["text"] is None] == [3] and {r["doc_id"]: r["text"] for r in got}[1] == rows[0][1]
+    assert sum(r["removed_chars"] for r in got) == sum(len(t or "") for _, t in rows) - sum(len(r["text"] or "") for r in got)
     same = dedup_lines(odd)
     assert same.columns == [*odd.columns, "removed_chunks", "removed_chars"] and same.count() == odd.count() and dedup_lines(empty).count() == 0
 
 
-def test_passages_in_lines_of_any_length(spark, odd, empty):
+def test_passages_in_lines_of_any_length(spark):
     """No 50 words in a row stay in two texts, wherever the passage begins; first copies stay whole."""
     rng = random.Random(7)
-    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) + rng.choice("eeenrstx")
     say = lambda n: " ".join(word() + rng.choice(["", "", "", "", "", ","]) for _ in range(n))
     short = "\n".join(say(2) for _ in range(40))
+    signs = "".join(f"{word()}$$$ " for _ in range(70))
     passage = ". ".join(say(20) for _ in range(4))
-    texts = [f"{say(3)}\n{passage}\n{say(4)}.", f"{say(6)} {passage} {say(30)}.\n{say(5)}", f"{say(200)} {passage} {say(100)}\n", f"{say(5)}.\n{short}\n{say(9)}.", f"{say(4)}\n{say(4)}\n{short}\n{say(3)}", f"{short}\n"]
+    texts = [f"{say(3)}\n{passage}\n{say(4)}.", f"{say(6)} {passage} {say(30)}.\n{say(5)}", f"{say(200)} {passage} {say(100)}\n", f"{say(5)}.\n{short}\n{say(9)}.", f"{say(4)}\n{say(4)}\n{short}\n{say(3)}", f"{short}\n", f"{say(8)} {signs}", f"{signs}{say(30)}"]
     rows = [*enumerate(texts), (None, f"{say(7)}\n{passage}"), (None, f"{say(7)}\n{passage}"), (10, None), (11, "")]
-    out = dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     seen = {}
     for r in out:
         words = (r["text"] or "").split()
         for k in range(len(words) - 49):
             assert seen.setdefault(tuple(words[k : k + 50]), r) is r
-    assert len(out) == len(rows) and {r["doc_id"]: r["text"] for r in out}[0] == texts[0] and {r["doc_id"]: r["text"] for r in out}[3] == texts[3]
-    assert all(r["text"] is not None or r["doc_id"] == 10 for r in out) and sum(r["removed_chars"] for r in out) > 5 * len(passage) * 0.8
-    same = dedup_passages(odd)
-    assert same.columns == [*odd.columns, "removed_chunks", "removed_chars"] and same.count() == odd.count() and dedup_passages(empty).count() == 0
+    kept = {r["doc_id"]: r["text"] for r in out}
+    assert len(out) == len(rows) and all(kept[k] == texts[k] for k in (0, 3, 6)) and sum(r["removed_chars"] for r in out) > 5 * len(passage) * 0.8
 
 
 def test_licenses(spark, sf, odd, empty):

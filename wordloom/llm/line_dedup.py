@@ -1,16 +1,14 @@
 """Removal of passages that repeat across documents (operator 2).
 
-Texts are cut into lines, and runs of lines into chunks whose borders depend on
-the lines beside them only: a rolling hash over two line hashes picks them, so
-inserted text shifts no border but its own.  A line of ``long_chars`` or more is
-wrapped text; it is bordered on both sides, and beyond ``wrap_chars`` it is
-wrapped at sentence ends.  Chunks that occur again are told apart by their bytes
-(they are grouped by their whole text, line ends at its end aside) and all but
-the first are removed.
-
-``dedup_lines`` keeps chunks below ``long_chars`` and does not look into lines;
-``dedup_passages``, which the query and the pipeline use, finds the passages
-wherever they begin: it compares the shortest runs of units from every unit on.
+Texts are cut into lines: behind line ends and, as passages also begin within
+wrapped text, behind some marks and letters (``CUTS``).  A rolling hash goes
+over each six lines in a row, and the lines at which it is the least of six
+neighbours begin a chunk, so that inserted text shifts no border but those
+beside it, and every eleven lines that repeat have a chunk in common.  A chunk
+has six lines, or twice that again and again until it has ``least_chars``.
+
+Chunks are counted by a 64-bit hash; the texts of those that occur again are
+then compared byte by byte, and the lines of all but the first are removed.
 
 Everything is built-in Spark functions; no Python runs on executors.
 """
@@ -18,162 +16,140 @@ Everything is built-in Spark functions; no Python runs on executors.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.shared import written
 
+#: A line ends behind each of these.  The letter makes the cuts of languages that use it dense enough for passages within sentences.
+CUTS = ("\n", ". ", ", ", "e ")
+RARE_CUTS = ("。", "！", "？")
+#: A line of so many characters without a cut is cut behind every blank.
+LONG = 160
+#: Lines in a chunk, and run beginnings of which the least begins one.
+LINES = 6
+#: Characters that stand for a cut, and that escape these two in texts.
+CUT, ESCAPE = "\x01", "\x02"
+CHUNKS = "array<struct<at:int,n:int,hash:bigint>>"
+
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _bare(line: Column) -> Column:
-    """A line without its end, which the last line of a text lacks."""
-    return F.rtrim(line, F.lit("\n"))
-
-
-def chunks(text: Column, modulus: int = 4, long_chars: int = 120, wrap_chars: int = 800) -> Column:
-    """Chunks of a text, in order: an array of structs (n: lines, text)."""
-
-    def lines_of(line: Column) -> Column:
-        one = lambda s, first, last: F.struct(s.alias("s"), first.alias("first"), last.alias("last"))
-        wrapped = _let(F.split(line, r"(?<=[.!?] )"), lambda parts: F.transform(parts, lambda s, i: one(s, i == 0, i == F.size(parts) - 1)))
-        size = F.length(_bare(line))
-        return F.when(size < wrap_chars, F.array(one(line, size >= long_chars, size >= long_chars))).otherwise(wrapped)
-
-    def borders(lines: Column) -> Column:
-        """Numbers of lines after which a chunk ends."""
+def lines_of(text: Column) -> Column:
+    """The lines of a text, in order, with CUT and ESCAPE escaped; ``joined`` undoes it."""
+    escaped = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(f"{ESCAPE}b")), F.lit(CUT), F.lit(f"{ESCAPE}a"))
+    rare = escaped
+    for end in RARE_CUTS:
+        rare = F.replace(rare, F.lit(end), F.lit(end + CUT))
+    # to look for a character is cheaper than to replace it
+    marked = F.when(reduce(or_, (F.contains(text, F.lit(x)) for x in (ESCAPE, CUT, *RARE_CUTS))), rare).otherwise(text)
+    for end in CUTS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + CUT))
+    words = lambda line: F.when(F.length(line) < LONG, F.array(line)).otherwise(F.split(line, "(?<= )"))
+    return _let(F.split(marked, CUT), lambda x: F.when(F.exists(x, lambda line: F.length(line) >= LONG), F.flatten(F.transform(x, words))).otherwise(x))
 
-        def ends(hashes: Column) -> Column:
-            rolling = lambda i: F.pmod(F.xxhash64(F.get(hashes, i - 2), F.get(hashes, i - 1)), F.lit(modulus)) == 0
-            return F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | F.get(lines, i - 1)["last"] | F.coalesce(F.get(lines, i)["first"], F.lit(True)) | ((i > 1) & rolling(i)))
 
-        return _let(F.transform(lines, lambda x: F.xxhash64(_bare(x["s"]))), ends)
+def joined(lines: Column) -> Column:
+    text = F.array_join(lines, "")
+    return F.replace(F.replace(text, F.lit(f"{ESCAPE}a"), F.lit(CUT)), F.lit(f"{ESCAPE}b"), F.lit(ESCAPE))
 
-    def cut(lines: Column) -> Column:
-        def runs(ends: Column) -> Column:
-            def run(end: Column, k: Column) -> Column:
-                begin = F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))
-                return F.struct((end - begin).alias("n"), F.array_join(F.transform(F.slice(lines, begin + 1, end - begin), lambda x: x["s"]), "").alias("text"))
 
-            return F.transform(ends, run)
+def chunks(lines: Column, least_chars: int = 80, bits: int = 64) -> Column:
+    """The chunks of a text: an array of structs (at: first line from 0, n: lines, hash of ``bits`` bits)."""
 
-        return _let(borders(lines), runs)
+    def over_six(values: Column, fold: Callable[..., Column], way: int) -> Column:
+        """``fold`` over each LINES values from (``way`` 1) or up to (-1) a place."""
+        twos = F.transform(values, lambda x, i: fold(x, F.get(values, i + way)))
+        return _let(twos, lambda twos: F.transform(twos, lambda x, i: fold(x, F.get(twos, i + 2 * way), F.get(twos, i + 4 * way))))
 
-    lines = F.flatten(F.transform(F.filter(F.split(text, r"(?<=\n)"), lambda x: x != ""), lines_of))
-    return _let(lines, lambda x: F.when(F.size(x) == 0, F.array().cast("array<struct<n:int,text:string>>")).otherwise(cut(x)))
+    def of_rolling(rolling: Column) -> Column:
+        def chunk(i: Column) -> Column:
+            out = F.lit(None).cast("struct<at:int,n:int,hash:bigint>")
+            for n in (8 * LINES, 4 * LINES, 2 * LINES, LINES):
+                chars = F.aggregate(F.slice(lines, i + 1, n), F.lit(0), lambda total, line: total + F.length(line))
+                parts = [F.get(rolling, i + k) for k in range(0, n, LINES)]
+                hash_ = parts[0] if n == LINES else F.xxhash64(*parts)
+                hash_ = hash_ if bits == 64 else F.shiftrightunsigned(hash_, 64 - bits)
+                out = F.when(parts[-1].isNotNull() & (chars >= least_chars), F.struct(i.alias("at"), F.lit(n).alias("n"), hash_.alias("hash"))).otherwise(out)
+            return out
 
+        # the least of some LINES in a row begins a chunk
+        least = _let(over_six(rolling, F.least, 1), lambda m: over_six(m, F.greatest, -1))
+        return _let(least, lambda m: F.filter(F.transform(rolling, lambda x, i: F.when(F.get(m, i) == x, chunk(i))), lambda c: c.isNotNull()))
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, long_chars: int = 120, wrap_chars: int = 800) -> DataFrame:
-    """All columns of ``df``, ``text_col`` without repeated chunks, and removed_chunks and removed_chars.
-
-    A chunk counts if it has ``long_chars`` characters and two lines or a long
-    one; shorter ones always stay.  The first of equal chunks stays: the one of
-    the smallest id (rows without an id come last), then of the least place.
-    Repeated rows (equal id and text) are one document and keep the same chunks.
-    A null text stays null and an empty one empty; a text of which nothing is
-    left becomes empty.  An empty table gives no rows.
-    """
-    parts = {"modulus": modulus, "long_chars": long_chars, "wrap_chars": wrap_chars}
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).filter(F.col("_text").isNotNull())
-    pieces = rows.select("_id", F.xxhash64("_text").alias("_key"), F.posexplode(chunks(F.col("_text"), **parts)).alias("_at", "_chunk"))
-    pieces = pieces.select("_id", "_key", "_at", _bare(F.col("_chunk.text")).alias("_piece")).filter(F.length("_piece") >= long_chars)
-    place = F.coalesce(F.col("_id"), F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**32) + F.col("_at")
-    same = pieces.groupBy("_piece").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    marks = lambda c: [F.xxhash64(c).alias("_h1"), F.xxhash64(F.lit("again"), c).alias("_h2")]
-    again = pieces.select("_id", "_key", "_at", place.alias("_place"), *marks("_piece")).join(same.select("first", *marks("_piece")), ["_h1", "_h2"]).filter("_place > first")
-    removed = again.groupBy("_id", "_key").agg(F.collect_set("_at").alias("_removed"))
+    def of_hashes(hashes: Column) -> Column:
+        return _let(F.slice(over_six(hashes, F.xxhash64, 1), F.lit(1), F.size(hashes) - LINES + 1), of_rolling)
 
-    own = df.withColumns({"_id": F.col(f"`{id_col}`").cast("bigint"), "_key": F.xxhash64(F.col(f"`{text_col}`").cast("string"))}).alias("d")
-    joined = own.join(removed.alias("r"), F.col("d._id").eqNullSafe(F.col("r._id")) & (F.col("d._key") == F.col("r._key")), "left")
-    text = F.col(f"d.`{text_col}`").cast("string")
+    found = _let(F.transform(lines, lambda x: F.xxhash64(x)), of_hashes)
+    return F.when(F.size(lines) >= LINES, found).otherwise(F.array().cast(CHUNKS))
 
-    def rebuilt(all_chunks: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(all_chunks) - 1), F.col("r._removed"))
-        return F.array_join(F.transform(kept, lambda i: F.get(all_chunks, i)["text"]), "")
 
-    clean = F.when(F.col("r._removed").isNull(), text).otherwise(_let(chunks(text, **parts), rebuilt))
-    columns = [clean.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in df.columns]
-    out = joined.select(*columns, F.coalesce(F.size("r._removed"), F.lit(0)).alias("removed_chunks"), text.alias("_was"))
-    return out.withColumn("removed_chars", F.coalesce(F.length("_was") - F.length(f"`{text_col}`"), F.lit(0))).drop("_was")
+def _place(at: str) -> Column:
+    """A number that orders occurrences: by id (null ids last), by the text's hash, by line."""
+    mix = F.shiftrightunsigned("_key", 28) * 2**26 + F.col(at)
+    return F.coalesce("_id", F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)") + mix.cast("decimal(19,0)")
 
 
-#: Where a text is cut, whatever the length of the line: behind line ends, marks, and words of some last letters, so that
-#: a passage that begins or ends inside a long sentence loses a few words only.
-CUT = r"(?<=\n)(?!\n)|(?<=[.!?,;:dnr] )(?! )|(?<=[。！？])(?![。！？])"
+def _grouped(chunks_: DataFrame, name: str) -> DataFrame:
+    """One row for each document of ``chunks_``: _has (whether its id is set), _i, _key, and a set of all other columns."""
+    rest = [c for c in chunks_.columns if c not in ("_id", "_key")]
+    has, i = F.col("_id").isNotNull().alias("_has"), F.coalesce("_id", F.lit(0)).alias("_i")
+    return chunks_.select(has, i, "_key", F.struct(*rest).alias("_c")).groupBy("_has", "_i", "_key").agg(F.collect_set("_c").alias(name))
 
 
-def units_of(text: Column) -> Column:
-    """The text cut at CUT, in order; joined the units are the text."""
-    return F.filter(F.split(text, CUT), lambda x: x != "")
-
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 80, bits: int = 64) -> DataFrame:
+    """All columns of ``df``, ``text_col`` without repeated chunks, and removed_chunks and removed_chars.
 
-def runs(units: Column, least_chars: int) -> Column:
-    """The shortest run of ``least_chars`` characters from every unit on, and up to every unit.
+    The first of equal chunks stays whole: the one of the smallest id (rows
+    without an id come last), then of the least hash of the text, then of the
+    least place.  Repeated rows (equal id and text) are one document and keep
+    the same lines.  Passages of fewer than eleven lines or ``least_chars`` characters
+    may stay, and texts of fewer than six lines are left as they are.  A null
+    text stays null and an empty one empty; a text of which nothing is left
+    becomes empty.  An empty table gives no rows.  Columns of ``df`` that bear
+    a name of the two new ones give way to them; other names are free.
 
-    An array of structs (at: first unit from 0, n: units, text); white space at
-    the ends of a run is left out of its text.
-    """
-    bare = lambda s: F.trim(s, F.lit(" \n\r\t"))
-
-    def from_each(ends: Column) -> Column:
-        # a unit has a character at least, so a run has no more units than characters
-        def forward(i: Column) -> Column:
-            begin = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
-            ahead = F.when(F.get(ends, i + 15) - begin >= least_chars, 16).otherwise(least_chars)
-            n = F.size(F.filter(F.slice(ends, i + 1, ahead), lambda e: e - begin < least_chars)) + 1
-            return F.struct(i.alias("at"), n.alias("n"))
-
-        def backward(i: Column) -> Column:
-            low = F.when(F.get(ends, i) - F.get(ends, i - 16) >= least_chars, i - 16).otherwise(F.greatest(i - least_chars, F.lit(0)))
-            n = F.size(F.filter(F.slice(ends, low + 1, i - low), lambda e: F.get(ends, i) - e < least_chars)) + 1
-            return F.struct((i + 1 - n).alias("at"), n.alias("n"))
-
-        all_of = F.sequence(F.lit(0), F.size(units) - 1)
-        # a run up to a unit that reaches its length only there is one from its first unit on
-        return F.array_union(F.transform(all_of, forward), F.transform(F.filter(all_of, lambda i: F.length(F.get(units, i)) < least_chars), backward))
-
-    ends = F.aggregate(units, F.array().cast("array<int>"), lambda acc, u: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.length(u))))
-    whole = F.filter(_let(ends, from_each), lambda r: (r["at"] >= 0) & (r["at"] + r["n"] <= F.size(units)))
-    named = F.transform(whole, lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), bare(F.array_join(F.slice(units, r["at"] + 1, r["n"]), "")).alias("text")))
-    return F.when(F.size(units) == 0, F.array().cast("array<struct<at:int,n:int,text:string>>")).otherwise(named)
-
-
-def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 120) -> DataFrame:
-    """All columns of ``df``, ``text_col`` without repeated passages, and removed_chunks (units) and removed_chars.
-
-    A passage is a run of whole units (see CUT) with ``least_chars``
-    characters; it repeats wherever it stands and however long its lines are.
-    Every unit of a repeated passage is removed, unless it is in the first
-    copy: the one of the smallest id (rows without an id come last), then of
-    the least hash of the text, then of the least place.  Passages are told
-    apart by 128 bits of hashes.  Repeated rows (equal id and text) are one
-    document and keep the same units.  A null text stays null and an empty
-    one empty; a text of which nothing is left becomes empty.  An empty table
-    gives no rows.
+    ``bits``: of the chunks' hash; fewer only cause more comparisons.
     """
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).filter(F.col("_text").isNotNull())
-    cut = rows.select("_id", F.xxhash64("_text").alias("_key"), F.explode(_let(units_of(F.col("_text")), lambda u: runs(u, least_chars))).alias("_run"))
-    text = F.col("_run.text")
-    pieces = cut.filter(text != "").select(F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit("again"), text).alias("_h2"), F.struct(F.coalesce("_id", F.lit(2**63 - 1)).alias("i"), F.col("_id").isNull().alias("o"), F.col("_key").alias("k"), F.col("_run.at").alias("at")).alias("_place"), F.col("_run.n").alias("_n"))
-    pieces = written(pieces, name="passages")
-    same = pieces.groupBy("_h1", "_h2").agg(F.count("*").alias("n"), F.min("_place").alias("first")).filter("n > 1").select("_h1", "_h2", "first")
-    again = pieces.join(same, ["_h1", "_h2"]).filter("_place > first")
-    run = F.struct(F.col("_place.at").alias("at"), F.col("_n").alias("n"))
-    removed = again.groupBy(F.when(~F.col("_place.o"), F.col("_place.i")).alias("_id"), F.col("_place.k").alias("_key")).agg(F.collect_set(run).alias("_runs"))
-    removed = removed.select("_id", "_key", F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))).alias("_removed"))
-
-    own = df.withColumns({"_id": F.col(f"`{id_col}`").cast("bigint"), "_key": F.xxhash64(F.col(f"`{text_col}`").cast("string"))}).alias("d")
-    joined = own.join(removed.alias("r"), F.col("d._id").eqNullSafe(F.col("r._id")) & (F.col("d._key") == F.col("r._key")), "left")
-    text = F.col(f"d.`{text_col}`").cast("string")
-
-    def rebuilt(units: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), F.col("r._removed"))
-        return F.array_join(F.transform(kept, lambda i: F.get(units, i)), "")
-
-    clean = F.when(F.col("r._removed").isNull(), text).otherwise(_let(units_of(text), rebuilt))
-    columns = [clean.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in df.columns]
-    out = joined.select(*columns, F.coalesce(F.size("r._removed"), F.lit(0)).alias("removed_chunks"), text.alias("_was"))
-    return out.withColumn("removed_chars", F.coalesce(F.length("_was") - F.length(f"`{text_col}`"), F.lit(0))).drop("_was")
+    names = [c for c in df.columns if c not in ("removed_chunks", "removed_chars")]
+    plain = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
+    own, text = f"c{names.index(text_col)}", F.col(f"c{names.index(text_col)}").cast("string")
+    plain = plain.withColumns({"_id": F.col(f"c{names.index(id_col)}").cast("bigint"), "_key": F.xxhash64(text), "_text": text})
+    docs = plain.select("_id", "_key", "_text").filter("_text IS NOT NULL")
+
+    found = docs.select("_id", "_key", F.inline(_let(lines_of(F.col("_text")), lambda x: chunks(x, least_chars, bits))))
+    found = written(found, name="chunks")
+    firsts = found.groupBy("hash").agg(F.count("*").alias("_n"), F.min(_place("at")).alias("_first")).filter("_n > 1").drop("_n")
+    again = written(found.join(firsts, "hash").select("_id", "_key", "at", "n", "hash", (_place("at") > F.col("_first")).alias("later")), name="again")
+
+    # the bytes of all chunks of one hash
+    sides = F.coalesce("_id", F.lit(0)) == F.col("_i"), F.col("_id").isNotNull() == F.col("_has"), docs["_key"] == F.col("_same")
+    listed = docs.join(_grouped(again, "_chunks").withColumnRenamed("_key", "_same"), list(sides))
+    cut = F.inline(_let(lines_of(F.col("_text")), lambda x: F.transform("_chunks", lambda c: F.struct(c["hash"].alias("hash"), c["at"].alias("at"), c["n"].alias("n"), F.array_join(F.slice(x, c["at"] + 1, c["n"]), "").alias("bytes")))))
+    texts = listed.select("_id", "_key", cut)
+    clashes = written(texts.select("hash", "bytes").distinct().groupBy("hash").count().filter("count > 1").select("hash"), name="clashes")
+    removed = again.filter("later").select("_id", "_key", "at", "n", "hash")
+    if not clashes.isEmpty():  # different texts of one hash are told apart by their bytes
+        apart = texts.join(clashes, "hash")
+        first = apart.groupBy("hash", "bytes").agg(F.min(_place("at")).alias("_first"))
+        apart = apart.join(first, ["hash", "bytes"]).filter(_place("at") > F.col("_first")).select("_id", "_key", "at", "n", "hash")
+        removed = removed.join(clashes, "hash", "left_anti").select(*apart.columns).unionByName(apart)
+
+    gone = _grouped(removed.select("_id", "_key", "at", "n"), "_removed").withColumnRenamed("_key", "_same")
+    sides = F.coalesce("_id", F.lit(0)) == F.col("_i"), F.col("_id").isNotNull() == F.col("_has"), plain["_key"] == F.col("_same")
+
+    def rebuilt(lines: Column) -> Column:
+        of = F.flatten(F.transform("_removed", lambda c: F.sequence(c["at"], c["at"] + c["n"] - 1)))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), of)
+        return joined(F.transform(kept, lambda i: F.get(lines, i)))
+
+    out = plain.join(gone, list(sides), "left")
+    clean = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(_let(lines_of(F.col("_text")), rebuilt))
+    out = out.withColumn("_clean", clean)
+    columns = [F.col("_clean" if f"c{k}" == own else f"c{k}").alias(c) for k, c in enumerate(names)]
+    return out.select(*columns, F.coalesce(F.size("_removed"), F.lit(0)).alias("removed_chunks"), F.coalesce(F.length("_text") - F.length("_clean"), F.lit(0)).alias("removed_chars"))

@@ -11,15 +11,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is missing (tests on one machine) a temporary
-    folder of this process takes its place.
+    Only where that setting is missing and the master is local (tests on one
+    machine) a temporary folder of this process takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(shared_dir, "own", None)
         if base is None or not os.path.isdir(base):
             base = shared_dir.own = tempfile.mkdtemp(prefix="wordloom-")
@@ -30,18 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, path: str | None = None, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage."""
+    """Write ``df`` to the shared folder and read it back, which cuts lineage.
+
+    What the executors shuffled for it is of no use afterwards, so Spark is told
+    to delete it at the end of the write.
+    """
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def col_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    """Column ``name`` of ``df`` cast to ``kind``, quoted so that odd names are safe."""
-    return F.col(f"`{name}`").cast(kind)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no label may be learnt from (crc32 of the id as text, mod 5)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
