@@ -77,7 +77,11 @@ def completed(factors: DataFrame, rank: int, *group: str) -> DataFrame:
 
 def by_svd(rank: int, epochs: int = 10_000) -> R.Cleaner:
     """A cleaner that replaces all ratings by their low-rank estimates."""
-    return R.Cleaner("svd", lambda r: completed(completion_factors(r, rank, epochs=epochs), rank), {"svd_k": rank})
+    def clean(r: DataFrame) -> DataFrame:
+        run = R.run_of(r)
+        return completed(completion_factors(r, rank, [(c, r.schema[c].dataType.simpleString()) for c in run], epochs), rank, *run)
+
+    return R.Cleaner("svd", clean, {"svd_k": rank})
 
 
 def zero_filled_svd(ratings: DataFrame, rank: int) -> DataFrame:

@@ -7,7 +7,7 @@ not depend on partitions and trials can run side by side in one plan.  With a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,9 +30,8 @@ def random_rating(draw: Column, low: int = 1, size: int = 7) -> Column:
 def randomize(ratings: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """Each cell of the full grid becomes a random rating with probability ``share``, blanks too (Q18)."""
     cell = _keys(ratings, *R.ITEM, "subject")
-    grid = R.complete(ratings) if "trial" not in ratings.columns else ratings
     hit = uniform(f"{seed}a", *cell) < share
-    return grid.withColumn("rating", F.when(hit, random_rating(uniform(f"{seed}b", *cell))).otherwise(F.col("rating"))).filter("rating IS NOT NULL")
+    return R.complete(ratings).withColumn("rating", F.when(hit, random_rating(uniform(f"{seed}b", *cell))).otherwise(F.col("rating"))).filter("rating IS NOT NULL")
 
 
 def offset(ratings: DataFrame, share: float, by: int = 3, seed: int = 42) -> DataFrame:
@@ -85,45 +84,74 @@ def trials(ratings: DataFrame, count: int) -> DataFrame:
     return ratings.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(count))))
 
 
+#: What a trial compares, by name: versions of the parts' combined means (p) and of the whole means (w).
+COMPARED = {
+    "noisy_noisy": ("p_noisy", "w_noisy"), "clean_noisy": ("p_clean", "w_noisy"), "noisy_clean": ("p_noisy", "w_clean"), "clean_clean": ("p_clean", "w_clean"),
+    "noisy_orig": ("p_noisy", "w_orig"), "clean_orig": ("p_clean", "w_orig"), "orig_noisy": ("p_orig", "w_noisy"), "orig_clean": ("p_orig", "w_clean"),
+    "orig_orig": ("p_orig", "w_orig"), "cleanorig_orig": ("p_cleanorig", "w_orig"), "cleanorig_noisy": ("p_cleanorig", "w_noisy"), "cleanorig_clean": ("p_cleanorig", "w_clean"),
+    "orig_cleanorig": ("p_orig", "w_cleanorig"), "noisy_cleanorig": ("p_noisy", "w_cleanorig"), "clean_cleanorig": ("w_clean", "w_cleanorig"),
+}
+
+
 def experiment(parts: DataFrame, whole: DataFrame, noise: Callable[[DataFrame], DataFrame], cleaners: dict[str, Callable[[DataFrame], DataFrame]], count: int = 100) -> DataFrame:
-    """(cleaner, variable, mean, std, trials, low, high) of noisy and cleaned ratings against clean ones.
+    """(cleaner, variable, mean, std, trials, low, high) over ``count`` trials of noisy and cleaned ratings.
 
-    Per trial: rank correlations of combined constituents with whole compounds,
-    from noisy and from cleaned ratings, correlations of item means with the
-    untouched ones, and retained shares.  All trials are one plan.  ``cleaners``
-    work on ratings with a trial column.
+    Both the parts and the wholes get noise and are cleaned, and so are the
+    original ratings.  Variables are the rank correlations of COMPARED and the
+    numbers of ratings (``_notblank``) of parts (indiv) and wholes.  All trials
+    are one plan; noise and cleaners keep the trials of ratings apart.
     """
-    truth = R.aggregate(parts).select(*R.ITEM, F.col("mean").alias("truth"))
-    wholes = R.aggregate(whole).select("compound", F.col("mean").alias("whole"))
-    noisy = noise(trials(parts, count))
-    size = noisy.groupBy("trial").agg(F.count("rating").alias("before"))
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(count)))
+    noisy = {"p": noise(trials(parts, count)), "w": noise(trials(whole, count))}
+    score = {"p": lambda r: R.combine(R.aggregate(r), "gmean"), "w": lambda r: R.aggregate(r).groupBy(*R.run_of(r), "compound").agg(F.avg("mean").alias("mean"))}
     out = []
-    for name, clean in {"none": lambda r: r, **cleaners}.items():
-        cleaned = clean(noisy)
-        means = cleaned.groupBy("trial", *R.ITEM).agg(F.avg("rating").alias("mean"))
-        intrinsic = spearman(means.join(truth, [*R.ITEM]), "mean", "truth", "trial").select("trial", F.lit("items").alias("variable"), F.col("rho").alias("value"))
-        product = means.groupBy("trial", "compound").agg(F.sqrt(F.product("mean")).alias("mean"))
-        extrinsic = spearman(product.join(wholes, "compound"), "mean", "whole", "trial").select("trial", F.lit("whole").alias("variable"), F.col("rho").alias("value"))
-        kept = cleaned.groupBy("trial").agg(F.count("rating").alias("after")).join(size, "trial").select("trial", F.lit("retained").alias("variable"), (F.col("after") / F.col("before")).alias("value"))
-        out.append(intrinsic.unionByName(extrinsic).unionByName(kept).withColumn("cleaner", F.lit(name)))
+    for name, clean in cleaners.items():
+        scores, counts = [], []
+        for side, label, original in (("p", "indiv", parts), ("w", "whole", whole)):
+            versions = {"orig": original, "cleanorig": clean(original), "noisy": noisy[side], "clean": clean(noisy[side])}
+            for version, rows in versions.items():
+                means = score[side](rows)
+                means = means if R.run_of(means) else means.withColumn("trial", numbers)
+                scores.append(means.select("trial", "compound", F.lit(f"{side}_{version}").alias("version"), F.round("mean", 9).alias("mean")))
+                if version != "cleanorig":
+                    n = rows.groupBy(*R.run_of(rows)).agg(F.count("rating").cast("double").alias("value"))
+                    n = n if R.run_of(rows) else n.withColumn("trial", numbers)
+                    counts.append(n.select("trial", F.lit(f"{label}_{version}_notblank").alias("variable"), "value"))
+        both = reduce(DataFrame.unionByName, scores)
+        names = sorted({v for pair in COMPARED.values() for v in pair})
+        wide = both.groupBy("trial", "compound").agg(*(F.max(F.when(F.col("version") == v, F.col("mean"))).alias(v) for v in names))
+        each = F.inline(F.array(*(F.struct(F.lit(k).alias("variable"), F.col(x).alias("x"), F.col(y).alias("y")) for k, (x, y) in COMPARED.items())))
+        rho = spearman(wide.select("trial", each), "x", "y", "trial", "variable").select("trial", "variable", F.col("rho").alias("value"))
+        out.append(reduce(DataFrame.unionByName, counts, rho).withColumn("cleaner", F.lit(name)))
     return trial_summary(reduce(DataFrame.unionByName, out), "value", "cleaner", "variable")
 
 
-def zscore_by_trial(threshold: float) -> Callable[[DataFrame], DataFrame]:
-    """A cleaner for ratings with trials: ratings within so many deviations of their item's mean."""
+def zscore_grid(parts: DataFrame, whole: DataFrame, noise: Callable[[DataFrame, float], DataFrame], shares: list[float], thresholds: list[float], count: int = 100) -> DataFrame:
+    """The experiment over noise shares (column p_noise, Q20) and z-score thresholds; "none" leaves ratings as they are."""
+    cleaners = {"none": lambda r: r} | {f"z{z}": lambda r, z=z: R.drop_deviant_ratings(r, z) for z in thresholds}
+    return _stacked(("p_noise", p, experiment(parts, whole, lambda r, p=p: noise(r, p), cleaners, count)) for p in shares)
+
+
+def svd_grid(parts: DataFrame, whole: DataFrame, noise: Callable[[DataFrame, float], DataFrame], shares: list[float], ranks: list[int], count: int = 100, epochs: int = 10_000) -> DataFrame:
+    """The experiment over noise shares and low ranks by which all ratings are estimated."""
+    from wordloom.operators.factor import by_svd
+
+    cleaners = {"none": lambda r: r} | {f"svd{k}": by_svd(k, epochs).clean for k in ranks}
+    return _stacked(("p_noise", p, experiment(parts, whole, lambda r, p=p: noise(r, p), cleaners, count)) for p in shares)
+
+
+def min_rho_grid(parts: DataFrame, whole: DataFrame, numbers: list[int], count: int = 100, seed: int = 42) -> DataFrame:
+    """As many subjects made random as are dropped for their low agreement (column n)."""
+    return _stacked(("n", n, experiment(parts, whole, lambda r, n=n: replace_subjects(r, n, seed=seed), {"minrho": lambda r, n=n: R.drop_worst_subjects(r, n)}, count)) for n in numbers)
 
-    def clean(df: DataFrame) -> DataFrame:
-        item = W.partitionBy("trial", *R.ITEM)
-        scored = df.withColumns({"_m": F.avg("rating").over(item), "_s": F.stddev_samp("rating").over(item)})
-        return scored.filter((F.col("_s") > 0) & (F.abs(F.col("rating") - F.col("_m")) <= threshold * F.col("_s"))).drop("_m", "_s")
 
-    return clean
+def drop_subject_grid(parts: DataFrame, whole: DataFrame, shares: list[float], count: int = 100, seed: int = 42) -> DataFrame:
+    """The share of subjects made random is dropped for low agreement (column p)."""
+    return _stacked(("p", p, experiment(parts, whole, lambda r, p=p: replace_subjects(r, share=p, seed=seed), {"devsubj": lambda r, p=p: R.drop_worst_subjects(r, share=p)}, count)) for p in shares)
 
 
-def grid(parts: DataFrame, whole: DataFrame, shares: list[float], thresholds: list[float], count: int = 100, seed: int = 42) -> DataFrame:
-    """The experiment over noise shares (column p_noise, Q20) and z-score thresholds."""
-    runs = [experiment(parts, whole, lambda r, p=p: offset(r, p, seed=seed), {f"z{z}": zscore_by_trial(z) for z in thresholds}, count).withColumn("p_noise", F.lit(p)) for p in shares]
-    return reduce(DataFrame.unionByName, runs)
+def _stacked(runs: Iterable[tuple[str, float, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (df.withColumn(name, F.lit(value)) for name, value, df in runs))
 
 
 def hold_out(ratings: DataFrame, blanks: int = 50, count: int = 100, seed: int = 42) -> DataFrame:

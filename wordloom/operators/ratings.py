@@ -17,6 +17,11 @@ ITEM = ("compound", "const")
 COLUMNS = (*ITEM, "subject", "rating")
 
 
+def run_of(ratings: DataFrame) -> list[str]:
+    """The column that parts runs of one study, if there is one: each is then worked on for itself."""
+    return ["trial"] if "trial" in ratings.columns else []
+
+
 def long_form(wide: DataFrame) -> DataFrame:
     """Wide ratings (compound, const, one column a subject) as rows; blanks and NaN leave."""
     subjects = [c for c in wide.columns if c not in ITEM]
@@ -37,7 +42,7 @@ def restrict_to_common(*tables: DataFrame, key: str = "compound") -> list[DataFr
 
 def aggregate(ratings: DataFrame) -> DataFrame:
     """(compound, const, n, mean, median, stddev, var); the spread of a single rating is 0 (Q11)."""
-    out = ratings.groupBy(*ITEM).agg(F.count("rating").alias("n"), F.avg("rating").alias("mean"), F.median("rating").alias("median"), F.coalesce(F.stddev_samp("rating"), F.lit(0.0)).alias("stddev"))
+    out = ratings.groupBy(*run_of(ratings), *ITEM).agg(F.count("rating").alias("n"), F.avg("rating").alias("mean"), F.median("rating").alias("median"), F.coalesce(F.stddev_samp("rating"), F.lit(0.0)).alias("stddev"))
     return out.filter("n > 0").withColumn("var", F.col("stddev") * F.col("stddev"))
 
 
@@ -48,23 +53,24 @@ def combine(means: DataFrame, method: str = "gmean", value: str = "mean") -> Dat
     """
     total, product = F.sum(value), F.product(value)
     forms = {"sum": total, "prod": product, "gmean": F.sqrt(product), "hmean": divide(2 * product, total)}
-    return means.groupBy("compound").agg(forms[method].alias("mean"))
+    return means.groupBy(*run_of(means), "compound").agg(forms[method].alias("mean"))
 
 
 def with_others(ratings: DataFrame) -> DataFrame:
     """Ratings with ``others``, the mean of the item's other ratings; rows without others leave."""
-    item = W.partitionBy(*ITEM)
+    item = W.partitionBy(*run_of(ratings), *ITEM)
     others = (F.sum("rating").over(item) - F.col("rating")) / F.nullif(F.count("rating").over(item) - 1, F.lit(0))
     return ratings.withColumn("others", F.round(others, 9)).filter(F.col("others").isNotNull())
 
 
 def agreements(ratings: DataFrame) -> DataFrame:
     """(subject, rho, n): rank correlation of a subject with the mean of the others."""
-    return spearman(with_others(ratings), "rating", "others", "subject")
+    return spearman(with_others(ratings), "rating", "others", *run_of(ratings), "subject")
 
 
 def _without(ratings: DataFrame, subjects: DataFrame) -> DataFrame:
-    return ratings.join(subjects.select("subject"), "subject", "left_anti").select(*COLUMNS)
+    key = [*run_of(ratings), "subject"]
+    return ratings.join(subjects.select(*key), key, "left_anti").select(*run_of(ratings), *COLUMNS)
 
 
 def drop_deviant_subjects(ratings: DataFrame, min_rho: float = 0.5) -> DataFrame:
@@ -75,6 +81,10 @@ def drop_deviant_subjects(ratings: DataFrame, min_rho: float = 0.5) -> DataFrame
 def drop_worst_subjects(ratings: DataFrame, count: int | None = None, share: float | None = None) -> DataFrame:
     """Blank the ``count`` subjects, or the share rounded up, of least agreement; ties by subject."""
     found = agreements(ratings)
+    if run := run_of(ratings):
+        place = F.row_number().over(W.partitionBy(*run).orderBy("rho", "subject"))
+        most = ratings.groupBy(*run).agg((F.lit(count) if share is None else F.ceil(F.count_distinct("subject") * share)).alias("_most"))
+        return _without(ratings, found.withColumn("_place", place).join(most, run).filter("_place <= _most"))
     if share is not None:
         count = -int(-share * ratings.select("subject").distinct().count() // 1)
     return _without(ratings, found.orderBy("rho", "subject").limit(count))
@@ -87,12 +97,12 @@ def drop_deviant_ratings(ratings: DataFrame, threshold: float = 1.0) -> DataFram
     bound is compared in sums, squared and without divisions: exact for whole
     ratings, so one right at the bound stays whatever the order of the rows.
     """
-    x, item = F.col("rating"), W.partitionBy(*ITEM)
+    x, item = F.col("rating"), W.partitionBy(*run_of(ratings), *ITEM)
     sums = {"_n": F.count(x), "_s": F.sum(x), "_q": F.sum(x * x), "_low": F.min(x), "_high": F.max(x)}
     n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
     far = (n * x - s) * (n * x - s) * (n - 1)
     scored = ratings.withColumns({c: f.over(item) for c, f in sums.items()})
-    return scored.filter((F.col("_low") < F.col("_high")) & (far <= n * (n * q - s * s) * threshold**2) & F.lit(threshold >= 0)).select(*COLUMNS)
+    return scored.filter((F.col("_low") < F.col("_high")) & (far <= n * (n * q - s * s) * threshold**2) & F.lit(threshold >= 0)).select(*run_of(ratings), *COLUMNS)
 
 
 def rebin(ratings: DataFrame, bins: dict[float, float] | list[float] | str) -> DataFrame:
@@ -105,8 +115,9 @@ def rebin(ratings: DataFrame, bins: dict[float, float] | list[float] | str) -> D
 
 def complete(ratings: DataFrame) -> DataFrame:
     """All items by all subjects, blanks null.  The grid is the result's size, from two key lists."""
-    grid = ratings.select(*ITEM).distinct().join(ratings.select("subject").distinct(), F.lit(True))
-    return grid.join(ratings, [*ITEM, "subject"], "left").select(*COLUMNS)
+    run = run_of(ratings)
+    grid = ratings.select(*run, *ITEM).distinct().join(ratings.select(*run, "subject").distinct(), run or F.lit(True))
+    return grid.join(ratings, [*run, *ITEM, "subject"], "left").select(*run, *COLUMNS)
 
 
 def fill(ratings: DataFrame, value: float = 0.0) -> DataFrame:

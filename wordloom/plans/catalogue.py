@@ -143,25 +143,25 @@ query("ratings_retained", f"{_Z} SELECT COUNT(*) AS before, (SELECT COUNT(*) FRO
 query("ratings_rebin", f"WITH {X.RATINGS} SELECT compound, const, subject, CASE rating WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 WHEN 3 THEN 2.0 WHEN 4 THEN 2.0 ELSE rating END AS rating FROM ratings")(lambda s, d: R.rebin(X.ratings(s, d), "1122").select(*R.COLUMNS))
 query("ratings_fill", f"WITH {X.RATINGS} SELECT i.compound, i.const, s.subject, COALESCE(r.rating, 0) AS rating FROM (SELECT DISTINCT compound, const FROM ratings) i CROSS JOIN (SELECT DISTINCT subject FROM ratings) s LEFT JOIN ratings r USING (compound, const, subject)")(lambda s, d: R.fill(X.ratings(s, d), 0.0))
 query("ratings_profile", f"WITH {X.RATINGS} SELECT subject, COUNT(*) AS n, MIN(rating) AS min, MAX(rating) AS max, {r6('quantile_cont(rating, 0.25)', 'q1')}, {r6('median(rating)', 'median')}, {r6('quantile_cont(rating, 0.75)', 'q3')}, {r6('AVG(rating)', 'mean')}, {r6('stddev_samp(rating)', 'stddev')}, {', '.join(f'COUNT(*) FILTER (rating = {k}) AS n{k}' for k in range(1, 8))} FROM ratings GROUP BY subject")(lambda s, d: R.profile(X.ratings(s, d)))
-_BOTH = f"WITH {X.RATINGS}, few AS (SELECT * FROM ratings WHERE subject < 30), b AS (SELECT x.subject AS l, y.subject AS r, x.rating AS a, y.rating AS b FROM few x JOIN few y USING (compound, const) WHERE x.subject < y.subject)"
-query("ratings_pair_agreement", f'{_BOTH}, {spearman_sql("b", "a", "b", "l, r")}, e AS (SELECT l, r, COUNT(*) AS n, AVG(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS g FROM b GROUP BY l, r) SELECT e.l AS "left", e.r AS "right", e.n, {r6("g", "agreement")}, {r6("rho", "rho")} FROM e JOIN rho ON e.l = rho.l AND e.r = rho.r')(lambda s, d: R.pair_agreement(X.ratings(s, d).filter("subject < 30")))
+_BOTH = f"WITH {X.RATINGS}, b AS (SELECT x.subject AS l, y.subject AS r, x.rating AS a, y.rating AS b FROM ratings x JOIN ratings y USING (compound, const) WHERE x.subject < y.subject)"
+query("ratings_pair_agreement", f'{_BOTH}, {spearman_sql("b", "a", "b", "l, r")}, e AS (SELECT l, r, COUNT(*) AS n, AVG(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS g FROM b GROUP BY l, r) SELECT e.l AS "left", e.r AS "right", e.n, {r6("g", "agreement")}, {r6("rho", "rho")} FROM e JOIN rho ON e.l = rho.l AND e.r = rho.r')(lambda s, d: R.pair_agreement(X.ratings(s, d)))
 query("ratings_rank_curve", f"""{_LOO}, w AS (SELECT subject, rho, subject % 4 = 0 AS bad FROM rho), c AS (SELECT subject, row_number() OVER (ORDER BY round(rho, 9), subject) AS k, SUM(CAST(bad AS INTEGER)) OVER (ORDER BY round(rho, 9), subject ROWS UNBOUNDED PRECEDING) AS hits, SUM(CAST(bad AS INTEGER)) OVER () AS b, COUNT(*) OVER () AS n FROM w)
 SELECT subject, CAST(k AS INTEGER) AS k, CAST(hits AS BIGINT) AS hits, {r6('hits / k', 'precision')}, {r6('hits / nullif(b, 0)', 'recall')}, {r6('2 * (hits / k) * (hits / nullif(b, 0)) / nullif(hits / k + hits / nullif(b, 0), 0)', 'f')} FROM c WHERE k < n""")(lambda s, d: R.rank_curve(R.agreements(X.ratings(s, d)).select("subject", F.round("rho", 9).alias("rho"), (F.col("subject") % 4 == 0).alias("rejected"))))
 query("ratings_common_items", f"WITH {X.RATINGS} SELECT compound, const, subject, rating FROM ratings WHERE compound IN (SELECT p_brand FROM part WHERE p_size > 45) AND compound IN (SELECT compound FROM ratings WHERE rating >= 6)")(lambda s, d: R.restrict_to_common(X.ratings(s, d), X.table(s, d, "part").filter("p_size > 45").select(F.col("p_brand").alias("compound")), X.ratings(s, d).filter("rating >= 6"))[0].select(*R.COLUMNS))
 
 
-def _log(s, d, rows="true"):
-    rows = X.table(s, d, "lineitem").filter(rows)
-    return rows.select(F.col("l_suppkey").cast("string").alias("workerId"), F.lit("1").alias("worktime"), F.concat((80 + F.col("l_suppkey") % 20).cast("string"), F.lit(" % (5/6)")).alias("approval"), F.concat(F.lit("c"), F.col("l_partkey") % 40).alias("compound"), (1 + (F.col("l_orderkey") + F.col("l_linenumber")) % 8).cast("int").alias("judgement"))
+def _log(s, d, compounds=40):
+    rows = X.table(s, d, "lineitem")
+    return rows.select(F.col("l_suppkey").cast("string").alias("workerId"), F.lit("1").alias("worktime"), F.concat((80 + F.col("l_suppkey") % 20).cast("string"), F.lit(" % (5/6)")).alias("approval"), F.concat(F.lit("c"), F.col("l_partkey") % compounds).alias("compound"), (1 + (F.col("l_orderkey") + F.col("l_linenumber")) % 8).cast("int").alias("judgement"))
 
 
 _LOG = "log AS (SELECT CAST(l_suppkey AS VARCHAR) AS workerId, 80 + l_suppkey % 20 AS rate, 'c' || (l_partkey % 40) AS compound, CAST(1 + (l_orderkey + l_linenumber) % 8 AS INTEGER) AS judgement FROM lineitem)"
 query("ratings_filter_users", f"WITH {_LOG} SELECT workerId, compound, judgement FROM log WHERE judgement <> 8 AND workerId IN (SELECT workerId FROM log GROUP BY 1 HAVING COUNT(*) >= 600)")(lambda s, d: R.active_judgements(_log(s, d), 600).select("workerId", "compound", "judgement"))
 query("ratings_judgement_matrix", f"WITH {_LOG} SELECT compound, 'whole' AS const, workerId AS subject, CAST(judgement AS DOUBLE) AS rating FROM log WHERE judgement <> 8 AND workerId IN (SELECT workerId FROM log GROUP BY 1 HAVING COUNT(*) >= 10)")(lambda s, d: R.judgement_matrix(_log(s, d)))
-query("ratings_inattentive", f"WITH {_LOG.replace('FROM lineitem', 'FROM lineitem WHERE l_orderkey < 200')} SELECT workerId, COUNT(*) AS n FROM log WHERE workerId NOT IN (SELECT workerId FROM log WHERE compound = 'c3' AND judgement <> 8) GROUP BY 1")(lambda s, d: R.drop_inattentive(_log(s, d, "l_orderkey < 200"), s.createDataFrame([("c3",)], "compound string")).groupBy("workerId").agg(F.count("*").alias("n")))
+query("ratings_inattentive", f"WITH {_LOG.replace('% 40', '% 997')} SELECT workerId, COUNT(*) AS n FROM log WHERE workerId NOT IN (SELECT workerId FROM log WHERE compound = 'c3' AND judgement <> 8) GROUP BY 1")(lambda s, d: R.drop_inattentive(_log(s, d, 997), s.createDataFrame([("c3",)], "compound string")).groupBy("workerId").agg(F.count("*").alias("n")))
 query("ratings_approved", f"WITH {_LOG} SELECT workerId, COUNT(*) AS n FROM log WHERE rate >= 90 GROUP BY 1")(lambda s, d: R.approved(_log(s, d)).groupBy("workerId").agg(F.count("*").alias("n")))
 query("ratings_pivot", f"WITH {X.RATINGS} SELECT compound, const, {', '.join(f'MIN(rating) FILTER (subject = {k}) AS s{k}' for k in range(5))} FROM ratings GROUP BY 1, 2")(lambda s, d: R.wide_form(X.ratings(s, d).filter("subject < 5").unionByName(X.ratings(s, d).select("compound", "const").distinct().withColumns({"subject": F.lit(99).cast("bigint"), "rating": F.lit(0.0)})), list(range(5))).toDF("compound", "const", *(f"s{k}" for k in range(5))))
-query("ratings_melt", f"WITH {X.RATINGS} SELECT compound, const, CAST(subject AS VARCHAR) AS subject, rating FROM ratings WHERE subject < 5")(lambda s, d: R.long_form(R.wide_form(X.ratings(s, d), list(range(5)))))
+query("ratings_melt", f"WITH {X.RATINGS} SELECT compound, const, CAST(subject AS VARCHAR) AS subject, rating FROM ratings")(lambda s, d: R.long_form(R.wide_form(X.ratings(s, d), list(range(X.table(s, d, "supplier").count() + 1)))))
 
 
 @query("ratings_banded", f"WITH {X.RATINGS}, w AS (SELECT compound, AVG(rating) AS a, stddev_samp(rating) AS sd FROM ratings GROUP BY 1) SELECT compound, 'a' AS variable, {r6('a', 'mean')}, {r6('sd', 'std')}, {r6('a - 2 * sd', 'low')}, {r6('a + 2 * sd', 'high')} FROM w UNION ALL SELECT compound, 'b', {r6('a + 1', 'mean')}, {r6('sd', 'std')}, {r6('a', 'low')}, {r6('a + 2', 'high')} FROM w")
@@ -246,7 +246,31 @@ al AS (SELECT trial, AVG(rating) AS a FROM seen GROUP BY 1), it AS (SELECT trial
 g AS (SELECT h.trial, h.rating, common, COALESCE(i, a) AS item, COALESCE(s, a) AS subject_mean FROM h JOIN mo USING (trial) JOIN al USING (trial) LEFT JOIN it USING (trial, compound, const) LEFT JOIN su USING (trial, subject) WHERE held)"""
 _MODELS = {"common": "common", "item": "item", "subject_mean": "subject_mean", "item_subject": "sqrt(item * subject_mean)"}
 query("predict_errors", _PREDICT + ", e AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, trial, sqrt(AVG(pow(rating - {x}, 2))) AS v FROM g GROUP BY trial" for m, x in _MODELS.items()) + f") SELECT model, {r6('AVG(v)', 'mean')}, {r6('stddev_samp(v)', 'std')}, COUNT(*) AS trials, {r6('AVG(v) - 2 * stddev_samp(v)', 'low')}, {r6('AVG(v) + 2 * stddev_samp(v)', 'high')} FROM e GROUP BY model")(lambda s, d: noise.prediction_errors(X.ratings(s, d), 50, 5))
-query("noise_experiment")(lambda s, d: noise.experiment(X.ratings(s, d).filter("const NOT LIKE 'S%'"), X.ratings(s, d).filter("const = 'STANDARD'"), lambda r: noise.offset(r, 0.2), {"z1": noise.zscore_by_trial(1.0)}, 5))
+
+
+def _parts(s, d):
+    return X.ratings(s, d).filter("const NOT LIKE 'S%'"), X.ratings(s, d).filter("const = 'STANDARD'")
+
+
+_NOISY = f"""WITH {X.RATINGS}, base AS (SELECT CASE WHEN const = 'STANDARD' THEN 'w' ELSE 'p' END AS side, * FROM ratings WHERE const NOT LIKE 'S%' OR const = 'STANDARD'),
+nums AS (SELECT UNNEST(range(1, 6)) AS trial),
+moved AS (SELECT side, trial, compound, const, subject, CASE WHEN {X.u_sql("42a", "trial", *_CELL)} < 0.2 THEN CASE WHEN {X.u_sql("42b", "trial", *_CELL)} < 0.5 THEN (rating + 3 - 1) % 7 + 1 ELSE (rating - 3 - 1 + 7) % 7 + 1 END ELSE rating END AS rating FROM base, nums),
+raw AS (SELECT 'orig' AS version, side, 0 AS trial, compound, const, subject, rating FROM base UNION ALL SELECT 'noisy', side, trial, compound, const, subject, rating FROM moved),
+z AS (SELECT *, COUNT(*) OVER w AS n, SUM(rating) OVER w AS s, SUM(rating * rating) OVER w AS q FROM raw WINDOW w AS (PARTITION BY version, side, trial, compound, const)),
+kept AS (SELECT version, side, trial, compound, const, subject, rating FROM z WHERE n * q > s * s AND (n * rating - s) * (n * rating - s) * (n - 1) <= n * (n * q - s * s)),
+v AS (SELECT c.cleaner, raw.* FROM raw, (VALUES ('none'), ('z1.0')) c(cleaner) UNION ALL SELECT 'none', CASE version WHEN 'orig' THEN 'cleanorig' ELSE 'clean' END, side, trial, compound, const, subject, rating FROM raw
+  UNION ALL SELECT 'z1.0', CASE version WHEN 'orig' THEN 'cleanorig' ELSE 'clean' END, side, trial, compound, const, subject, rating FROM kept),
+means AS (SELECT cleaner, version, side, trial, compound, const, AVG(rating) AS m FROM v GROUP BY ALL),
+scores AS (SELECT cleaner, version, side, trial, compound, round(CASE side WHEN 'p' THEN sqrt(product(m)) ELSE AVG(m) END, 9) AS m FROM means GROUP BY cleaner, version, side, trial, compound),
+every AS (SELECT cleaner, side || '_' || version AS name, compound, m, CASE WHEN scores.trial = 0 THEN nums.trial ELSE scores.trial END AS trial FROM scores JOIN nums ON scores.trial = 0 OR scores.trial = nums.trial),
+pairs AS ({" UNION ALL ".join(f"SELECT a.cleaner, a.trial, '{k}' AS variable, a.m AS x, b.m AS y FROM every a JOIN every b USING (cleaner, trial, compound) WHERE a.name = '{x}' AND b.name = '{y}'" for k, (x, y) in noise.COMPARED.items())}),
+{spearman_sql("pairs", "x", "y", "cleaner, trial, variable")},
+counts AS (SELECT cleaner, trial, CASE side WHEN 'p' THEN 'indiv_' ELSE 'whole_' END || version || '_notblank' AS variable, CAST(COUNT(*) AS DOUBLE) AS value FROM v WHERE version <> 'cleanorig' GROUP BY ALL),
+vals AS (SELECT cleaner, trial, variable, rho AS value FROM rho UNION ALL SELECT cleaner, nums.trial, variable, value FROM counts JOIN nums ON counts.trial = 0 OR counts.trial = nums.trial)
+SELECT cleaner, variable, {r6("AVG(value)", "mean")}, {r6("stddev_samp(value)", "std")}, COUNT(*) AS trials, {r6("AVG(value) - 2 * stddev_samp(value)", "low")}, {r6("AVG(value) + 2 * stddev_samp(value)", "high")}, 0.2 + 0.0 AS p_noise FROM vals GROUP BY cleaner, variable"""
+query("noise_experiment", _NOISY.replace("0.2 + 0.0 AS p_noise", "CAST(0.2 AS DOUBLE) AS p_noise"))(lambda s, d: noise.zscore_grid(*_parts(s, d), noise.offset, [0.2], [1.0], 5))
+query("noise_min_rho")(lambda s, d: noise.min_rho_grid(*_parts(s, d), [2, 5], 3))
+query("noise_drop_subjects")(lambda s, d: noise.drop_subject_grid(*_parts(s, d), [0.1, 0.2], 3))
 
 # --- statistics -----------------------------------------------------------------------------------
 
@@ -258,9 +282,9 @@ query("stat_column_rho", f"WITH c AS (SELECT * FROM (SELECT 'p_size' AS l, 'p_re
 query("stat_weighted", "WITH e AS (SELECT l_returnflag, l_discount AS v, CAST(l_quantity AS BIGINT) AS c FROM lineitem), r AS (SELECT l_returnflag, v, UNNEST(range(c)) AS k FROM e) SELECT l_returnflag, COUNT(*) AS n, " + f"{r6('AVG(v)', 'mean')}, {r6('stddev_pop(v)', 'std')}, {', '.join(r6(f'quantile_cont(v, {s})', f'p{k}') for s, k in _SHARES)} FROM r GROUP BY 1")(lambda s, d: stats.weighted_summary(X.table(s, d, "lineitem").select("l_returnflag", "l_discount", F.col("l_quantity").cast("bigint").alias("c")), "l_discount", "c", "l_returnflag"))
 query("stat_trials", f"WITH t AS (SELECT l_returnflag AS g, AVG(l_discount) AS v FROM lineitem GROUP BY l_returnflag, l_suppkey) SELECT g, {r6('AVG(v)', 'mean')}, {r6('stddev_samp(v)', 'std')}, COUNT(*) AS trials, {r6('AVG(v) - 2 * stddev_samp(v)', 'low')}, {r6('AVG(v) + 2 * stddev_samp(v)', 'high')}, {r6('AVG(v) - 2 * stddev_samp(v) / sqrt(COUNT(*))', 'band_low')}, {r6('AVG(v) + 2 * stddev_samp(v) / sqrt(COUNT(*))', 'band_high')} FROM t GROUP BY g")(lambda s, d: stats.confidence_band(stats.trial_summary(X.table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), "l_suppkey").agg(F.avg("l_discount").alias("v")), "v", "g")))
 query("stat_histogram", f"WITH b AS (SELECT CAST(least(floor(l_quantity / 5.0), 9) AS INTEGER) AS bin FROM lineitem WHERE l_quantity BETWEEN 0 AND 50) SELECT bin, COUNT(*) AS n, {r6('COUNT(*) / (SELECT COUNT(*) FROM b) / 5.0', 'density')} FROM b GROUP BY bin")(lambda s, d: stats.histogram(X.table(s, d, "lineitem"), "l_quantity", 0.0, 50.0, 10))
-_GOLD = "gold AS (SELECT doc_id AS id, CAST(quality * 2 + doc_id % 3 AS DOUBLE) AS gold, CAST(doc_id % 7 AS DOUBLE) AS m1, CAST(toxic + doc_id % 2 AS DOUBLE) AS m2 FROM labels WHERE doc_id < 300)"
+_GOLD = "gold AS (SELECT doc_id AS id, CAST(quality * 2 + doc_id % 3 AS DOUBLE) AS gold, CAST(doc_id % 7 AS DOUBLE) AS m1, CAST(toxic + doc_id % 2 AS DOUBLE) AS m2 FROM labels)"
 _ACC = " UNION ALL ".join(f"SELECT '{m}' AS measure, COUNT(*) AS pairs, {r6(f'AVG(CASE WHEN (a.{m} > b.{m}) = (a.gold > b.gold) THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM gold a JOIN gold b ON a.id < b.id AND abs(a.gold - b.gold) >= 1" for m in ("m1", "m2"))
-query("gold_accuracy", f"WITH {_GOLD} {_ACC}")(lambda s, d: stats.order_accuracy(X.table(s, d, "labels").filter("doc_id < 300").select(F.col("doc_id").alias("id"), (F.col("quality") * 2 + F.col("doc_id") % 3).cast("double").alias("gold"), (F.col("doc_id") % 7).cast("double").alias("m1"), (F.col("toxic") + F.col("doc_id") % 2).cast("double").alias("m2")), ["m1", "m2"]))
+query("gold_accuracy", f"WITH {_GOLD} {_ACC}")(lambda s, d: stats.order_accuracy(X.table(s, d, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 2 + F.col("doc_id") % 3).cast("double").alias("gold"), (F.col("doc_id") % 7).cast("double").alias("m1"), (F.col("toxic") + F.col("doc_id") % 2).cast("double").alias("m2")), ["m1", "m2"]))
 query("spearman_p")(lambda s, d: R.agreements(X.ratings(s, d)).withColumn("p", stats.spearman_p("rho", "n")))
 
 # --- topics and corpora ---------------------------------------------------------------------------
@@ -274,11 +298,11 @@ query("topic_top_words", f"WITH {X.TOPICS}, s AS (SELECT topic, word AS item, p
 query("topic_word_topics", f"WITH {X.TOPICS} SELECT word AS item, CAST(topic AS INTEGER) AS topic, {r6('p', 'p')} FROM topics WHERE p > 0.05")(lambda s, d: topics.word_topics(_model(s, d)))
 query("topic_documents", f"WITH {X.TOPICS} SELECT word AS doc, CAST(row_number() OVER (PARTITION BY word ORDER BY p DESC, topic) AS INTEGER) AS rank, CAST(topic AS INTEGER) AS topic, {r6('p', 'p')} FROM topics WHERE p > 1e-6")(lambda s, d: topics.document_topics(X.topics(s, d).select(F.col("word").alias("doc"), "topic", "p")))
 query("topic_lmi", f"WITH {X.TOPICS}, s AS (SELECT topic, word AS item, p, SUM(p) OVER (PARTITION BY topic) AS t, SUM(p) OVER () AS n FROM topics) SELECT CAST(topic AS INTEGER) AS topic, item, {r6('greatest(p / n * ln((p / t) / (t / n)), 0)', 'p')} FROM s")(lambda s, d: topics.topic_lmi(_model(s, d)))
-_TRACE = "tr AS (SELECT l_returnflag AS model, l_orderkey * 10 + l_linenumber AS pos, l_extendedprice AS value, l_discount AS seconds FROM lineitem WHERE l_orderkey < 300)"
+_TRACE = "tr AS (SELECT l_suppkey AS model, l_orderkey * 10 + l_linenumber AS pos, l_extendedprice AS value, l_discount AS seconds FROM lineitem)"
 
 
 def _trace(s, d):
-    return X.table(s, d, "lineitem").filter("l_orderkey < 300").select(F.col("l_returnflag").alias("model"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.col("l_extendedprice").alias("value"), F.col("l_discount").alias("seconds"))
+    return X.table(s, d, "lineitem").select(F.col("l_suppkey").alias("model"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.col("l_extendedprice").alias("value"), F.col("l_discount").alias("seconds"))
 
 
 query("trace_cumulative", f"WITH {_TRACE} SELECT model, CAST(row_number() OVER w AS INTEGER) AS iter, {r6('value', 'value')}, {r6('seconds', 'seconds')}, {r6('SUM(seconds) OVER w', 'elapsed')} FROM tr WINDOW w AS (PARTITION BY model ORDER BY pos, value, seconds ROWS UNBOUNDED PRECEDING)")(lambda s, d: topics.cumulative_time(_trace(s, d)))
@@ -291,12 +315,12 @@ query("corpus_features_only", f"WITH {X.CORPUS}, f AS (SELECT doc, feat, SUM(cou
 
 
 def _feature_shares(s, d):
-    return X.corpus(s, d).filter("feat > 0 AND word <= 25").groupBy("word", (F.col("feat") - 1).alias("feat")).agg(F.sum("count").cast("double").alias("p"))
+    return X.corpus(s, d).filter("feat > 0").groupBy("word", (F.col("feat") - 1).alias("feat")).agg(F.sum("count").cast("double").alias("p"))
 
 
-_CDF = f"WITH {X.CORPUS}, f AS (SELECT word, feat - 1 AS feat, SUM(count) AS p FROM corpus WHERE feat > 0 AND word <= 25 GROUP BY 1, 2), cdf AS (SELECT word, CAST(feat + 1 AS INTEGER) AS feat, (SUM(p) OVER w - p) / SUM(p) OVER (PARTITION BY word) AS low, SUM(p) OVER w / SUM(p) OVER (PARTITION BY word) AS high FROM f WINDOW w AS (PARTITION BY word ORDER BY p DESC, feat ROWS UNBOUNDED PRECEDING))"
+_CDF = f"WITH {X.CORPUS}, f AS (SELECT word, feat - 1 AS feat, SUM(count) AS p FROM corpus WHERE feat > 0 GROUP BY 1, 2), cdf AS (SELECT word, CAST(feat + 1 AS INTEGER) AS feat, (SUM(p) OVER w - p) / SUM(p) OVER (PARTITION BY word) AS low, SUM(p) OVER w / SUM(p) OVER (PARTITION BY word) AS high FROM f WINDOW w AS (PARTITION BY word ORDER BY p DESC, feat ROWS UNBOUNDED PRECEDING))"
 query("corpus_cdf", f"{_CDF} SELECT word, feat, {r6('low', 'low')}, {r6('high', 'high')} FROM cdf")(lambda s, d: C.descending_cdf(_feature_shares(s, d)))
-query("corpus_inject", f"{_CDF}, few AS (SELECT doc, word, SUM(count) AS c FROM corpus WHERE doc < 500 GROUP BY 1, 2), dr AS (SELECT doc, word, UNNEST(range(1, CAST(c AS BIGINT) + 1)) AS draw FROM few), du AS (SELECT doc, word, {X.u_sql('42', 'doc', 'word', 'draw')} AS u FROM dr) SELECT doc, du.word, cdf.feat, CAST(0 AS INTEGER) AS feat2, CAST(COUNT(*) AS INTEGER) AS count FROM du JOIN cdf ON cdf.word = du.word AND u >= low AND u < high GROUP BY 1, 2, 3 UNION ALL SELECT doc, word, 0, 0, CAST(c AS INTEGER) FROM few WHERE word NOT IN (SELECT word FROM cdf)")(lambda s, d: C.inject_features(C.merged(X.corpus(s, d).filter("doc < 500").withColumns({"feat": F.lit(0), "feat2": F.lit(0)})), C.descending_cdf(_feature_shares(s, d))))
+query("corpus_inject", f"{_CDF}, few AS (SELECT doc, word, SUM(count) AS c FROM corpus GROUP BY 1, 2), dr AS (SELECT doc, word, UNNEST(range(1, CAST(c AS BIGINT) + 1)) AS draw FROM few), du AS (SELECT doc, word, {X.u_sql('42', 'doc', 'word', 'draw')} AS u FROM dr) SELECT doc, du.word, cdf.feat, CAST(0 AS INTEGER) AS feat2, CAST(COUNT(*) AS INTEGER) AS count FROM du JOIN cdf ON cdf.word = du.word AND u >= low AND u < high GROUP BY 1, 2, 3 UNION ALL SELECT doc, word, 0, 0, CAST(c AS INTEGER) FROM few WHERE word NOT IN (SELECT word FROM cdf)")(lambda s, d: C.inject_features(C.merged(X.corpus(s, d).withColumns({"feat": F.lit(0), "feat2": F.lit(0)})), C.descending_cdf(_feature_shares(s, d))))
 _PICK = "CASE WHEN p_size % 2 = 0 THEN 'ADJ' WHEN p_size % 3 = 0 THEN 'NN' ELSE 'V' END"
 query("order_fallback", f"""WITH w AS (SELECT DISTINCT p_name AS word, {_PICK} AS pos FROM part), v AS (SELECT DISTINCT p_name || '/' || ['ADJD', 'NN', 'ADJA', 'VVPP', 'VVINF'][p_partkey % 5 + 1] AS label FROM part WHERE p_partkey % 7 < 4),
 o(pos, tag, place) AS (VALUES ('ADJ', 'ADJA', 0), ('ADJ', 'ADJD', 1), ('NN', 'NN', 0), ('V', 'VVFIN', 0), ('V', 'VVINF', 1), ('V', 'VVPP', 2), ('V', 'VVIZU', 3), ('V', 'VVIMP', 4))
@@ -329,13 +353,13 @@ def _spaces(s, d):
     return half("a", 1).unionByName(half("b", 33))
 
 
-@query("space_subsets", f"""WITH g AS (SELECT a.vec_id AS x, b.vec_id AS y, (a.vec_id * 7 + b.vec_id) % 11 AS mean, a.embedding::DOUBLE[] AS va, b.embedding::DOUBLE[] AS vb FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 200),
+@query("space_subsets", f"""WITH g AS (SELECT a.vec_id AS x, b.vec_id AS y, (a.vec_id * 7 + b.vec_id) % 11 AS mean, a.embedding::DOUBLE[] AS va, b.embedding::DOUBLE[] AS vb FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
 n AS (SELECT x, mean, va[1:32] AS a1, va[33:64] AS a2, vb[1:32] AS b1, vb[33:64] AS b2 FROM g),
 u AS (SELECT x, mean, list_transform(a1, lambda v: v / list_sum(list_transform(a1, lambda z: abs(z)))) AS a1, list_transform(a2, lambda v: v / list_sum(list_transform(a2, lambda z: abs(z)))) AS a2, list_transform(b1, lambda v: v / list_sum(list_transform(b1, lambda z: abs(z)))) AS b1, list_transform(b2, lambda v: v / list_sum(list_transform(b2, lambda z: abs(z)))) AS b2 FROM n),
 c AS (SELECT 'a' AS spaces, mean, round(list_cosine_similarity(a1, b1), 9) AS score FROM u UNION ALL SELECT 'b', mean, round(list_cosine_similarity(a2, b2), 9) FROM u UNION ALL SELECT 'a+b', mean, round(list_cosine_similarity(list_concat(a1, a2), list_concat(b1, b2)), 9) FROM u),
 {spearman_sql('c', 'mean', 'score', 'spaces')} SELECT spaces, {r6('rho', 'rho')}, n FROM rho""")
 def space_subsets(s, d):
-    ids = X.table(s, d, "embeddings").filter("vec_id < 200").select("vec_id")
+    ids = X.table(s, d, "embeddings").select("vec_id")
     gold = ids.select(F.concat(F.lit("v"), "vec_id").alias("compound"), F.concat(F.lit("v"), F.col("vec_id") + 1).alias("const"), ((F.col("vec_id") * 7 + F.col("vec_id") + 1) % 11).cast("double").alias("mean"))
     return images.subset_experiment(_spaces(s, d), gold, ["a", "b"])
 
@@ -352,13 +376,13 @@ def svd_space(s, d):
     return sigmas
 
 
-query("elo")(lambda s, d: matches.elo(matches.random_matches(s, X.ratings(s, d), 20_000)))
+query("elo")(lambda s, d: matches.elo(matches.random_matches(s, X.ratings(s, d), 10 * X.ratings(s, d).count())))
 
 
 @query("lda_online")
 def lda_online(s, d):
     model = topics.OnlineTopics(topics.Settings(topics=5, sizes=(51, 22, 7), batch=100_000))
-    model.fit(X.corpus(s, d).filter("doc % 20 = 0"), 2)
+    model.fit(X.corpus(s, d), 2)
     return topics.top_items(model.tables(s)["word"], 5)
 
 
