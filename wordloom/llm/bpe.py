@@ -6,6 +6,11 @@ one-byte pieces, and a fold joins the adjacent pair of the least rank, looked
 up in a literal rank map, until no pair has a rank.  Decoding concatenates the
 pieces of the ids.  Nothing is shuffled and no dictionary of the corpus is kept.
 
+Two exact shortcuts keep words short: pretokens are also cut between bytes that
+stand side by side in no piece, and those that are still over ``LONG`` bytes
+are cut at their tokens, found with a heap, as the fold's time grows with the
+square of the length.  The expressions then look each of those tokens up.
+
 Inside these expressions a byte is the character of the same number
 (ISO 8859-1), so pieces are short strings.
 """
@@ -13,6 +18,7 @@ Inside these expressions a byte is the character of the same number
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -26,6 +32,8 @@ from wordloom.llm.pretokens import pieces, slices
 
 #: The rank map is dealt into so many small maps, as Spark looks a key up by going through a map.
 BUCKETS = 1 << 15
+#: Bytes up to which a word is folded by the expressions as it is.
+LONG = 512
 IDS, CODED = "array<int>", "struct<ids:array<int>,piece:binary>"
 
 
@@ -35,6 +43,46 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
+def token_ends(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Where the tokens of a word end, joining the leftmost pair of the least rank as long as there is one."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if not end[i] or end[i] == n or end[end[i]] != stop:
+            continue  # one of the two has been joined otherwise
+        end[end[i]], end[i] = 0, stop
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if (h := before[i]) >= 0 and (r := ranks.get(word[h:stop])) is not None:
+            heapq.heappush(heap, (r, h, stop))
+    return [x for x in end if x]
+
+
+def cutter(ranks: dict[bytes, int]) -> Callable[[np.ndarray, bytes, np.ndarray], np.ndarray]:
+    """Cuts pretokens where no token can go on, and long ones at their tokens."""
+    apart = np.ones(1 << 16, bool)
+    for piece in ranks:
+        octets = np.frombuffer(piece, np.uint8).astype(np.int64)
+        apart[octets[:-1] * 256 + octets[1:]] = False
+
+    def cut(octets: np.ndarray, raw: bytes, begin: np.ndarray) -> np.ndarray:
+        first = np.zeros(len(octets), bool)
+        first[1:] = apart[octets[:-1].astype(np.uint16) << 8 | octets[1:]]
+        first[begin] = True
+        begin = np.flatnonzero(first)
+        size = np.diff(begin, append=len(raw))
+        for i in np.flatnonzero(size > LONG):
+            first[begin[i] + np.array(token_ends(raw[begin[i] : begin[i] + size[i]], ranks)[:-1], np.int64)] = True
+        return np.flatnonzero(first) if (size > LONG).any() else begin
+
+    return cut
+
+
 def let(value: Column, kind: str, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` worked out once; ``kind`` is the type of the result, which is not copied."""
     return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
@@ -123,17 +171,21 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
     return let(rank_map(ranks), kind, lambda table: let(pair_ranks(ranks), kind, lambda pairs: let(piece_array(ranks), kind, lambda by_id: each(table, pairs, by_id))))
 
 
-def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1_000_000, remember: int = 2_000_000) -> DataFrame:
+def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1_000_000, remember: int = 2_000_000, splits: int = 4) -> DataFrame:
     """Per document: doc_id, ids (array of int), decoded (the bytes those ids stand for).
 
     A task works through its texts in blocks of ``block_bytes`` (a longer text
     is a block of its own) and encodes the distinct pretokens that its blocks
     before did not have; it starts anew once it has met over ``remember`` of
-    them, which bounds its memory.  A null text counts as empty; an empty text
+    them, which bounds its memory.  It takes about ``splits`` input splits, among
+    which words repeat, if all cores have as many.  A null text counts as empty; an empty text
     has no ids.  Null and repeated doc_ids are kept row by row, and an empty
     table gives no rows.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = rows.coalesce(cores * max(1, -(-rows.rdd.getNumPartitions() // (cores * splits))))
+    further = cutter(ranks)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
         """Texts and doc_ids one by one, so that a batch is never held twice."""
@@ -147,7 +199,7 @@ def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_
         for block in slices(rows_of(batches), block_bytes):
             if fresh := len(number) > remember:
                 number.clear()
-            words, sizes = pieces([t for t, _ in block])
+            words, sizes = pieces([t for t, _ in block], further)
             before = len(number)
             table = np.array([number.setdefault(w, len(number)) for w in words.dictionary.to_pylist()], np.int32)
             new = words.dictionary.filter(pa.array(table >= before)) if len(table) else words.dictionary

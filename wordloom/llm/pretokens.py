@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +73,12 @@ def starts(points: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The texts' pretokens as a dictionary array of bytes, and each text's number of them."""
+def pieces(texts: list[bytes], cuts: Callable[[np.ndarray, bytes, np.ndarray], np.ndarray] | None = None) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The texts' pretokens as a dictionary array of bytes, and each text's number of them.
+
+    ``cuts`` may cut them further: from the joined bytes, as an array and as
+    they are, and the places at which pieces begin, it makes those places anew.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     raw = b"".join(texts)
     if not raw:
@@ -88,6 +92,8 @@ def pieces(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
     full = doc_at[:-1][sizes > 0]
     first[np.searchsorted(at, full)] = True
     begin = at[starts(points, first)]
+    if cuts:
+        begin = cuts(octets, raw, begin)
     offsets = np.append(begin, len(raw)).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
     bounds = np.searchsorted(begin, doc_at)
