@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from wordloom.llm.shared import written
 
 #: A line ends behind each of these.  The letter makes the cuts of languages that use it dense enough for passages within sentences.
-CUTS = ("\n", ". ", ", ", "e ")
+CUTS = ("\n", ". ", ", ", "n ")
 RARE_CUTS = ("。", "！", "？")
 #: A line of so many characters without a cut is cut behind every blank.
-LONG = 160
+LONG = 240
 #: Lines in a chunk, and run beginnings of which the least begins one.
 LINES = 6
 #: Characters that stand for a cut, and that escape these two in texts.
@@ -96,10 +96,9 @@ def _place(at: str) -> Column:
 
 
 def _grouped(chunks_: DataFrame, name: str) -> DataFrame:
-    """One row for each document of ``chunks_``: _has (whether its id is set), _i, _key, and a set of all other columns."""
-    rest = [c for c in chunks_.columns if c not in ("_id", "_key")]
+    """One row for each document of ``chunks_``: _has (whether its id is set), _i, _key, and the set of its column ``name``."""
     has, i = F.col("_id").isNotNull().alias("_has"), F.coalesce("_id", F.lit(0)).alias("_i")
-    return chunks_.select(has, i, "_key", F.struct(*rest).alias("_c")).groupBy("_has", "_i", "_key").agg(F.collect_set("_c").alias(name))
+    return chunks_.select(has, i, "_key", name).groupBy("_has", "_i", "_key").agg(F.collect_set(name).alias(name))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 80, bits: int = 64) -> DataFrame:
@@ -129,7 +128,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     # the bytes of all chunks of one hash
     sides = F.coalesce("_id", F.lit(0)) == F.col("_i"), F.col("_id").isNotNull() == F.col("_has"), docs["_key"] == F.col("_same")
-    listed = docs.join(_grouped(again, "_chunks").withColumnRenamed("_key", "_same"), list(sides))
+    listed = docs.join(_grouped(again.withColumn("_chunks", F.struct("at", "n", "hash")), "_chunks").withColumnRenamed("_key", "_same"), list(sides))
     cut = F.inline(_let(lines_of(F.col("_text")), lambda x: F.transform("_chunks", lambda c: F.struct(c["hash"].alias("hash"), c["at"].alias("at"), c["n"].alias("n"), F.array_join(F.slice(x, c["at"] + 1, c["n"]), "").alias("bytes")))))
     texts = listed.select("_id", "_key", cut)
     clashes = written(texts.select("hash", "bytes").distinct().groupBy("hash").count().filter("count > 1").select("hash"), name="clashes")
@@ -140,11 +139,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         apart = apart.join(first, ["hash", "bytes"]).filter(_place("at") > F.col("_first")).select("_id", "_key", "at", "n", "hash")
         removed = removed.join(clashes, "hash", "left_anti").select(*apart.columns).unionByName(apart)
 
-    gone = _grouped(removed.select("_id", "_key", "at", "n"), "_removed").withColumnRenamed("_key", "_same")
+    gone = _grouped(removed.withColumn("_removed", F.col("at") * F.lit(64).cast("bigint") + F.col("n")), "_removed").withColumnRenamed("_key", "_same")
     sides = F.coalesce("_id", F.lit(0)) == F.col("_i"), F.col("_id").isNotNull() == F.col("_has"), plain["_key"] == F.col("_same")
 
     def rebuilt(lines: Column) -> Column:
-        of = F.flatten(F.transform("_removed", lambda c: F.sequence(c["at"], c["at"] + c["n"] - 1)))
+        of = F.flatten(F.transform("_removed", lambda c: F.sequence(F.shiftright(c, 6).cast("int"), F.shiftright(c, 6).cast("int") + F.pmod(c, F.lit(64)).cast("int") - 1)))
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), of)
         return joined(F.transform(kept, lambda i: F.get(lines, i)))
 
