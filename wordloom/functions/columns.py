@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,3 +92,44 @@ def decode_entities(text: Column) -> Column:
 def download_name(url: Column) -> Column:
     """File name of a downloaded url: md5 of the url, then its last part without the query."""
     return F.concat_ws("-", F.md5(url), F.regexp_extract(F.regexp_replace(url, r"\?.*$", ""), r"([^/]*)$", 1))
+
+
+def url_escape(text: Column) -> Column:
+    """Percent-encoded UTF-8; a blank is %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def json_strings(text: Column, *path: str) -> Column:
+    """The strings at a path of keys, through every array on the way: an array, empty where there are none."""
+    found = F.get_json_object(text, "$" + "".join(f"[*].{k}" if k and at else f".{k}" for at, k in enumerate(path)))
+    many = F.from_json(found, "array<string>")
+    return F.when(found.isNull(), F.array().cast("array<string>")).otherwise(F.coalesce(many, F.array(found)))
+
+
+def _shifted(x: Column, term: Callable[[Column], Column], steps: int = 8) -> Column:
+    """The sum of ``term`` at x, x + 1, ... x + steps - 1, by which asymptotic series are brought to small x."""
+    return reduce(add, (term(x + k) for k in range(steps)))
+
+
+def lgamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0."""
+    y = x + 8
+    series = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, 5))
+    return series - _shifted(x, F.ln)
+
+
+def digamma(x: Column) -> Column:
+    """Derivative of lgamma for x > 0."""
+    y = x + 8
+    return F.ln(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * F.pow(y, 4)) - 1 / (252 * F.pow(y, 6)) - _shifted(x, lambda v: 1 / v)
+
+
+def trigamma(x: Column) -> Column:
+    """Derivative of digamma for x > 0."""
+    y = x + 8
+    return 1 / y + 1 / (2 * y * y) + 1 / (6 * y * y * y) - 1 / (30 * F.pow(y, 5)) + 1 / (42 * F.pow(y, 7)) + _shifted(x, lambda v: 1 / (v * v))
+
+
+def in_order(value: Column, levels: list[str]) -> Column:
+    """A sort key: nulls first, then ``levels`` as listed, then all others."""
+    return F.when(value.isNull(), 0).otherwise(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, levels)), value), F.lit(0)), F.lit(len(levels) + 1)))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.columns import cosine, divide, dot, norm_of, unit
+from wordloom.functions.columns import cosine, divide, dot, norm_of, uniform, unit
 from wordloom.operators.stats import spearman
 
 
@@ -85,3 +85,8 @@ def subset_experiment(spaces: DataFrame, gold: DataFrame, names: list[str], meas
     usable = spaces.join(shared, "word", "left_semi")
     rows = [score_pairs(joined_space(usable, s), gold, measure).withColumn("spaces", F.lit("+".join(s))) for s in subsets(names)]
     return spearman(reduce(DataFrame.unionByName, rows), "mean", "score", "spaces")
+
+
+def sampled_members(members: DataFrame, classes: DataFrame, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """Members (class, name, ...) of the listed classes (class), each kept with probability ``share`` by a hash of its name."""
+    return members.join(classes.select("class").distinct(), "class", "left_semi").filter(uniform(seed, "class", "name") < share)

@@ -57,8 +57,15 @@ MEASURES: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def register(name: str) -> Callable:
-    """Decorator that adds a measure: a function of two columns that returns an aggregate."""
-    return lambda f: MEASURES.setdefault(name, f)
+    """Decorator that adds a measure: a function of two columns that returns an aggregate.  A name is given once."""
+
+    def add(f: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+        if name in MEASURES:
+            raise ValueError(f"there is a measure {name} already")
+        MEASURES[name] = f
+        return f
+
+    return add
 
 
 def distances(space: DataFrame, pairs: DataFrame, *names: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wordloom.functions.columns import divide, uniform
 
@@ -48,41 +48,42 @@ def spearman(df: DataFrame, x: str, y: str, *group: str, undefined: float | None
     return out if undefined is None else out.withColumn("rho", F.coalesce("rho", F.lit(undefined)))
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _incomplete_beta(b, a, 1 - x)
-    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or tiny)
-    total = d
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction, element by element; x lies within (0, 1)."""
+    flip = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    scale = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    sure = lambda v: np.where(v == 0, 1e-300, v)
+    c, d = np.ones_like(x), 1 / sure(1 - (a + b) * x / (a + 1))
+    total = d.copy()
     for m in range(1, 300):
         for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + k * d) or tiny)
-            c = (1 + k / c) or tiny
+            d, c = 1 / sure(1 + k * d), sure(1 + k / c)
             total *= c * d
-        if abs(c * d - 1) < 1e-14:
+        if (np.abs(c * d - 1) < 1e-14).all():
             break
-    return scale * total
+    return np.where(flip, 1 - scale * total, scale * total)
 
 
-def t_two_sided(t: float, df: float) -> float:
+def t_two_sided(t: np.ndarray | float, df: np.ndarray | float) -> np.ndarray:
     """Probability that a t variable lies at least so far from 0."""
-    return _incomplete_beta(df / 2, 0.5, df / (df + t * t))
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    x = df / (df + t * t)
+    inside = (x > 0) & (x < 1)
+    return np.where(inside, _incomplete_beta(df / 2, np.full_like(df, 0.5), np.where(inside, x, 0.5)), (x >= 1).astype(float))
 
 
 @F.pandas_udf(DoubleType())
 def spearman_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a rank correlation, by the t distribution; null below 3 rows."""
-
-    def one(r: float, k: float) -> float:
-        if r is None or np.isnan(r) or k < 3:
-            return np.nan
-        return 0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((k - 2) / (1 - r * r)), k - 2)
-
-    return pd.Series([one(r, k) for r, k in zip(rho, n, strict=True)]).replace({np.nan: None}).astype("Float64")
+    r, k = rho.to_numpy(float, na_value=np.nan), n.to_numpy(float, na_value=np.nan)
+    known, edge = ~np.isnan(r) & (k >= 3), np.abs(r) >= 1
+    safe, rest = np.where(known & ~edge, r, 0.0), np.where(known, k - 2, 1.0)
+    p = np.where(edge, 0.0, t_two_sided(safe * np.sqrt(rest / (1 - safe * safe)), rest))
+    return pd.Series(np.where(known, p, np.nan)).replace({np.nan: None}).astype("Float64")
 
 
 def column_correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -116,6 +117,13 @@ def mean_interval(mean: float, variance: float, n: int, level: float = 0.95) ->
     return mean - high * scale, mean + high * scale
 
 
+@F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
+def interval_of(mean: pd.Series, variance: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """``mean_interval`` at 0.95 for columns; null without values."""
+    rows = [mean_interval(float(m), float(v), int(k)) if pd.notna(m) and pd.notna(v) and k > 1 else (None, None) for m, v, k in zip(mean, variance, n, strict=True)]
+    return pd.DataFrame(rows, columns=["low", "high"])
+
+
 def trial_summary(df: DataFrame, value: str, *group: str) -> DataFrame:
     """mean, std, low and high (two deviations) and the number of trials."""
     out = df.groupBy(*group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("trials"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.columns import cosine, pos_of, word_of
 from wordloom.operators import corpus as C
-from wordloom.operators import factor, images, matches, noise
+from wordloom.operators import evaluation, factor, images, matches, noise
 from wordloom.operators import norms as N
 from wordloom.operators import ratings as R
 from wordloom.operators import similarity as S
@@ -103,6 +103,25 @@ j AS (SELECT l, r, a.p AS p, b.p AS q, (a.p + b.p) / 2 AS m FROM bp JOIN topics
 query("sim_divergences", f'{_DIV} SELECT l AS "left", r AS "right", {r6("SUM(p * log2(p / q))", "kl")}, {r6("SUM(q * log2(q / p))", "kl_reversed")}, {r6("SUM(p * log2(p / m)) / 2 + SUM(q * log2(q / m)) / 2", "js")}, {r6("SUM(p * log2(p / q)) + SUM(q * log2(q / p))", "symkl")} FROM j GROUP BY l, r')(lambda s, d: S.divergences(X.topics(s, d), X.brand_pairs(s, d)))
 _CON = f"""WITH {X.TOPICS}, {X.BRAND_PAIRS}, t AS (SELECT word, topic, p / SUM(p) OVER (PARTITION BY topic) AS wt, p / SUM(p) OVER (PARTITION BY word) AS tw FROM topics)"""
 query("sim_conditional", f'{_CON} SELECT l AS "left", r AS "right", {r6("SUM(b.wt * a.tw)", "right_given_left")}, {r6("SUM(a.wt * b.tw)", "left_given_right")} FROM bp JOIN t a ON a.word = l JOIN t b ON b.word = r AND b.topic = a.topic GROUP BY l, r')(lambda s, d: S.conditional(X.topics(s, d), X.brand_pairs(s, d)))
+_SEVEN = f"""{_CON}, gold AS (SELECT l, r, 1 + floor({X.u_sql("3", "l", "r")} * 7) AS gold FROM bp),
+lm AS (SELECT word, topic, greatest(p / n * ln((p / s) / (s / n)), 0) AS v FROM (SELECT *, SUM(p) OVER (PARTITION BY topic) AS s, SUM(p) OVER () AS n FROM topics)),
+j AS (SELECT l, r, gold, a.wt AS awt, b.wt AS bwt, a.tw AS p, b.tw AS q, (a.tw + b.tw) / 2 AS m, la.v AS x, lb.v AS y FROM gold JOIN t a ON a.word = l JOIN t b ON b.word = r AND b.topic = a.topic JOIN lm la ON la.word = l AND la.topic = a.topic JOIN lm lb ON lb.word = r AND lb.topic = a.topic),
+w AS (SELECT l, r, gold, SUM(bwt * p) AS right_given_left, SUM(awt * q) AS left_given_right, SUM(p * log2(p / m)) / 2 + SUM(q * log2(q / m)) / 2 AS js, SUM(p * log2(p / q)) + SUM(q * log2(q / p)) AS symkl,
+  SUM(p * log2(p / q)) AS kl, SUM(q * log2(q / p)) AS kl_reversed, SUM(x * y) / nullif(sqrt(SUM(x * x)) * sqrt(SUM(y * y)), 0) AS cosine_lmi FROM j GROUP BY ALL),
+e AS ({" UNION ALL ".join(f"SELECT l, r, '{m}' AS measure, {sign} AS sign, gold, round({m}, 9) AS v FROM w" for m, sign in evaluation.MEASURES.items())}),
+{spearman_sql("e", "gold", "v", "measure")},
+acc AS (SELECT a.measure, COUNT(*) AS pairs, AVG(CASE WHEN (a.sign * a.v < a.sign * b.v) = (a.gold < b.gold) THEN 1.0 ELSE 0.0 END) AS accuracy FROM e a JOIN e b ON a.measure = b.measure AND a.l || chr(9) || a.r < b.l || chr(9) || b.r AND abs(a.gold - b.gold) >= 1 GROUP BY 1)
+SELECT measure, {r6("rho", "rho")}, n, pairs, {r6("accuracy", "accuracy")} FROM rho JOIN acc USING (measure)"""
+
+
+@query("model_against_gold", _SEVEN)
+def model_against_gold(s, d):
+    from wordloom.functions.columns import uniform
+
+    gold = X.brand_pairs(s, d).withColumn("similarity", 1 + F.floor(uniform("3", "left", "right") * 7))
+    return evaluation.against_gold(X.topics(s, d).select("topic", F.col("word").alias("item"), "p"), gold).drop("p")
+
+
 query("sim_missing_words", f"WITH {X.PAIRS}, {X.WORD_PAIRS}, small AS (SELECT * FROM pairs WHERE target LIKE '%A') SELECT DISTINCT target FROM (SELECT l AS target FROM wp UNION ALL SELECT r FROM wp) WHERE target NOT IN (SELECT target FROM small)")(lambda s, d: S.missing_words(X.pairs(s, d).filter("target LIKE '%A'"), X.word_pairs(s, d)))
 
 

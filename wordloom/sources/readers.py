@@ -76,11 +76,33 @@ def read_feature_norms(spark: SparkSession, path: str) -> DataFrame:
 def read_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     """(doc, value): the lines of one file, numbered from 0 in order.
 
-    Numbers come from the counts of lines of each partition, so no line is
-    sorted or sent.
+    Numbers come from the counts of lines of each partition (one row each), so
+    no line is sorted or sent.
     """
-    numbered = spark.read.text(path).rdd.map(lambda r: r["value"]).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(numbered, "doc bigint, value string")
+    rows = spark.read.text(path).select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("k"))
+    before, offsets = 0, [(-1, 0)]
+    for r in sorted(rows.groupBy("part").count().collect()):
+        offsets.append((r["part"], before))
+        before += r["count"]
+    table = spark.createDataFrame(offsets, "part int, first bigint")
+    return rows.join(F.broadcast(table), "part").select((F.col("first") + F.col("k")).alias("doc"), "value")
+
+
+def read_human_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(left, right, similarity) of tables with translated words and human means."""
+    rows = spark.read.option("header", True).option("sep", "\t").csv(path)
+    return rows.select(F.col("`Translation Word 1`").alias("left"), F.col("`Translation Word 2`").alias("right"), F.col("`Human (mean)`").cast("double").alias("similarity"))
+
+
+def tagged_pairs(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Pairs with each word in the first tagged form that the vocabulary (label) has; pairs without one leave."""
+    from wordloom.operators.topics import resolve_tags
+
+    none = F.lit(None).cast("string").alias("pos")
+    words = pairs.select(F.explode(F.array("left", "right")).alias("word"), none).distinct()
+    found = resolve_tags(words, vocabulary).select("word", "label")
+    left, right = found.toDF("left", "_l"), found.toDF("right", "_r")
+    return pairs.join(left, "left").join(right, "right").select(F.col("_l").alias("left"), F.col("_r").alias("right"), *(c for c in pairs.columns if c not in ("left", "right")))
 
 
 def read_gold_pairs(spark: SparkSession, path: str) -> DataFrame:

@@ -39,3 +39,15 @@ def load_model(spark: SparkSession, path: str, names: list[str], iteration: int
         at = df.agg(F.max("iter")).first()[0] if iteration is None else iteration
         out[name] = df.filter(F.col("iter") == at).drop("iter")
     return out
+
+
+def write_factors(left: DataFrame, sigmas: DataFrame, right: DataFrame, path: str) -> None:
+    """The tables of a singular value decomposition, each in its own folder."""
+    for name, df in (("left", left), ("sigmas", sigmas), ("right", right)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def cached_corpus(corpus: DataFrame, path: str) -> DataFrame:
+    """The parsed corpus written once as Parquet and read from there."""
+    corpus.write.mode("ignore").parquet(path)
+    return corpus.sparkSession.read.schema(corpus.schema).parquet(path)
