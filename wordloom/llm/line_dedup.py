@@ -124,6 +124,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     found = docs.select("_id", "_key", F.inline(_let(lines_of(F.col("_text")), lambda x: chunks(x, least_chars, bits))))
     found = written(found, name="chunks")
     firsts = found.groupBy("hash").agg(F.count("*").alias("_n"), F.min(_place("at")).alias("_first")).filter("_n > 1").drop("_n")
+    firsts = written(firsts, name="firsts")  # apart from the join, whose hot hashes Spark can then split
     again = written(found.join(firsts, "hash").select("_id", "_key", "at", "n", "hash", (_place("at") > F.col("_first")).alias("later")), name="again")
 
     # the bytes of all chunks of one hash
