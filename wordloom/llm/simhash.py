@@ -1,8 +1,8 @@
 """Near duplicates by SimHash fingerprints (operator 8).
 
-Fingerprints at most ``radius`` bits apart agree on at least two of their four
-16-bit parts (for a radius of 2), so the pairs of parts are the keys under which
-distinct fingerprints meet.  Those under one key are compared bit-sliced: their
+Fingerprints at most ``radius`` bits apart agree on at least two of radius + 2
+parts, so the pairs of parts are the keys under which distinct fingerprints
+meet (for a radius of 2: six keys of 32 bits).  Those under one key are compared bit-sliced: their
 bit planes stand vertically in 64-bit words, and carry-save counters update 64
 distances at once.  Links become components by repeated star joins.
 """
@@ -79,7 +79,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_in_groups(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of fingerprints (uint64) at most ``radius`` (up to 2) bits apart within a group.
+    """Index pairs of fingerprints (uint64) at most ``radius`` bits apart within a group.
 
     ``group`` ascends.  Where a group has rows of both sides, only pairs of
     different sides are compared; else all its pairs are.
@@ -112,20 +112,26 @@ def near_in_groups(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius:
         word = from_block[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[low:high]) - n[low:high], n[low:high])
         later = np.where(word == own_block[row], ~((bit[row] << np.uint64(1)) - np.uint64(1)), ALL)
         live = filled[word] & np.where(mixed[row], second[word], later)
-        one, two, over = (np.zeros(len(row), np.uint64) for _ in range(3))
+        over = np.zeros(len(row), np.uint64)
+        counters = [over.copy() for _ in range((radius + 8).bit_length())]
         for b in range(64):
-            if b % 8 == 0:
+            carry = planes[b][word] ^ np.where(fps[row] >> np.uint64(b) & np.uint64(1) == 1, ALL, np.uint64(0))
+            for k, counter in enumerate(counters[: (b + 1).bit_length()]):
+                counters[k], carry = counter ^ carry, counter & carry
+            if b % 8 == 7:
+                equal = ALL
+                for k in range(len(counters) - 1, -1, -1):
+                    if radius >> k & 1:
+                        equal = equal & counters[k]
+                    else:
+                        over |= equal & counters[k]
+                        equal = equal & ~counters[k]
                 left = np.flatnonzero(live & ~over)
                 if len(left) < len(row):  # all 64 distances of the others exceed the radius
-                    row, word, live, one, two, over = (x[left] for x in (row, word, live, one, two, over))
+                    row, word, live, over = (x[left] for x in (row, word, live, over))
+                    counters = [x[left] for x in counters]
                 if not len(row):
                     break
-            differ = planes[b][word] ^ np.where(fps[row] >> np.uint64(b) & np.uint64(1) == 1, ALL, np.uint64(0))
-            carry = one & differ
-            one ^= differ
-            over |= two & carry
-            two ^= carry
-            over |= (two & one) if radius == 2 else two if radius == 1 else (one | two)
         near = live & ~over
         hit = np.flatnonzero(near)
         r, lanes = np.nonzero(np.unpackbits(near[hit].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")) if len(hit) else (hit, hit)
@@ -149,14 +155,20 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def link(distinct: DataFrame, radius: int = 2, tile: int = 2048) -> DataFrame:
-    """Edges (a, b), a > b, that connect all distinct fingerprints within ``radius`` (0 to 2) of each other.
+    """Edges (a, b), a > b, that connect all distinct fingerprints within ``radius`` (0 to 62) of each other.
+
+    The wider the radius, the shorter are the keys and the more is compared.
 
     Under a key with over ``tile`` fingerprints, those are dealt into tiles and
     the pairs of tiles are compared; the links found in one comparison leave it
     as a spanning forest.
     """
-    part = lambda i: F.shiftright("fp", 16 * i).bitwiseAND(0xFFFF)
-    keys = [F.struct(F.lit(t).alias("t"), (part(i) * 65536 + part(j)).alias("key")) for t, (i, j) in enumerate(itertools.combinations(range(4), 2))]
+    if not 0 <= radius <= 62:
+        raise ValueError("radius must be from 0 to 62")
+    n = radius + 2
+    borders = [64 * i // n for i in range(n + 1)]
+    part = lambda i: F.shiftrightunsigned(F.shiftleft("fp", 64 - borders[i + 1]), 64 - borders[i + 1] + borders[i])
+    keys = [F.struct(F.lit(t).alias("t"), F.shiftleft(part(i), borders[j + 1] - borders[j]).bitwiseOR(part(j)).alias("key")) for t, (i, j) in enumerate(itertools.combinations(range(n), 2))]
     keyed = distinct.select("fp", F.inline(F.array(*keys)))
     counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("bigint")
@@ -189,7 +201,7 @@ def link(distinct: DataFrame, radius: int = 2, tile: int = 2048) -> DataFrame:
     return met.select(*(F.col(c).cast("bigint") for c in (*group, "side", "fp"))).repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); the root is the least node of its component.
 
     Large and small stars in turn: each step hangs a node's neighbours on the
@@ -198,8 +210,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     spark = edges.sparkSession
     base = shared_dir(spark)
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), f"{base}/edges")
-    state = None
-    for turn in range(most):
+    state, now, turn = None, (), 0
+    while now != state:
+        state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -207,12 +220,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         small_least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(small_least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a > b").distinct()
         edges = written(small, f"{base}/edges-{turn}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
+        now, turn = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()), turn + 1
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
