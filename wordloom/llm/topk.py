@@ -45,10 +45,12 @@ def select(
     """
     out: list[tuple] = []
     first = np.cumsum(sizes) - sizes
+    # so many rows hold k + 1 different ids, however often one of them repeats
+    enough = (k + 1) * int(np.unique(ids, return_counts=True)[1].max(initial=1))
     for low in range(0, len(queries), block):
         q, own = queries[low : low + block], query_ids[low : low + block]
         score = approximate(q, rows)
-        most = min(k + 1, len(rows))
+        most = min(enough, len(rows))
         last = np.partition(score, len(rows) - most, axis=1)[:, len(rows) - most]
         r, c = np.nonzero(score >= last[:, None] - slack)
         s = exact(q[r], rows[c]) if exact else score[r, c]
@@ -75,8 +77,8 @@ def select(
 def merge_lists(lists: DataFrame, k: int, parts: int, fan: int = 64) -> DataFrame:
     """Merge lists (query_id, part, vec_id, score) into the k best of each query, with ranks from 1.
 
-    ``parts``: the number of different values of ``part``, from 0.  At most
-    ``fan`` lists of a query meet in one group of a level.
+    ``parts``: the number of different values of ``part``, from 0.  The lists
+    of at most ``fan`` parts of a query meet in one group of a level.
     """
     while True:
         parts = -(-parts // fan)
