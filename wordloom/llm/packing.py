@@ -117,14 +117,16 @@ class SumOfSquares:
         return done
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 4_000_000) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 4_000_000, most_open: int = 4096) -> DataFrame:
     """Pieces of all documents in windows of at most ``capacity`` ids.
 
     Each row is one piece: doc_id, start and length in its document, the
     document's number of ids (end id included), sequence_id, offset in that
     sequence, ids (little-endian 32-bit integers).  Every input partition packs
     its own documents, so nothing is shuffled; it leaves at most one window that
-    is not full, which is split by powers of two.  A null text counts as empty
+    is not full, which is split by powers of two.  Once over ``most_open``
+    windows are partly filled, which bounds memory, they are filled from each
+    other by cutting, and placing goes on with at most one of them.  A null text counts as empty
     and gives the end id alone; null and repeated doc_ids are kept row by row.
     An empty table gives no rows.
     """
@@ -133,7 +135,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = TextEncoder.of(tokenizer_path), SumOfSquares(capacity)
+        encoder, packer = TextEncoder.of(tokenizer_path), SumOfSquares(capacity, most_open)
         sequence = TaskContext.get().partitionId() << 36
 
         def emit(windows: list[list]) -> pa.RecordBatch:

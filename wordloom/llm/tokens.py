@@ -25,8 +25,9 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.library, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.room = memo
         self.memo: dict[bytes, bytes] = {}
@@ -65,7 +66,25 @@ class TextEncoder:
         return out
 
     def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and each text's number of ids. ``end_id`` closes every text if given."""
+        """All ids in a row, and each text's number of ids. ``end_id`` closes every text if given.
+
+        Texts that spell an added token of the file are left to the library, which finds it there.
+        """
+        spelt = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if spelt:
+            own = {k: np.array(self.library.encode(texts[k].decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4") for k in spelt}
+            ids, counts = self._encode([b"" if k in own else t for k, t in enumerate(texts)])
+            rest = np.split(ids, np.cumsum(counts)[:-1])
+            parts = [own.get(k, x) for k, x in enumerate(rest)]
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        else:
+            ids, counts = self._encode(texts)
+        if end_id is not None:
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            counts = counts + 1
+        return ids.astype("<u4", copy=False), counts
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words, per_text = pieces(texts)
         distinct = words.dictionary.to_pylist()
         missing = [w for w in distinct if w not in self.memo]
@@ -82,8 +101,4 @@ class TextEncoder:
         total = int(ends[-1]) if len(ends) else 0
         ids = flat[np.repeat(begin - (ends - n), n) + np.arange(total)] if total else np.zeros(0, "<u4")
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-        counts = np.diff(bounds)
-        if end_id is not None:
-            ids = np.insert(ids, bounds[1:], end_id)
-            counts = counts + 1
-        return ids.astype("<u4", copy=False), counts
+        return ids, np.diff(bounds)
