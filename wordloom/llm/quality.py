@@ -47,9 +47,9 @@ def neighbour_sums(texts: list[bytes], places: np.ndarray, signs: np.ndarray, su
 def word_vectors(df: DataFrame, text_col: str = "text", slice_bytes: int = 4_000_000) -> np.ndarray:
     """Unit word vectors by bucket from all texts, BUCKETS x SIZE.
 
-    Each task sums its own texts; the sums are added in two steps, so that no
-    task meets more than the square root of their number.  The result has a
-    fixed size (2 MB).  Words without neighbours have a zero vector.
+    Each task sums its own texts, in whole numbers, so that scores do not depend
+    on how texts are dealt out; 64 groups of sums are added first, then those.
+    The result has a fixed size (2 MB).  Words without neighbours have a zero vector.
     """
     rows = df.select(F.col(f"`{text_col}`").cast("string").cast("binary").alias("text")).filter("text IS NOT NULL")
     schema = "chunk int, part int, sums binary"
@@ -66,17 +66,17 @@ def word_vectors(df: DataFrame, text_col: str = "text", slice_bytes: int = 4_000
         if some:
             parts = sums.reshape(BUCKETS // CHUNK, -1)
             full = np.flatnonzero(parts.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([TaskContext.get().partitionId()] * len(full), pa.int32()), pa.array([parts[c].astype("<f4").tobytes() for c in full], pa.binary())], ["chunk", "part", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([TaskContext.get().partitionId()] * len(full), pa.int32()), pa.array([parts[c].astype("<i8").tobytes() for c in full], pa.binary())], ["chunk", "part", "sums"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in table.column("sums").to_pylist())
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["chunk", "part", "sums"])
+        total = sum(np.frombuffer(x, "<i8") for x in table.column("sums").to_pylist())
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["chunk", "part", "sums"])
 
     sums = rows.mapInArrow(local, schema)
     sums = sums.withColumn("part", F.pmod("part", F.lit(64))).groupBy("chunk", "part").applyInArrow(add, schema)
     out = np.zeros((BUCKETS // CHUNK, CHUNK * SIZE))
     for r in sums.groupBy("chunk").applyInArrow(add, schema).collect():  # BUCKETS / CHUNK rows
-        out[r["chunk"]] = np.frombuffer(r["sums"], "<f4")
+        out[r["chunk"]] = np.frombuffer(r["sums"], "<i8")
     out = out.reshape(BUCKETS, SIZE)
     length = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return (out / np.where(length > 0, length, 1)).astype(np.float32)
@@ -153,13 +153,14 @@ def train(df: DataFrame, labels: DataFrame, most: int = 12000, id_col: str = "do
     """Word vectors from all texts of ``df``, and a network fitted on at most ``most`` labelled rows.
 
     ``labels``: doc_id, quality (0 or 1).  Rows of the held-out fold give no
-    label; the rows are the first by a hash of their id.
+    label; the rows are the first by a hash of their id, and of rows that
+    repeat an id the one of the least text.
     """
     vectors = word_vectors(df, text_col)
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most ``most`` rows are sent out, and as many rows of numbers come back
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,7 +175,7 @@ def train(df: DataFrame, labels: DataFrame, most: int = 12000, id_col: str = "do
 
 
 def score_quality(df: DataFrame, model: tuple[np.ndarray, Network], text_col: str = "text", slice_bytes: int = 2_000_000) -> DataFrame:
-    """All columns of ``df`` and ``quality`` (0 to 1); null and empty texts get the score of no words."""
+    """All columns of ``df`` and ``quality`` (0 to 1); null and empty texts get the score of no words.  A column of that name gives way."""
     vectors, network = model
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

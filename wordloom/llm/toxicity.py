@@ -40,6 +40,22 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * np.clip(x, -60, 60)))
 
 
+def risks(w: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """prior * R_p(+), R_u(-) - prior * R_p(-), and the gradient of each; the last entry of ``w`` is the bias.
+
+    A set of texts is (text numbers, their words' columns, number of texts).
+    """
+
+    def gradient(of: tuple, slope: np.ndarray) -> np.ndarray:
+        row, col, n = of
+        return np.append(np.bincount(col, slope[row], len(w) - 1), slope.sum()) / n
+
+    p, u = (sigmoid(np.bincount(row, w[col], n) + w[-1]) for row, col, n in (positive, unlabelled))
+    log = lambda x: np.log(np.clip(x, 1e-12, 1))
+    rest = -log(1 - u).mean() + prior * log(1 - p).mean()
+    return -prior * log(p).mean(), rest, prior * gradient(positive, p - 1), gradient(unlabelled, u) - prior * gradient(positive, p)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 120, rate: float = 0.1, decay: float = 6e-3, least: int = 4) -> tuple[np.ndarray, float]:
     """Weights by bucket and bias, by full-batch Adam on the non-negative risk with the logistic loss.
 
@@ -68,23 +84,14 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     w[-1] = start
     decay = decay / np.sqrt(len(positive))
 
-    def gradient(of: tuple, slope: np.ndarray) -> np.ndarray:
-        row, col, n = of
-        return np.append(np.bincount(col, slope[row], len(known)), slope.sum()) / n
-
     free = np.ones(len(w), bool)
     for turn in range(1, 2 * rounds + 1):
         if turn == rounds + 1:  # words without a clear weight leave; the others are fitted again without decay
             free[:-1] = np.abs(w[:-1]) >= 0.2
             w[~free] = 0.0
             decay = 0.0
-        p, u = (sigmoid(np.bincount(row, w[col], n) + w[-1]) for row, col, n in sets)
-        rest = -np.log1p(-np.clip(u, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(p, 0, 1 - 1e-12)).mean()
-        negative = gradient(sets[1], u) - prior * gradient(sets[0], p)
-        if rest >= 0:
-            g = prior * gradient(sets[0], p - 1) + negative
-        else:  # the estimate overfits: step back
-            g = -negative
+        _, rest, of_positive, of_rest = risks(w, sets[0], sets[1], prior)
+        g = of_positive + of_rest if rest >= 0 else -of_rest  # below zero the estimate overfits: step back
         g[:-1] += decay * np.sign(w[:-1])
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         w -= free * rate * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.999**turn)) + 1e-8)
@@ -96,7 +103,8 @@ def train(df: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
     """Fit on at most ``most_positive`` toxic and ``most_unlabelled`` other texts, the first by a hash of their id.
 
     Labels come from ``labels`` (doc_id, toxic); rows of the held-out fold are
-    used in no way.  The prior is the toxic share of the usable labels.
+    used in no way, and of rows that repeat an id the one of the least text is.
+    The prior is the toxic share of the usable labels.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -104,7 +112,7 @@ def train(df: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     ids = first(known.filter("toxic = 1"), most_positive).withColumn("kind", F.lit(1)).unionByName(first(docs, most_unlabelled).withColumn("kind", F.lit(0)))
     # at most most_positive + most_unlabelled rows, small enough to send; their words come back, not their texts
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "kind", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "kind").agg(F.min(F.coalesce("text", F.lit(""))).cast("binary").alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +128,7 @@ def train(df: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unla
 
 
 def score_toxicity(df: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 4_000_000) -> DataFrame:
-    """All columns of ``df`` and ``toxicity`` (0 to 1); null and empty texts get the score of no words."""
+    """All columns of ``df`` and ``toxicity`` (0 to 1); null and empty texts get the score of no words.  A column of that name gives way."""
     weights, bias = model
     used = np.flatnonzero(weights)
     sparse = (used, weights[used])  # few words have a weight
@@ -143,5 +151,6 @@ def scored(df: DataFrame, score, name: str, text_col: str) -> DataFrame:
     """Run ``score`` over the rows; the last column it gets is the text as bytes, which it replaces by ``name``."""
     from pyspark.sql import types as T
 
+    df = df.drop(name)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
     return df.select("*", F.col(f"`{text_col}`").cast("string").cast("binary").alias(f"{name}_text")).mapInArrow(score, schema)
