@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -23,8 +25,9 @@ from wordloom.llm.line_dedup import dedup_lines
 from wordloom.llm.packing import SumOfSquares, pack_documents
 from wordloom.llm.pretokens import pieces
 from wordloom.llm.shared import shared_dir
-from wordloom.llm.simhash import components, near_duplicates, near_in_groups
+from wordloom.llm.simhash import components, link, near_duplicates, near_in_groups
 from wordloom.llm.token_files import bits_for, pack_bits, read_span, read_token_files, unpack_bits, write_token_files
+from wordloom.llm.tokens import TextEncoder
 from wordloom.llm.topk import exact_top_k
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,7 +49,6 @@ def empty(odd):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -64,15 +66,37 @@ def test_pretokens_follow_the_pattern():
 def test_byte_bpe(odd, empty):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    small = odd.filter("length(text) < 7000 OR text IS NULL")
-    rows = bpe.encode_documents(small, ranks, block_bytes=200, remember=5).collect()
-    assert len(rows) == small.count()
+    rows = bpe.encode_documents(odd, ranks, block_bytes=200, remember=5).collect()
+    assert len(rows) == 12
     texts = {k: t or "" for k, t in enumerate(TEXTS)} | {None: "the the the"}
     for r in rows:
         assert r["ids"] == library.encode_ordinary(texts[r["doc_id"]]) and bytes(r["decoded"]) == texts[r["doc_id"]].encode()
     assert bpe.encode_documents(empty, ranks).count() == 0
 
 
+def test_byte_bpe_of_very_long_pretokens(spark):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/", k=1_000_000)), "a" * 40_000 + "b", "the" * 5000, "日本語" * 2000, "=" * 3000, "".join(rng.choices("etaoin", k=30_000))]
+    for r in bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks).collect():
+        assert r["ids"] == library.encode_ordinary(texts[r["doc_id"]]) and bytes(r["decoded"]) == texts[r["doc_id"]].encode()
+
+
+def test_token_ends():
+    """As joining the leftmost pair of the least rank again and again."""
+    rng = random.Random(6)
+    for _ in range(300):
+        pieces_ = [bytes([c]) for c in b"abc"] + ["".join(rng.choices("abc", k=rng.randint(2, 5))).encode() for _ in range(12)]
+        ranks = {p: k for k, p in enumerate(dict.fromkeys(pieces_))}
+        word = bytes(rng.choices(b"abc", k=rng.randint(1, 30)))
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert bpe.token_ends(word, ranks) == np.cumsum([len(p) for p in parts]).tolist()
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 16, 17, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1000, dtype=np.uint64).astype(np.uint32)
@@ -81,6 +105,12 @@ def test_bit_packing(bits):
     assert [bits_for(n) for n in (1, 2, 3, 256, 257, 50257)] == [1, 1, 2, 8, 9, 16]
 
 
+def test_texts_that_spell_special_tokens(library):
+    texts = ["a <|endoftext|>b c", "", "<|endoftext|><|endoftext|>", "plain <|endoftex", "é<|endoftext|> "]
+    ids, counts = TextEncoder.of(JSON).encode([t.encode() for t in texts], 7)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*library(t), 7] for t in texts]
+
+
 def test_token_files(spark, odd, empty, library):
     path = shared_dir(spark)
     write_token_files(odd, path, JSON, end_id=2, block_ids=100)
@@ -101,10 +131,12 @@ def test_token_files(spark, odd, empty, library):
 
 def check_packing(rows, texts, library, end, capacity):
     for doc in {r["doc_id"] for r in rows}:
-        own = sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["start"])
-        wanted = [*library(texts[doc]), end]
-        copies = len(own) and sum(r["length"] for r in own) // len(wanted)
-        assert sorted(np.concatenate([np.frombuffer(r["ids"], "<u4") for r in own]).tolist()) == sorted(wanted * copies)
+        own = [r for r in rows if r["doc_id"] == doc]
+        wanted, covered = [*library(texts[doc]), end], Counter()
+        for r in own:
+            assert r["doc_tokens"] == len(wanted) and np.frombuffer(r["ids"], "<u4").tolist() == wanted[r["start"] : r["start"] + r["length"]]
+            covered.update(range(r["start"], r["start"] + r["length"]))
+        assert len(covered) == len(wanted) and len(set(covered.values())) == 1
     windows: dict = {}
     for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
         assert windows.get(r["sequence_id"], 0) == r["offset"]
@@ -112,9 +144,10 @@ def check_packing(rows, texts, library, end, capacity):
     assert all(n == capacity or n & (n - 1) == 0 for n in windows.values())
 
 
-def test_packing(odd, empty, library):
-    rows = pack_documents(odd, JSON, end_id=0, capacity=64).collect()
-    check_packing(rows, {k: t or "" for k, t in enumerate(TEXTS)} | {None: "the the the"}, library, 0, 64)
+@pytest.mark.parametrize(("capacity", "most_open"), [(64, 4096), (64, 2), (1000, 4096)])
+def test_packing(odd, empty, library, capacity, most_open):
+    rows = pack_documents(odd, JSON, end_id=0, capacity=capacity, most_open=most_open).collect()
+    check_packing(rows, {k: t or "" for k, t in enumerate(TEXTS)} | {None: "the the the"}, library, 0, capacity)
     assert pack_documents(empty, JSON, end_id=0).count() == 0
 
 
@@ -136,9 +169,9 @@ def test_sum_of_squares_level():
 
 
 def brute_lines(text):
-    lines = list(filter(None, re.split(r"(?<=[\n。！？])|(?<=[.,e] )", text)))
-    last = [""] if text == "" or re.search(r"([\n。！？]|[.,e] )\Z", text) else []
-    return [w for line in lines + last for w in (re.split(r"(?<= )", line) if len(line) >= 160 else [line])]
+    lines = list(filter(None, re.split(r"(?<=[\n。！？])|(?<=[.,n] )", text)))
+    last = [""] if text == "" or re.search(r"([\n。！？]|[.,n] )\Z", text) else []
+    return [w for line in lines + last for w in (re.split(r"(?<= )", line) if len(line) >= 240 else [line])]
 
 
 def brute_chunks(lines, least_chars=80):
@@ -223,6 +256,47 @@ def test_passages_in_lines_of_any_length(spark):
     assert len(out) == len(rows) and all(kept[k] == texts[k] for k in (0, 3, 6)) and sum(r["removed_chars"] for r in out) > 5 * len(passage) * 0.8
 
 
+# Openings of public licence texts, by licence.
+HEADERS = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-3-Clause": "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+}
+
+
+def test_wrapped_licences_in_comments(spark):
+    wrap = lambda t, sign: "\n".join(f"{sign}{line}" for p in t.split("\n\n") for line in [*textwrap.wrap(p, 72), ""])
+    forms = [lambda t: t, lambda t: wrap(t, ""), lambda t: wrap(t, "# "), lambda t: wrap(t, "// "), lambda t: "/*\n" + wrap(t, " * ") + "\n */", lambda t: f"Some words before\nCopyright (c) 2020 Somebody\n\n{wrap(t, '')}\nint main() {{}}"]
+    rows = [(k * 100 + j, form(text)) for k, text in enumerate(HEADERS.values()) for j, form in enumerate(forms)]
+    notices = ["This project is licensed under the MIT license.", "no end before\nReleased under the MIT License\nnor here", "Copyright 2020 X\nPermission is granted to anyone to use this software for any\npurpose, including commercial applications, and to alter it and\nredistribute it freely, subject to the following restrictions: 1", "A sentence. This work is licensed under CC BY-SA 4.0!"]
+    rows += [(9000 + k, t) for k, t in enumerate(notices)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, licenses.scan_licenses(df).collect()))
+    by_doc = {}
+    for doc, _, licence, _, _ in found:
+        by_doc.setdefault(doc, set()).add(licence)
+    for k, licence in enumerate(HEADERS):
+        for j in range(len(forms)):
+            assert licence in by_doc.get(k * 100 + j, ()), (licence, j, by_doc.get(k * 100 + j))
+    assert [by_doc[9000 + k] for k in range(4)] == [{"MIT"}, {"MIT"}, {"Zlib"}, {"CC-BY-SA-4.0"}]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert found == sorted(con.execute(licenses.oracle_sql()).fetchall())
+
+
 def test_licenses(spark, sf, odd, empty):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT doc_id, text FROM '{sf}/documents.parquet' UNION ALL SELECT 9001, 'Released under the MIT License. All rights reserved.' UNION ALL SELECT 9002, 'LICENSED under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.'")
@@ -256,11 +330,29 @@ def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [0.0, 1.0]), (10, [1.0, 1.0, 1.0]), (None, [1.0, 0.0]), (2, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(map(tuple, nearest(df.filter("vec_id IN (0, 5, 10)"), df, k=3, probes=81).collect()))
+    got = sorted(map(tuple, nearest(df.filter("vec_id IN (0, 5, 10)"), df, k=3, probes=729).collect()))
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 1.0)]
     assert nearest(df.limit(0), df, k=3).count() == 0 and nearest(df, df.limit(0), k=3).count() == 0
 
 
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [3e300, 0.0]), (3, [0.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, nearest(df.filter("vec_id = 0"), df, k=3, probes=729).collect()))
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 3)] and np.allclose([r[3] for r in got], [1, 0.5**0.5, 0.5**0.5], rtol=1e-15)
+
+
+def test_ids_with_many_vectors(spark):
+    """Six vectors of id 7 and three of the query's own id leave room for the others."""
+    rows = [(0, [9, 9]), (0, [8, 8]), (0, [7, 7])] + [(7, [50 + k, 50]) for k in range(6)] + [(k, [k, 1]) for k in range(1, 6)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<bigint>")
+    query = spark.createDataFrame([(0, [9, 9])], "query_id long, vector array<bigint>")
+    got = exact_top_k(query, df, k=5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(7, 945), (5, 54), (4, 45), (3, 36), (2, 27)]
+    near = nearest(df.filter("vec_id = 0"), df, k=5, vector_col="vector", probes=729).filter("rank <= 5").collect()
+    assert {r["vec_id"] for r in near} == {7, 1, 2, 3, 4}
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(k, rng.integers(-3, 4, 4).tolist()) for k in range(300)] + [(7, [9, 9, 9, 9]), (300, None), (301, [1, None, 1, 1]), (302, [1, 2])]
@@ -286,7 +378,7 @@ def test_bit_sliced_comparison():
     fps = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 12).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 12).astype(np.uint64)) for _ in range(20)]))
     rng.shuffle(fps)
     group = np.sort(rng.integers(0, 3, len(fps)))
-    for radius in (0, 1, 2):
+    for radius in (0, 1, 2, 3, 20, 31, 62):
         a, b = near_in_groups(fps, group, np.zeros(len(fps), np.int64), radius)
         wanted = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if group[i] == group[j] and bin(int(fps[i] ^ fps[j])).count("1") <= radius}
         assert {(min(x), max(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == wanted and len(a) == len(wanted)
@@ -295,6 +387,31 @@ def test_bit_sliced_comparison():
     assert {(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i in range(len(fps)) for j in range(len(fps)) if side[i] == 0 and side[j] == 1 and bin(int(fps[i] ^ fps[j])).count("1") <= 2}
 
 
+@pytest.mark.parametrize("radius", [0, 3, 9])
+def test_links_of_any_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    fps = rng.integers(0, 2**63, 6).tolist()
+    fps += [int(x) ^ sum(1 << int(b) for b in rng.choice(63, n, replace=False)) for x in fps for n in (1, 3, 4, 9, 10)]
+    near = {frozenset((x, y)) for x in fps for y in fps if x != y and bin(x ^ y).count("1") <= radius}
+    found = link(spark.createDataFrame([(x,) for x in set(fps)], "fp long"), radius).collect()
+    label = {x: x for x in fps}
+    for edges in (near, {frozenset(e) for e in found}):
+        own = dict(label)
+        for _ in fps:
+            for e in edges:
+                own |= dict.fromkeys(e, min(own[x] for x in e))
+        if edges is near:
+            wanted = own
+    assert own == wanted
+    with pytest.raises(ValueError):
+        link(spark.createDataFrame([(1,)], "fp long"), 63)
+
+
+def test_many_texts_without_words(spark):
+    rows = spark.range(10_000).selectExpr("id AS doc_id", "CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN ' \n ' END AS text")
+    assert near_duplicates(rows).filter("fp = 0 AND component_id = 0").count() == 10_000
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(30)] + [(50, 60), (60, 70), (-5, 70), (3, 3)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -343,11 +460,49 @@ def test_toxicity(spark):
     assert np.mean([p for _, p, y in rows if y == 1]) > 0.85
 
 
+def test_word_vectors_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(k, f"w{k % 7} and w{k % 5} the w{k % 3}, of") for k in range(60)], "doc_id long, text string")
+    one, many = quality.word_vectors(docs.coalesce(1)), quality.word_vectors(docs.repartition(50))
+    assert (one == many).all()
+    places, signs = quality.index_vectors()
+    sums = np.zeros((quality.BUCKETS, quality.SIZE))
+    for k in range(60):
+        found, _ = words.tokens([f"w{k % 7} and w{k % 5} the w{k % 3}, of".encode()], quality.BUCKETS)
+        for i, a in enumerate(found):
+            for b in [*found[max(0, i - quality.WINDOW) : i], *found[i + 1 : i + 1 + quality.WINDOW]]:
+                for j in range(places.shape[1]):
+                    sums[a, places[b, j]] += signs[b, j]
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    assert np.allclose(one, sums / np.where(length > 0, length, 1), atol=1e-6)
+    pooled = quality.pool([b"w1 and w2", b""], one)
+    v = [one[w] for w in words.tokens([b"w1 and w2"], quality.BUCKETS)[0]]
+    by_hand = np.concatenate([np.mean(v, axis=0), sum(a * b for a, b in zip(v, v[1:], strict=False)) / len(v), [np.log1p(len(v)) / 10]])
+    assert np.allclose(pooled[0], by_hand, atol=1e-5) and not pooled[1].any()
+
+
+def test_positive_unlabelled_risk():
+    """The estimate by hand, and its gradients by finite differences."""
+    rng = np.random.default_rng(3)
+    sets = [(np.repeat(np.arange(n), 4), rng.integers(0, 6, 4 * n), n) for n in (5, 9)]
+    w, prior = rng.standard_normal(7), 0.3
+    z = [np.array([w[col[row == k]].sum() + w[-1] for k in range(n)]) for row, col, n in sets]
+    loss = lambda x: np.log1p(np.exp(-x)).mean()
+    plus, rest, of_plus, of_rest = toxicity.risks(w, *sets, prior)
+    assert np.isclose(plus, prior * loss(z[0])) and np.isclose(rest, loss(-z[1]) - prior * loss(-z[0]))
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        high, low = toxicity.risks(w + step, *sets, prior), toxicity.risks(w - step, *sets, prior)
+        assert np.isclose(of_plus[k], (high[0] - low[0]) / 2e-6, atol=1e-6) and np.isclose(of_rest[k], (high[1] - low[1]) / 2e-6, atol=1e-6)
+
+
 def test_classifiers_take_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1, 0), (3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     for score, train in ((quality.score_quality, quality.train), (toxicity.score_toxicity, toxicity.train)):
         out = score(odd, train(odd, labels))
         assert out.columns[:-1] == odd.columns and out.filter(f"`{out.columns[-1]}` BETWEEN 0 AND 1").count() == 12
+        name = out.columns[-1]
+        again = score(odd.withColumn(name, F.lit("own")), train(odd.withColumn(name, F.lit("own")), labels))
+        assert sorted(again.columns) == sorted(out.columns) and again.schema[name].dataType.typeName() == "double"
         assert score(empty, train(empty, labels.limit(0))).count() == 0
 
 

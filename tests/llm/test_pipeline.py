@@ -34,6 +34,28 @@ def test_stages(spark):
     assert packing(spark, docs.limit(50), SF).count() >= 50
 
 
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated ids and rows, an empty table, and columns named as those inside."""
+    long = " ".join(f"word{k % 977}" for k in range(60_000))
+    texts = [(1, None), (2, ""), (None, " \n"), (3, long), (3, "another text under that id, short enough."), (4, "The same row twice."), (4, "The same row twice."), (None, "A text without id."), (None, None)]
+    rows = [(i, t, "en", "s", len(t or ""), k, 1.0, "x", k) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row long, quality double, toxicity string, c1 int")
+    given = sorted(map(tuple, docs.collect()), key=str)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        got = sorted(map(tuple, out.collect()), key=str)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        if name == "line dedup":
+            assert [(r[0], *r[2:4], *r[5:]) for r in sorted(got, key=lambda r: r[5])] == [(r[0], *r[2:4], *r[5:]) for r in sorted(given, key=lambda r: r[5])]
+        else:
+            assert set(got) <= set(given)
+        if name == "simhash near-dedup":
+            assert {(r[0], r[1]) for r in got if (r[1] or "").strip()} == {(i, t) for i, t in texts if (t or "").strip()} and len(got) == 5
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    packed = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, 3, 4, None} and corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0
+
+
 def test_near_stage_keeps_one_of_repeated_rows(spark):
     rows = [(1, "same words in a row here"), (1, "same words in a row here"), (2, "same words in a row here"), (3, "something else entirely, with other words"), (None, "a text without id is its own"), (4, None), (5, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,15 +1,17 @@
-"""Near copies by the similarity of their word shingles, for the pipeline's near-dedup stage.
+"""SimHash near-dedup by the similarity of word shingles, for the pipeline (operator 8).
 
 Texts are sets of five-word shingles; two are near copies if the Jaccard
-similarity of their sets is 0.8 or more.  SimHash fingerprints of such pairs
-differ in 9.7 of 64 bits on average (deviation 2.9, by calculation), too many
-for keys of whole parts, so candidates come from MinHash bands: 20 keys of 4 minima each,
-of which a pair of similarity 0.8 misses all with a chance of 3 in 100,000.
-Every candidate pair is confirmed on its shingles before it is linked.
-
-The texts under one key are first compared with one of them.  Those that this
-leaves in different components are dealt into tiles, and the pairs of tiles
-are compared in full.
+similarity of their sets is 0.8 or more.  By calculation SimHash fingerprints
+of such sets differ in 9.7 of 64 bits on average (deviation 2.9), so fingerprints
+up to ``RADIUS`` bits apart are candidates (four in a million are missed), of which the shingles are compared.
+
+For so wide a radius, parts of fingerprints make no useful keys.  Fingerprints
+meet under keys of least shingle hashes instead: 20 keys of 4 minima each, of
+which a pair of similarity 0.8 has none in common with a chance of 3 in 100,000.
+
+The fingerprints under one key are first compared with one of them.  Those that
+this leaves in different components are dealt into tiles, and the pairs of
+tiles are compared bit-sliced.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.pretokens import slices
 from wordloom.llm.shared import written
-from wordloom.llm.simhash import components, least_labels, shingle_hashes
+from wordloom.llm.simhash import components, fingerprints_of, least_labels, near_in_groups, shingle_hashes
 
+#: Bits by which the fingerprints of near copies may differ.
+RADIUS = 24
 BANDS, ROWS = 20, 4
 # An odd multiplier for each minimum, and one that joins the minima of a band.
 FACTORS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,8 +62,14 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def similar(texts: list[bytes], side: np.ndarray, words: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+def similar(texts: list[bytes], sims: np.ndarray, side: np.ndarray, words: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of texts with a similarity of ``least`` or more; where both sides have rows, of different sides only."""
+    a, b = near_in_groups(sims, np.zeros(len(texts), np.int64), side, RADIUS)
+    if not len(a):
+        return a, b
+    some = np.union1d(a, b)
+    texts, side, wanted = [texts[i] for i in some], side[some], np.zeros((len(some), len(some)), bool)
+    wanted[np.searchsorted(some, a), np.searchsorted(some, b)] = True
     hashes, counts = shingle_sets(texts, words)
     owner = np.repeat(np.arange(len(texts)), counts)
     _, column, shared = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -75,9 +85,8 @@ def similar(texts: list[bytes], side: np.ndarray, words: int, least: float) -> t
         block[owner[a:b], column[a:b] - low] = 1
         both += block @ block.T
     near = (both > 0) & (both * (1 + least) >= least * (counts[:, None] + counts[None, :]) - 1e-6)
-    if side.any() and not side.all():
-        near &= side[:, None] != side[None, :]
-    return np.nonzero(np.triu(near, 1))
+    x, y = np.nonzero(near & wanted)
+    return some[x], some[y]
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, tile: int = 256, slice_bytes: int = 2_000_000) -> DataFrame:
@@ -92,26 +101,28 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys = [], []
+            fps, sims, keys = [], [], []
             for group in slices(((t,) for t in b.column("_text").to_pylist()), slice_bytes):
                 hashes, counts = shingle_sets([t for (t,) in group], words)
                 ends = np.cumsum(counts)
                 view = memoryview(np.ascontiguousarray(hashes.astype("<u8"))).cast("B")
                 fps += [xxhash.xxh64_intdigest(view[8 * (e - c) : 8 * e], 42) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+                sims.append(fingerprints_of(hashes, counts))
                 keys.append(band_keys(hashes, counts))
             flat = np.concatenate(keys).view(np.int64).ravel() if keys else np.zeros(0, np.int64)
             offsets = pa.array(np.arange(len(fps) + 1) * BANDS, pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(flat))], [*b.schema.names[:n], "_fp", "_keys"])
+            own = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.concatenate(sims).view(np.int64) if sims else np.zeros(0, np.int64)), pa.ListArray.from_arrays(offsets, pa.array(flat))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *own], [*b.schema.names[:n], "_fp", "_sim", "_keys"])
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields[:n])
-    marked = written(plain.mapInArrow(mark, f"{types}, _fp bigint, _keys array<bigint>").withColumn("_row", F.monotonically_increasing_id()), name="marked")
+    marked = written(plain.mapInArrow(mark, f"{types}, _fp bigint, _sim bigint, _keys array<bigint>").withColumn("_row", F.monotonically_increasing_id()), name="marked")
 
-    keyed = written(marked.select("_fp", "_keys").dropDuplicates(["_fp"]).select("_fp", F.explode("_keys").alias("key")).filter("key <> 0"), name="keyed")
-    centres = keyed.groupBy("key").agg(F.min("_fp").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    stars = keyed.join(centres.select("key", "centre"), "key").filter("_fp <> centre").select(F.col("_fp").alias("a"), F.col("centre").alias("b")).distinct()
+    keyed = written(marked.select("_fp", "_sim", "_keys").dropDuplicates(["_fp"]).select("_fp", "_sim", F.explode("_keys").alias("key")).filter("key <> 0"), name="keyed")
+    centres = keyed.groupBy("key").agg(F.min(F.struct("_fp", "_sim")).alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("centre._fp").alias("centre"), F.col("centre._sim").alias("sim"))
+    stars = keyed.join(centres, "key").filter((F.col("_fp") != F.col("centre")) & (F.bit_count(F.col("_sim").bitwiseXOR(F.col("sim"))) <= RADIUS)).select(F.col("_fp").alias("a"), F.col("centre").alias("b")).distinct()
     stars = written(stars, name="stars")
     text = f"c{df.columns.index(text_col)}"
-    wanted = stars.select(F.col("a").alias("_fp")).unionByName(stars.select(F.col("b").alias("_fp"))).distinct()
+    wanted = keyed.join(centres.select("key"), "key", "left_semi").select("_fp").distinct()
     texts = marked.join(wanted, "_fp", "left_semi").select("_fp", F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     # one text for each set of shingles: the least of those with the same words differs in case and blanks only
     texts = written(texts.groupBy("_fp").agg(F.min("text").alias("text")), name="texts")
@@ -131,11 +142,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     placed = components(linked)
 
     # what one comparison under each key leaves apart
-    left = keyed.join(centres.select("key"), "key", "left_semi").join(placed.withColumnRenamed("node", "_fp"), "_fp", "left").select("key", "_fp", F.coalesce("root", "_fp").alias("root"))
+    left = keyed.join(centres.select("key"), "key", "left_semi").join(placed.withColumnRenamed("node", "_fp"), "_fp", "left").select("key", "_fp", "_sim", F.coalesce("root", "_fp").alias("root"))
     apart = left.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("n > 2 AND r0 <> r1")
     tiles = F.ceil(F.col("n") / tile).cast("bigint")
-    met = left.select("key", "_fp").join(apart, "key").select("key", "_fp", F.pmod(F.xxhash64("_fp"), tiles).alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)).alias("other"))
-    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("bigint").alias("side"), "_fp").join(texts, "_fp")
+    met = left.select("key", "_fp", "_sim").join(apart, "key").select("key", "_fp", "_sim", F.pmod(F.xxhash64("_fp"), tiles).alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)).alias("other"))
+    met = met.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("bigint").alias("side"), "_fp", "_sim").join(texts, "_fp")
     group = ["key", "low", "high"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,13 +154,13 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
         def edges() -> pa.RecordBatch:
             fps = np.array([r[4] for r in held], np.int64)
-            a, b = similar([r[5] for r in held], np.array([r[3] for r in held]), words, least)
+            a, b = similar([r[6] for r in held], np.array([r[5] for r in held], np.int64).view(np.uint64), np.array([r[3] for r in held]), words, least)
             label = least_labels(len(held), a, b)
             member = np.flatnonzero(label != np.arange(len(held)))
             return pa.RecordBatch.from_arrays([pa.array(fps[member]), pa.array(fps[label[member]])], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in (*group, "side", "_fp", "text")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*group, "side", "_fp", "_sim", "text")), strict=True):
                 if held and row[:3] != held[0][:3]:
                     yield edges()
                     held = []
@@ -157,7 +168,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         if held:
             yield edges()
 
-    more = met.select(*group, "side", "_fp", "text").repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "a bigint, b bigint")
+    more = met.select(*group, "side", "_fp", "_sim", "text").repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "a bigint, b bigint")
     roots = components(linked.unionByName(written(more, name="more")).distinct())
     out = marked.join(roots.select(F.col("node").alias("_fp"), F.col("root").alias("_root")), "_fp", "left")
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)), "_row", "_fp", F.coalesce("_root", "_fp").alias("_root"))
