@@ -79,7 +79,7 @@ def _vectors(df: DataFrame, vec_id: Column, vector: Column) -> DataFrame:
 
 def nearest(
     queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding",
-    tables: int = 3, projections: int = 6, width: float = 2.0, probes: int = 80, tile: int = 4096, seed: int = 20,
+    tables: int = 3, projections: int = 6, width: float = 2.0, probes: int = 100, tile: int = 4096, seed: int = 20,
 ) -> DataFrame:
     """The k nearest found by cosine for each query: query_id, rank, vec_id, score.
 
