@@ -401,7 +401,7 @@ query("elo")(lambda s, d: matches.elo(matches.random_matches(s, X.ratings(s, d),
 @query("lda_online")
 def lda_online(s, d):
     model = topics.OnlineTopics(topics.Settings(topics=5, sizes=(51, 22, 7), batch=100_000))
-    model.fit(X.corpus(s, d), 2)
+    model.fit(X.corpus(s, d), 1)
     return topics.top_items(model.tables(s)["word"], 5)
 
 
