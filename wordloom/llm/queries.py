@@ -15,8 +15,10 @@ from wordloom.llm.line_dedup import dedup_lines
 from wordloom.llm.packing import pack_documents
 from wordloom.llm.shared import held_out, shared_dir
 from wordloom.llm.simhash import near_duplicates
+from wordloom.llm.spelling import spelling_variants
 from wordloom.llm.token_files import read_token_files, write_token_files
 from wordloom.llm.topk import exact_top_k, usable
+from wordloom.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(whole.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), whole, k=5)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -88,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_whitening": op13_whitening,
 }
 
 _OP10 = """
@@ -98,4 +110,23 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5"""
 
-ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op10_exact_top_k": _OP10}
+_OP11 = """
+WITH RECURSIVE t AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS p, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT p, w, count(*) AS n FROM t WHERE length(w) >= 7 GROUP BY p, w),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS r),
+h AS (SELECT w, n, xor(list_reduce(list_transform(range(octet_length(encode(p || w))), lambda i: CAST('0x' || substr(hex(encode(p || w)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+        lambda c, b: xor(c // 256, r[CAST(xor(c % 256, b) + 1 AS BIGINT)]), 4294967295), 4294967295) AS h FROM d, crc),
+x AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) + 2 AS BIGINT)) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM x WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cut c JOIN v ON c.rest = v.word
+  UNION SELECT v.word, c.word FROM cut c JOIN v ON c.rest = v.word),
+best AS (SELECT p.word, count(*) AS n_near, arg_max(v.word, (v.n, -rank)) AS form, max(v.n) AS form_n FROM pairs p JOIN (SELECT word, n, row_number() OVER (ORDER BY word) AS rank FROM v) v ON v.word = p.near GROUP BY p.word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+up(word, root, k) AS (SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form, k + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, coalesce(r.root, f.word) AS root FROM f LEFT JOIN (SELECT word, arg_max(root, k) AS root FROM up GROUP BY word) r USING (word)"""
+
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op10_exact_top_k": _OP10, "op11_spelling_variants": _OP11}
