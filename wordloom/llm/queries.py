@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import licenses, quality, toxicity
+from wordloom.llm import licenses, privacy, quality, toxicity
 from wordloom.llm.ann import nearest
 from wordloom.llm.bpe import encode_documents, load_ranks
 from wordloom.llm.line_dedup import dedup_lines
@@ -83,6 +83,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.sanitise(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(privacy.PATTERNS)]
+    return found.select("doc_id", *counts, F.sha2(privacy.listed(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), privacy.listed(F.col("spans")).alias("spans"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"), components=8)
 
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_disclosure": op12_disclosure,
     "op13_whitening": op13_whitening,
 }
 
@@ -129,4 +137,4 @@ f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN
 up(word, root, k) AS (SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form, k + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
 SELECT f.word, f.n, f.n_near, f.form, f.form_n, coalesce(r.root, f.word) AS root FROM f LEFT JOIN (SELECT word, arg_max(root, k) AS root FROM up GROUP BY word) r USING (word)"""
 
-ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op10_exact_top_k": _OP10, "op11_spelling_variants": _OP11}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op10_exact_top_k": _OP10, "op11_spelling_variants": _OP11, "op12_disclosure": privacy.oracle_sql()}
