@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wordloom.functions.columns import uniform
+from wordloom.operators.ranks import running
 
 TOKEN = r"^(\d+)(?:,(\d+))?(?:,(\d+))?:(\d+)$"
 
@@ -46,7 +47,7 @@ def multimodal_only(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     kept = corpus.filter("feat > 0")
     first = kept.groupBy("word").agg(F.min("doc").alias("first"))
-    numbers = first.select(F.row_number().over(W.orderBy("first", "word")).alias("new"), F.col("word").alias("old"))
+    numbers = running(first, ["first", "word"], name="_k").select((F.col("_k") + 1).cast("int").alias("new"), F.col("word").alias("old"))
     renamed = kept.join(numbers, kept["word"] == numbers["old"]).select("doc", F.col("new").alias("word"), "feat", "feat2", "count")
     return renamed, numbers.select(F.col("new").alias("word"), "old")
 

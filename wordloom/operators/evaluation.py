@@ -28,7 +28,7 @@ def pair_measures(model: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def against_gold(model: DataFrame, gold: DataFrame, gap: float = 1.0) -> DataFrame:
-    """(measure, rho, n, p, pairs, accuracy) of each measure against gold (left, right, similarity).
+    """(measure, rho, n, p, pairs, accuracy, baseline) of each measure against gold (left, right, similarity).
 
     Rank correlation with its p-value, and the share of gold pairs, at least
     ``gap`` apart, that the measure orders alike; divergences count as
@@ -40,5 +40,5 @@ def against_gold(model: DataFrame, gold: DataFrame, gap: float = 1.0) -> DataFra
     measures = measures.select("left", "right", *(F.round(m, 9).alias(m) for m in names))
     rho = topics.against_gold(measures, gold, names).withColumn("p", spearman_p("rho", "n"))
     once = gold.groupBy("left", "right").agg(F.max("similarity").alias("gold")).join(measures, ["left", "right"])
-    signed = once.select(F.concat_ws("\t", "left", "right").alias("id"), (-F.col("gold")).alias("gold"), *((-F.col(m) if sign > 0 else F.col(m)).alias(m) for m, sign in MEASURES.items()))
+    signed = once.select(F.concat_ws("\t", "left", "right").alias("id"), "gold", *((F.col(m) if sign > 0 else -F.col(m)).alias(m) for m, sign in MEASURES.items()))
     return rho.join(order_accuracy(signed, names, gap), "measure", "left")

@@ -5,10 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wordloom.functions.columns import uniform
 from wordloom.operators import ratings as R
+from wordloom.operators.ranks import running
 
 START, STEP, SPREAD = 1500.0, 0.03, 400.0
 
@@ -19,7 +19,7 @@ def random_matches(spark: SparkSession, ratings: DataFrame, trials: int, seed: i
     Draws of an item that the subject did not rate use up their trial (Q48).
     Subjects and items are numbered, and draws meet them by number.
     """
-    number = lambda df, name: df.withColumn(name, F.row_number().over(W.orderBy(*df.columns)) - 1)
+    number = lambda df, name: running(df, df.columns, name=name)
     items = number(ratings.select(*R.ITEM).distinct(), "item")
     subjects = number(ratings.select("subject").distinct(), "person")
     n_items, n_subjects = items.count(), subjects.count()

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wordloom.functions.columns import divide, uniform, wrap
+from wordloom.functions.scratch import stored
 from wordloom.operators import ratings as R
+from wordloom.operators.cleanup import cleaned
 from wordloom.operators.stats import rmse, spearman, trial_summary
 
 
@@ -84,70 +86,81 @@ def trials(ratings: DataFrame, count: int) -> DataFrame:
     return ratings.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(count))))
 
 
-#: What a trial compares, by name: versions of the parts' combined means (p) and of the whole means (w).
+# What a trial compares, by name: versions of the parts' combined means (p) and of the whole means (w).
 COMPARED = {
     "noisy_noisy": ("p_noisy", "w_noisy"), "clean_noisy": ("p_clean", "w_noisy"), "noisy_clean": ("p_noisy", "w_clean"), "clean_clean": ("p_clean", "w_clean"),
     "noisy_orig": ("p_noisy", "w_orig"), "clean_orig": ("p_clean", "w_orig"), "orig_noisy": ("p_orig", "w_noisy"), "orig_clean": ("p_orig", "w_clean"),
     "orig_orig": ("p_orig", "w_orig"), "cleanorig_orig": ("p_cleanorig", "w_orig"), "cleanorig_noisy": ("p_cleanorig", "w_noisy"), "cleanorig_clean": ("p_cleanorig", "w_clean"),
-    "orig_cleanorig": ("p_orig", "w_cleanorig"), "noisy_cleanorig": ("p_noisy", "w_cleanorig"), "clean_cleanorig": ("w_clean", "w_cleanorig"),
+    "orig_cleanorig": ("p_orig", "w_cleanorig"), "noisy_cleanorig": ("p_noisy", "w_cleanorig"), "clean_cleanorig": ("p_clean", "w_cleanorig"),
 }
 
 
-def experiment(parts: DataFrame, whole: DataFrame, noise: Callable[[DataFrame], DataFrame], cleaners: dict[str, Callable[[DataFrame], DataFrame]], count: int = 100) -> DataFrame:
+def experiment(parts: DataFrame, whole: DataFrame, noise: Callable[[DataFrame], DataFrame], settings: dict[str, tuple[str, float]], count: int = 100, epochs: int = 10_000) -> DataFrame:
     """(cleaner, variable, mean, std, trials, low, high) over ``count`` trials of noisy and cleaned ratings.
 
     Both the parts and the wholes get noise and are cleaned, and so are the
-    original ratings.  Variables are the rank correlations of COMPARED and the
-    numbers of ratings (``_notblank``) of parts (indiv) and wholes.  All trials
-    are one plan; noise and cleaners keep the trials of ratings apart.
+    original ratings.  Variables are the rank correlations of COMPARED (Q19) and
+    the numbers of ratings (``_notblank``) of parts (indiv) and wholes.  All trials
+    and all settings (see ``cleanup.cleaned``) are keys of one plan: noise is drawn
+    once, and each side is scored once by trial and setting.
     """
-    numbers = F.explode(F.sequence(F.lit(1), F.lit(count)))
-    noisy = {"p": noise(trials(parts, count)), "w": noise(trials(whole, count))}
-    score = {"p": lambda r: R.combine(R.aggregate(r), "gmean"), "w": lambda r: R.aggregate(r).groupBy(*R.run_of(r), "compound").agg(F.avg("mean").alias("mean"))}
-    out = []
-    for name, clean in cleaners.items():
-        scores, counts = [], []
-        for side, label, original in (("p", "indiv", parts), ("w", "whole", whole)):
-            versions = {"orig": original, "cleanorig": clean(original), "noisy": noisy[side], "clean": clean(noisy[side])}
-            for version, rows in versions.items():
-                means = score[side](rows)
-                means = means if R.run_of(means) else means.withColumn("trial", numbers)
-                scores.append(means.select("trial", "compound", F.lit(f"{side}_{version}").alias("version"), F.round("mean", 9).alias("mean")))
-                if version != "cleanorig":
-                    n = rows.groupBy(*R.run_of(rows)).agg(F.count("rating").cast("double").alias("value"))
-                    n = n if R.run_of(rows) else n.withColumn("trial", numbers)
-                    counts.append(n.select("trial", F.lit(f"{label}_{version}_notblank").alias("variable"), "value"))
-        both = reduce(DataFrame.unionByName, scores)
-        names = sorted({v for pair in COMPARED.values() for v in pair})
-        wide = both.groupBy("trial", "compound").agg(*(F.max(F.when(F.col("version") == v, F.col("mean"))).alias(v) for v in names))
-        each = F.inline(F.array(*(F.struct(F.lit(k).alias("variable"), F.col(x).alias("x"), F.col(y).alias("y")) for k, (x, y) in COMPARED.items())))
-        rho = spearman(wide.select("trial", each), "x", "y", "trial", "variable").select("trial", "variable", F.col("rho").alias("value"))
-        out.append(reduce(DataFrame.unionByName, counts, rho).withColumn("cleaner", F.lit(name)))
-    return trial_summary(reduce(DataFrame.unionByName, out), "value", "cleaner", "variable")
-
-
-def zscore_grid(parts: DataFrame, whole: DataFrame, noise: Callable[[DataFrame, float], DataFrame], shares: list[float], thresholds: list[float], count: int = 100) -> DataFrame:
+    score = {"p": lambda r: R.combine(r, "gmean"), "w": lambda r: r.groupBy(*R.run_of(r), "compound").agg(F.avg("mean").alias("mean"))}
+    every = {"setting": F.explode(F.array(*map(F.lit, settings))), "trial": F.explode(F.sequence(F.lit(1), F.lit(count)))}
+    scores, counts = [], []
+    for side, label, original in (("p", "indiv", parts), ("w", "whole", whole)):
+        original = stored(original.select(*R.COLUMNS))
+        noisy = stored(noise(trials(original, count)).select("trial", *R.COLUMNS))
+        versions = {"orig": original, "cleanorig": cleaned(original, settings, epochs), "noisy": noisy, "clean": cleaned(noisy, settings, epochs)}
+        for version, rows in versions.items():
+            keys = [c for c in every if c in rows.columns]
+            means = stored(rows.groupBy(*keys, *R.ITEM).agg(F.avg("rating").alias("mean"), F.count("rating").alias("n")))
+            for out, df in ((scores, score[side](means).select(*keys, "compound", F.lit(f"{side}_{version}").alias("version"), F.round("mean", 9).alias("mean"))), (counts, means.groupBy(*keys).agg(F.sum("n").cast("double").alias("value")).select(*keys, F.lit(f"{label}_{version}_notblank").alias("variable"), "value"))):
+                if out is counts and version == "cleanorig":
+                    continue
+                for name in every:
+                    df = df if name in keys else df.withColumn(name, every[name])
+                out.append(df)
+    both = reduce(DataFrame.unionByName, scores)
+    names = sorted({v for pair in COMPARED.values() for v in pair})
+    wide = both.groupBy("setting", "trial", "compound").agg(*(F.max(F.when(F.col("version") == v, F.col("mean"))).alias(v) for v in names))
+    each = F.inline(F.array(*(F.struct(F.lit(k).alias("variable"), F.col(x).alias("x"), F.col(y).alias("y")) for k, (x, y) in COMPARED.items())))
+    rho = spearman(wide.select("setting", "trial", each), "x", "y", "setting", "trial", "variable").select("setting", "trial", "variable", F.col("rho").alias("value"))
+    return trial_summary(reduce(DataFrame.unionByName, counts, rho), "value", "setting", "variable").withColumnRenamed("setting", "cleaner")
+
+
+Noise = Callable[[DataFrame, float], DataFrame]
+
+
+def zscore_grid(parts: DataFrame, whole: DataFrame, noise: Noise, shares: list[float], thresholds: list[float], count: int = 100) -> DataFrame:
     """The experiment over noise shares (column p_noise, Q20) and z-score thresholds; "none" leaves ratings as they are."""
-    cleaners = {"none": lambda r: r} | {f"z{z}": lambda r, z=z: R.drop_deviant_ratings(r, z) for z in thresholds}
-    return _stacked(("p_noise", p, experiment(parts, whole, lambda r, p=p: noise(r, p), cleaners, count)) for p in shares)
+    settings = {"none": ("none", 0.0)} | {f"z{z}": ("zscore", z) for z in thresholds}
+    return _stacked(("p_noise", p, experiment(parts, whole, lambda r, p=p: noise(r, p), settings, count)) for p in shares)
 
 
-def svd_grid(parts: DataFrame, whole: DataFrame, noise: Callable[[DataFrame, float], DataFrame], shares: list[float], ranks: list[int], count: int = 100, epochs: int = 10_000) -> DataFrame:
+def svd_grid(parts: DataFrame, whole: DataFrame, noise: Noise, shares: list[float], ranks: list[int], count: int = 100, epochs: int = 10_000) -> DataFrame:
     """The experiment over noise shares and low ranks by which all ratings are estimated."""
-    from wordloom.operators.factor import by_svd
-
-    cleaners = {"none": lambda r: r} | {f"svd{k}": by_svd(k, epochs).clean for k in ranks}
-    return _stacked(("p_noise", p, experiment(parts, whole, lambda r, p=p: noise(r, p), cleaners, count)) for p in shares)
+    settings = {"none": ("none", 0.0)} | {f"svd{k}": ("svd", k) for k in ranks}
+    return _stacked(("p_noise", p, experiment(parts, whole, lambda r, p=p: noise(r, p), settings, count, epochs)) for p in shares)
 
 
 def min_rho_grid(parts: DataFrame, whole: DataFrame, numbers: list[int], count: int = 100, seed: int = 42) -> DataFrame:
     """As many subjects made random as are dropped for their low agreement (column n)."""
-    return _stacked(("n", n, experiment(parts, whole, lambda r, n=n: replace_subjects(r, n, seed=seed), {"minrho": lambda r, n=n: R.drop_worst_subjects(r, n)}, count)) for n in numbers)
+    return _stacked(("n", n, experiment(parts, whole, lambda r, n=n: replace_subjects(r, n, seed=seed), {"minrho": ("drop", n)}, count)) for n in numbers)
 
 
 def drop_subject_grid(parts: DataFrame, whole: DataFrame, shares: list[float], count: int = 100, seed: int = 42) -> DataFrame:
     """The share of subjects made random is dropped for low agreement (column p)."""
-    return _stacked(("p", p, experiment(parts, whole, lambda r, p=p: replace_subjects(r, share=p, seed=seed), {"devsubj": lambda r, p=p: R.drop_worst_subjects(r, share=p)}, count)) for p in shares)
+    return _stacked(("p", p, experiment(parts, whole, lambda r, p=p: replace_subjects(r, share=p, seed=seed), {"devsubj": ("drop_share", p)}, count)) for p in shares)
+
+
+GRIDS = {"zscore": zscore_grid, "svd": svd_grid, "minrho": min_rho_grid, "dropsubj": drop_subject_grid}
+
+
+def grid(name: str, parts: DataFrame, whole: DataFrame, *args, **how) -> DataFrame:
+    """One of GRIDS by its name."""
+    if name not in GRIDS:
+        raise ValueError(f"no grid {name!r}; there are {', '.join(GRIDS)}")
+    return GRIDS[name](parts, whole, *args, **how)
 
 
 def _stacked(runs: Iterable[tuple[str, float, DataFrame]]) -> DataFrame:

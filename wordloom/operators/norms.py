@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wordloom.functions.columns import divide, word_of
+from wordloom.functions.scratch import stored
 from wordloom.operators.similarity import cosine_block
 from wordloom.operators.stats import percentile_rank, weighted_summary
 
@@ -76,14 +77,52 @@ def feature_totals(norms: DataFrame) -> DataFrame:
 def suggestions(features: DataFrame, most: int = 5) -> DataFrame:
     """(feature, other, distance, weight, rank): likely duplicates, ln(total of the other) / edit distance.
 
-    Features (feature, total) come with each other by an inequality join: the
-    list of distinct features is a vocabulary of some thousand entries.
+    ``features``: (feature, total), each feature once, totals above 0.  Ties go to the lesser name.
     """
-    a, b = features.select("feature"), features.select(F.col("feature").alias("other"), F.col("total"))
-    pairs = a.join(b, F.col("feature") != F.col("other")).withColumn("distance", F.levenshtein("feature", "other").cast("double"))
-    pairs = pairs.withColumn("weight", divide(F.ln("total"), F.col("distance")))
     best = W.partitionBy("feature").orderBy(F.col("weight").desc(), "other")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most).select("feature", "other", "distance", "weight", "rank")
+    found = suggestion_pairs(features, most).withColumn("rank", F.dense_rank().over(best)).filter(F.col("rank") <= most)
+    return found.select("feature", "other", "distance", "weight", "rank").distinct()
+
+
+def suggestion_pairs(features: DataFrame, most: int = 5, heads: int = 8, part: int = 4096) -> DataFrame:
+    """(feature, other, distance, weight): pairs among which are the ``most`` of largest weight of every feature; some come twice.
+
+    The edit distance is at least 1, the difference in length, and the number of
+    letters that one of the two lacks, which bounds the weight.  Each feature
+    first meets the others of largest total of about its own length; its last
+    place among those is a weight to beat.  Others stand in bands of one length
+    and one power of two of the total; only bands whose bound reaches that
+    weight are then met, in parts of bounded size, and only pairs whose letters
+    allow it are compared.
+    """
+    letters = F.aggregate(F.split("feature", ""), F.lit(0).cast("bigint"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(64)))))
+    known = stored(features.select(F.col("feature").alias("other"), "total", F.length("feature").alias("length"), F.floor(F.log2("total")).cast("int").alias("class"), F.ln("total").alias("log"), letters.alias("letters")))
+    own = known.select(F.col("other").alias("feature"), F.col("length").alias("own"), F.col("letters").alias("mask"))
+
+    def weighed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter("feature <> other").withColumn("distance", F.levenshtein("feature", "other").cast("double"))
+        return pairs.select("feature", "other", "distance", divide(F.col("log"), F.col("distance")).alias("weight"))
+
+    place = F.row_number().over(W.partitionBy("length").orderBy(F.col("log").desc(), "other"))
+    tops = known.withColumn("_k", place).filter(F.col("_k") <= heads).select("length", "other", "log")
+    largest = known.orderBy(F.col("log").desc(), "other").limit(most + 1).agg(F.collect_list(F.struct("other", "log")).alias("_largest"))
+    near = own.select("feature", F.explode(F.sequence(F.col("own") - 2, F.col("own") + 2)).alias("length")).join(tops, "length").select("feature", "other", "log")
+    wide = own.crossJoin(F.broadcast(largest)).select("feature", F.inline("_largest"))
+    first = stored(weighed(near.unionByName(wide).distinct()))
+    kept = F.row_number().over(W.partitionBy("feature").orderBy(F.col("weight").desc(), "other"))
+    beaten = first.withColumn("_k", kept).filter(F.col("_k") == most).select("feature", F.col("weight").alias("_beat"))
+
+    # a little slack, as bounds are worked out in another order than weights
+    able = lambda log, least: F.col("_beat").isNull() | (F.when(log > 0, log / least).otherwise(0.0) >= F.col("_beat") - 1e-9)
+    apart = lambda length: F.greatest(F.abs(length - F.col("own")), F.lit(1))
+    sizes = known.groupBy("length", "class").agg(F.max("log").alias("log"), F.ceil(F.count("*") / F.lit(part)).cast("int").alias("parts"))
+    bands = sizes.agg(F.collect_list(F.struct("length", "class", "log", "parts")).alias("_bands"))  # lengths times powers of two
+    met = own.join(beaten, "feature", "left").crossJoin(F.broadcast(bands)).select("feature", "own", "mask", "_beat", F.inline(F.filter("_bands", lambda b: able(b["log"], apart(b["length"]))))).drop("log")
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    held = known.join(F.broadcast(sizes.select("length", "class", "parts")), ["length", "class"]).withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int")).drop("parts", "total")
+    lacks = F.greatest(F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("letters"))), F.bit_count(F.col("letters").bitwiseAND(F.bitwise_not("mask"))))
+    rest = weighed(met.join(held, ["length", "class", "part"]).filter(able(F.col("log"), F.greatest(apart(F.col("length")), lacks))).select("feature", "other", "log"))
+    return first.unionByName(rest)
 
 
 # Groups of feature prefixes that say the same, the first one is canonical.

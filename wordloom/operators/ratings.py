@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wordloom.functions.columns import divide
+from wordloom.operators.ranks import running
 from wordloom.operators.stats import spearman
 
 ITEM = ("compound", "const")
@@ -18,8 +19,8 @@ COLUMNS = (*ITEM, "subject", "rating")
 
 
 def run_of(ratings: DataFrame) -> list[str]:
-    """The column that parts runs of one study, if there is one: each is then worked on for itself."""
-    return ["trial"] if "trial" in ratings.columns else []
+    """The columns that part runs of one study, where there are any: each is then worked on for itself."""
+    return [c for c in ("setting", "trial") if c in ratings.columns]
 
 
 def long_form(wide: DataFrame) -> DataFrame:
@@ -151,12 +152,12 @@ def pair_agreement(ratings: DataFrame, with_rho: bool = True) -> DataFrame:
 def rank_curve(workers: DataFrame, score: str = "rho", bad: str = "rejected", key: str = "subject") -> DataFrame:
     """Precision, recall and F of calling the k workers of least score bad, for k from 1 to n - 1 (Q23).
 
-    One row a worker; the running sums are made in one task.
+    Workers are ordered and summed up by ranges.
     """
-    order = W.orderBy(score, key).rowsBetween(W.unboundedPreceding, 0)
-    total = W.partitionBy(F.lit(1))
-    hits, k = F.sum(F.col(bad).cast("int")).over(order), F.row_number().over(W.orderBy(score, key))
-    out = workers.select(key, k.alias("k"), hits.alias("hits"), F.sum(F.col(bad).cast("int")).over(total).alias("_bad"), F.count("*").over(total).alias("_n"))
+    rows = workers.select(key, score, F.coalesce(F.col(bad).cast("int"), F.lit(0)).alias("_hit"))
+    placed = running(running(rows, [score, key], name="_k"), [score, key], "_hit", name="_hits")
+    total = rows.agg(F.sum("_hit").alias("_bad"), F.count("*").alias("_n"))
+    out = placed.crossJoin(F.broadcast(total)).select(key, (F.col("_k") + 1).alias("k"), (F.col("_hits") + F.col("_hit")).alias("hits"), "_bad", "_n")
     out = out.filter(F.col("k") < F.col("_n")).withColumns({"precision": F.col("hits") / F.col("k"), "recall": F.col("hits") / F.nullif(F.col("_bad"), F.lit(0))})
     both = F.col("precision") + F.col("recall")
     return out.withColumn("f", 2 * F.col("precision") * F.col("recall") / F.nullif(both, F.lit(0.0))).drop("_bad", "_n")

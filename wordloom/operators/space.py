@@ -5,29 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from wordloom.functions.columns import divide, safe_log2, word_of
+from wordloom.functions.scratch import stored
+from wordloom.operators.ranks import running
 
 
 def with_masses(space: DataFrame) -> DataFrame:
     """The space with the masses of each row's target and context, and of the whole.
 
-    The total is a table of one row, so no window gathers all rows in one task.
+    Whatever the space is made from is read once: its cells are written, and one
+    aggregate of them gives all masses.  The total is a table of one row.
     """
-    rows = space.groupBy("target").agg(F.sum("value").alias("target_mass"))
-    columns = space.groupBy("context").agg(F.sum("value").alias("context_mass"))
-    total = rows.agg(F.sum("target_mass").alias("total_mass"))
-    return space.join(rows, "target").join(columns, "context").crossJoin(F.broadcast(total))
+    space = stored(space.select("target", "context", "value"))
+    sums = stored(masses(space))
+    by = lambda name: sums.filter(F.col("kind") == name).select(F.col("key").alias(name), F.col("mass").alias(f"{name}_mass"))
+    total = sums.filter("kind = 'total'").select(F.col("mass").alias("total_mass"))
+    return space.join(by("target"), "target").join(by("context"), "context").crossJoin(F.broadcast(total))
 
 
 def masses(space: DataFrame) -> DataFrame:
-    """All masses as rows (kind, key, mass): total, by target, by context."""
-    total = space.agg(F.lit("total").alias("kind"), F.lit("").alias("key"), F.sum("value").alias("mass"))
-    by = lambda name: space.groupBy(F.col(name).alias("key")).agg(F.sum("value").alias("mass")).select(F.lit(name).alias("kind"), "key", "mass")
-    return total.unionByName(by("target")).unionByName(by("context"))
+    """All masses as rows (kind, key, mass): total, by target, by context; one aggregate of grouping sets."""
+    sets = space.groupingSets([[F.col("target")], [F.col("context")], []], F.col("target"), F.col("context"))
+    sums = sets.agg(F.sum("value").alias("mass"), F.grouping("target").alias("_t"), F.grouping("context").alias("_c"))
+    kind = F.when(F.col("_t") == 0, "target").when(F.col("_c") == 0, "context").otherwise("total")
+    key = F.when(F.col("_t") == 0, F.col("target")).when(F.col("_c") == 0, F.col("context")).otherwise("")
+    return sums.select(kind.alias("kind"), key.alias("key"), "mass")
 
 
 def _weighted(space: DataFrame, value) -> DataFrame:
@@ -65,14 +70,12 @@ def neglogprob(space: DataFrame) -> DataFrame:
 
 def norm1(space: DataFrame) -> DataFrame:
     """Each value over its target's mass."""
-    mass = W.partitionBy("target")
-    return space.select("target", "context", divide(F.col("value"), F.sum("value").over(mass)).alias("value"))
+    return normalise_by(space, "target")
 
 
 def norm2(space: DataFrame) -> DataFrame:
     """Each value over its target's Euclidean length."""
-    own = W.partitionBy("target")
-    return space.select("target", "context", divide(F.col("value"), F.sqrt(F.sum(F.col("value") * F.col("value")).over(own))).alias("value"))
+    return _over(space, "target", F.sqrt(F.sum(F.col("value") * F.col("value"))))
 
 
 def positive(space: DataFrame) -> DataFrame:
@@ -139,11 +142,8 @@ def frequent_contexts(space: DataFrame, least: int = 2) -> DataFrame:
 
 
 def context_numbers(space: DataFrame, least: int = 2) -> DataFrame:
-    """Frequent contexts and their column numbers, from 0 in order of name.
-
-    The vocabulary is ordered in one task; it is one row for each context.
-    """
-    return frequent_contexts(space, least).select("context", (F.row_number().over(W.orderBy("context")) - 1).alias("number"))
+    """Frequent contexts and their column numbers, from 0 in order of name, numbered by ranges."""
+    return running(frequent_contexts(space, least).select("context"), ["context"], name="number")
 
 
 def dense_rows(space: DataFrame, least: int = 2, truncate: bool = False) -> DataFrame:
@@ -168,4 +168,11 @@ def stack(**spaces: DataFrame) -> DataFrame:
 
 def normalise_by(space: DataFrame, key: str) -> DataFrame:
     """Values over the sum of their ``key`` (target or context)."""
-    return space.withColumn("value", divide(F.col("value"), F.sum("value").over(W.partitionBy(key))))
+    return _over(space, key, F.sum("value"))
+
+
+def _over(space: DataFrame, key: str, amount: Column) -> DataFrame:
+    """Values over an aggregate of their key: summed before the shuffle and joined back, so that a hot key is no task of its own."""
+    space = stored(space.select("target", "context", "value"))
+    sums = space.groupBy(key).agg(amount.alias("_amount"))
+    return space.join(sums, key).select("target", "context", divide(F.col("value"), F.col("_amount")).alias("value"))

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wordloom.functions.columns import divide, uniform
+from wordloom.operators.ranks import midranks, ordered_alike, percentiles, rank_correlation
 
 
 def midrank(value: Column | str, *group: Column | str, descending: bool = False) -> Column:
@@ -25,7 +26,17 @@ def midrank(value: Column | str, *group: Column | str, descending: bool = False)
 
 
 def percentile_rank(df: DataFrame, value: str, *group: str, descending: bool = False, name: str = "pct") -> DataFrame:
-    """Share of the group at or below a value (at or above, if descending), half ranks rounded up."""
+    """Share of the group at or below a value (at or above, if descending), half ranks rounded up.
+
+    Groups are ranked by windows; without one, ranks are worked out by ranges of
+    the whole table, and rows without a value leave.
+    """
+    if not group:
+        ranked = midranks(df, value, name="_rank")
+        size = F.col("_size")
+        number = F.ceil(size + 1 - F.col("_rank")) if descending else F.ceil("_rank")
+        sized = ranked.crossJoin(F.broadcast(df.agg(F.count(value).alias("_size"))))
+        return sized.withColumn(name, number.cast("double") / size).drop("_rank", "_size")
     size = F.count("*").over(W.partitionBy(*group))
     rank = midrank(value, *group)
     number = F.ceil(size + 1 - rank) if descending else F.ceil(rank)
@@ -41,7 +52,13 @@ def moments_rho(x: str, y: str) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, *group: str, undefined: float | None = -1.0) -> DataFrame:
-    """(group..., rho, n) over the rows with both values; an undefined rho becomes ``undefined`` (Q12)."""
+    """(group..., rho, n) over the rows with both values; an undefined rho becomes ``undefined`` (Q12).
+
+    Groups are ranked by windows, as they are subjects, trials or word pairs;
+    for groups of any size, and without one, see ``ranks.rank_correlation``.
+    """
+    if not group:
+        return rank_correlation(df, x, y, undefined=undefined)
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranks = both.select(*group, midrank(x, *group).alias("_x"), midrank(y, *group).alias("_y"))
     out = ranks.groupBy(*group).agg(moments_rho("_x", "_y").alias("rho"), F.count("*").alias("n"))
@@ -87,11 +104,11 @@ def spearman_p(rho: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def column_correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(left, right, rho, n) for all pairs of numeric columns, in one plan."""
+    """(left, right, rho, n) for all pairs of numeric columns, in one plan; the rows of a pair are ranked by ranges."""
     numeric = columns or [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "decimal")]
     pairs = list(itertools.combinations(numeric, 2))
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs)))
-    return spearman(df.select(each.alias("e")).select("e.*"), "x", "y", "left", "right")
+    return rank_correlation(df.select(each.alias("e")).select("e.*"), "x", "y", "left", "right")
 
 
 def weighted_summary(df: DataFrame, value: str, count: str, *group: str, shares: tuple[float, ...] = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
@@ -99,9 +116,12 @@ def weighted_summary(df: DataFrame, value: str, count: str, *group: str, shares:
     v, c = F.col(value), F.col(count)
     mean = divide(F.sum(v * c), F.sum(c).cast("double"))
     spread = F.sqrt(F.greatest(divide(F.sum(v * v * c), F.sum(c).cast("double")) - mean * mean, F.lit(0.0)))
-    places = F.percentile(v, F.array(*map(F.lit, shares)), c.cast("bigint"))
-    out = df.groupBy(*group).agg(F.sum(c).alias("n"), mean.alias("mean"), spread.alias("std"), places.alias("_p"))
-    return out.select(*group, "n", "mean", "std", *(F.get("_p", k).alias(f"p{round(100 * s)}") for k, s in enumerate(shares)))
+    out = df.groupBy(*group).agg(F.sum(c).alias("n"), mean.alias("mean"), spread.alias("std"))
+    places = percentiles(df, value, count, *group, shares=shares)
+    if not group:
+        return out.crossJoin(F.broadcast(places))
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    return out.alias("a").join(places.alias("b"), same, "left").select(*(f"a.{c}" for c in out.columns), *(f"b.{c}" for c in places.columns if c not in group))
 
 
 def mean_interval(mean: float, variance: float, n: int, level: float = 0.95) -> tuple[float, float]:
@@ -156,16 +176,16 @@ def randomization_test(outputs: DataFrame, trials: int = 1000, seed: int = 42, e
 
 
 def order_accuracy(gold: DataFrame, measures: list[str], gap: float = 1.0, key: str = "id", rating: str = "gold") -> DataFrame:
-    """(measure, pairs, accuracy): shares of gold pairs, at least ``gap`` apart, that a measure orders alike.
+    """(measure, pairs, accuracy, baseline): shares of gold pairs, at least ``gap`` apart, that a measure orders alike.
 
-    Gold tables are evaluation sets of some thousand rows; the pairs are found
-    by an inequality join on the key.
+    A pair is ordered alike if, the smaller key first, gold rises exactly where
+    the measure rises; ``baseline`` is the share of pairs whose gold rises.  Pairs
+    are counted by ranks and prefix counts, never listed.
     """
-    a, b = gold.alias("a"), gold.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.abs(F.col(f"a.{rating}") - F.col(f"b.{rating}")) >= gap))
-    truth = F.col(f"a.{rating}") > F.col(f"b.{rating}")
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), ((F.col(f"a.{m}") > F.col(f"b.{m}")) == truth).cast("int").alias("hit")) for m in measures)))
-    return pairs.select(each.alias("e")).select("e.*").groupBy("measure").agg(F.count("hit").alias("pairs"), F.avg("hit").alias("accuracy"))
+    each = F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures)))
+    found = ordered_alike(gold.select(F.col(key).alias("key"), F.col(rating).cast("double").alias("gold"), each), gap, "measure")
+    share = lambda c: F.col(c) / F.col("pairs").cast("double")
+    return found.filter("pairs > 0").select("measure", "pairs", share("hits").alias("accuracy"), share("first_less").alias("baseline"))
 
 
 def rmse(df: DataFrame, truth: str, guess: str, *group: str) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions.columns import cosine, pos_of, word_of
+from wordloom.functions.columns import cosine, pos_of, steps, uniform, word_of
 from wordloom.operators import corpus as C
-from wordloom.operators import evaluation, factor, images, matches, noise
+from wordloom.operators import cleanup, evaluation, factor, images, matches, noise
 from wordloom.operators import norms as N
 from wordloom.operators import ratings as R
 from wordloom.operators import similarity as S
@@ -110,14 +110,12 @@ w AS (SELECT l, r, gold, SUM(bwt * p) AS right_given_left, SUM(awt * q) AS left_
   SUM(p * log2(p / q)) AS kl, SUM(q * log2(q / p)) AS kl_reversed, SUM(x * y) / nullif(sqrt(SUM(x * x)) * sqrt(SUM(y * y)), 0) AS cosine_lmi FROM j GROUP BY ALL),
 e AS ({" UNION ALL ".join(f"SELECT l, r, '{m}' AS measure, {sign} AS sign, gold, round({m}, 9) AS v FROM w" for m, sign in evaluation.MEASURES.items())}),
 {spearman_sql("e", "gold", "v", "measure")},
-acc AS (SELECT a.measure, COUNT(*) AS pairs, AVG(CASE WHEN (a.sign * a.v < a.sign * b.v) = (a.gold < b.gold) THEN 1.0 ELSE 0.0 END) AS accuracy FROM e a JOIN e b ON a.measure = b.measure AND a.l || chr(9) || a.r < b.l || chr(9) || b.r AND abs(a.gold - b.gold) >= 1 GROUP BY 1)
-SELECT measure, {r6("rho", "rho")}, n, pairs, {r6("accuracy", "accuracy")} FROM rho JOIN acc USING (measure)"""
+acc AS (SELECT a.measure, COUNT(*) AS pairs, AVG(CASE WHEN (a.sign * a.v < a.sign * b.v) = (a.gold < b.gold) THEN 1.0 ELSE 0.0 END) AS accuracy, AVG(CASE WHEN a.gold < b.gold THEN 1.0 ELSE 0.0 END) AS baseline FROM e a JOIN e b ON a.measure = b.measure AND a.l || chr(9) || a.r < b.l || chr(9) || b.r AND abs(a.gold - b.gold) >= 1 GROUP BY 1)
+SELECT measure, {r6("rho", "rho")}, n, pairs, {r6("accuracy", "accuracy")}, {r6("baseline", "baseline")} FROM rho JOIN acc USING (measure)"""
 
 
 @query("model_against_gold", _SEVEN)
 def model_against_gold(s, d):
-    from wordloom.functions.columns import uniform
-
     gold = X.brand_pairs(s, d).withColumn("similarity", 1 + F.floor(uniform("3", "left", "right") * 7))
     return evaluation.against_gold(X.topics(s, d).select("topic", F.col("word").alias("item"), "p"), gold).drop("p")
 
@@ -271,25 +269,91 @@ def _parts(s, d):
     return X.ratings(s, d).filter("const NOT LIKE 'S%'"), X.ratings(s, d).filter("const = 'STANDARD'")
 
 
-_NOISY = f"""WITH {X.RATINGS}, base AS (SELECT CASE WHEN const = 'STANDARD' THEN 'w' ELSE 'p' END AS side, * FROM ratings WHERE const NOT LIKE 'S%' OR const = 'STANDARD'),
-nums AS (SELECT UNNEST(range(1, 6)) AS trial),
-moved AS (SELECT side, trial, compound, const, subject, CASE WHEN {X.u_sql("42a", "trial", *_CELL)} < 0.2 THEN CASE WHEN {X.u_sql("42b", "trial", *_CELL)} < 0.5 THEN (rating + 3 - 1) % 7 + 1 ELSE (rating - 3 - 1 + 7) % 7 + 1 END ELSE rating END AS rating FROM base, nums),
+_BASE = f"{X.RATINGS}, base AS (SELECT CASE WHEN const = 'STANDARD' THEN 'w' ELSE 'p' END AS side, * FROM ratings WHERE const NOT LIKE 'S%' OR const = 'STANDARD')"
+_OFFSET = f"""moved AS (SELECT side, trial, compound, const, subject, CASE WHEN {X.u_sql("42a", "trial", *_CELL)} < 0.2 THEN CASE WHEN {X.u_sql("42b", "trial", *_CELL)} < 0.5 THEN (rating + 3 - 1) % 7 + 1 ELSE (rating - 3 - 1 + 7) % 7 + 1 END ELSE rating END AS rating FROM base, nums)"""
+# what is compared, spelt out; cleaned parts with cleaned wholes of the original ratings (Q19)
+_PAIRS = """noisy_noisy p_noisy w_noisy, clean_noisy p_clean w_noisy, noisy_clean p_noisy w_clean, clean_clean p_clean w_clean, noisy_orig p_noisy w_orig, clean_orig p_clean w_orig, orig_noisy p_orig w_noisy, orig_clean p_orig w_clean,
+orig_orig p_orig w_orig, cleanorig_orig p_cleanorig w_orig, cleanorig_noisy p_cleanorig w_noisy, cleanorig_clean p_cleanorig w_clean, orig_cleanorig p_orig w_cleanorig, noisy_cleanorig p_noisy w_cleanorig, clean_cleanorig p_clean w_cleanorig"""
+
+
+def _random_subjects(most: str) -> str:
+    """CTEs of ratings in which some subjects of each side and trial rate at random."""
+    return f"""t AS (SELECT side, trial, compound, const, subject, rating FROM base, nums),
+people AS (SELECT DISTINCT side, trial, subject FROM t),
+chosen AS (SELECT side, trial, subject FROM people QUALIFY row_number() OVER (PARTITION BY side, trial ORDER BY {X.u_sql("42s", "trial", "subject")}, subject) <= {most.format(people="COUNT(*) OVER (PARTITION BY side, trial)")}),
+moved AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.side = t.side AND c.trial = t.trial AND c.subject = t.subject)
+  UNION ALL SELECT i.side, i.trial, compound, const, subject, 1 + floor({X.u_sql("42b", "i.trial", *_CELL)} * 7) FROM (SELECT DISTINCT side, trial, compound, const FROM t) i JOIN chosen c ON c.side = i.side AND c.trial = i.trial)"""
+
+
+def _agree(key: str) -> str:
+    """CTEs up to placed: agreements (rho) and places of subjects among the runs of raw."""
+    rho = spearman_sql("o", "rating", "others", f"{key}, subject").replace("rk AS (", "ra AS (").replace("FROM rk", "FROM ra").replace(", rho AS (", ", agree AS (")
+    return f"""o AS (SELECT *, round((SUM(rating) OVER w - rating) / nullif(COUNT(*) OVER w - 1, 0), 9) AS others FROM raw WINDOW w AS (PARTITION BY {key}, compound, const)), {rho},
+placed AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(rho, 9), subject) AS place FROM agree)"""
+
+
+_WIPE = "kept AS (SELECT '{0}' AS cleaner, raw.* FROM raw LEFT JOIN placed USING (version, side, trial, subject) LEFT JOIN (SELECT version, side, trial, COUNT(DISTINCT subject) AS people FROM raw GROUP BY ALL) USING (version, side, trial) WHERE coalesce(place > {1}, true))"
+_ZKEPT = """z AS (SELECT *, COUNT(*) OVER w AS n, SUM(rating) OVER w AS s, SUM(rating * rating) OVER w AS q FROM raw WINDOW w AS (PARTITION BY version, side, trial, compound, const)),
+kept AS (SELECT 'none' AS cleaner, version, side, trial, compound, const, subject, rating FROM raw UNION ALL
+  SELECT 'z1.0', version, side, trial, compound, const, subject, rating FROM z WHERE n * q > s * s AND (n * rating - s) * (n * rating - s) * (n - 1) <= n * (n * q - s * s))"""
+
+
+def noisy_sql(moved: str, kept: str, count: int, level: str) -> str:
+    """The noise experiment: ``moved`` and ``kept`` are CTEs of noisy and of cleaned ratings."""
+    pairs = " UNION ALL ".join("SELECT a.cleaner, a.trial, '{}' AS variable, a.m AS x, b.m AS y FROM every a JOIN every b USING (cleaner, trial, compound) WHERE a.name = '{}' AND b.name = '{}'".format(*p.split()) for p in _PAIRS.split(","))
+    return f"""WITH {_BASE}, nums AS (SELECT UNNEST(range(1, {count + 1})) AS trial), {moved},
 raw AS (SELECT 'orig' AS version, side, 0 AS trial, compound, const, subject, rating FROM base UNION ALL SELECT 'noisy', side, trial, compound, const, subject, rating FROM moved),
-z AS (SELECT *, COUNT(*) OVER w AS n, SUM(rating) OVER w AS s, SUM(rating * rating) OVER w AS q FROM raw WINDOW w AS (PARTITION BY version, side, trial, compound, const)),
-kept AS (SELECT version, side, trial, compound, const, subject, rating FROM z WHERE n * q > s * s AND (n * rating - s) * (n * rating - s) * (n - 1) <= n * (n * q - s * s)),
-v AS (SELECT c.cleaner, raw.* FROM raw, (VALUES ('none'), ('z1.0')) c(cleaner) UNION ALL SELECT 'none', CASE version WHEN 'orig' THEN 'cleanorig' ELSE 'clean' END, side, trial, compound, const, subject, rating FROM raw
-  UNION ALL SELECT 'z1.0', CASE version WHEN 'orig' THEN 'cleanorig' ELSE 'clean' END, side, trial, compound, const, subject, rating FROM kept),
+{kept},
+v AS (SELECT cleaner, version, side, trial, compound, const, subject, rating FROM raw, (SELECT DISTINCT cleaner FROM kept) UNION ALL SELECT cleaner, CASE version WHEN 'orig' THEN 'cleanorig' ELSE 'clean' END, side, trial, compound, const, subject, rating FROM kept),
 means AS (SELECT cleaner, version, side, trial, compound, const, AVG(rating) AS m FROM v GROUP BY ALL),
 scores AS (SELECT cleaner, version, side, trial, compound, round(CASE side WHEN 'p' THEN sqrt(product(m)) ELSE AVG(m) END, 9) AS m FROM means GROUP BY cleaner, version, side, trial, compound),
 every AS (SELECT cleaner, side || '_' || version AS name, compound, m, CASE WHEN scores.trial = 0 THEN nums.trial ELSE scores.trial END AS trial FROM scores JOIN nums ON scores.trial = 0 OR scores.trial = nums.trial),
-pairs AS ({" UNION ALL ".join(f"SELECT a.cleaner, a.trial, '{k}' AS variable, a.m AS x, b.m AS y FROM every a JOIN every b USING (cleaner, trial, compound) WHERE a.name = '{x}' AND b.name = '{y}'" for k, (x, y) in noise.COMPARED.items())}),
+pairs AS ({pairs}),
 {spearman_sql("pairs", "x", "y", "cleaner, trial, variable")},
 counts AS (SELECT cleaner, trial, CASE side WHEN 'p' THEN 'indiv_' ELSE 'whole_' END || version || '_notblank' AS variable, CAST(COUNT(*) AS DOUBLE) AS value FROM v WHERE version <> 'cleanorig' GROUP BY ALL),
 vals AS (SELECT cleaner, trial, variable, rho AS value FROM rho UNION ALL SELECT cleaner, nums.trial, variable, value FROM counts JOIN nums ON counts.trial = 0 OR counts.trial = nums.trial)
-SELECT cleaner, variable, {r6("AVG(value)", "mean")}, {r6("stddev_samp(value)", "std")}, COUNT(*) AS trials, {r6("AVG(value) - 2 * stddev_samp(value)", "low")}, {r6("AVG(value) + 2 * stddev_samp(value)", "high")}, 0.2 + 0.0 AS p_noise FROM vals GROUP BY cleaner, variable"""
-query("noise_experiment", _NOISY.replace("0.2 + 0.0 AS p_noise", "CAST(0.2 AS DOUBLE) AS p_noise"))(lambda s, d: noise.zscore_grid(*_parts(s, d), noise.offset, [0.2], [1.0], 5))
-query("noise_min_rho")(lambda s, d: noise.min_rho_grid(*_parts(s, d), [2, 5], 3))
-query("noise_drop_subjects")(lambda s, d: noise.drop_subject_grid(*_parts(s, d), [0.1, 0.2], 3))
+SELECT cleaner, variable, {r6("AVG(value)", "mean")}, {r6("stddev_samp(value)", "std")}, COUNT(*) AS trials, {r6("AVG(value) - 2 * stddev_samp(value)", "low")}, {r6("AVG(value) + 2 * stddev_samp(value)", "high")}, {level} FROM vals GROUP BY cleaner, variable"""
+
+
+query("noise_experiment", noisy_sql(_OFFSET, _ZKEPT, 5, "CAST(0.2 AS DOUBLE) AS p_noise"))(lambda s, d: noise.grid("zscore", *_parts(s, d), noise.offset, [0.2], [1.0], 5))
+_RUN = "version, side, trial"
+query("noise_min_rho", " UNION ALL ".join(f"SELECT * FROM ({noisy_sql(_random_subjects(str(n)), _agree(_RUN) + ', ' + _WIPE.format('minrho', n), 3, f'CAST({n} AS INTEGER) AS n')})" for n in (2, 5)))(lambda s, d: noise.grid("minrho", *_parts(s, d), [2, 5], 3))
+query("noise_drop_subjects", " UNION ALL ".join(f"SELECT * FROM ({noisy_sql(_random_subjects(f'ceil({p} * {{people}})'), _agree(_RUN) + ', ' + _WIPE.format('devsubj', f'ceil({p} * people)'), 3, f'CAST({p} AS DOUBLE) AS p')})" for p in (0.1, 0.2)))(lambda s, d: noise.grid("dropsubj", *_parts(s, d), [0.1, 0.2], 3))
+
+# every threshold of agreement and of z-scores of the study, as rows
+_RHOS, _ZSCORES = steps(0.10, 0.6, 0.05), steps(1.0, 4.0, 0.25)
+_SETTINGS = cleanup.grid_settings(_RHOS, _ZSCORES)
+_LINKS = f"links AS (SELECT p_brand AS compound, p_type AS const, {X.u_sql('5', 'p_brand', 'p_type')} AS jaccard FROM part GROUP BY 1, 2)"
+
+
+def _links(s, d):
+    return X.table(s, d, "part").select(F.col("p_brand").alias("compound"), F.col("p_type").alias("const")).distinct().withColumn("jaccard", uniform(5, "compound", "const"))
+
+
+_WHOLES = "SELECT {0}compound, round(AVG(mean), 9) AS y FROM {1} WHERE side = 'w' GROUP BY {0}compound"
+_TOGETHER = "SELECT {0}compound, round(product(mean), 9) AS x FROM {1} WHERE side = 'p' GROUP BY {0}compound"
+query("cleanup_grid", f"""WITH {_BASE}, {_LINKS},
+common AS (SELECT compound FROM base WHERE side = 'p' INTERSECT SELECT compound FROM base WHERE side = 'w' INTERSECT SELECT compound FROM links),
+raw AS (SELECT * FROM base WHERE compound IN (SELECT compound FROM common)), {_agree("side")},
+settings(setting, kind, value) AS (VALUES {', '.join(f"('{k}', '{kind}', CAST({v!r} AS DOUBLE))" for k, (kind, v) in _SETTINGS.items())}),
+z AS (SELECT raw.*, rho, COUNT(*) OVER w AS n, SUM(rating) OVER w AS s, SUM(rating * rating) OVER w AS q FROM raw LEFT JOIN placed USING (side, subject) WINDOW w AS (PARTITION BY side, compound, const)),
+kept AS (SELECT setting, z.* FROM z, settings WHERE CASE kind WHEN 'min_rho' THEN coalesce(round(rho, 9) >= value, true) WHEN 'zscore' THEN n * q > s * s AND (n * rating - s) * (n * rating - s) * (n - 1) <= n * (n * q - s * s) * (value * value) ELSE true END),
+m AS (SELECT setting, side, compound, const, AVG(rating) AS mean, COUNT(*) AS n FROM kept GROUP BY ALL), m0 AS (SELECT side, compound, const, AVG(rating) AS mean, COUNT(*) AS n FROM raw GROUP BY ALL),
+e AS (SELECT setting, 'parts_cleaned' AS variable, x, y FROM ({_TOGETHER.format("setting, ", "m")}) JOIN ({_WHOLES.format("", "m0")}) USING (compound)
+  UNION ALL SELECT setting, 'parts_and_whole_cleaned', x, y FROM ({_TOGETHER.format("setting, ", "m")}) JOIN ({_WHOLES.format("setting, ", "m")}) USING (setting, compound)
+  UNION ALL SELECT setting, 'whole_cleaned', x, y FROM ({_TOGETHER.format("", "m0")}) JOIN ({_WHOLES.format("setting, ", "m")}) USING (compound)
+  UNION ALL SELECT setting, 'associations_indiv', round(mean, 9), jaccard FROM m JOIN links USING (compound, const) WHERE side = 'p'
+  UNION ALL SELECT setting, 'associations_whole', x, y FROM (SELECT compound, round(sqrt(product(jaccard)), 9) AS x FROM links WHERE compound <> const GROUP BY compound) JOIN ({_WHOLES.format("setting, ", "m")}) USING (compound)),
+{spearman_sql("e", "x", "y", "setting, variable")},
+c AS (SELECT setting, coalesce(SUM(n) FILTER (side = 'p'), 0) AS p, coalesce(SUM(n) FILTER (side = 'w'), 0) AS w FROM m GROUP BY setting), c0 AS (SELECT SUM(n) FILTER (side = 'p') AS p0, SUM(n) FILTER (side = 'w') AS w0 FROM m0)
+SELECT setting, {r6("p / p0", "retained_indiv")}, {r6("w / w0", "retained_whole")}, {r6("(p + w) / (p0 + w0)", "retained_both")}, variable, {r6("rho", "value")} FROM rho JOIN c USING (setting), c0""")(lambda s, d: cleanup.cleanup_grid(*_parts(s, d), _links(s, d), _SETTINGS))
+query("standard_cleanup", f"""WITH {_BASE.replace("base AS", "b0 AS")}, raw AS (SELECT * FROM b0 WHERE side = 'p'), {_agree("side")},
+base AS (SELECT raw.* FROM raw LEFT JOIN agree USING (side, subject) WHERE coalesce(rho >= -0.05, true)),
+z AS (SELECT *, COUNT(*) OVER w AS n, SUM(rating) OVER w AS s, SUM(rating * rating) OVER w AS q FROM base WINDOW w AS (PARTITION BY compound, const)),
+means AS (SELECT compound, const, AVG(rating) AS mean FROM z WHERE n * q > s * s AND (n * rating - s) * (n * rating - s) * (n - 1) <= n * (n * q - s * s) * 2.25 GROUP BY ALL),
+y AS (SELECT compound, round(AVG(mean), 9) AS y FROM (SELECT compound, const, AVG(rating) AS mean FROM b0 WHERE side = 'w' GROUP BY ALL) GROUP BY compound),
+e AS (SELECT 'sum' AS method, round(SUM(mean), 9) AS x, any_value(y) AS y FROM means JOIN y USING (compound) GROUP BY compound UNION ALL SELECT 'prod', round(product(mean), 9), any_value(y) FROM means JOIN y USING (compound) GROUP BY compound),
+{spearman_sql("e", "x", "y", "method")} SELECT method, {r6("rho", "rho")}, n FROM rho""")(lambda s, d: cleanup.standard_cleanup([_parts(s, d)[0]], -0.05, 1.5, _parts(s, d)[1])["against_whole"])
 
 # --- statistics -----------------------------------------------------------------------------------
 
@@ -302,7 +366,7 @@ query("stat_weighted", "WITH e AS (SELECT l_returnflag, l_discount AS v, CAST(l_
 query("stat_trials", f"WITH t AS (SELECT l_returnflag AS g, AVG(l_discount) AS v FROM lineitem GROUP BY l_returnflag, l_suppkey) SELECT g, {r6('AVG(v)', 'mean')}, {r6('stddev_samp(v)', 'std')}, COUNT(*) AS trials, {r6('AVG(v) - 2 * stddev_samp(v)', 'low')}, {r6('AVG(v) + 2 * stddev_samp(v)', 'high')}, {r6('AVG(v) - 2 * stddev_samp(v) / sqrt(COUNT(*))', 'band_low')}, {r6('AVG(v) + 2 * stddev_samp(v) / sqrt(COUNT(*))', 'band_high')} FROM t GROUP BY g")(lambda s, d: stats.confidence_band(stats.trial_summary(X.table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), "l_suppkey").agg(F.avg("l_discount").alias("v")), "v", "g")))
 query("stat_histogram", f"WITH b AS (SELECT CAST(least(floor(l_quantity / 5.0), 9) AS INTEGER) AS bin FROM lineitem WHERE l_quantity BETWEEN 0 AND 50) SELECT bin, COUNT(*) AS n, {r6('COUNT(*) / (SELECT COUNT(*) FROM b) / 5.0', 'density')} FROM b GROUP BY bin")(lambda s, d: stats.histogram(X.table(s, d, "lineitem"), "l_quantity", 0.0, 50.0, 10))
 _GOLD = "gold AS (SELECT doc_id AS id, CAST(quality * 2 + doc_id % 3 AS DOUBLE) AS gold, CAST(doc_id % 7 AS DOUBLE) AS m1, CAST(toxic + doc_id % 2 AS DOUBLE) AS m2 FROM labels)"
-_ACC = " UNION ALL ".join(f"SELECT '{m}' AS measure, COUNT(*) AS pairs, {r6(f'AVG(CASE WHEN (a.{m} > b.{m}) = (a.gold > b.gold) THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM gold a JOIN gold b ON a.id < b.id AND abs(a.gold - b.gold) >= 1" for m in ("m1", "m2"))
+_ACC = " UNION ALL ".join(f"SELECT '{m}' AS measure, COUNT(*) AS pairs, {r6(f'AVG(CASE WHEN (a.{m} < b.{m}) = (a.gold < b.gold) THEN 1.0 ELSE 0.0 END)', 'accuracy')}, {r6('AVG(CASE WHEN a.gold < b.gold THEN 1.0 ELSE 0.0 END)', 'baseline')} FROM gold a JOIN gold b ON a.id < b.id AND abs(a.gold - b.gold) >= 1" for m in ("m1", "m2"))
 query("gold_accuracy", f"WITH {_GOLD} {_ACC}")(lambda s, d: stats.order_accuracy(X.table(s, d, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 2 + F.col("doc_id") % 3).cast("double").alias("gold"), (F.col("doc_id") % 7).cast("double").alias("m1"), (F.col("toxic") + F.col("doc_id") % 2).cast("double").alias("m2")), ["m1", "m2"]))
 query("spearman_p")(lambda s, d: R.agreements(X.ratings(s, d)).withColumn("p", stats.spearman_p("rho", "n")))
 
