@@ -64,8 +64,12 @@ def test_tables_of_tab_separated_fields(spark, tmp_path):
         assert [tuple(r) for r in read(spark, str(tmp_path / name)).collect()] == [wanted]
     writers.write_table(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).columns == ["a", "b"]
-    cached = writers.cached_corpus(spark.range(3), str(tmp_path / "cache"))
-    assert cached.count() == 3 and writers.cached_corpus(spark.range(9), str(tmp_path / "cache")).count() == 3
+    path = str(tmp_path / "cache")
+    assert writers.cached_corpus(spark.range(3), path).count() == 3 and writers.cached_corpus(spark.range(9), path).count() == 9
+    spark.range(4).write.parquet(str(tmp_path / "source"))
+    source = spark.read.parquet(str(tmp_path / "source"))
+    written = writers.cached_corpus(source, path)
+    assert writers.cached_corpus(source, path).inputFiles() == written.inputFiles() and written.count() == 4
 
 
 def test_pair_sets_and_measures(spark):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.functions.columns import mass_outside, pos_of, steps, uniform, word_of, wrap
-from wordloom.operators import corpus, factor, matches, noise, stats, topics
+from wordloom.operators import corpus, factor, matches, noise, stats, topic_models, topics
 from wordloom.operators import ratings as R
 from wordloom.operators import similarity as S
 from wordloom.operators import space as P
@@ -134,7 +134,7 @@ def test_noise_changes_only_what_it_should(study):
 
 
 def test_special_functions():
-    assert topics.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525890], abs=1e-8)
+    assert topic_models.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525890], abs=1e-8)
     assert stats.t_two_sided(2.228, 10) == pytest.approx(0.05, abs=1e-4)
     low, high = stats.mean_interval(0.0, 1.0, 11)
     assert high == pytest.approx(2.228 / math.sqrt(11), abs=1e-3) and low == -high

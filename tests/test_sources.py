@@ -7,7 +7,7 @@ import bz2
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import corpus, topics
+from wordloom.operators import corpus, topic_models, topics
 from wordloom.operators.matches import elo
 from wordloom.sources import readers, writers
 from wordloom.streaming.incremental import running_cells, running_elo
@@ -80,7 +80,7 @@ def test_streams(spark, tmp_path):
 def test_topic_models_find_two_blocks(spark):
     rows = [(d, w, 0, 0, 5) for d in range(40) for w in ((1, 2, 3) if d % 2 else (4, 5, 6))]
     docs = spark.createDataFrame(rows, "doc long, word int, feat int, feat2 int, count int")
-    model = topics.OnlineTopics(topics.Settings(topics=2, sizes=(7,), batch=40, alpha=0.1, eta=0.1, tau=1.0, kappa=0.5)).fit(docs, 8)
+    model = topic_models.OnlineTopics(topic_models.Settings(topics=2, sizes=(7,), batch=40, alpha=0.1, eta=0.1, tau=1.0, kappa=0.5)).fit(docs, 8)
     best = topics.top_items(model.tables(spark)["word"], 3).groupBy("topic").agg(F.sort_array(F.collect_list("item")).alias("items"))
     assert sorted(r["items"] for r in best.collect()) == [[1, 2, 3], [4, 5, 6]]
     assert model.trace[-1][1] >= model.trace[0][1]

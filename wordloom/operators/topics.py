@@ -1,262 +1,14 @@
-"""Topic models over words and any number of feature modalities, and their inspection.
-
-A corpus row is (doc, word, feat, feat2, count); a model's tables are long.
-Sweeps and E-steps run document by document in Arrow batches; only sufficient
-statistics of fixed size (topics by vocabulary) are added up.
-"""
+"""Inspection and evaluation of topic models, whose tables are long: (topic, item, p)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wordloom.functions.columns import divide
 from wordloom.operators.stats import percentile_rank, spearman, weighted_summary
 
-MODALITIES = ("word", "feat", "feat2")
-
-
-def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of log gamma: recurrence up to 6, then the asymptotic series."""
-    x = np.asarray(x, float).copy()
-    out = np.zeros_like(x)
-    for _ in range(6):
-        low = x < 6
-        out[low] -= 1 / x[low]
-        x[low] += 1
-    f = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
-
-
-def expectation(parameters: np.ndarray) -> np.ndarray:
-    """E[log p] under Dirichlet rows."""
-    p = np.atleast_2d(parameters)
-    return (digamma(p) - digamma(p.sum(axis=1, keepdims=True))).reshape(np.shape(parameters))
-
-
-def logsumexp(x: np.ndarray, axis: int = -1) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
-@dataclass
-class Settings:
-    topics: int = 100
-    sizes: tuple[int, ...] = (0,)  # entries of each modality, numbers from 0
-    alpha: float | None = None
-    eta: float | None = None
-    tau: float = 32.0
-    kappa: float = 0.7
-    batch: int = 1024
-    seed: int = 42
-
-    @property
-    def prior(self) -> float:
-        return self.alpha if self.alpha is not None else 1.0 / self.topics
-
-    def smoothing(self, m: int) -> float:
-        return self.eta if self.eta is not None else 1.0 / max(1, self.sizes[m])
-
-
-def _documents(corpus: DataFrame, used: int) -> DataFrame:
-    """(doc, items): the rows of each document as one array."""
-    return corpus.groupBy("doc").agg(F.collect_list(F.struct(*MODALITIES[:used], "count")).alias("items"))
-
-
-class OnlineTopics:
-    """Online variational Bayes for one to three modalities (Hoffman et al. 2010; Andrews et al. 2009).
-
-    Each update takes the documents of one hashed batch.  A feature number of 0
-    means none and takes no part.
-    """
-
-    def __init__(self, settings: Settings):
-        self.s = settings
-        rng = np.random.default_rng(settings.seed)
-        self.parameters = [rng.gamma(100.0, 0.01, (settings.topics, size)) for size in settings.sizes]
-        self.updates = 0
-        self.trace: list[tuple[int, float]] = []
-
-    def _e_step(self, docs: DataFrame, inner: int, tolerance: float) -> tuple[list[np.ndarray], float, int]:
-        s = self.s
-        logs = [expectation(p) for p in self.parameters]
-        for m in range(1, len(logs)):
-            logs[m][:, 0] = 0.0
-        used = len(logs)
-
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            stats = [np.zeros_like(x) for x in logs]
-            bound, n = 0.0, 0
-            for pdf in batches:
-                for items in pdf["items"]:
-                    table = np.array([[x[c] for c in (*MODALITIES[:used], "count")] for x in items], np.int64)
-                    counts = table[:, -1].astype(float)
-                    weight = sum(x[:, table[:, m]] for m, x in enumerate(logs))
-                    gamma = np.full(s.topics, s.prior + counts.sum() / s.topics)
-                    for _ in range(inner):
-                        before = gamma
-                        mixed = expectation(gamma)[:, None] + weight
-                        share = np.exp(mixed - logsumexp(mixed, axis=0))
-                        gamma = s.prior + share @ counts
-                        if np.abs(gamma - before).mean() < tolerance:
-                            break
-                    for m in range(used):
-                        np.add.at(stats[m].T, table[:, m], (share * counts).T)
-                    bound += float((counts * logsumexp(expectation(gamma)[:, None] + weight, axis=0)).sum())
-                    n += 1
-            rows = [(m, k, x[k].tobytes(), 0.0, 0) for m, x in enumerate(stats) for k in range(s.topics)] if n else []
-            yield pd.DataFrame([*rows, (-1, 0, b"", bound, n)], columns=["modality", "topic", "sums", "bound", "n"])
-
-        schema = "modality int, topic int, sums binary, bound double, n long"
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum((np.frombuffer(x) for x in pdf["sums"]), 0)
-            return pd.DataFrame({"modality": pdf["modality"][:1], "topic": pdf["topic"][:1], "sums": [total.tobytes() if hasattr(total, "tobytes") else b""], "bound": [pdf["bound"].sum()], "n": [pdf["n"].sum()]})
-
-        found = docs.mapInPandas(local, schema).groupBy("modality", "topic").applyInPandas(add, schema).collect()  # one row a topic
-        out = [np.zeros_like(x) for x in logs]
-        bound, n = 0.0, 0
-        for r in found:
-            if r["modality"] < 0:
-                bound, n = r["bound"], r["n"]
-            else:
-                out[r["modality"]][r["topic"]] = np.frombuffer(r["sums"])
-        return out, bound, n
-
-    def update(self, docs: DataFrame, all_docs: int, inner: int = 100, tolerance: float | None = None) -> None:
-        stats, bound, n = self._e_step(docs, inner, self.s.topics * 0.001 if tolerance is None else tolerance)
-        if not n:
-            return
-        rate = (self.s.tau + 1 + self.updates) ** -self.s.kappa
-        for m, x in enumerate(stats):
-            new = (1 - rate) * self.parameters[m] + rate * (self.s.smoothing(m) + all_docs / n * x)
-            if m:
-                new[:, 0] = new[:, 1:].mean(axis=1) if new.shape[1] > 1 else new[:, 0]
-            if np.isnan(new).any():
-                raise ValueError("the model has undefined entries")
-            self.parameters[m] = new
-        self.updates += 1
-        self.trace.append((self.updates, bound * all_docs / n))
-
-    def fit(self, corpus: DataFrame, iterations: int = 1000) -> OnlineTopics:
-        docs = _documents(corpus, len(self.s.sizes)).persist()
-        total = docs.count()
-        batches = max(1, round(total / self.s.batch))
-        for turn in range(iterations):
-            self.update(docs.filter(F.pmod(F.xxhash64("doc", F.lit(turn // batches)), F.lit(batches)) == turn % batches), total)
-        docs.unpersist()
-        return self
-
-    def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
-        """The model in long form: a table (topic, item, p) a modality, and the trace."""
-        out = {}
-        for m, p in enumerate(self.parameters):
-            shares = p / p.sum(axis=1, keepdims=True)
-            rows = pd.DataFrame({"topic": np.repeat(np.arange(p.shape[0]), p.shape[1]), "item": np.tile(np.arange(p.shape[1]), p.shape[0]), "p": shares.ravel()})
-            out[MODALITIES[m]] = spark.createDataFrame(rows, "topic int, item int, p double")
-        out["trace"] = spark.createDataFrame(self.trace, "iter int, value double")
-        return out
-
-
-class GibbsTopics:
-    """Gibbs sampling of topics for words and one feature modality.
-
-    A sweep samples the topic counts of every row from p(topic) ~ phi psi pi,
-    with draws that depend on the seed, the sweep and the document; phi, psi and
-    pi are then drawn from their Dirichlet posteriors.
-    """
-
-    def __init__(self, settings: Settings, burn_in: int = 0):
-        self.s, self.burn_in = settings, burn_in
-        rng = np.random.default_rng(settings.seed)
-        self.tables_ = [rng.dirichlet(np.ones(size), settings.topics) for size in settings.sizes]
-        self.priors = [1.0] * len(settings.sizes)
-        self.averages = [np.zeros_like(t) for t in self.tables_]
-        self.trace: list[tuple[int, float]] = []
-
-    def sweep(self, docs: DataFrame, turn: int) -> None:
-        s, used = self.s, len(self.tables_)
-        logs = [np.log(np.clip(t, 1e-10, None)) for t in self.tables_]
-        for m in range(1, used):
-            logs[m][:, 0] = 0.0
-
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counts = [np.zeros(t.shape, np.int64) for t in logs]
-            fit, n = 0.0, 0
-            for pdf in batches:
-                for doc, items in zip(pdf["doc"], pdf["items"], strict=True):
-                    table = np.array([[x[c] for c in (*MODALITIES[:used], "count")] for x in items], np.int64)
-                    weight = sum(x[:, table[:, m]] for m, x in enumerate(logs)).T
-                    share = np.full(s.topics, 1.0 / s.topics)
-                    for stage in (turn - 1, turn):  # the document's mixture is drawn from its last topics
-                        draw = np.random.default_rng([s.seed, stage, int(doc) & (2**63 - 1)])
-                        log = weight + np.log(share)
-                        norm = logsumexp(log, axis=1)
-                        p = np.exp(log - norm[:, None])
-                        drawn = draw.multinomial(table[:, -1], p / p.sum(axis=1, keepdims=True))
-                        share = np.clip(draw.dirichlet(drawn.sum(axis=0) + s.prior), 1e-10, None)
-                    for m in range(used):
-                        np.add.at(counts[m].T, table[:, m], drawn)
-                    fit += float((table[:, -1] * norm).sum())
-                    n += 1
-            rows = [(m, k, c[k].tobytes(), 0.0) for m, c in enumerate(counts) for k in range(s.topics)] if n else []
-            yield pd.DataFrame([*rows, (-1, 0, b"", fit)], columns=["modality", "topic", "sums", "fit"])
-
-        schema = "modality int, topic int, sums binary, fit double"
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum((np.frombuffer(x, np.int64) for x in pdf["sums"]), np.zeros(0, np.int64) if pdf["modality"].iloc[0] < 0 else 0)
-            return pd.DataFrame({"modality": pdf["modality"][:1], "topic": pdf["topic"][:1], "sums": [total.tobytes()], "fit": [pdf["fit"].sum()]})
-
-        rng = np.random.default_rng([s.seed, turn])
-        counts = [np.zeros(t.shape) for t in self.tables_]
-        fit = 0.0
-        for r in docs.mapInPandas(local, schema).groupBy("modality", "topic").applyInPandas(add, schema).collect():
-            if r["modality"] < 0:
-                fit = r["fit"]
-            else:
-                counts[r["modality"]][r["topic"]] = np.frombuffer(r["sums"], np.int64)
-        for m, c in enumerate(counts):
-            drawn = np.clip(rng.standard_gamma(c + self.priors[m]), 1e-10, None)
-            self.tables_[m] = drawn / drawn.sum(axis=1, keepdims=True)
-            self.priors[m] = concentration(self.tables_[m], self.priors[m])
-            if turn > self.burn_in:
-                self.averages[m] += self.tables_[m]
-        self.trace.append((turn, fit))
-
-    def fit(self, corpus: DataFrame, iterations: int = 1000) -> GibbsTopics:
-        docs = _documents(corpus, len(self.tables_)).persist()
-        for turn in range(1, iterations + 1):
-            self.sweep(docs, turn)
-        docs.unpersist()
-        return self
-
-
-def concentration(shares: np.ndarray, prior: float, steps: int = 5, least: float = 1e-4) -> float:
-    """Symmetric Dirichlet parameter of the rows, by Newton steps on its reciprocal."""
-    k = shares.shape[1]
-    if k < 2:
-        return prior
-    target = float(np.log(np.clip(shares, 1e-100, None)).mean())
-    for _ in range(steps):
-        slope = k * (digamma(np.array([k * prior]))[0] - digamma(np.array([prior]))[0] + target)
-        small = prior * 1e-4
-        curve = k * ((digamma(np.array([k * (prior + small)]))[0] - digamma(np.array([prior + small]))[0]) - (digamma(np.array([k * prior]))[0] - digamma(np.array([prior]))[0])) / small
-        inverse = 1 / prior
-        first, second = -slope * prior**2, curve * prior**4 + 2 * slope * prior**3
-        change = -first / second if second < 0 else np.sign(first) * 0.1 * inverse
-        new = max(inverse + change, inverse / 10)
-        if abs(new - inverse) < 1e-6 * inverse:
-            break
-        prior = max(least, 1 / new)
-    return prior
-
 
 def top_items(model: DataFrame, count: int = 15, floor: float = 1e-4) -> DataFrame:
     """(topic, rank, item, p): each topic's likeliest items above ``floor``, shares taken of the topic's sum."""

@@ -14,7 +14,7 @@ from wordloom.operators import norms as N
 from wordloom.operators import ratings as R
 from wordloom.operators import similarity as S
 from wordloom.operators import space as P
-from wordloom.operators import stats, topics
+from wordloom.operators import stats, topic_models, topics
 from wordloom.plans import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -464,12 +464,12 @@ query("elo")(lambda s, d: matches.elo(matches.random_matches(s, X.ratings(s, d),
 
 @query("lda_online")
 def lda_online(s, d):
-    model = topics.OnlineTopics(topics.Settings(topics=5, sizes=(51, 22, 7), batch=100_000))
+    model = topic_models.OnlineTopics(topic_models.Settings(topics=5, sizes=(51, 22, 7), batch=100_000))
     model.fit(X.corpus(s, d), 1)
     return topics.top_items(model.tables(s)["word"], 5)
 
 
 @query("lda_gibbs")
 def lda_gibbs(s, d):
-    model = topics.GibbsTopics(topics.Settings(topics=5, sizes=(51, 22))).fit(X.corpus(s, d), 2)
-    return s.createDataFrame(model.trace, "iter int, value double")
+    model = topic_models.GibbsTopics(topic_models.Settings(topics=5, sizes=(51, 22))).fit(X.corpus(s, d), 2)
+    return topics.top_items(model.tables(s)["word"], 5)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.sources.models import ModelStore
+
 
 def write_space(space: DataFrame, path: str, digits: int = 25) -> None:
     """Tab-separated cells without header."""
@@ -22,23 +26,16 @@ def write_dense(rows: DataFrame, path: str, compression: str = "none") -> None:
 
 
 def save_model(tables: dict[str, DataFrame], path: str, iteration: int) -> None:
-    """A model's tables under iter=N; undefined numbers are refused."""
-    for name, df in tables.items():
-        bad = [c for c, t in df.dtypes if t == "double"]
-        if bad and not df.filter(" OR ".join(f"isnan(`{c}`)" for c in bad)).isEmpty():
-            raise ValueError(f"{name} has undefined numbers")
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/iter={iteration}")
+    """Publish a model's tables as one version (see ``models.ModelStore``); undefined numbers are refused."""
+    ModelStore(next(iter(tables.values())).sparkSession, path).publish(tables, iteration)
 
 
 def load_model(spark: SparkSession, path: str, names: list[str], iteration: int | None = None) -> dict[str, DataFrame]:
-    """A model's tables of one iteration, the last by default."""
-    out = {}
-    for name in names:
-        df = spark.read.parquet(f"{path}/{name}")
-        at = df.agg(F.max("iter")).first()[0] if iteration is None else iteration
-        out[name] = df.filter(F.col("iter") == at).drop("iter")
-    return out
+    """A model's tables of one iteration, the last published by default."""
+    found = ModelStore(spark, path).load(iteration)
+    if found is None:
+        raise FileNotFoundError(f"no model in {path}")
+    return {name: found[0][name] for name in names}
 
 
 def write_factors(left: DataFrame, sigmas: DataFrame, right: DataFrame, path: str) -> None:
@@ -48,6 +45,8 @@ def write_factors(left: DataFrame, sigmas: DataFrame, right: DataFrame, path: st
 
 
 def cached_corpus(corpus: DataFrame, path: str) -> DataFrame:
-    """The parsed corpus written once as Parquet and read from there."""
-    corpus.write.mode("ignore").parquet(path)
-    return corpus.sparkSession.read.schema(corpus.schema).parquet(path)
+    """The parsed corpus written once as Parquet and read from there; one of other source files, or without files of another plan, has another folder of ``path``."""
+    source = sorted(corpus.inputFiles()) or [str(corpus.semanticHash())]
+    key = hashlib.sha256("\n".join([corpus.schema.simpleString(), *source]).encode()).hexdigest()[:16]
+    corpus.write.mode("ignore").parquet(f"{path}/{key}")
+    return corpus.sparkSession.read.schema(corpus.schema).parquet(f"{path}/{key}")
