@@ -80,7 +80,7 @@ class Settings:
     kappa: float = 0.7
     batch: int = 1024
     seed: int = 42
-    cell: int = 100_000  # tokens' rows in a cell, about
+    cell: int = 20_000  # tokens' rows in a cell, about
 
     @property
     def prior(self) -> float:
@@ -248,22 +248,25 @@ class OnlineTopics(_Model):
             weight = sum(x[p] for x, p in zip(logs, places, strict=True))
             counts = tokens["n"].astype(float)
             stats = [np.zeros_like(v) for v in values]
-            bound, first = 0.0, np.flatnonzero(np.concatenate([[True], tokens["id"][1:] != tokens["id"][:-1]])) if len(counts) else []
-            for low, high in zip(first, [*first[1:], len(counts)], strict=True):
-                w, c = weight[low:high], counts[low:high]
-                gamma = np.full(s.topics, s.prior + c.sum() / s.topics)
-                for _ in range(inner):
-                    before = gamma
-                    mixed = expectation(gamma) + w
-                    share = np.exp(mixed - logsumexp(mixed)[:, None])
-                    gamma = s.prior + c @ share
-                    if np.abs(gamma - before).mean() < near:
-                        break
-                for m in range(used):
-                    np.add.at(stats[m], places[m][low:high], share * c[:, None])
-                bound += float((c * logsumexp(expectation(gamma) + w)).sum())
+            names, doc = np.unique(tokens["id"], return_inverse=True)  # tokens stand by document
+            gamma = s.prior + np.repeat(np.bincount(doc, counts)[:, None], s.topics, axis=1) / s.topics
+            loads = np.zeros_like(weight)
+            open_ = np.ones(len(names), bool)
+            for _ in range(inner):  # all documents at once; those that have settled rest
+                at = np.flatnonzero(open_[doc])
+                own, starts = np.unique(doc[at], return_index=True)
+                mixed = expectation(gamma)[doc[at]] + weight[at]
+                loads[at] = np.exp(mixed - logsumexp(mixed)[:, None]) * counts[at, None]
+                new = s.prior + np.add.reduceat(loads[at], starts, axis=0)
+                open_[own] = np.abs(new - gamma[own]).mean(axis=1) >= near
+                gamma[own] = new
+                if not open_.any():
+                    break
+            for m in range(used):
+                np.add.at(stats[m], places[m], loads)
+            bound = float((counts * logsumexp(expectation(gamma)[doc] + weight)).sum())
             out = _summed(stats, ids, bound)
-            return out.append_column("docs", pa.array([0] * (len(out) - 1) + [len(first)], pa.int64()))
+            return out.append_column("docs", pa.array([0] * (len(out) - 1) + [len(names)], pa.int64()))
 
         cells = Cells(docs, used, s.cell, split=False)
         found = stored(cells.run(self.parameters, fit, SUMS + ", docs bigint"))
