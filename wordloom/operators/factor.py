@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from wordloom.functions.columns import uniform
+from wordloom.functions.scratch import remove, scratch_dir, stored
 from wordloom.operators import ratings as R
 
 
@@ -85,46 +89,126 @@ def by_svd(rank: int, epochs: int = 10_000) -> R.Cleaner:
 
 
 def zero_filled_svd(ratings: DataFrame, rank: int) -> DataFrame:
-    """Rank-``rank`` reconstruction of the rating matrix with blanks as 0, for every cell."""
+    """Rank-``rank`` reconstruction of the rating matrix with blanks as 0, for every cell; names become text."""
+    item = F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in R.ITEM)))
+    cells = ratings.groupBy(item.alias("target"), F.col("subject").cast("string").alias("context")).agg(F.first("rating").alias("value"))
+    names = F.from_json("target", "compound string, const string")
+    return reduce_space(*space_svd(cells, rank, extra=rank + 32)).select(names.alias("i"), F.col("context").alias("subject"), F.col("value").alias("rating")).select("i.compound", "i.const", "subject", "rating")
 
-    def rebuild(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix, items, subjects = _matrix(pdf)
-        u, s, v = np.linalg.svd(np.nan_to_num(matrix), full_matrices=False)
-        low = (u[:, :rank] * s[:rank]) @ v[:rank]
-        return pd.DataFrame([(*item, str(x), low[i, j]) for i, item in enumerate(items) for j, x in enumerate(subjects)], columns=list(R.COLUMNS))
 
-    typed = ratings.select(*(F.col(c).cast("string") for c in R.COLUMNS[:3]), "rating")
-    return typed.groupBy().applyInPandas(rebuild, "compound string, const string, subject string, rating double")
+def _grams(rows: DataFrame) -> np.ndarray:
+    """The sum of the outer products of ``values``: tasks add up their own, and groups of tasks those."""
+    fan_in = 64
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = None
+        for b in batches:
+            if len(b):
+                x = np.asarray(b.column("values").flatten()).reshape(len(b), -1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["place", "sum"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v) for v in table.sort_by("place").column("sum").to_pylist())
+        return pa.table({"place": pa.array([table.column("place")[0].as_py() // fan_in], pa.int64()), "sum": pa.array([total.tobytes()], pa.binary())})
+
+    parts, left = rows.select("values").mapInArrow(of_task, "place bigint, sum binary"), rows.rdd.getNumPartitions()
+    while left > fan_in:
+        parts = parts.groupBy(F.floor(F.col("place") / fan_in)).applyInArrow(add, "place bigint, sum binary")
+        left = -(-left // fan_in)
+    total = sum(np.frombuffer(r["sum"]) for r in sorted(parts.collect(), key=lambda r: r["place"]))
+    width = int(round(np.size(total) ** 0.5))
+    return np.reshape(total, (width, width))
+
+
+def _times(rows: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
+    """(key, values) with each row of values multiplied by a small matrix."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b.column("values").flatten()).reshape(len(b), -1) @ matrix if len(b) else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(x.tolist(), pa.list_(pa.float64()))], [key, "values"])
 
+    return rows.select(key, "values").mapInArrow(multiply, f"{key} string, values array<double>")
 
-def space_svd(space: DataFrame, rank: int, min_sigma: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distributed truncated SVD of a sparse space: (targets, sigmas, contexts) in long form.
+
+def _product(cells: DataFrame, rows: DataFrame, by: str, to: str, width: int) -> DataFrame:
+    """(to, values): the sparse cells times rows (by, values); sums of tasks are added up by ``to``."""
+    met = cells.join(rows, by)
+    return met.groupBy(to).agg(F.array(*(F.sum(F.col("value") * F.get("values", k)) for k in range(width))).alias("values"))
+
+
+def space_svd(space: DataFrame, rank: int, min_sigma: float | None = None, extra: int = 8, rounds: int = 60, tolerance: float = 1e-9, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Truncated SVD of a sparse space: (targets, sigmas, contexts) in long form.
 
     Targets: (target, k, value) with left vectors, contexts likewise with right
-    ones, sigmas: (k, sigma).  The context side must fit the driver, as for any
-    Gram-matrix method.
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    ones, sigmas: (k, sigma), without those below ``min_sigma`` or a ten-millionth of the first.
 
+    Block subspace iteration: a table of ``rank + extra`` numbers for each
+    context is multiplied by the cells and by their transpose, as joins and
+    sums, and made orthonormal by its small Gram matrix, until the singular
+    values change by less than ``tolerance`` of the first.  The driver holds
+    matrices of rank by rank only.
+    """
     spark = space.sparkSession
-    cells = space.groupBy("target", "context").agg(F.sum("value").alias("value"))
-    contexts = cells.select("context").distinct().withColumn("c", F.row_number().over(W.orderBy("context")) - 1)
-    targets = cells.select("target").distinct().withColumn("t", F.row_number().over(W.orderBy("target")) - 1)
-    width = contexts.count()
-    rows = cells.join(contexts, "context").join(targets, "target").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("cells"))
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda r: IndexedRow(r["t"], Vectors.sparse(width, [(x["c"], x["value"]) for x in r["cells"]]))))
-    svd = matrix.computeSVD(min(rank, width), computeU=True)
-    s = svd.s.toArray()
-    keep = [k for k in range(len(s)) if min_sigma is None or s[k] >= min_sigma]
-    sigmas = spark.createDataFrame([(k + 1, float(s[k])) for k in keep], "k int, sigma double")
-    v = svd.V.toArray()
-    right = spark.createDataFrame([(c, k + 1, float(v[c, k])) for c in range(width) for k in keep], "c int, k int, value double")
-    left = svd.U.rows.map(lambda r: (r.index, [float(x) for x in r.vector.toArray()])).toDF("t long, u array<double>").select("t", F.posexplode("u").alias("k", "value")).withColumn("k", F.col("k") + 1)
-    left = left.join(F.broadcast(sigmas.select("k")), "k")
-    return left.join(targets, "t").select("target", "k", "value"), sigmas, right.join(contexts, "c").select("context", "k", "value")
+    base, width = scratch_dir(spark), rank + extra
+    cells = stored(space.groupBy("target", "context").agg(F.sum("value").cast("double").alias("value")).filter("value <> 0"), f"{base}/cells")
+    start = cells.select("context").distinct().withColumn("values", F.array(*(uniform(f"{seed}-{k}", "context") - 0.5 for k in range(width))))
+
+    def orthonormal(rows: DataFrame, path: str) -> DataFrame:
+        for turn in (1, 2):
+            values, vectors = np.linalg.eigh(_grams(rows))
+            kept = values > 1e-14 * max(values.max(initial=0.0), np.finfo(float).tiny)
+            rows = stored(_times(rows, "context", vectors[:, kept] / np.sqrt(values[kept])), f"{path}-{turn}")
+            if values[kept].max() < 1e4 * values[kept].min():
+                break  # else once more, for what rounding has left
+        return rows
+
+    if cells.isEmpty():
+        none = [spark.createDataFrame([], f"{n} string, k int, value double") for n in ("target", "context")]
+        return none[0], spark.createDataFrame([], "k int, sigma double"), none[1]
+    right = orthonormal(stored(start, f"{base}/start"), f"{base}/right-0")
+    last = np.zeros(0)
+    for turn in range(1, rounds + 1):
+        size = len(right.first()["values"])
+        left = stored(_product(cells, right, "context", "target", size), f"{base}/left-{turn}")
+        squares, mix = np.linalg.eigh(_grams(left))
+        sigmas, mix = np.sqrt(np.maximum(squares[::-1], 0)), mix[:, ::-1]
+        if len(last) == len(sigmas) and np.abs(sigmas - last)[:rank].max() <= tolerance * sigmas[0]:
+            break
+        last = sigmas[: int((squares > 1e-14 * squares.max()).sum())]
+        if turn < rounds:
+            good = squares[::-1] > 1e-14 * squares.max()
+            turned = mix[:, good] / squares[::-1][good]
+            back = stored(_product(cells, _times(left, "target", turned), "target", "context", int(good.sum())), f"{base}/back-{turn}")
+            right = orthonormal(back, f"{base}/right-{turn}")
+            for old in (f"left-{turn}", f"back-{turn}", f"right-{turn - 1}-1", f"right-{turn - 1}-2"):
+                remove(spark, f"{base}/{old}")
+    keep = [k for k in range(min(rank, len(sigmas))) if sigmas[k] > 1e-7 * sigmas[0] and (min_sigma is None or sigmas[k] >= min_sigma)]
+    spread = lambda rows, key, m: _times(rows, key, m[:, keep]).select(key, F.posexplode("values").alias("k", "value")).select(key, (F.col("k") + 1).alias("k"), "value")
+    table = spark.createDataFrame([(i + 1, float(sigmas[k])) for i, k in enumerate(keep)], "k int, sigma double")
+    return spread(left, "target", mix / np.maximum(sigmas, 1e-300)), table, spread(right, "context", mix)
 
 
 def latent(targets: DataFrame, sigmas: DataFrame) -> DataFrame:
     """Coordinates of the targets: left vectors times singular values."""
     return targets.join(F.broadcast(sigmas), "k").select("target", "k", (F.col("value") * F.col("sigma")).alias("value"))
+
+
+def reduce_space(targets: DataFrame, sigmas: DataFrame, contexts: DataFrame, min_sigma: float | None = None, max_dim: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """(target, context, value): the space put together again from its factors, without small singular values or later dimensions.
+
+    Every target has a value for every context; ``wanted`` (target, context)
+    asks for some cells only.
+    """
+    kept = sigmas.filter(F.lit(True) if min_sigma is None else F.col("sigma") >= min_sigma).filter(F.lit(True) if max_dim is None else F.col("k") <= max_dim)
+    vector = lambda df, key: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias(f"_{key}"))
+    left, right = vector(latent(targets, kept), "target"), vector(contexts.join(F.broadcast(kept), "k"), "context")
+    if wanted is not None:
+        met = wanted.select("target", "context").join(left, "target").join(right, "context")
+        return met.select("target", "context", F.aggregate(F.zip_with("_target", "_context", lambda a, b: a["value"] * b["value"]), F.lit(0.0), lambda s, x: s + x).alias("value"))
+    long = lambda df, key, name: df.select(key, "k", F.col("value").alias(name))
+    return long(latent(targets, kept), "target", "u").join(long(contexts, "context", "v"), "k").groupBy("target", "context").agg(F.sum(F.col("u") * F.col("v")).alias("value"))

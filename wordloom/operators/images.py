@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.columns import cosine, divide, dot, norm_of, uniform, unit
-from wordloom.operators.stats import spearman
+from wordloom.operators.stats import spearman, spearman_p
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -80,13 +82,57 @@ def score_pairs(space: DataFrame, gold: DataFrame, measure: str = "cosine") -> D
 
 
 def subset_experiment(spaces: DataFrame, gold: DataFrame, names: list[str], measure: str = "cosine") -> DataFrame:
-    """(spaces, rho, n) for every subset, over the gold pairs that all spaces can score (Q34)."""
+    """(spaces, rho, n, p) for every subset, over the gold pairs that all spaces can score (Q34)."""
     shared = spaces.groupBy("word").agg(F.countDistinct("space").alias("n")).filter(F.col("n") == len(names)).select("word")
     usable = spaces.join(shared, "word", "left_semi")
     rows = [score_pairs(joined_space(usable, s), gold, measure).withColumn("spaces", F.lit("+".join(s))) for s in subsets(names)]
-    return spearman(reduce(DataFrame.unionByName, rows), "mean", "score", "spaces")
+    return spearman(reduce(DataFrame.unionByName, rows), "mean", "score", "spaces").withColumn("p", spearman_p("rho", "n"))
 
 
 def sampled_members(members: DataFrame, classes: DataFrame, share: float = 1.0, seed: int = 42) -> DataFrame:
     """Members (class, name, ...) of the listed classes (class), each kept with probability ``share`` by a hash of its name."""
     return members.join(classes.select("class").distinct(), "class", "left_semi").filter(uniform(seed, "class", "name") < share)
+
+
+def bands(values: np.ndarray, count: int = 4) -> list[tuple[int, list[float]]]:
+    """Sum, least and largest value of each of ``count`` equal stretches."""
+    return [(k, [float(part.sum()), float(part.min()), float(part.max())]) for k, part in enumerate(np.array_split(values, count)) if len(part)]
+
+
+def peaks(values: np.ndarray) -> list[tuple[int, list[float]]]:
+    """Each value above both of its neighbours, by its place."""
+    inner = np.flatnonzero((values[1:-1] > values[:-2]) & (values[1:-1] > values[2:])) + 1
+    return [(int(k), [float(values[k])]) for k in inner]
+
+
+def tally(values: np.ndarray, low: float = -1.0, high: float = 1.0, bins: int = 8) -> list[tuple[int, list[float]]]:
+    """One histogram over equal bins; what lies outside counts for the nearest."""
+    place = np.clip(np.floor((values - low) / (high - low) * bins), 0, bins - 1).astype(int)
+    return [(0, np.bincount(place, minlength=bins).astype(float).tolist())]
+
+
+#: Descriptor functions by name: each makes rows (place, values) of one array of numbers.
+FEATURE_FUNCTIONS: dict[str, Callable[[np.ndarray], list[tuple[int, list[float]]]]] = {"bands": bands, "peaks": peaks, "tally": tally}
+
+
+@F.udtf(returnType="feature string, place int, values array<double>")
+class Describe:
+    """Table function: the rows that the functions named in ``names`` (joined by commas) make of an array; none for a null or empty one."""
+
+    def eval(self, values: list, names: str):
+        x = np.array([v for v in values or [] if v is not None], float)
+        for name in filter(None, (names or "").split(",")):
+            if name not in FEATURE_FUNCTIONS:
+                raise ValueError(f"no feature function {name!r}")
+            for place, found in FEATURE_FUNCTIONS[name](x) if len(x) else []:
+                yield name, place, found
+
+
+def described(rows: DataFrame, column: str, *names: str) -> DataFrame:
+    """``rows`` with (feature, place, values): one row for each that a function makes of the array, called laterally."""
+    return rows.lateralJoin(Describe(F.col(column).outer(), F.lit(",".join(names))))
+
+
+def register_describe(spark: SparkSession, name: str = "describe_features") -> None:
+    """Make ``Describe`` callable from SQL: ``FROM t, LATERAL describe_features(t.v, 'bands,peaks')``."""
+    spark.udtf.register(name, Describe)

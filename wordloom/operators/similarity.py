@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -152,25 +152,28 @@ def conditional(topics: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.groupBy("left", "right").agg(F.sum(F.col("rw") * F.col("lt")).alias("right_given_left"), F.sum(F.col("lw") * F.col("rt")).alias("left_given_right"))
 
 
-def cosine_block(queries: DataFrame, space: DataFrame, block_rows: int = 4096) -> DataFrame:
-    """(query, word, cosine) of every query with every word; both (word, vector), queries a stated small set.
+def cosine_block(queries: DataFrame, space: DataFrame, query_tile: int = 256, word_tile: int = 4096) -> DataFrame:
+    """(query, word, cosine) of every query with every word; both (word, vector), each word once; queries a stated set.
 
-    Queries are put together into matrices of ``block_rows`` and meet the words
-    as rows of blocks, one matrix product for each block and Arrow batch.
+    Both sides are dealt into tiles of bounded size.  A pair of tiles meets in
+    one group as two tables, and one matrix product scores it, so each vector
+    travels once for every tile of the other side.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // block_rows))
-    asked = queries.select("word", "vector").withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)))
-    packed = asked.groupBy("block").agg(F.collect_list("word").alias("q_words"), F.collect_list("vector").alias("q_vectors"))
-    dealt = space.select("word", "vector").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, part in pdf.groupby("block"):
-                q = np.array(part["q_vectors"].iloc[0].tolist(), float)
-                x = np.array(part["vector"].tolist(), float)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sims = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                yield pd.DataFrame({"query": np.repeat(np.asarray(part["q_words"].iloc[0]), len(x)), "word": np.tile(part["word"].to_numpy(), len(q)), "cosine": sims.ravel()})
-
-    return dealt.join(packed, "block").mapInPandas(multiply, "query string, word string, cosine double")
+    tiles = [max(1, -(-df.count() // size)) for df, size in ((queries, query_tile), (space, word_tile))]
+    own = lambda df, n: df.select("word", "vector", F.pmod(F.xxhash64("word"), F.lit(n)).alias("_own"))
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    asked = own(queries, tiles[0]).select(F.col("word").alias("query"), F.col("vector").alias("asked"), F.col("_own").alias("a"), other(tiles[1]).alias("b"))
+    dealt = own(space, tiles[1]).select("word", "vector", other(tiles[0]).alias("a"), F.col("_own").alias("b"))
+
+    def matrix(table: pa.Table, column: str) -> np.ndarray:
+        x = np.asarray(table.column(column).combine_chunks().flatten(), float).reshape(len(table), -1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, x = len(left), len(right)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sims = matrix(left, "asked") @ matrix(right, "vector").T if q and x else np.zeros((q, x))
+        names = lambda column, at: column.combine_chunks().take(pa.array(at))
+        return pa.table({"query": names(left.column("query"), np.repeat(np.arange(q), x)), "word": names(right.column("word"), np.tile(np.arange(x), q)), "cosine": pa.array(sims.ravel(), pa.float64())})
+
+    return asked.groupBy("a", "b").cogroup(dealt.groupBy("a", "b")).applyInArrow(multiply, "query string, word string, cosine double")

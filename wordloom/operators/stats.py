@@ -124,24 +124,35 @@ def weighted_summary(df: DataFrame, value: str, count: str, *group: str, shares:
     return out.alias("a").join(places.alias("b"), same, "left").select(*(f"a.{c}" for c in out.columns), *(f"b.{c}" for c in places.columns if c not in group))
 
 
-def mean_interval(mean: float, variance: float, n: int, level: float = 0.95) -> tuple[float, float]:
-    """Bayesian interval of a mean: t for up to 1000 values, else normal."""
-    scale = math.sqrt(variance / n)
-    if n > 1000:
-        z = NormalDist().inv_cdf(0.5 + level / 2)
-        return mean - z * scale, mean + z * scale
-    low, high = 0.0, 1e6
-    for _ in range(200):
+def t_quantile(share: float, df: np.ndarray | float) -> np.ndarray:
+    """The t value that leaves ``share`` of the probability outside on both sides, for whole arrays of degrees of freedom."""
+    df = np.asarray(df, float)
+    low, high = np.zeros(df.shape), np.full(df.shape, 1e6)
+    for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if t_two_sided(mid, n - 1) > 1 - level else (low, mid)
-    return mean - high * scale, mean + high * scale
+        outside = t_two_sided(mid, df) > share
+        low, high = np.where(outside, mid, low), np.where(outside, high, mid)
+    return high
+
+
+def mean_interval(mean: np.ndarray | float, variance: np.ndarray | float, n: np.ndarray | int, level: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+    """Bayesian interval of a mean: t for up to 1000 values, else normal; single numbers or whole arrays."""
+    n = np.asarray(n, float)
+    sizes, place = np.unique(np.where(n > 1000, 0, n), return_inverse=True)
+    normal = NormalDist().inv_cdf(0.5 + level / 2)
+    quantile = np.where(sizes == 0, normal, t_quantile(1 - level, np.maximum(sizes - 1, 1)))[place].reshape(n.shape)
+    half = quantile * np.sqrt(np.asarray(variance, float) / n)
+    return np.asarray(mean, float) - half, np.asarray(mean, float) + half
 
 
 @F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
 def interval_of(mean: pd.Series, variance: pd.Series, n: pd.Series) -> pd.DataFrame:
     """``mean_interval`` at 0.95 for columns; null without values."""
-    rows = [mean_interval(float(m), float(v), int(k)) if pd.notna(m) and pd.notna(v) and k > 1 else (None, None) for m, v, k in zip(mean, variance, n, strict=True)]
-    return pd.DataFrame(rows, columns=["low", "high"])
+    m, v, k = (x.to_numpy(float, na_value=np.nan) for x in (mean, variance, n))
+    known = ~np.isnan(m) & ~np.isnan(v) & (k > 1)
+    low, high = mean_interval(np.where(known, m, 0.0), np.where(known, v, 1.0), np.where(known, k, 2.0))
+    blank = lambda x: pd.Series(np.where(known, x, np.nan)).replace({np.nan: None}).astype("Float64")
+    return pd.DataFrame({"low": blank(low), "high": blank(high)})
 
 
 def trial_summary(df: DataFrame, value: str, *group: str) -> DataFrame:

@@ -444,7 +444,16 @@ c AS (SELECT 'a' AS spaces, mean, round(list_cosine_similarity(a1, b1), 9) AS sc
 def space_subsets(s, d):
     ids = X.table(s, d, "embeddings").select("vec_id")
     gold = ids.select(F.concat(F.lit("v"), "vec_id").alias("compound"), F.concat(F.lit("v"), F.col("vec_id") + 1).alias("const"), ((F.col("vec_id") * 7 + F.col("vec_id") + 1) % 11).cast("double").alias("mean"))
-    return images.subset_experiment(_spaces(s, d), gold, ["a", "b"])
+    return images.subset_experiment(_spaces(s, d), gold, ["a", "b"]).drop("p")
+
+
+_SPLIT = "SELECT vec_id, 'bands' AS feature, CAST(k AS INTEGER) AS place, CAST(embedding[16 * k + 1 : 16 * k + 16] AS DOUBLE[]) AS v FROM embeddings, (SELECT UNNEST(range(4)) AS k)"
+query("image_features", f"""WITH b AS ({_SPLIT}), i AS (SELECT vec_id, k, CAST(embedding AS DOUBLE[]) AS e FROM embeddings, (SELECT UNNEST(range(2, 64)) AS k)),
+t AS (SELECT vec_id, list_transform(range(8), lambda j: CAST(len(list_filter(embedding, lambda x: least(greatest(floor((CAST(x AS DOUBLE) + 1) / 2 * 8), 0), 7) = j)) AS DOUBLE)) AS v FROM embeddings)
+SELECT vec_id, feature, place, round(list_sum(v), 6) + 0.0 AS first, round(list_max(v), 6) + 0.0 AS last FROM b
+UNION ALL SELECT vec_id, 'peaks', CAST(k - 1 AS INTEGER), round(e[k], 6) + 0.0, round(e[k], 6) + 0.0 FROM i WHERE e[k] > e[k - 1] AND e[k] > e[k + 1]
+UNION ALL SELECT vec_id, 'tally', 0, v[1], v[8] FROM t""")(lambda s, d: images.described(X.table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", "bands", "peaks", "tally").select("vec_id", "feature", "place", F.get("values", 0).alias("first"), F.element_at("values", -1).alias("last")))
+query("svd_reduced", f"WITH {X.PAIRS}, g AS (SELECT split_part(target, '/', 1) AS target, context, SUM(value) AS value FROM pairs GROUP BY 1, 2) SELECT target, context, round(value / sqrt(SUM(value * value) OVER (PARTITION BY target)), 6) + 0.0 AS value FROM g")(lambda s, d: factor.reduce_space(*factor.space_svd(P.norm2(P.without_pos(X.pairs(s, d))), 5)))
 
 
 # --- iterative ------------------------------------------------------------------------------------
