@@ -84,3 +84,47 @@ def test_topic_models_find_two_blocks(spark):
     best = topics.top_items(model.tables(spark)["word"], 3).groupBy("topic").agg(F.sort_array(F.collect_list("item")).alias("items"))
     assert sorted(r["items"] for r in best.collect()) == [[1, 2, 3], [4, 5, 6]]
     assert model.trace[-1][1] >= model.trace[0][1]
+
+
+def test_evaluation_tables_by_name(spark, tmp_path):
+    for name, words in (("train", "grün Haus"), ("valid", "blau Haus"), ("test", "rot Haus")):
+        put(tmp_path / f"disco.{name}.tsv", f"x_ADJ_NN\t{words}\t{len(words)}.5\n")
+    head, mod = "Haustür\tTür\t6\n", "Haustür\tHaus\t5\n"
+    for name, text in (("comp", mod + head + "Haustür\tHaustür\t7\n"), ("comp.head", head), ("comp.mod", mod)):
+        put(tmp_path / f"{name}.tsv", "compound\tconst\tmean\n" + text)
+    put(tmp_path / "schm280.tsv", "Translation Word 1\tTranslation Word 2\tHuman (mean)\ngrün\tHaus\t3\ngrün\tMaus\t3\n")
+    vocabulary = spark.createDataFrame([(w,) for w in ("grün/ADJD", "blau/ADJA", "rot/ADJA", "Haus/NN", "Tür/NN", "Haustür/NN")], "label string")
+    rows = lambda method: sorted((r["left"], r["right"]) for r in readers.read_eval_table(spark, str(tmp_path), vocabulary, method).collect())
+    assert rows("discotrain") == [("grün/ADJD", "Haus/NN")] and rows("discovalid") == [("blau/ADJA", "Haus/NN")]
+    assert rows("discotrainvalid") == [("blau/ADJA", "Haus/NN"), ("grün/ADJD", "Haus/NN")]
+    assert len(rows("disco")) == 3
+    assert rows("comp") == [("Haus/NN", "Haustür/NN"), ("Tür/NN", "Haustür/NN")]
+    assert rows("comphead") == [("Tür/NN", "Haustür/NN")] and rows("compmod") == [("Haus/NN", "Haustür/NN")]
+    assert rows("schm280") == [("grün/ADJD", "Haus/NN")]
+    with pytest.raises(ValueError, match="not supported"):
+        rows("wordsim")
+
+
+def test_vocabulary_lines_and_downloads(spark, tmp_path):
+    skipped = readers.read_space(spark, put(tmp_path / "s.tsv", "word\tdim\tweight\ncat/NN\tfur\t2\n"), skip_first=True)
+    assert [tuple(r) for r in skipped.collect()] == [("cat/NN", "fur", 2.0)]
+    names = readers.read_vocabulary(spark, put(tmp_path / "v", "12 Haus/NN\n3 gehen/VVINF\n1 Haus/NE\n"))
+    assert sorted(r["word"] for r in names.collect()) == ["Haus", "gehen"]
+    rows = readers.read_downloads(spark, put(tmp_path / "d", "cat\thttp://x.org/a/b.jpg?s=1\ncat\thttp://x.org/c.png\n"))
+    assert {r["name"].split("-", 1)[1] for r in rows.collect()} == {"b.jpg", "c.png"}
+    done = rows.filter("url LIKE '%c.png'").select("name")
+    assert [r["url"] for r in readers.read_downloads(spark, str(tmp_path / "d"), done).collect()] == ["http://x.org/a/b.jpg?s=1"]
+
+
+def test_images_in_archives(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tar", "w") as tar:
+        for name, data in (("x/1.jpg", b"one"), ("2.jpg", b"two")):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    put(tmp_path / "broken.tar", "no archive at all")
+    found = readers.read_image_members(spark, str(tmp_path / "*.tar")).collect()
+    assert {(r["member"], bytes(r["content"])) for r in found} == {("x/1.jpg", b"one"), ("2.jpg", b"two")}

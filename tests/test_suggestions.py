@@ -47,3 +47,27 @@ def test_few_pairs_are_met(spark):
 
 def test_empty_table(spark):
     assert norms.suggestions(spark.createDataFrame([], "feature string, total double")).collect() == []
+
+
+def test_association_pipeline_by_hand(spark):
+    """Sparse percentiles against cosines of all words in numpy, zeros and negative ones among them."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = ["a/NN", "b/NN", "b/VV", "c/NN", "d/NN", "e/NN"]
+    x = rng.standard_normal((6, 5)) * (rng.random((6, 5)) < 0.5)
+    x[:, 0] += np.array([1, 0, 1, 0, 0, 1])
+    x[4] = [0, 0, 0, 0, 2.0]
+    cells = [(w, f"x{j}", float(x[i, j])) for i, w in enumerate(words) for j in range(5) if x[i, j]]
+    space = spark.createDataFrame(cells, "target string, context string, value double")
+    n = spark.createDataFrame([("a", "b", 3), ("a", "a", 9), ("a", "d", 1), ("a", "zzz", 4), ("zzz", "a", 1), ("c", "e", 2)], "cue string, response string, count long")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    cos = np.round(unit @ unit.T, 12)
+    pct = lambda i: np.array([np.ceil((cos[i] < v).sum() + ((cos[i] == v).sum() + 1) / 2) for v in cos[i]]) / 6
+    hits = [max(pct(0)[1:3])] * 3 + [pct(0)[4]] + [pct(3)[5]] * 2
+    r = norms.association_pipeline(space, n).first()
+    assert (r["n"], r["own"], r["unknown"], r["higher"]) == (6, 1, 2, 1)
+    assert r["mean"] == pytest.approx(np.mean(hits)) and r["std"] == pytest.approx(np.std(hits)) and r["p50"] == pytest.approx(np.percentile(hits, 50))
+    assert r["low"] < r["low50"] < r["mean"] < r["high50"] < r["high"]
+    ranks = {(k["cue"], k["word"]): k["pct"] for k in norms.sparse_percentiles(space, spark.createDataFrame([("a",)], "word string")).collect()}
+    assert all(ranks[k] == pytest.approx(pct(0)[words.index(k[1])]) for k in ranks if k[1])

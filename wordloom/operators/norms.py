@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from wordloom.functions.columns import divide, word_of
 from wordloom.functions.scratch import stored
 from wordloom.operators.similarity import cosine_block
-from wordloom.operators.stats import percentile_rank, weighted_summary
+from wordloom.operators.stats import interval_at, interval_of, midrank, percentile_rank, weighted_summary
 
 
 def count_associations(raw: DataFrame) -> DataFrame:
@@ -70,6 +70,60 @@ def norm_percentiles(space: DataFrame, norms: DataFrame, suffix: str = "/NN") ->
     return ranks.join(norms, ["cue", "response"]).groupBy("cue", "response").agg(F.max("count").alias("count"), F.max("pct").alias("pct"))
 
 
+def sparse_percentiles(space: DataFrame, cues: DataFrame, suffix: str = "/NN") -> DataFrame:
+    """(cue, word, pct): for each cue (word), the percentile of every word's cosine with it among all words, its own too.
+
+    ``space``: sparse cells (target, context, value).  A cue is looked up with
+    ``suffix``.  Only words that share a context with a cue are listed and
+    ranked; all others have a cosine of 0 and the percentile of that, which the
+    row with a null word holds.
+    """
+    space = stored(space.groupBy("target", "context").agg(F.sum("value").alias("value")).filter("value <> 0"))
+    length = space.groupBy("target").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
+    own = space.join(cues.select("word").distinct().select(F.col("word").alias("cue"), F.concat("word", F.lit(suffix)).alias("target")), "target")
+    dots = own.select("cue", "context", F.col("value").alias("x")).join(space, "context").groupBy("cue", "target").agg(F.sum(F.col("x") * F.col("value")).alias("dot"))
+    sides = own.select("cue", "target").distinct().join(length, "target").select("cue", F.col("length").alias("_l"))
+    sims = dots.join(sides, "cue").join(length, "target").select("cue", F.col("target").alias("word"), F.round(F.col("dot") / (F.col("_l") * F.col("length")), 12).alias("cosine"))
+    sims = stored(sims.filter("cosine <> 0"))
+    words = length.agg(F.count("*").alias("_all"))
+    sizes = sides.select("cue").join(sims.groupBy("cue").agg(F.count("*").alias("_k"), F.count_if(F.col("cosine") < 0).alias("_less")), "cue", "left").na.fill(0).crossJoin(F.broadcast(words))
+    ranked = sims.withColumn("_r", midrank("cosine", "cue")).join(sizes, "cue")
+    place = F.col("_r") + F.when(F.col("cosine") > 0, F.col("_all") - F.col("_k")).otherwise(0)
+    zero = F.ceil(F.col("_less") + (F.col("_all") - F.col("_k") + 1) / F.lit(2.0)) / F.col("_all").cast("double")
+    rest = sizes.select("cue", F.lit(None).cast("string").alias("word"), zero.alias("pct"))
+    return ranked.select("cue", "word", (F.ceil(place) / F.col("_all").cast("double")).alias("pct")).unionByName(rest)
+
+
+def association_pipeline(space: DataFrame, norms: DataFrame, suffix: str = "/NN") -> DataFrame:
+    """One row: how high a weighted space ranks the responses of association norms.
+
+    ``space``: (target, context, value), targets with parts of speech; ``norms``:
+    (cue, response, count).  Cues that are their own response, and those or
+    responses that the space lacks, are counted (own, unknown) and left out.  A
+    response stands for all its parts of speech, of which the best counts;
+    ``higher`` counts the others.  Mean, deviation and percentiles weigh hits by
+    ``count``; low and high are the Bayesian interval of the mean at 0.95, and low50 and high50 at 0.5.
+    """
+    targets = space.select("target").distinct()
+    forms = targets.select("target", word_of(F.col("target")).alias("response"))
+    known = forms.select(F.col("response").alias("word")).distinct()
+    usable = stored(usable_associations(norms, known))
+    cued = usable.join(targets.filter(F.endswith("target", F.lit(suffix))).select(word_of(F.col("target")).alias("cue")), "cue", "left_semi")
+    ranks = stored(sparse_percentiles(space, cued.select(F.col("cue").alias("word")), suffix))
+    options = cued.join(forms, "response").join(ranks.filter("word IS NOT NULL").withColumnRenamed("word", "target"), ["cue", "target"], "left")
+    options = options.join(ranks.filter("word IS NULL").select("cue", F.col("pct").alias("_zero")), "cue")
+    hits = stored(options.groupBy("cue", "response").agg(F.max("count").alias("count"), F.max(F.coalesce("pct", "_zero")).alias("pct"), F.count("*").alias("_forms")))
+    out = weighted_summary(hits, "pct", "count")
+    counts = norms.agg(F.count_if(F.col("cue") == F.col("response")).alias("own"), F.count("*").alias("_rows"))
+    more = hits.agg(F.sum(F.col("_forms") - 1).alias("higher"))
+    out = out.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(usable.agg(F.count("*").alias("_usable")))).crossJoin(F.broadcast(more))
+    spread = F.col("std") * F.col("std") * F.when(F.col("n") > 1000, F.lit(1.0)).otherwise(F.col("n") / (F.col("n") - 1).cast("double"))
+    out = out.withColumn("_i", interval_of("mean", spread, "n")).withColumn("_h", interval_at(0.5)("mean", spread, "n"))
+    drop = ["_rows", "_usable", "_i", "_h"]
+    named = {"unknown": F.col("_rows") - F.col("own") - F.col("_usable"), "low": F.col("_i.low"), "high": F.col("_i.high"), "low50": F.col("_h.low"), "high50": F.col("_h.high")}
+    return out.withColumns(named).drop(*drop)
+
+
 def feature_totals(norms: DataFrame) -> DataFrame:
     return norms.groupBy("feature").agg(F.sum("cnt").alias("total"))
 

@@ -145,14 +145,21 @@ def mean_interval(mean: np.ndarray | float, variance: np.ndarray | float, n: np.
     return np.asarray(mean, float) - half, np.asarray(mean, float) + half
 
 
-@F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
-def interval_of(mean: pd.Series, variance: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """``mean_interval`` at 0.95 for columns; null without values."""
-    m, v, k = (x.to_numpy(float, na_value=np.nan) for x in (mean, variance, n))
-    known = ~np.isnan(m) & ~np.isnan(v) & (k > 1)
-    low, high = mean_interval(np.where(known, m, 0.0), np.where(known, v, 1.0), np.where(known, k, 2.0))
-    blank = lambda x: pd.Series(np.where(known, x, np.nan)).replace({np.nan: None}).astype("Float64")
-    return pd.DataFrame({"low": blank(low), "high": blank(high)})
+def interval_at(level: float) -> Callable[..., Column]:
+    """``mean_interval`` at a level for columns (mean, variance, n), as a struct of low and high; null without values."""
+
+    @F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
+    def interval(mean: pd.Series, variance: pd.Series, n: pd.Series) -> pd.DataFrame:
+        m, v, k = (x.to_numpy(float, na_value=np.nan) for x in (mean, variance, n))
+        known = ~np.isnan(m) & ~np.isnan(v) & (k > 1)
+        low, high = mean_interval(np.where(known, m, 0.0), np.where(known, v, 1.0), np.where(known, k, 2.0), level)
+        blank = lambda x: pd.Series(np.where(known, x, np.nan)).replace({np.nan: None}).astype("Float64")
+        return pd.DataFrame({"low": blank(low), "high": blank(high)})
+
+    return interval
+
+
+interval_of = interval_at(0.95)
 
 
 def trial_summary(df: DataFrame, value: str, *group: str) -> DataFrame:

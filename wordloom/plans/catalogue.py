@@ -232,6 +232,27 @@ query("assoc_best_hits", f"WITH {X.PAIRS}, {_RANKED} SELECT cue, response, count
 _REP = "rep AS (SELECT pct FROM hits, LATERAL (SELECT UNNEST(range(count))))"
 _SHARES = ((0.05, 5), (0.1, 10), (0.25, 25), (0.5, 50), (0.75, 75), (0.9, 90), (0.95, 95))
 query("assoc_ranked_norms", f"WITH {X.PAIRS}, {_RANKED}, rep AS (SELECT pct, UNNEST(range(count)) AS k FROM hits) SELECT COUNT(*) AS n, {r6('AVG(pct)', 'mean')}, {r6('stddev_pop(pct)', 'std')}, {', '.join(r6(f'quantile_cont(pct, {s})', f'p{k}') for s, k in _SHARES)}, {r6('SUM(pct) / (SELECT SUM(count) FROM sn)', 'coverage_mean')} FROM rep")(lambda s, d: N.ranked_norms(_ranked_pairs(s, d), _segment_norms(s, d)))
+# cosines of the segments' rows of one nation with all rows; weights are moved about 0, so that some cosines are negative and words lack contexts
+_VSM = f"""{X.PAIRS}, sp AS (SELECT target, context, value - 1000 AS value FROM pairs WHERE value - 1000 <> 0 AND {X.u_sql("9", "target", "context")} < 0.3),
+sn AS (SELECT split_part(target, '/', 1) AS cue, split_part(context, '#', 2) AS b, COUNT(*) AS count FROM pairs GROUP BY 1, 2),
+norms AS (SELECT cue, CASE WHEN CAST(b AS INT) % 3 = 0 THEN cue WHEN CAST(b AS INT) % 3 = 1 THEN 'none' ELSE ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'][CAST(b AS INT) % 5 + 1] END AS response, CAST(SUM(count) AS BIGINT) AS count FROM sn GROUP BY 1, 2),
+len AS (SELECT target, sqrt(SUM(value * value)) AS l FROM sp GROUP BY 1), allw AS (SELECT COUNT(*) AS n FROM len),
+cosines AS (SELECT split_part(a.target, '/', 1) AS cue, b.target AS word, round(coalesce((SELECT SUM(x.value * y.value) FROM sp x JOIN sp y USING (context) WHERE x.target = a.target AND y.target = b.target), 0) / (a.l * b.l), 12) AS c FROM len a, len b WHERE a.target LIKE '%/NATION_7'),
+pcts AS (SELECT cue, word, ceil({_RANK.format(g="cue", x="c")}) / COUNT(*) OVER (PARTITION BY cue) AS pct FROM cosines)"""
+
+
+def _vsm(s, d):
+    space = X.pairs(s, d).withColumn("value", F.col("value") - 1000).filter(uniform(9, "target", "context") < 0.3)
+    b = F.split("context", "#")[1].cast("int")
+    response = F.when(b % 3 == 0, F.col("cue")).when(b % 3 == 1, F.lit("none")).otherwise(F.element_at(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"))), b % 5 + 1))
+    norms = X.pairs(s, d).withColumn("cue", word_of(F.col("target"))).groupBy("cue", response.alias("response")).agg(F.count("*").alias("count"))
+    return N.association_pipeline(space, norms, "/NATION_7").select("n", "mean", "std", "p5", "p50", "p95", "own", "unknown", "higher")
+
+
+query("assoc_pipeline", f"""WITH {_VSM}, ok AS (SELECT cue, response, count FROM norms WHERE cue <> response AND response IN (SELECT split_part(target, '/', 1) FROM len) AND cue IN (SELECT split_part(target, '/', 1) FROM len)),
+hits AS (SELECT cue, response, MAX(count) AS count, MAX(pct) AS pct, COUNT(*) AS forms FROM ok JOIN pcts USING (cue) WHERE split_part(word, '/', 1) = response GROUP BY 1, 2), rep AS (SELECT pct, UNNEST(range(count)) AS k FROM hits)
+SELECT COUNT(*) AS n, {r6("AVG(pct)", "mean")}, {r6("stddev_pop(pct)", "std")}, {r6("quantile_cont(pct, 0.05)", "p5")}, {r6("quantile_cont(pct, 0.5)", "p50")}, {r6("quantile_cont(pct, 0.95)", "p95")}, (SELECT COUNT(*) FROM norms WHERE cue = response) AS own,
+  (SELECT COUNT(*) FROM norms WHERE cue <> response) - (SELECT COUNT(*) FROM ok) AS unknown, CAST((SELECT SUM(forms - 1) FROM hits) AS BIGINT) AS higher FROM rep""")(_vsm)
 query("feat_totals", "SELECT p_type AS feature, CAST(SUM(p_size) AS BIGINT) AS total FROM part GROUP BY 1")(lambda s, d: N.feature_totals(X.table(s, d, "part").select(F.col("p_type").alias("feature"), F.col("p_size").alias("cnt"))))
 query("feat_suggest", f"WITH {X.FEATURES}, c AS (SELECT a.feature, b.feature AS other, CAST(levenshtein(a.feature, b.feature) AS DOUBLE) AS distance, ln(b.total) / levenshtein(a.feature, b.feature) AS weight FROM features a JOIN features b ON a.feature <> b.feature), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY feature ORDER BY weight DESC, other) AS INTEGER) AS rank FROM c) SELECT feature, other, distance, {r6('weight', 'weight')}, rank FROM k WHERE rank <= 5")(lambda s, d: N.suggestions(X.features(s, d)))
 

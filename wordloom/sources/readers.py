@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions.columns import download_name, word_of
 from wordloom.operators import ratings as R
 
 
@@ -16,9 +17,9 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("word")).filter("word <> ''")
 
 
-def read_space(spark: SparkSession, *paths: str) -> DataFrame:
-    """(target, context, value) from tab-separated files without header; blank lines and zeros leave."""
-    rows = spark.read.schema("target string, context string, value double").option("sep", "\t").option("quote", "").csv(list(paths))
+def read_space(spark: SparkSession, *paths: str, skip_first: bool = False) -> DataFrame:
+    """(target, context, value) from tab-separated files, whose first lines can be skipped; blank lines and zeros leave."""
+    rows = spark.read.schema("target string, context string, value double").option("sep", "\t").option("quote", "").option("header", skip_first).option("enforceSchema", True).csv(list(paths))
     return rows.filter("target IS NOT NULL AND value <> 0")
 
 
@@ -120,6 +121,55 @@ def read_compound_gold(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat("const", F.lit("/NN")).alias("left"), F.concat("compound", F.lit("/NN")).alias("right"), F.col("mean").cast("double").alias("similarity"))
 
 
+#: Files of the evaluation tables, by table and part.
+EVAL_FILES = {
+    "discotrain": "disco.train.tsv", "discovalid": "disco.valid.tsv", "discotest": "disco.test.tsv",
+    "comp": "comp.tsv", "comphead": "comp.head.tsv", "compmod": "comp.mod.tsv", "schm280": "schm280.tsv",
+}
+#: What is read for a name: several parts are added up; trainvalid has no row of the test part (Q25).
+EVAL_PARTS = {"disco": ("discotrain", "discovalid", "discotest"), "discotrainvalid": ("discotrain", "discovalid")}
+
+
+def read_eval_table(spark: SparkSession, folder: str, vocabulary: DataFrame, method: str, files: dict[str, str] | None = None) -> DataFrame:
+    """(left, right, similarity) of an evaluation table by its name, words tagged.
+
+    disco, its parts discotrain, discovalid, discotest and discotrainvalid, and
+    schm280 take the tagged forms that ``vocabulary`` (label) has, and leave out
+    pairs without one; comp, comphead and compmod are nouns.
+    """
+    files = EVAL_FILES | (files or {})
+    parts = EVAL_PARTS.get(method, (method,))
+    if any(p not in files for p in parts):
+        raise ValueError(f"table {method!r} is not supported; there are {', '.join(sorted({*files, *EVAL_PARTS}))}")
+    tables = [f"{folder}/{files[p]}" for p in parts]
+    if method.startswith("comp"):
+        return read_compound_gold(spark, tables[0])
+    if method == "schm280":
+        return tagged_pairs(read_human_pairs(spark, tables[0]), vocabulary)
+    from wordloom.operators.topics import resolve_tags
+
+    rows = read_gold_pairs(spark, tables[0])
+    for t in tables[1:]:
+        rows = rows.unionByName(read_gold_pairs(spark, t))
+    for side in ("left", "right"):
+        words = rows.select(F.col(side).alias("word"), F.col(f"{side}_pos").alias("pos")).distinct()
+        found = resolve_tags(words, vocabulary).toDF(side, f"{side}_pos", f"_{side}")
+        rows = rows.join(found, [side, f"{side}_pos"])
+    return rows.select(F.col("_left").alias("left"), F.col("_right").alias("right"), "similarity")
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(word): the second fields of lines, parts of speech off, each word once."""
+    word = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).filter(F.size(word) >= 2).select(word_of(word[1]).alias("word")).distinct()
+
+
+def read_downloads(spark: SparkSession, path: str, present: DataFrame | None = None) -> DataFrame:
+    """(keyword, url, name) of lists of downloads; those whose file name is in ``present`` (name) leave."""
+    rows = spark.read.schema("keyword string, url string").option("sep", "\t").csv(path).withColumn("name", download_name(F.col("url")))
+    return rows if present is None else rows.join(present.select("name").distinct(), "name", "left_anti").select("keyword", "url", "name")
+
+
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, xmin, ymin, xmax, ymax) of the objects in annotation files, one file a row."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
