@@ -112,3 +112,29 @@ def test_noise_grids(spark, grid):
 def test_names_of_settings():
     assert list(grid_settings([0.1], [1.25], [3])) == ["baseline", "min_rho=0.1", "zscore=1.25", "svd_k=3"]
     assert {k for k, _ in grid_settings([1], [1], [1]).values()} <= set(cleanup.KINDS)
+
+
+def test_low_rank_predictions(spark):
+    """Hidden cells as by completing the visible matrix in numpy, for each rank."""
+    import numpy as np
+
+    rows = study(spark, people=6)
+    split = noise.hold_out(rows, 4, 2)
+    found = {(r["trial"], r["compound"], r["const"], r["subject"], r["rank"]): r["guess"] for r in noise.low_rank_predictions(split, [1, 3], 100).collect()}
+    table = split.toPandas()
+    assert {k[4] for k in found} == {1, 3}
+    for trial, own in table.groupby("trial"):
+        seen = own[~own["held"]].pivot_table(index=["compound", "const"], columns="subject", values="rating").sort_index().sort_index(axis=1)
+        u, v = factor.complete_rank(seen.to_numpy(float), 3, 100)
+        for r in own[own["held"]].itertuples():
+            if (r.compound, r.const) in seen.index and r.subject in seen.columns:
+                i, j = seen.index.get_loc((r.compound, r.const)), seen.columns.get_loc(r.subject)
+                for k in (1, 3):
+                    assert np.isclose(found[trial, r.compound, r.const, r.subject, k], u[i, :k] @ v[:k, j])
+
+
+def test_errors_of_data_sets(spark):
+    heads, mods, whole = study(spark, ("h",)), study(spark, ("m",), seed=4), study(spark, ("w",), seed=2)
+    rows = noise.data_set_errors(heads, mods, whole, blanks=3, count=2, ranks=[1, 2], epochs=60).collect()
+    assert {(r["data"], r["model"]) for r in rows} == {(d, m) for d in ("head", "mod", "whole", "both") for m in ("common", "item", "subject_mean", "item_subject", "svd1", "svd2")}
+    assert all(r["mean"] >= 0 and r["trials"] == 2 for r in rows)

@@ -190,11 +190,41 @@ def predictions(split: DataFrame) -> DataFrame:
     return rows.select("trial", *R.COLUMNS, "common", by_item.alias("item"), by_subject.alias("subject_mean"), F.sqrt(by_item * by_subject).alias("item_subject"))
 
 
-def prediction_errors(ratings: DataFrame, blanks: int = 50, count: int = 100, seed: int = 42) -> DataFrame:
-    """(model, mean, std, trials, low, high) of the root mean squared errors by trial."""
-    guesses = predictions(hold_out(ratings, blanks, count, seed))
+def low_rank_predictions(split: DataFrame, ranks: list[int], epochs: int = 10_000) -> DataFrame:
+    """(trial, compound, const, subject, rating, rank, guess): the hidden cells by the first factors of the others' completion.
+
+    Factors are nested, so they are fitted once for the largest rank and added
+    up; only hidden cells are put together.  Cells of an item or a subject
+    without other ratings leave.
+    """
+    from wordloom.operators.factor import completion_factors
+
+    text = [F.col(c).cast("string").alias(c) for c in (*R.ITEM, "subject")]
+    factors = stored(completion_factors(split.filter(~F.col("held")), max(ranks), [("trial", "int")], epochs))
+    items = factors.filter("side = 'item'").select("trial", "k", *R.ITEM, F.col("value").alias("u"))
+    people = factors.filter("side = 'subject'").select("trial", "k", "subject", F.col("value").alias("v"))
+    cells = split.filter("held").select("trial", *text, "rating").join(items, ["trial", *R.ITEM]).join(people, ["trial", "k", "subject"])
+    reached = F.sum(F.col("u") * F.col("v")).over(W.partitionBy("trial", *R.ITEM, "subject").orderBy("k"))
+    return cells.select("trial", *R.ITEM, "subject", "rating", F.col("k").alias("rank"), reached.alias("guess")).filter(F.col("rank").isin(list(ranks)))
+
+
+def prediction_errors(ratings: DataFrame, blanks: int = 50, count: int = 100, seed: int = 42, ranks: list[int] = (), epochs: int = 10_000) -> DataFrame:
+    """(model, mean, std, trials, low, high) of the root mean squared errors by trial; with ``ranks``, models svd1 and so on too."""
+    split = hold_out(ratings, blanks, count, seed)
+    split = stored(split) if ranks else split
     each = F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("guess")) for m in ("common", "item", "subject_mean", "item_subject"))))
-    return trial_summary(rmse(guesses.select("trial", "rating", each), "rating", "guess", "model", "trial"), "rmse", "model")
+    guesses = predictions(split).select("trial", "rating", each)
+    if ranks:
+        low = low_rank_predictions(split, list(ranks), epochs)
+        guesses = guesses.unionByName(low.select("trial", "rating", F.concat(F.lit("svd"), "rank").alias("model"), "guess"))
+    return trial_summary(rmse(guesses, "rating", "guess", "model", "trial"), "rmse", "model")
+
+
+def data_set_errors(heads: DataFrame, mods: DataFrame, whole: DataFrame, **how) -> DataFrame:
+    """``prediction_errors`` with a column data: head, mod, whole, and both (heads and modifiers together); only compounds of all three."""
+    heads, mods, whole = R.restrict_to_common(*(d.select(*R.COLUMNS) for d in (heads, mods, whole)))
+    sets = {"head": heads, "mod": mods, "whole": whole, "both": heads.unionByName(mods)}
+    return reduce(DataFrame.unionByName, (prediction_errors(d, **how).withColumn("data", F.lit(name)) for name, d in sets.items()))
 
 
 def coverage(hits: DataFrame, total: str, found: str, *group: str) -> DataFrame:
