@@ -109,3 +109,25 @@ def test_predicted_associations(spark):
     norms = spark.createDataFrame([("a", "x", 3), ("a", "z", 1), ("a", "none", 5)], "cue string, response string, count long")
     r = T.predicted_associations(near, norms).first()
     assert r["n"] == 4 and r["mean"] == pytest.approx((3 * 1.0 + 0.5) / 4)
+
+
+def test_slices_labels_and_lines(spark):
+    from wordloom.functions.columns import matching, pasted, relabelled
+    from wordloom.operators import similarity, topics
+
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 0.5), (3, None, 0.1)], "k int, s string, x double")
+    keys = lambda **c: [r["k"] for r in df.filter(matching(**c)).orderBy("k").collect()]
+    assert (keys(x=None), keys(x=...), keys(s=["a", "b"], x=...), keys(s="b"), keys()) == ([1], [2, 3], [2], [2], [1, 2, 3])
+    text = df.select(relabelled(F.col("s"), {"a": "alpha"}).alias("l"), relabelled(F.col("k"), {}).alias("k"), pasted("s", "k").alias("p")).collect()
+    assert [tuple(r) for r in text] == [("alpha", "1", "a 1"), ("b", "2", "b 2"), (None, "3", "NA 3")]
+    assert sorted(r["line"] for r in topics.side_by_side(df.select("s", "k"), "s", "k").collect()) == ["   " + " | " + "3  ", "a   | 1  ", "b   | 2  "]
+    a, b = (spark.createDataFrame([("l", "r", v), (n, "r", v)], f"left string, right string, {n} double") for n, v in (("p", 1.0), ("q", 2.0)))
+    assert [tuple(r) for r in similarity.joined_measures(a, b).collect()] == [("l", "r", 1.0, 2.0)]
+
+
+def test_matches_by_item_names(spark):
+    from wordloom.operators import matches
+
+    ratings = spark.createDataFrame([(f"c{i}", "h", s, float(i + s)) for i in range(3) for s in range(4)] + [("d", "h", 9, 1.0)], "compound string, const string, subject long, rating double")
+    rows = {r["compound"]: r for r in matches.result_table(matches.elo(matches.random_matches(spark, ratings, 300)), ratings).collect()}
+    assert set(rows) == {"c0", "c1", "c2", "d"} and rows["c0"]["rating"] < rows["c1"]["rating"] < rows["c2"]["rating"] and rows["d"]["rating"] is None

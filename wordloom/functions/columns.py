@@ -81,6 +81,34 @@ def unit(vector: Column, power: int = 2) -> Column:
     return F.transform(F.arrays_zip(vector.alias("v"), F.array_repeat(size, F.size(vector)).alias("n")), lambda p: divide(p["v"], p["n"]))
 
 
+def matching(**conditions: object) -> Column:
+    """True for the rows of a slice of results: a value is equal, a list holds it, None means null, and ``...`` not null."""
+
+    def one(name: str, wanted: object) -> Column:
+        column = F.col(f"`{name}`")
+        if wanted is None:
+            return column.isNull()
+        if wanted is ...:
+            return column.isNotNull()
+        return F.coalesce(column.isin(list(wanted)) if isinstance(wanted, (list, tuple, set)) else column == wanted, F.lit(False))
+
+    return reduce(lambda a, b: a & b, (one(k, v) for k, v in conditions.items()), F.lit(True))
+
+
+def relabelled(value: Column, labels: dict) -> Column:
+    """Values by their labels; others stay as text."""
+    if not labels:
+        return value.cast("string")
+    table = F.create_map(*(F.lit(x) for kv in labels.items() for x in map(str, kv)))
+    return F.coalesce(F.element_at(table, value.cast("string")), value.cast("string"))
+
+
+def pasted(*values: Column | str, sep: str = " ") -> Column:
+    """Values as one text, nulls as NA."""
+    text = lambda v: F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("NA"))
+    return F.concat_ws(sep, *map(text, values))
+
+
 def decode_entities(text: Column) -> Column:
     """German letters written as entities, with the misspelt sharp s that occurs in such tables."""
     # Fixed values.

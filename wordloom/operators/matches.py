@@ -13,6 +13,16 @@ from wordloom.operators.ranks import running
 START, STEP, SPREAD = 1500.0, 0.03, 400.0
 
 
+def numbered_items(ratings: DataFrame) -> DataFrame:
+    """(compound, const, item): items numbered from 0 in their order, as in matches."""
+    return running(ratings.select(*R.ITEM).distinct(), list(R.ITEM), name="item")
+
+
+def result_table(result: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(compound, const, and the columns of ``result``): ratings of numbered items with the items' own names; those that met nobody have nulls."""
+    return numbered_items(ratings).join(result, "item", "left").drop("item")
+
+
 def random_matches(spark: SparkSession, ratings: DataFrame, trials: int, seed: int = 42) -> DataFrame:
     """(trial, a, b, score): a random subject's ratings of two random items; 1, 0.5 or 0 for the first.
 
@@ -20,7 +30,7 @@ def random_matches(spark: SparkSession, ratings: DataFrame, trials: int, seed: i
     Subjects and items are numbered, and draws meet them by number.
     """
     number = lambda df, name: running(df, df.columns, name=name)
-    items = number(ratings.select(*R.ITEM).distinct(), "item")
+    items = numbered_items(ratings)
     subjects = number(ratings.select("subject").distinct(), "person")
     n_items, n_subjects = items.count(), subjects.count()
     known = ratings.join(items, [*R.ITEM]).join(subjects, "subject").select("person", "item", "rating")

@@ -20,6 +20,11 @@ def pair_set(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (t.select("left", "right") for t in tables)).distinct()
 
 
+def joined_measures(*tables: DataFrame, on: tuple[str, ...] = ("left", "right")) -> DataFrame:
+    """The columns of all tables for the keys that each of them has."""
+    return reduce(lambda a, b: a.join(b, list(on)), tables)
+
+
 def missing_words(space: DataFrame, pairs: DataFrame) -> DataFrame:
     """Words of the pairs that the space lacks."""
     words = pairs.select(F.explode(F.array("left", "right")).alias("target")).distinct()

@@ -17,6 +17,14 @@ def top_items(model: DataFrame, count: int = 15, floor: float = 1e-4) -> DataFra
     return shares.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= count).select("topic", "rank", "item", "p")
 
 
+def side_by_side(rows: DataFrame, *columns: str, extra: int = 2, connector: str = " | ") -> DataFrame:
+    """``rows`` with ``line``: columns as text, each padded to its longest value and ``extra`` blanks, joined by ``connector``."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    widest = rows.agg(*(F.coalesce(F.max(F.length(text(c))), F.lit(0)).alias(f"_w{k}") for k, c in enumerate(columns)))
+    padded = [F.concat(text(c), F.repeat(F.lit(" "), F.col(f"_w{k}") + extra - F.length(text(c)))) for k, c in enumerate(columns)]
+    return rows.crossJoin(F.broadcast(widest)).withColumn("line", F.concat_ws(connector, *padded)).drop(*(f"_w{k}" for k in range(len(columns))))
+
+
 def document_topics(mixtures: DataFrame, floor: float = 1e-6) -> DataFrame:
     """(doc, rank, topic, p): a document's topics above ``floor``, heaviest first."""
     return mixtures.filter(F.col("p") > floor).withColumn("rank", F.row_number().over(W.partitionBy("doc").orderBy(F.col("p").desc(), "topic"))).select("doc", "rank", "topic", "p")
