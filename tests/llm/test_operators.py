@@ -168,47 +168,65 @@ def test_sum_of_squares_level():
         assert packer.level(size) == max(h for h in options if after(h) == least)
 
 
-def brute_lines(text):
-    lines = list(filter(None, re.split(r"(?<=[\n。！？])|(?<=[.,n] )", text)))
-    last = [""] if text == "" or re.search(r"([\n。！？]|[.,n] )\Z", text) else []
-    return [w for line in lines + last for w in (re.split(r"(?<= )", line) if len(line) >= 240 else [line])]
-
-
-def brute_chunks(lines, least_chars=80):
-    """(first line, number of lines) of each chunk."""
+def brute_lines(data):
+    """Lines of a text of bytes, by one pass over them."""
+    lines, start = [], 0
+    for k in range(1, len(data) + 1):
+        before = data[start:k]
+        mark = data[:k].endswith((b"\n", "。".encode(), "、".encode(), "！".encode(), "？".encode(), "，".encode()))
+        blank = data[k - 1 : k] == b" "
+        blank = blank and (k > 1 and data[k - 2] > 32 and (data[k - 2] % 8 == 6 or data[k - 2] in b",;:!?") or k < len(data) and data[k] > 32 and data[k] % 4 == 2)
+        if mark or blank or k == len(data):
+            lines.append(before)
+            start = k
+    return lines
+
+
+def brute_chunks(data):
+    """(first byte, bytes, lines) of each chunk."""
 
     def h(*xs):
         seed = 42
         for x in xs:
-            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(8, "little"), seed)
+            seed = xxhash.xxh64_intdigest(x if isinstance(x, bytes) else x.to_bytes(8, "little"), seed)
         return seed
 
-    def roll(values):
-        twos = [h(*values[i : i + 2]) for i in range(len(values))]
-        return [h(twos[i], twos[i + 2], twos[i + 4]) for i in range(len(values) - 5)]
-
-    rolling = roll([h(x) for x in lines])
-    signed = [(x + 2**63) % 2**64 - 2**63 for x in rolling]
-    begins = {i for low in range(-5, len(signed)) for i in range(max(0, low), min(low + 6, len(signed))) if low >= 0 and signed[i] == min(signed[low : low + 6])}
-    for i in sorted(begins):
-        n = next((n for n in (6, 12, 24, 48) if i + n - 6 < len(rolling) and sum(map(len, lines[i : i + n])) >= least_chars), None)
-        if n:
-            yield i, n
+    lines = brute_lines(data)
+    hashes = [h(x.decode("latin1").encode()) for x in lines]
+    rolling = [(h(*two) + 2**63) % 2**64 for two in zip(hashes, hashes[1:])]
+    bounds = [0, *(i for i in range(1, len(rolling) - 1) if rolling[i] < min(rolling[i - 1], rolling[i + 1])), len(lines)]
+    at = 0
+    for first, end in zip(bounds, bounds[1:]):
+        n = sum(map(len, lines[first:end]))
+        yield at, n, end - first
+        at += n
 
 
 def brute_dedup(rows):
-    """Texts without repeated chunks, told apart by their lines."""
-    first, found = {}, []
+    """Texts without runs of repeated chunks, told apart by their bytes; rows of no id are numbered by their place."""
+    first, found, seen = {}, [], Counter()
     for doc, text in rows:
-        key = xxhash.xxh64_intdigest(text.encode(), 42)
-        lines = brute_lines(text.replace("\x02", "\x02b").replace("\x01", "\x02a"))
-        found.append((doc, key, lines))
-        for at, n in brute_chunks(lines):
-            piece, place = tuple(lines[at : at + n]), (2**63 if doc is None else doc, key >> 28, at)
-            first[piece] = min(first.get(piece, place), place)
-    for doc, key, lines in found:
-        gone = {k for at, n in brute_chunks(lines) if first[tuple(lines[at : at + n])] < (2**63 if doc is None else doc, key >> 28, at) for k in range(at, at + n)}
-        yield doc, "".join(x for k, x in enumerate(lines) if k not in gone).replace("\x02a", "\x01").replace("\x02b", "\x02")
+        data = text.encode()
+        key = xxhash.xxh64_intdigest(data, 42)
+        seen[key] += doc is None
+        order = (2**63 if doc is None else doc, key >> 33, seen[key] if doc is None else 0)
+        found.append((doc, order, data, list(brute_chunks(data)) if len(data) >= 80 else []))
+        for at, n, _ in found[-1][3]:
+            piece = data[at : at + n]
+            first[piece] = min(first.get(piece, (*order, at)), (*order, at))
+    for doc, order, data, chunks in found:
+        runs, open_ = [], False
+        for at, n, lines in chunks:
+            again = first[data[at : at + n]] < (*order, at)
+            if again and open_:
+                runs[-1] = (runs[-1][0], runs[-1][1] + n, runs[-1][2] + lines)
+            elif again:
+                runs.append((at, n, lines))
+            open_ = again
+        for at, n, lines in reversed(runs):
+            if n >= 80 and (lines > 1 or n == len(data)):
+                data = data[:at] + data[at + n :]
+        yield doc, data.decode()
 
 
 @pytest.mark.parametrize("bits", [64, 10])
@@ -256,6 +274,21 @@ def test_passages_in_lines_of_any_length(spark):
     assert len(out) == len(rows) and all(kept[k] == texts[k] for k in (0, 3, 6)) and sum(r["removed_chars"] for r in out) > 5 * len(passage) * 0.8
 
 
+def test_short_texts_long_lines_and_rows_without_id(spark):
+    """A passage that is a line here and part of one there; twins of five lines and a text that holds them; twins without an id; bytes that are no UTF-8."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 5))) for _ in range(n))
+    passage, five, alone = say(55), "\n".join(say(45) for _ in range(5)), say(300)
+    rows = [(1, f"{say(3)}\n{passage}\n{say(3)}"), (2, f"{say(20)} {passage} {say(20)}"), (3, five), (4, five), (5, f"{say(9)}\n{five}\n{say(9)}"), (None, alone), (None, alone), (None, alone)]
+    df = spark.createDataFrame([(i, t.encode()) for i, t in rows] + [(k, b"\xff\xfe " + say(1).encode() + b" \xc3 " + say(99).encode()) for k in (6, 7)], "doc_id long, data binary")
+    out = dedup_lines(df.select("doc_id", F.col("data").cast("string").alias("text"))).select("doc_id", F.col("text").cast("binary").alias("data"), "removed_chars").collect()
+    kept = {r["doc_id"]: bytes(r["data"]) for r in out if r["doc_id"]}
+    given = {r["doc_id"]: bytes(r["data"]) for r in df.collect()}
+    assert all(kept[k] == given[k] for k in (1, 3, 6, 7)) and kept[4] == b"" and len(kept[5]) < 300
+    assert len(kept[2]) < len(given[2]) - len(passage) * 0.5
+    assert sorted(len(r["data"]) for r in out if r["doc_id"] is None) == [0, 0, len(alone)]
+
+
 # Openings of public licence texts, by licence.
 HEADERS = {
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',

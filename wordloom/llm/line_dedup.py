@@ -1,14 +1,16 @@
 """Removal of passages that repeat across documents (operator 2).
 
-Texts are cut into lines: behind line ends and, as passages also begin within
-wrapped text, behind some marks and letters (``CUTS``).  A rolling hash goes
-over each six lines in a row, and the lines at which it is the least of six
-neighbours begin a chunk, so that inserted text shifts no border but those
-beside it, and every eleven lines that repeat have a chunk in common.  A chunk
-has six lines, or twice that again and again until it has ``least_chars``.
-
-Chunks are counted by a 64-bit hash; the texts of those that occur again are
-then compared byte by byte, and the lines of all but the first are removed.
+Texts are cut into lines behind line ends and, as passages also begin within
+wrapped text, at every blank that follows a mark or a byte of one residue class
+or precedes a byte of one (``CUT``): one rule for every language and length.  A rolling hash goes
+over each two lines in a row, and a line where it is less than at both
+neighbours is a boundary.  Chunks are what lies between boundaries, so both
+ends of a chunk follow from the text there, and inserted text shifts no border
+but those beside it.
+
+Chunks are counted by a 64-bit hash; the bytes of those that occur again are
+then compared.  All but the first of equal chunks are repeated, and runs of
+repeated chunks of two or more lines are removed.
 
 Everything is built-in Spark functions; no Python runs on executors.
 """
@@ -16,140 +18,148 @@ Everything is built-in Spark functions; no Python runs on executors.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.shared import written
 
-#: A line ends behind each of these.  The letter makes the cuts of languages that use it dense enough for passages within sentences.
-CUTS = ("\n", ". ", ", ", "n ")
-RARE_CUTS = ("。", "！", "？")
-#: A line of so many characters without a cut is cut behind every blank.
-LONG = 240
-#: Lines in a chunk, and run beginnings of which the least begins one.
-LINES = 6
-#: Characters that stand for a cut, and that escape these two in texts.
-CUT, ESCAPE = "\x01", "\x02"
-CHUNKS = "array<struct<at:int,n:int,hash:bigint>>"
+def _bytes(of: int, residue: int) -> str:
+    return "".join(rf"\x{b:02x}" for b in range(33, 256) if b % of == residue)
+
+
+#: A blank ends a line behind a byte of one residue of 8 (the full stop has it) or another mark, and before a byte of one residue of 4.
+ENDS, BEGINS = _bytes(8, 6) + ",;:!?", _bytes(4, 2)
+#: Places between lines, in a text of which each byte is a character; the last two are marks of languages without blanks.
+CUT = rf"(?<=\n)|(?<= )(?:(?<=[{ENDS}] )|(?=[{BEGINS}]))|(?<=\xe3\x80[\x81\x82])|(?<=\xef\xbc[\x81\x8c\x9f])"
+LATIN = "ISO-8859-1"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text, in order, with CUT and ESCAPE escaped; ``joined`` undoes it."""
-    escaped = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(f"{ESCAPE}b")), F.lit(CUT), F.lit(f"{ESCAPE}a"))
-    rare = escaped
-    for end in RARE_CUTS:
-        rare = F.replace(rare, F.lit(end), F.lit(end + CUT))
-    # to look for a character is cheaper than to replace it
-    marked = F.when(reduce(or_, (F.contains(text, F.lit(x)) for x in (ESCAPE, CUT, *RARE_CUTS))), rare).otherwise(text)
-    for end in CUTS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + CUT))
-    words = lambda line: F.when(F.length(line) < LONG, F.array(line)).otherwise(F.split(line, "(?<= )"))
-    return _let(F.split(marked, CUT), lambda x: F.when(F.exists(x, lambda line: F.length(line) >= LONG), F.flatten(F.transform(x, words))).otherwise(x))
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda total, x: total + x)
+
+
+def lines_of(data: Column) -> Column:
+    """The lines of a text given as bytes, each byte as one character."""
+    return F.array_remove(F.split(F.decode(data, LATIN), CUT), "")
+
+
+def _starts(lengths: Column) -> Column:
+    """Where each of some pieces begins: sums of blocks, then within a block, so n pieces take n ** 1.5 steps."""
 
+    def of_block(block: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / block).cast("int")), lambda b: _sum(F.slice(lengths, b * block + 1, block)))
 
-def joined(lines: Column) -> Column:
-    text = F.array_join(lines, "")
-    return F.replace(F.replace(text, F.lit(f"{ESCAPE}a"), F.lit(CUT)), F.lit(f"{ESCAPE}b"), F.lit(ESCAPE))
+        return _let(whole, lambda whole: F.transform(lengths, lambda _, k: _let(F.floor(k / block).cast("int"), lambda b: _sum(F.slice(whole, F.lit(1), b)) + _sum(F.slice(lengths, b * block + 1, k - b * block)))))
 
+    return _let(F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(lengths))).cast("int")), of_block)
 
-def chunks(lines: Column, least_chars: int = 80, bits: int = 64) -> Column:
-    """The chunks of a text: an array of structs (at: first line from 0, n: lines, hash of ``bits`` bits)."""
 
-    def over_six(values: Column, fold: Callable[..., Column], way: int) -> Column:
-        """``fold`` over each LINES values from (``way`` 1) or up to (-1) a place."""
-        twos = F.transform(values, lambda x, i: fold(x, F.get(values, i + way)))
-        return _let(twos, lambda twos: F.transform(twos, lambda x, i: fold(x, F.get(twos, i + 2 * way), F.get(twos, i + 4 * way))))
+def chunks(data: Column, bits: int = 64) -> Column:
+    """The chunks of a text of one byte or more: an array of structs (at: first byte from 0, n: bytes, lines, hash of ``bits`` bits)."""
 
-    def of_rolling(rolling: Column) -> Column:
-        def chunk(i: Column) -> Column:
-            out = F.lit(None).cast("struct<at:int,n:int,hash:bigint>")
-            for n in (8 * LINES, 4 * LINES, 2 * LINES, LINES):
-                chars = F.aggregate(F.slice(lines, i + 1, n), F.lit(0), lambda total, line: total + F.length(line))
-                parts = [F.get(rolling, i + k) for k in range(0, n, LINES)]
-                hash_ = parts[0] if n == LINES else F.xxhash64(*parts)
-                hash_ = hash_ if bits == 64 else F.shiftrightunsigned(hash_, 64 - bits)
-                out = F.when(parts[-1].isNotNull() & (chars >= least_chars), F.struct(i.alias("at"), F.lit(n).alias("n"), hash_.alias("hash"))).otherwise(out)
-            return out
+    def placed(parts: Column) -> Column:
+        return _let(_starts(F.transform(parts, lambda p: p["n"])), lambda at: F.transform(parts, lambda p, k: F.struct(F.get(at, k).alias("at"), p["n"].alias("n"), p["lines"].alias("lines"), p["hash"].alias("hash"))))
 
-        # the least of some LINES in a row begins a chunk
-        least = _let(over_six(rolling, F.least, 1), lambda m: over_six(m, F.greatest, -1))
-        return _let(least, lambda m: F.filter(F.transform(rolling, lambda x, i: F.when(F.get(m, i) == x, chunk(i))), lambda c: c.isNotNull()))
+    def of_bounds(lines: Column, hashes: Column, bounds: Column) -> Column:
+        def part(first: Column, k: Column) -> Column:
+            count = F.get(bounds, k + 1) - first
+            hash_ = F.xxhash64(F.slice(hashes, first + 1, count))
+            hash_ = hash_ if bits == 64 else F.shiftrightunsigned(hash_, 64 - bits)
+            n = F.aggregate(F.slice(lines, first + 1, count), F.lit(0), lambda total, line: total + F.length(line))
+            return F.struct(n.alias("n"), count.alias("lines"), hash_.alias("hash"))
 
-    def of_hashes(hashes: Column) -> Column:
-        return _let(F.slice(over_six(hashes, F.xxhash64, 1), F.lit(1), F.size(hashes) - LINES + 1), of_rolling)
+        return _let(F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), part), placed)
 
-    found = _let(F.transform(lines, lambda x: F.xxhash64(x)), of_hashes)
-    return F.when(F.size(lines) >= LINES, found).otherwise(F.array().cast(CHUNKS))
+    def of_hashes(lines: Column, hashes: Column) -> Column:
+        rolling = F.transform(F.slice(hashes, F.lit(1), F.size(hashes) - 1), lambda x, i: F.xxhash64(x, F.get(hashes, i + 1)))
+        least = lambda r: F.transform(r, lambda x, i: F.when((x < F.get(r, i - 1)) & (x < F.get(r, i + 1)), i))
+        inner = _let(rolling, lambda r: F.array_compact(least(r)))
+        return _let(F.concat(F.array(F.lit(0)), inner, F.array(F.size(lines))), lambda bounds: of_bounds(lines, hashes, bounds))
 
+    return _let(lines_of(data), lambda lines: _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: of_hashes(lines, hashes)))
 
-def _place(at: str) -> Column:
-    """A number that orders occurrences: by id (null ids last), by the text's hash, by line."""
-    mix = F.shiftrightunsigned("_key", 28) * 2**26 + F.col(at)
-    return F.coalesce("_id", F.lit(2**63 - 1)).cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)") + mix.cast("decimal(19,0)")
 
+def _place() -> Column:
+    """A number that orders occurrences: by id (null ids last), by the text's hash, by the row's number where the id is null, by place."""
+    power = lambda n: F.lit(str(2**n)).cast("decimal(38,0)")
+    big = lambda c: c.cast("decimal(20,0)")
+    key = F.shiftrightunsigned("_key", 33)
+    own = big(F.col("_i")) * power(62) + big(key * 2**31 + F.col("at"))
+    none = power(125) + big(key) * power(94) + big(F.col("_i")) * power(31) + big(F.col("at"))
+    return F.when(F.col("_has"), own.cast("decimal(38,0)")).otherwise(none.cast("decimal(38,0)"))
 
-def _grouped(chunks_: DataFrame, name: str) -> DataFrame:
-    """One row for each document of ``chunks_``: _has (whether its id is set), _i, _key, and the set of its column ``name``."""
-    has, i = F.col("_id").isNotNull().alias("_has"), F.coalesce("_id", F.lit(0)).alias("_i")
-    return chunks_.select(has, i, "_key", name).groupBy("_has", "_i", "_key").agg(F.collect_set(name).alias(name))
 
+def _runs(found: Column, total: Column, least_bytes: int) -> Column:
+    """Runs (at, n, chunks) of the repeated chunks that follow each other, with ``least_bytes``, and two lines unless they are the whole text."""
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 80, bits: int = 64) -> DataFrame:
+    def of_sorted(c: Column) -> Column:
+        end = lambda x: x["at"] + x["n"]
+        begins = F.array_compact(F.transform(c, lambda x, i: F.when(F.coalesce(end(F.get(c, i - 1)) < x["at"], F.lit(True)), F.struct(x["at"].alias("at"), x["lines"].alias("lines"), i.alias("i")))))
+        ends = F.array_compact(F.transform(c, lambda x, i: F.when(F.coalesce(F.get(c, i + 1)["at"] > end(x), F.lit(True)), F.struct(end(x).alias("to"), i.alias("i")))))
+        runs = F.zip_with(begins, ends, lambda b, e: F.struct(b["at"].alias("at"), (e["to"] - b["at"]).alias("n"), (e["i"] - b["i"] + 1).alias("chunks"), b["lines"].alias("lines")))
+        return F.filter(runs, lambda r: (r["n"] >= least_bytes) & ((r["chunks"] > 1) | (r["lines"] > 1) | (r["n"] == total)))
+
+    return _let(F.array_sort(found), of_sorted)
+
+
+def _without(data: Column, runs: Column) -> Column:
+    """The bytes outside of the runs, as text."""
+    start = lambda k: F.coalesce(F.get(runs, k - 1)["at"] + F.get(runs, k - 1)["n"], F.lit(0))
+    piece = lambda k: F.decode(F.substring(data, start(k) + 1, F.coalesce(F.get(runs, k)["at"], F.length(data)) - start(k)), LATIN)
+    return F.encode(F.array_join(F.transform(F.sequence(F.lit(0), F.size(runs)), piece), ""), LATIN).cast("string")
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_bytes: int = 80, bits: int = 64) -> DataFrame:
     """All columns of ``df``, ``text_col`` without repeated chunks, and removed_chunks and removed_chars.
 
     The first of equal chunks stays whole: the one of the smallest id (rows
     without an id come last), then of the least hash of the text, then of the
     least place.  Repeated rows (equal id and text) are one document and keep
-    the same lines.  Passages of fewer than eleven lines or ``least_chars`` characters
-    may stay, and texts of fewer than six lines are left as they are.  A null
-    text stays null and an empty one empty; a text of which nothing is left
-    becomes empty.  An empty table gives no rows.  Columns of ``df`` that bear
-    a name of the two new ones give way to them; other names are free.
+    the same text; rows without an id are documents of their own.  Repeated
+    chunks go in runs: those that follow each other in a text, if they have
+    ``least_bytes`` bytes (UTF-8) and two lines, or are the whole text.  The
+    ends of a passage, up to its first and from its last boundary, may stay.
+    A null text stays null and an empty one empty; a text of which nothing is
+    left becomes empty.  Bytes that are no UTF-8 stay as they are.  An empty
+    table gives no rows.  Columns of ``df`` that bear a name of the two new
+    ones give way to them; other names are free.
 
     ``bits``: of the chunks' hash; fewer only cause more comparisons.
     """
     names = [c for c in df.columns if c not in ("removed_chunks", "removed_chars")]
     plain = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
-    own, text = f"c{names.index(text_col)}", F.col(f"c{names.index(text_col)}").cast("string")
-    plain = plain.withColumns({"_id": F.col(f"c{names.index(id_col)}").cast("bigint"), "_key": F.xxhash64(text), "_text": text})
-    docs = plain.select("_id", "_key", "_text").filter("_text IS NOT NULL")
-
-    found = docs.select("_id", "_key", F.inline(_let(lines_of(F.col("_text")), lambda x: chunks(x, least_chars, bits))))
-    found = written(found, name="chunks")
-    firsts = found.groupBy("hash").agg(F.count("*").alias("_n"), F.min(_place("at")).alias("_first")).filter("_n > 1").drop("_n")
+    own, id_, text = f"c{names.index(text_col)}", F.col(f"c{names.index(id_col)}").cast("bigint"), F.col(f"c{names.index(text_col)}").cast("string")
+    # rows without an id get a number, which stays as it is once written
+    numbered = written(plain.filter(id_.isNull()).withColumn("_i", F.monotonically_increasing_id()), name="numbered")
+    plain = plain.filter(id_.isNotNull()).select("*", id_.alias("_i"), F.lit(True).alias("_has")).unionByName(numbered.withColumn("_has", F.lit(False)))
+    plain = plain.withColumns({"_key": F.xxhash64(text), "_data": text.cast("binary")})
+    doc = ["_has", "_i", "_key"]
+    docs = plain.select(*doc, "_data").filter(F.length("_data") >= least_bytes)
+
+    found = written(docs.select(*doc, F.inline(chunks(F.col("_data"), bits))), name="chunks")
+    firsts = found.groupBy("hash").agg(F.count("*").alias("_n"), F.min(_place()).alias("_first")).filter("_n > 1").drop("_n")
     firsts = written(firsts, name="firsts")  # apart from the join, whose hot hashes Spark can then split
-    again = written(found.join(firsts, "hash").select("_id", "_key", "at", "n", "hash", (_place("at") > F.col("_first")).alias("later")), name="again")
+    again = written(found.join(firsts, "hash").select(*doc, "at", "n", "lines", "hash", (_place() > F.col("_first")).alias("later")), name="again")
 
     # the bytes of all chunks of one hash
-    sides = F.coalesce("_id", F.lit(0)) == F.col("_i"), F.col("_id").isNotNull() == F.col("_has"), docs["_key"] == F.col("_same")
-    listed = docs.join(_grouped(again.withColumn("_chunks", F.struct("at", "n", "hash")), "_chunks").withColumnRenamed("_key", "_same"), list(sides))
-    cut = F.inline(_let(lines_of(F.col("_text")), lambda x: F.transform("_chunks", lambda c: F.struct(c["hash"].alias("hash"), c["at"].alias("at"), c["n"].alias("n"), F.array_join(F.slice(x, c["at"] + 1, c["n"]), "").alias("bytes")))))
-    texts = listed.select("_id", "_key", cut)
+    listed = docs.join(again.groupBy(*doc).agg(F.collect_set(F.struct("at", "n", "lines", "hash")).alias("_chunks")), doc)
+    texts = listed.select(*doc, "_data", F.inline("_chunks")).select(*doc, "at", "n", "lines", "hash", F.substring("_data", F.col("at") + 1, F.col("n")).alias("bytes"))
     clashes = written(texts.select("hash", "bytes").distinct().groupBy("hash").count().filter("count > 1").select("hash"), name="clashes")
-    removed = again.filter("later").select("_id", "_key", "at", "n", "hash")
+    removed = again.filter("later").select(*doc, "at", "n", "lines", "hash")
     if not clashes.isEmpty():  # different texts of one hash are told apart by their bytes
         apart = texts.join(clashes, "hash")
-        first = apart.groupBy("hash", "bytes").agg(F.min(_place("at")).alias("_first"))
-        apart = apart.join(first, ["hash", "bytes"]).filter(_place("at") > F.col("_first")).select("_id", "_key", "at", "n", "hash")
-        removed = removed.join(clashes, "hash", "left_anti").select(*apart.columns).unionByName(apart)
-
-    gone = _grouped(removed.withColumn("_removed", F.col("at") * F.lit(64).cast("bigint") + F.col("n")), "_removed").withColumnRenamed("_key", "_same")
-    sides = F.coalesce("_id", F.lit(0)) == F.col("_i"), F.col("_id").isNotNull() == F.col("_has"), plain["_key"] == F.col("_same")
-
-    def rebuilt(lines: Column) -> Column:
-        of = F.flatten(F.transform("_removed", lambda c: F.sequence(F.shiftright(c, 6).cast("int"), F.shiftright(c, 6).cast("int") + F.pmod(c, F.lit(64)).cast("int") - 1)))
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), of)
-        return joined(F.transform(kept, lambda i: F.get(lines, i)))
-
-    out = plain.join(gone, list(sides), "left")
-    clean = F.when(F.col("_removed").isNull(), F.col("_text")).otherwise(_let(lines_of(F.col("_text")), rebuilt))
-    out = out.withColumn("_clean", clean)
-    columns = [F.col("_clean" if f"c{k}" == own else f"c{k}").alias(c) for k, c in enumerate(names)]
-    return out.select(*columns, F.coalesce(F.size("_removed"), F.lit(0)).alias("removed_chunks"), F.coalesce(F.length("_text") - F.length("_clean"), F.lit(0)).alias("removed_chars"))
+        first = apart.groupBy("hash", "bytes").agg(F.min(_place()).alias("_first"))
+        apart = apart.join(first, ["hash", "bytes"]).filter(_place() > F.col("_first")).select(*removed.columns)
+        removed = removed.join(clashes, "hash", "left_anti").select(*removed.columns).unionByName(apart)
+
+    gone = removed.groupBy(*doc).agg(F.collect_set(F.struct("at", "n", "lines")).alias("_gone"))
+    out = plain.join(gone, doc, "left").withColumn("_runs", F.when(F.col("_gone").isNotNull(), _runs(F.col("_gone"), F.length("_data"), least_bytes)))
+    out = out.withColumn("_clean", F.when(F.size("_runs") > 0, _without(F.col("_data"), F.col("_runs"))))
+    columns = [(F.coalesce("_clean", text) if f"c{k}" == own else F.col(f"c{k}")).alias(c) for k, c in enumerate(names)]
+    count = F.coalesce(F.aggregate("_runs", F.lit(0), lambda total, r: total + r["chunks"]), F.lit(0))
+    return out.select(*columns, count.alias("removed_chunks"), F.coalesce(F.length(text) - F.length("_clean"), F.lit(0)).alias("removed_chars"))
