@@ -56,22 +56,20 @@ def _starts(lengths: Column) -> Column:
 
         return _let(whole, lambda whole: F.transform(lengths, lambda _, k: _let(F.floor(k / block).cast("int"), lambda b: _sum(F.slice(whole, F.lit(1), b)) + _sum(F.slice(lengths, b * block + 1, k - b * block)))))
 
-    return _let(F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(lengths))).cast("int")), of_block)
+    return _let(F.ceil(F.sqrt(F.size(lengths))).cast("int"), of_block)
 
 
 def chunks(data: Column, bits: int = 64) -> Column:
     """The chunks of a text of one byte or more: an array of structs (at: first byte from 0, n: bytes, lines, hash of ``bits`` bits)."""
 
     def placed(parts: Column) -> Column:
-        return _let(_starts(F.transform(parts, lambda p: p["n"])), lambda at: F.transform(parts, lambda p, k: F.struct(F.get(at, k).alias("at"), p["n"].alias("n"), p["lines"].alias("lines"), p["hash"].alias("hash"))))
+        return _let(_let(F.transform(parts, lambda p: p["n"]), _starts), lambda at: F.transform(parts, lambda p, k: F.struct(F.get(at, k).alias("at"), p["n"].alias("n"), p["lines"].alias("lines"), p["hash"].alias("hash"))))
 
-    def of_bounds(lines: Column, hashes: Column, bounds: Column) -> Column:
+    def of_bounds(lines: Column, bounds: Column) -> Column:
         def part(first: Column, k: Column) -> Column:
             count = F.get(bounds, k + 1) - first
-            hash_ = F.xxhash64(F.slice(hashes, first + 1, count))
-            hash_ = hash_ if bits == 64 else F.shiftrightunsigned(hash_, 64 - bits)
-            n = F.aggregate(F.slice(lines, first + 1, count), F.lit(0), lambda total, line: total + F.length(line))
-            return F.struct(n.alias("n"), count.alias("lines"), hash_.alias("hash"))
+            hash_ = lambda x: F.xxhash64(x) if bits == 64 else F.shiftrightunsigned(F.xxhash64(x), 64 - bits)
+            return _let(F.array_join(F.slice(lines, first + 1, count), ""), lambda x: F.struct(F.length(x).alias("n"), count.alias("lines"), hash_(x).alias("hash")))
 
         return _let(F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), part), placed)
 
@@ -79,7 +77,7 @@ def chunks(data: Column, bits: int = 64) -> Column:
         rolling = F.transform(F.slice(hashes, F.lit(1), F.size(hashes) - 1), lambda x, i: F.xxhash64(x, F.get(hashes, i + 1)))
         least = lambda r: F.transform(r, lambda x, i: F.when((x < F.get(r, i - 1)) & (x < F.get(r, i + 1)), i))
         inner = _let(rolling, lambda r: F.array_compact(least(r)))
-        return _let(F.concat(F.array(F.lit(0)), inner, F.array(F.size(lines))), lambda bounds: of_bounds(lines, hashes, bounds))
+        return _let(F.concat(F.array(F.lit(0)), inner, F.array(F.size(lines))), lambda bounds: of_bounds(lines, bounds))
 
     return _let(lines_of(data), lambda lines: _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: of_hashes(lines, hashes)))
 
