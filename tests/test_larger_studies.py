@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from wordloom.operators import ratings as R
+from wordloom.operators import stats
 
 
 def study(spark, subjects, items=4):
@@ -17,3 +22,26 @@ def test_melting_makes_no_column_a_subject(spark):
     assert wide.selectExpr("max(size(cells)) AS n").first()["n"] < 100
     found = {tuple(r) for r in R.long_form(wide).collect()}
     assert found == {(r["compound"], r["const"], str(r["subject"]), r["rating"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pairs_of_subjects_by_tiles(spark, kind):
+    df = study(spark, 40, items=9).withColumn("subject", F.col("subject").cast(kind))
+    a = df.select(*R.ITEM, F.col("subject").alias("left"), F.col("rating").alias("x"))
+    both = a.join(df.select(*R.ITEM, F.col("subject").alias("right"), F.col("rating").alias("y")), [*R.ITEM]).filter("left < right")
+    plain = stats.spearman(both, "x", "y", "left", "right").join(both.groupBy("left", "right").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("agreement")), ["left", "right"])
+    wanted = {(r["left"], r["right"]): (r["n"], r["agreement"], r["rho"]) for r in plain.collect()}
+    for tile in (1024, 6):
+        found = R.pair_agreement(df, tile=tile).collect()
+        assert len(found) == len(wanted) and {(r["left"], r["right"]): (r["n"], pytest.approx(r["agreement"]), pytest.approx(r["rho"])) for r in found} == wanted
+    assert R.pair_agreement(df.limit(0)).count() == 0 and R.pair_agreement(df, with_rho=False).columns == ["left", "right", "n", "agreement"]
+
+
+def test_ranks_within_pairs_do_not_need_room_for_all_values():
+    rng = np.random.default_rng(4)
+    pair, code = rng.integers(0, 3000, 900), rng.integers(0, 4, 900)
+    few, many = R._doubled_midranks(pair, code, 3000, 4), R._doubled_midranks(pair, code * 500, 3000, 2000)
+    assert (few[0] == many[0]).all() and (few[1] == many[1]).all()
+    one = pair == pair[0]
+    assert few[0][0] == 2 * (code[one] < code[0]).sum() + (code[one] == code[0]).sum() + 1
+    assert few[1][pair[0]] == (few[0][one] ** 2).sum()
