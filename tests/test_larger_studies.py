@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom.functions.columns import cosine
 from wordloom.operators import ratings as R
-from wordloom.operators import stats
+from wordloom.operators import similarity, stats
 
 
 def study(spark, subjects, items=4):
@@ -45,3 +46,23 @@ def test_ranks_within_pairs_do_not_need_room_for_all_values():
     one = pair == pair[0]
     assert few[0][0] == 2 * (code[one] < code[0]).sum() + (code[one] == code[0]).sum() + 1
     assert few[1][pair[0]] == (few[0][one] ** 2).sum()
+
+
+@pytest.mark.parametrize("tile", [1024, 5])
+def test_cosines_within_groups_by_tiles(spark, tile):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, rng.standard_normal(4).tolist()) for i in range(40)]
+    rows += [(7, 1, [1.0, 0.0, 0.0, 2.0]), (50, 0, [0.0] * 4), (51, 0, None), (52, 0, [1.0, 2.0]), (53, 0, [1.0, None, 0.0, 1.0]), (54, None, [1.0] * 4), (None, 1, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, label int, vector array<double>")
+    b = df.select("label", F.col("id").alias("b"), F.col("vector").alias("y"))
+    plain = df.join(b, "label").filter("id < b").select("id", "b", F.when(F.size("vector") == F.size("y"), cosine(F.col("vector"), F.col("y"))).alias("c")).collect()
+    found = similarity.cosine_pairs(df, "id", "label", tile=tile).collect()
+    near = lambda rows: sorted((x, y, c is None, round(c or 0.0, 9)) for x, y, c in rows)
+    assert near(found) == near(plain)
+    assert similarity.cosine_pairs(df.limit(0), "id", "label").count() == 0
+
+
+def test_cosines_are_rounded_half_up(spark):
+    assert similarity._half_up(np.array([0.25, -0.25, 0.24, -0.01]), 1).tolist() == [0.3, -0.3, 0.2, 0.0]
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [2.0, 1.0])], "word string, vector array<double>")
+    assert {r["cosine"] for r in similarity.cosine_block(df, df, digits=3).collect()} == {1.0, 0.8}
