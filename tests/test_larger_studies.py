@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.columns import cosine
 from wordloom.operators import ratings as R
-from wordloom.operators import similarity, stats
+from wordloom.operators import factor, similarity, stats
 
 
 def study(spark, subjects, items=4):
@@ -66,3 +66,12 @@ def test_cosines_are_rounded_half_up(spark):
     assert similarity._half_up(np.array([0.25, -0.25, 0.24, -0.01]), 1).tolist() == [0.3, -0.3, 0.2, 0.0]
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [2.0, 1.0])], "word string, vector array<double>")
     assert {r["cosine"] for r in similarity.cosine_block(df, df, digits=3).collect()} == {1.0, 0.8}
+
+
+def test_low_rank_cells_are_not_shuffled_by_rank(spark):
+    names = [(f"i{i}", f"s{j}") for i in range(5) for j in range(7)]
+    rows = [(k, "item", f"i{i}", "h", None, float(i + k)) for k in (1, 2) for i in range(5)] + [(k, "subject", None, None, f"s{j}", float(j - k)) for k in (1, 2) for j in range(7)]
+    found = factor.completed(spark.createDataFrame(rows, factor.FACTORS.format(keys="")), 2)
+    assert {(r["compound"], r["subject"]): r["rating"] for r in found.collect()} == {(i, s): sum((int(i[1]) + k) * (int(s[1]) - k) for k in (1, 2)) for i, s in names}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan.split("Aggregate")[0]

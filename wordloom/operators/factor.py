@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.columns import uniform
 from wordloom.functions.scratch import remove, scratch_dir, stored
+from wordloom.functions.tiles import every_pair
 from wordloom.operators import ratings as R
 
 
@@ -71,12 +72,21 @@ def completion_factors(ratings: DataFrame, rank: int, group: list[tuple[str, str
     return keyed.applyInPandas(factors, schema)
 
 
+def _vectors(factors: DataFrame, name: str, *key: str) -> DataFrame:
+    """(key, name): the values of each key in order of k."""
+    return factors.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias(name))
+
+
+def _dot(left: str, right: str) -> Column:
+    return F.aggregate(F.zip_with(left, right, lambda a, b: a["value"] * b["value"]), F.lit(0.0), lambda s, x: s + x)
+
+
 def completed(factors: DataFrame, rank: int, *group: str) -> DataFrame:
     """Ratings of every item by every subject from the first ``rank`` factors."""
     own = factors.filter(F.col("k") <= rank)
-    items = own.filter("side = 'item'").select(*group, "k", "compound", "const", F.col("value").alias("u"))
-    subjects = own.filter("side = 'subject'").select(*group, "k", "subject", F.col("value").alias("v"))
-    return items.join(subjects, [*group, "k"]).groupBy(*group, *R.ITEM, "subject").agg(F.sum(F.col("u") * F.col("v")).alias("rating"))
+    items = _vectors(own.filter("side = 'item'"), "_u", *group, *R.ITEM)
+    subjects = stored(_vectors(own.filter("side = 'subject'"), "_v", *group, "subject"))
+    return every_pair(items, subjects, *group).select(*group, *R.ITEM, "subject", _dot("_u", "_v").alias("rating"))
 
 
 def by_svd(rank: int, epochs: int = 10_000) -> R.Cleaner:
@@ -205,10 +215,9 @@ def reduce_space(targets: DataFrame, sigmas: DataFrame, contexts: DataFrame, min
     asks for some cells only.
     """
     kept = sigmas.filter(F.lit(True) if min_sigma is None else F.col("sigma") >= min_sigma).filter(F.lit(True) if max_dim is None else F.col("k") <= max_dim)
-    vector = lambda df, key: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias(f"_{key}"))
-    left, right = vector(latent(targets, kept), "target"), vector(contexts.join(F.broadcast(kept), "k"), "context")
+    left, right = _vectors(latent(targets, kept), "_target", "target"), _vectors(contexts.join(F.broadcast(kept), "k"), "_context", "context")
     if wanted is not None:
         met = wanted.select("target", "context").join(left, "target").join(right, "context")
-        return met.select("target", "context", F.aggregate(F.zip_with("_target", "_context", lambda a, b: a["value"] * b["value"]), F.lit(0.0), lambda s, x: s + x).alias("value"))
-    long = lambda df, key, name: df.select(key, "k", F.col("value").alias(name))
-    return long(latent(targets, kept), "target", "u").join(long(contexts, "context", "v"), "k").groupBy("target", "context").agg(F.sum(F.col("u") * F.col("v")).alias("value"))
+    else:
+        met = every_pair(left, stored(right))
+    return met.select("target", "context", _dot("_target", "_context").alias("value"))
