@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from wordloom.functions.columns import cosine
+from wordloom.functions.columns import cosine, uniform
 from wordloom.operators import ratings as R
-from wordloom.operators import factor, similarity, stats
+from wordloom.operators import factor, noise, similarity, stats
 
 
 def study(spark, subjects, items=4):
@@ -75,3 +76,13 @@ def test_low_rank_cells_are_not_shuffled_by_rank(spark):
     assert {(r["compound"], r["subject"]): r["rating"] for r in found.collect()} == {(i, s): sum((int(i[1]) + k) * (int(s[1]) - k) for k in (1, 2)) for i, s in names}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan.split("Aggregate")[0]
+
+
+def test_hidden_cells_are_the_least_of_a_trial_without_a_sort_of_all(spark):
+    df = study(spark, 30)
+    split = noise.hold_out(df, 5, 3)
+    order = W.partitionBy("trial").orderBy(uniform(42, "trial", *R.ITEM, "subject"), *R.ITEM, "subject")
+    plain = noise.trials(df, 3).withColumn("held", F.row_number().over(order) <= 5).select(*split.columns)
+    assert sorted(split.collect()) == sorted(plain.collect()) and split.filter("held").count() == 15
+    assert "WindowGroupLimit" in split._jdf.queryExecution().optimizedPlan().toString()
+    assert noise.hold_out(df, 0, 2).filter("held").count() == 0

@@ -168,10 +168,17 @@ def _stacked(runs: Iterable[tuple[str, float, DataFrame]]) -> DataFrame:
 
 
 def hold_out(ratings: DataFrame, blanks: int = 50, count: int = 100, seed: int = 42) -> DataFrame:
-    """Ratings by trial with ``held``: true for the ``blanks`` cells that the trial hides."""
-    rows = trials(ratings, count)
-    order = W.partitionBy("trial").orderBy(uniform(seed, "trial", *R.ITEM, "subject"), *R.ITEM, "subject")
-    return rows.withColumn("held", F.row_number().over(order) <= blanks)
+    """Ratings by trial with ``held``: true for the ``blanks`` cells that the trial hides (a cell's copies with it).
+
+    Tasks keep their own least ``blanks`` cells of a trial, and the last of the
+    least of all, one row a trial, bounds the others; no task sees a whole trial.
+    """
+    rows = trials(ratings, count).withColumn("_place", F.struct(uniform(seed, "trial", *R.ITEM, "subject").alias("u"), *R.ITEM, "subject"))
+    order = W.partitionBy("trial").orderBy("_place")
+    cells = rows.select("trial", "_place").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= blanks)
+    last = cells.groupBy("trial").agg(F.max("_place").alias("_last"))
+    held = F.coalesce(F.col("_place") <= F.col("_last"), F.lit(False))
+    return rows.join(F.broadcast(last), "trial", "left").withColumn("held", held).drop("_place", "_last")
 
 
 def predictions(split: DataFrame) -> DataFrame:
