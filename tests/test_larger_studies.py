@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from wordloom.functions.columns import cosine, uniform
 from wordloom.operators import ratings as R
-from wordloom.operators import factor, noise, similarity, stats
+from wordloom.operators import factor, matches, noise, similarity, stats
 
 
 def study(spark, subjects, items=4):
@@ -86,3 +86,21 @@ def test_hidden_cells_are_the_least_of_a_trial_without_a_sort_of_all(spark):
     assert sorted(split.collect()) == sorted(plain.collect()) and split.filter("held").count() == 15
     assert "WindowGroupLimit" in split._jdf.queryExecution().optimizedPlan().toString()
     assert noise.hold_out(df, 0, 2).filter("held").count() == 0
+
+
+def test_matches_are_folded_in_batches(spark):
+    rows = [(run, t, t % 5, (t * 3 + 1) % 7 + 5, (t % 3) / 2) for run in (1, None) for t in range(60)]
+    df = spark.createDataFrame(rows, "run int, trial long, a long, b long, score double").repartition(3)
+    state: dict = {}
+    for _, _, a, b, s in sorted(rows[:60]):
+        matches.play(state, a, b, s)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = matches.elo(df, [("run", "int")])
+        assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+        rows = found.collect()
+        alone = {r["item"]: r["rating"] for r in matches.elo(df.filter("run = 1")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all({r["item"]: r["rating"] for r in rows if r["run"] == run} == state for run in (1, None)) and alone == state
+    assert sum(r["n"] for r in rows) == 240 and matches.elo(df.limit(0)).count() == 0

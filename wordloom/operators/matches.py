@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from wordloom.functions.columns import uniform
 from wordloom.operators import ratings as R
@@ -53,21 +57,32 @@ def elo(matches: DataFrame, group: list[tuple[str, str]] | None = None, step: fl
     """(item, rating, n) after all matches (trial, a, b, score) in order of trial.
 
     The result depends on the order, so the matches of a group are folded one
-    after another, in Arrow batches with a state of one number for each item;
-    ``group`` (pairs of a column and its type) deals out independent runs.
+    after another: Spark sorts them, and a task takes them in Arrow batches with
+    a state of two numbers for each item.  ``group`` (pairs of a column and its
+    type) deals out independent runs.
     """
     names = [n for n, _ in group or []]
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        seen: dict = {}
-        for a, b, s in pdf.sort_values("trial", kind="stable")[["a", "b", "score"]].itertuples(index=False):
-            play(state, a, b, s, step, start, spread)
-            seen[a], seen[b] = seen.get(a, 0) + 1, seen.get(b, 0) + 1
-        out = pd.DataFrame({"item": list(state), "rating": list(state.values()), "n": [seen[i] for i in state]})
-        for k, n in reversed(list(enumerate(names))):
-            out.insert(0, n, key[k])
-        return out
-
     schema = "".join(f"{n} {t}, " for n, t in group or []) + "item bigint, rating double, n bigint"
-    return (matches.groupBy(*names) if names else matches.groupBy()).applyInPandas(fold, schema)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, state, seen = None, {}, {}
+
+        def result() -> pa.RecordBatch:
+            keys = {n: [run[k]] * len(state) for k, n in enumerate(names)}
+            return pa.RecordBatch.from_pydict({**keys, "item": list(state), "rating": list(state.values()), "n": [seen[i] for i in state]}, kinds)
+
+        for batch in batches:
+            keys = zip(*(batch.column(n).to_pylist() for n in names), strict=True) if names else [()] * len(batch)
+            for key, a, b, s in zip(keys, *(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("a", "b", "score")), strict=True):
+                if key != run:
+                    if state:
+                        yield result()
+                    run, state, seen = key, {}, {}
+                play(state, a, b, s, step, start, spread)
+                seen[a], seen[b] = seen.get(a, 0) + 1, seen.get(b, 0) + 1
+        if state:
+            yield result()
+
+    dealt = matches.repartition(*names) if names else matches.repartition(1)
+    return dealt.sortWithinPartitions(*names, "trial").select(*names, "a", "b", "score").mapInArrow(fold, schema)
