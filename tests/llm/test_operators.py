@@ -74,6 +74,18 @@ def test_byte_bpe(odd, empty):
     assert bpe.encode_documents(empty, ranks).count() == 0
 
 
+def test_byte_bpe_hands_on_documents_not_blocks(spark):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = [f"word{k} and more words " * 50 for k in range(40)] + [""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = bpe.cut_documents(df.withColumn("text", F.col("text").cast("binary")), ranks, block_bytes=4000).collect()
+    assert [r["doc_id"] for r in rows] == list(range(41))
+    assert max(len(r["index"]) for r in rows) <= 4 * 6 * 50 and sum(r["words"] is not None for r in rows) > 5
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coded = bpe.encode_documents(df, ranks, block_bytes=4000, remember=20).collect()
+    assert {r["doc_id"]: (r["ids"], bytes(r["decoded"]).decode()) for r in coded} == {k: (encoding.encode_ordinary(t), t) for k, t in enumerate(texts)}
+
+
 def test_byte_bpe_of_very_long_pretokens(spark):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -171,20 +171,14 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
     return let(rank_map(ranks), kind, lambda table: let(pair_ranks(ranks), kind, lambda pairs: let(piece_array(ranks), kind, lambda by_id: each(table, pairs, by_id))))
 
 
-def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1_000_000, remember: int = 2_000_000, splits: int = 4) -> DataFrame:
-    """Per document: doc_id, ids (array of int), decoded (the bytes those ids stand for).
+def cut_documents(rows: DataFrame, ranks: dict[bytes, int], block_bytes: int = 500_000, remember: int = 1_000_000) -> DataFrame:
+    """A row a document of ``rows`` (doc_id, text: bytes): doc_id, index, words, fresh.
 
-    A task works through its texts in blocks of ``block_bytes`` (a longer text
-    is a block of its own) and encodes the distinct pretokens that its blocks
-    before did not have; it starts anew once it has met over ``remember`` of
-    them, which bounds its memory.  It takes about ``splits`` input splits, among
-    which words repeat, if all cores have as many.  A null text counts as empty; an empty text
-    has no ids.  Null and repeated doc_ids are kept row by row, and an empty
-    table gives no rows.
+    Documents stand in blocks.  The first of a block has the block's new
+    distinct pretokens (``words``), in the others these are null; ``index`` has
+    the numbers of the document's own pretokens.  Where ``fresh``, numbers start anew.
+    As a document is a row, what Spark hands on at once is as long as some documents, not as some blocks.
     """
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    rows = rows.coalesce(cores * max(1, -(-rows.rdd.getNumPartitions() // (cores * splits))))
     further = cutter(ranks)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
@@ -194,38 +188,64 @@ def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_
                 yield text.as_py(), doc.as_py()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks: doc_ids, each one's number of pretokens, the new distinct ones, and the numbers of all."""
         number: dict[bytes, int] = {}
         for block in slices(rows_of(batches), block_bytes):
             if fresh := len(number) > remember:
-                number.clear()
+                number = {}
             words, sizes = pieces([t for t, _ in block], further)
             before = len(number)
             table = np.array([number.setdefault(w, len(number)) for w in words.dictionary.to_pylist()], np.int32)
             new = words.dictionary.filter(pa.array(table >= before)) if len(table) else words.dictionary
             index = table[np.asarray(words.indices)] if len(table) else table
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (pa.array([i for _, i in block], pa.int64()), pa.array(sizes, pa.int64()), new)]
-            yield pa.RecordBatch.from_arrays([*lists, pa.array([index.tobytes()], pa.binary()), pa.array([fresh])], ["doc_ids", "sizes", "words", "index", "fresh"])
+            n, at = len(block), 4 * np.concatenate([[0], np.cumsum(sizes)])
+            own = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(index)])
+            first = pa.ListArray.from_arrays(pa.array([0] + [len(new)] * n, pa.int32()), new, mask=pa.array([False] + [True] * (n - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([i for _, i in block], pa.int64()), own, first, pa.array([fresh] + [False] * (n - 1))], ["doc_id", "index", "words", "fresh"])
+
+    return rows.mapInArrow(cut, "doc_id bigint, index binary, words array<binary>, fresh boolean")
+
+
+def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 500_000, remember: int = 1_000_000, splits: int = 4) -> DataFrame:
+    """Per document: doc_id, ids (array of int), decoded (the bytes those ids stand for).
+
+    A task works through its texts in blocks of ``block_bytes`` (a longer text
+    is a block of its own) and encodes the distinct pretokens that its blocks
+    before did not have; it starts anew once it has met over ``remember`` of
+    them, which bounds its memory.  It takes about ``splits`` input splits, among
+    which words repeat, if all cores have as many.  A null text counts as empty; an empty text
+    has no ids.  Null and repeated doc_ids are kept row by row, and an empty
+    table gives no rows.
+    """
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = rows.coalesce(cores * max(1, -(-rows.rdd.getNumPartitions() // (cores * splits))))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents from the blocks of one task, in their order."""
+        """Documents from the blocks of one task, in their order; a batch may begin within a block."""
         ids, piece = pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())
         for b in batches:
-            for row in range(b.num_rows):
-                docs, sizes, coded = (b.column(c)[row].values for c in ("doc_ids", "sizes", "coded"))
-                if b.column("fresh")[row].as_py():
+            if not b.num_rows:
+                continue
+            own = b.column("index")
+            at = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1, 4 * own.offset)
+            begins = np.flatnonzero(np.asarray(b.column("coded").is_valid()))
+            bounds = np.unique(np.concatenate([[0], begins, [b.num_rows]])).tolist()
+            for start, end in zip(bounds, bounds[1:], strict=False):
+                if b.column("fresh")[start].as_py():
                     ids, piece = ids[:0], piece[:0]
-                ids, piece = pa.concat_arrays([ids, coded.field("ids").cast(ids.type)]), pa.concat_arrays([piece, coded.field("piece").cast(piece.type)])
-                index = pa.array(np.frombuffer(b.column("index")[row].as_py(), np.int32))
-                at = np.concatenate([[0], np.cumsum(np.asarray(sizes))])
+                if b.column("coded")[start].is_valid and len(coded := b.column("coded")[start].values):
+                    ids, piece = pa.concat_arrays([ids, coded.field("ids").cast(ids.type)]), pa.concat_arrays([piece, coded.field("piece").cast(piece.type)])
+                held = (at[end] - at[start]) // 4
+                index = pa.array(np.frombuffer(own.buffers()[2], np.int32, held, at[start]) if held else np.zeros(0, np.int32))
+                of = (at[start : end + 1] - at[start]) // 4
                 numbers, text = ids.take(index), piece.take(index)
                 number_at = np.asarray(numbers.offsets)
                 text_at = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, 4 * text.offset) if len(text) else np.zeros(1, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(number_at[at].astype(np.int32)), numbers.values)
-                raw = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(text_at[at].astype(np.int32)), text.buffers()[2] or pa.py_buffer(b"")])
-                yield pa.RecordBatch.from_arrays([docs, lists, raw], ["doc_id", "ids", "decoded"])
+                lists = pa.ListArray.from_arrays(pa.array(number_at[of].astype(np.int32)), numbers.values)
+                raw = pa.Array.from_buffers(pa.binary(), end - start, [None, pa.py_buffer(text_at[of].astype(np.int32)), text.buffers()[2] or pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[start:end], lists, raw], ["doc_id", "ids", "decoded"])
 
     # both passes and the expressions between them run in one task, so blocks keep their order
-    blocks = rows.mapInArrow(cut, "doc_ids array<bigint>, sizes array<bigint>, words array<binary>, index binary, fresh boolean")
-    coded = blocks.select("doc_ids", "sizes", "index", "fresh", encode_words(F.col("words"), ranks).alias("coded"))
+    blocks = cut_documents(rows, ranks, block_bytes, remember)
+    coded = blocks.select("doc_id", "index", "fresh", encode_words(F.col("words"), ranks).alias("coded"))
     return coded.mapInArrow(put_together, "doc_id bigint, ids array<int>, decoded binary")
