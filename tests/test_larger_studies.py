@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wordloom.functions.columns import cosine, uniform
+from wordloom.functions.draws import heads
 from wordloom.operators import ratings as R
-from wordloom.operators import factor, matches, noise, similarity, stats
+from wordloom.operators import corpus, factor, matches, noise, similarity, stats
 
 
 def study(spark, subjects, items=4):
@@ -104,3 +109,31 @@ def test_matches_are_folded_in_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert all({r["item"]: r["rating"] for r in rows if r["run"] == run} == state for run in (1, None)) and alone == state
     assert sum(r["n"] for r in rows) == 240 and matches.elo(df.limit(0)).count() == 0
+
+
+def test_drawn_numbers_are_those_of_the_column():
+    rng = random.Random(2)
+    prefixes = [f"42|{rng.randint(0, 10**rng.randint(1, 18))}|{rng.randint(0, 99)}|".encode() for _ in range(50)] + [b"42|", b"7|" + b"x" * 60 + b"|"]
+    for some in (prefixes[:-1], prefixes):  # the last one needs a second block
+        rows = np.array([rng.randrange(len(some)) for _ in range(400)])
+        numbers = np.array([rng.choice((1, 9, 10, 99, 100, 12345)) for _ in rows])
+        wanted = [int(hashlib.md5(some[r] + str(n).encode()).hexdigest()[:8], 16) for r, n in zip(rows, numbers, strict=True)]
+        assert heads(np.array(some), rows, numbers).tolist() == wanted
+
+
+def test_injected_features_are_those_of_each_draw_and_counts_below_one_draw_nothing(spark):
+    rows = [(d, w, (w or 0) % 2, 0, c) for d in (1, 2, None) for w in (1, 2, 3, None) for c in (5, 30, 0, None)] + [(3, 1, 0, 0, 40_000), (4, 2, 0, 0, -3)]
+    corpus_ = spark.createDataFrame(rows, "doc long, word int, feat int, feat2 int, count int")
+    p = {1: {4: 5.0, 1: 2.0, 9: 2.0}, 2: {3: 1.0, 7: 1.0}}
+    cdf = corpus.descending_cdf(spark.createDataFrame([(w, f, x) for w, fs in p.items() for f, x in fs.items()], "word int, feat int, p double"))
+    bounds = [tuple(r) for r in cdf.select("word", "feat", "low", "high").collect()]
+    made = Counter()
+    for d, w, _, _, c in rows:
+        for k in range(1, (c or 0) + 1 if w in p else 0):
+            u = int(hashlib.md5("|".join(str(x) for x in (42, d, w, k) if x is not None).encode()).hexdigest()[:8], 16) / 2**32
+            made.update((d, w, f, 0) for v, f, low, high in bounds if v == w and low <= u < high)
+    wanted = Counter((*k, n) for k, n in made.items()) + Counter(r for r in rows if r[1] not in p)
+    for size in ({}, {"draws": 7, "shares": 2}):
+        found = corpus.inject_features(corpus_, cdf, **size)
+        assert Counter(map(tuple, found.collect())) == wanted
+        assert [f.dataType.simpleString() for f in found.schema] == ["bigint", "int", "int", "int", "int"]
