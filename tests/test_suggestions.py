@@ -71,3 +71,17 @@ def test_association_pipeline_by_hand(spark):
     assert r["low"] < r["low50"] < r["mean"] < r["high50"] < r["high"]
     ranks = {(k["cue"], k["word"]): k["pct"] for k in norms.sparse_percentiles(space, spark.createDataFrame([("a",)], "word string")).collect()}
     assert all(ranks[k] == pytest.approx(pct(0)[words.index(k[1])]) for k in ranks if k[1])
+
+
+def test_association_pipeline_makes_its_tables_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    space = spark.createDataFrame([("a/NN", "x", 1.0), ("b/NN", "x", 2.0), ("b/NN", "y", 1.0), ("c/V", "y", 3.0)], "target string, context string, value double")
+    links = spark.createDataFrame([("a", "b", 3), ("b", "c", 2), ("a", "a", 1)], "cue string, response string, count long")
+    row = norms.association_pipeline(space.mapInArrow(noted, space.schema), links.mapInArrow(noted, links.schema)).first()
+    assert row["n"] == 5 and made.value == 4 + 3

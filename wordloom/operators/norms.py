@@ -104,6 +104,7 @@ def association_pipeline(space: DataFrame, norms: DataFrame, suffix: str = "/NN"
     ``higher`` counts the others.  Mean, deviation and percentiles weigh hits by
     ``count``; low and high are the Bayesian interval of the mean at 0.95, and low50 and high50 at 0.5.
     """
+    space, norms = stored(space), stored(norms)  # read many times, made once
     targets = space.select("target").distinct()
     forms = targets.select("target", word_of(F.col("target")).alias("response"))
     known = forms.select(F.col("response").alias("word")).distinct()
