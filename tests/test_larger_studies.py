@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wordloom.functions.columns import cosine, uniform
-from wordloom.functions.draws import heads
+from wordloom.functions.draws import heads, standard_gammas
 from wordloom.operators import ratings as R
 from wordloom.operators import corpus, factor, matches, noise, similarity, stats
 
@@ -137,3 +137,17 @@ def test_injected_features_are_those_of_each_draw_and_counts_below_one_draw_noth
         found = corpus.inject_features(corpus_, cdf, **size)
         assert Counter(map(tuple, found.collect())) == wanted
         assert [f.dataType.simpleString() for f in found.schema] == ["bigint", "int", "int", "int", "int"]
+
+
+def test_gamma_draws_of_many_entries_have_their_moments_and_depend_on_their_keys_alone():
+    for shape in (0.05, 0.6, 1.0, 4.0, 300.0):
+        x = standard_gammas(np.full((40_000, 5), shape), 42, 1, 0, np.arange(40_000))
+        assert abs(x.mean() - shape) < 5 * (shape / x.size) ** 0.5
+        assert abs(x.var() - shape) < 0.05 * shape
+        assert np.abs(np.corrcoef(x.T) - np.eye(5)).max() < 0.03
+        assert abs(np.corrcoef(x[1:, 0], x[:-1, 0])[0, 1]) < 0.03
+    shapes, kinds, ids = np.random.default_rng(3).uniform(0.1, 9, (500, 3)), np.arange(500) % 3, np.arange(500) * 7
+    whole = standard_gammas(shapes, 42, 2, kinds, ids)
+    some = np.array([400, 3, 77])
+    assert np.array_equal(whole[some], standard_gammas(shapes[some], 42, 2, kinds[some], ids[some]))
+    assert not np.isclose(whole, standard_gammas(shapes, 42, 3, kinds, ids)).any()
