@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -151,3 +152,28 @@ def test_gamma_draws_of_many_entries_have_their_moments_and_depend_on_their_keys
     some = np.array([400, 3, 77])
     assert np.array_equal(whole[some], standard_gammas(shapes[some], 42, 2, kinds[some], ids[some]))
     assert not np.isclose(whole, standard_gammas(shapes, 42, 3, kinds, ids)).any()
+
+
+def test_completion_takes_memory_by_its_known_cells(spark):
+    rng = np.random.default_rng(5)
+    i, j = rng.permutation(30_000)[:2000], rng.permutation(30_000)[:2000]
+    tracemalloc.start()
+    u, v = factor.complete_cells(i, j, np.full(2000, 2.0), (30_000, 30_000), 1, 50, rate=0.1, tolerance=0.0)
+    assert tracemalloc.get_traced_memory()[1] < 20e6  # all cells would be 7.2e9
+    tracemalloc.stop()
+    assert u.shape == (30_000, 1) and np.abs(u[i, 0] * v[0, j] - 2).max() < 0.1
+
+    rows = [(t, f"c{i % 3}", f"h{i}", s, float((s * 3 + i * t) % 5)) for t in (1, 2) for s in range(9) for i in range(7) if (s + i) % 4]
+    rows += [(1, None, "h1", 1, 3.0), (2, "c0", "h0", 1, None), (2, "c9", "h9", 50, None)]
+    df = spark.createDataFrame(rows, "trial int, compound string, const string, subject long, rating double")
+    found = factor.completion_factors(df, 2, [("trial", "int")], 200, 0.01).collect()
+    assert len(found) == 2 * 2 * (7 + 9)
+    for t in (1, 2):
+        matrix = np.full((7, 9), np.nan)
+        for r in rows:
+            if r[0] == t and r[1] and r[4] is not None:
+                matrix[int(r[2][1:]), r[3]] = r[4]
+        u, v = factor.complete_rank(matrix, 2, 200, 0.01)
+        for r in found:
+            if r["trial"] == t:
+                assert r["value"] == pytest.approx(u[int(r["const"][1:]), r["k"] - 1] if r["side"] == "item" else v[r["k"] - 1, int(r["subject"])], abs=1e-9)

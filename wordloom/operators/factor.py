@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,34 +13,39 @@ from wordloom.functions.columns import uniform
 from wordloom.functions.scratch import remove, scratch_dir, stored
 from wordloom.functions.tiles import every_pair
 from wordloom.operators import ratings as R
+from wordloom.operators.ranks import running
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.MultiIndex, pd.Index]:
-    wide = pdf.pivot_table(index=list(R.ITEM), columns="subject", values="rating", aggfunc="first").sort_index().sort_index(axis=1)
-    return wide.to_numpy(float), wide.index, wide.columns
+def complete_rank(matrix: np.ndarray, rank: int, epochs: int = 10_000, rate: float = 0.001, tolerance: float = 1e-5, start: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """``complete_cells`` of the cells of a matrix that are not NaN."""
+    i, j = np.nonzero(~np.isnan(matrix))
+    return complete_cells(i, j, matrix[i, j], matrix.shape, rank, epochs, rate, tolerance, start)
 
 
-def complete_rank(matrix: np.ndarray, rank: int, epochs: int = 10_000, rate: float = 0.001, tolerance: float = 1e-5, start: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def complete_cells(i: np.ndarray, j: np.ndarray, value: np.ndarray, shape: tuple[int, int], rank: int, epochs: int = 10_000, rate: float = 0.001, tolerance: float = 1e-5, start: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Factors u (rows x rank) and v (rank x columns), fitted one rank after another by full-batch descent.
 
-    A rank stops when its mean squared error, missing cells counted as 0,
-    changes by less than ``tolerance``.
+    The matrix is given by the rows, columns and values of its known cells,
+    each once.  A rank stops when its mean squared error, missing cells counted as 0,
+    changes by less than ``tolerance``.  Memory grows with the known cells.
     """
-    known = ~np.isnan(matrix)
-    u, v = np.zeros((matrix.shape[0], rank)), np.zeros((rank, matrix.shape[1]))
-    rest = np.where(known, matrix, 0.0)
+    u, v = np.zeros((shape[0], rank)), np.zeros((rank, shape[1]))
+    rest, size = value.astype(float), shape[0] * shape[1]
     for k in range(rank):
-        a, b = np.full(matrix.shape[0], start), np.full(matrix.shape[1], start)
+        a, b = np.full(shape[0], start), np.full(shape[1], start)
         last = np.inf
         for _ in range(epochs):
-            error = np.where(known, rest - np.outer(a, b), 0.0)
-            loss = float((error * error).mean())
+            left, right = a[i], b[j]
+            error = rest - left * right
+            loss = float(error @ error) / size
             if abs(last - loss) < tolerance:
                 break
             last = loss
-            a, b = a + rate * (error @ b), b + rate * (error.T @ a)
+            right *= error
+            left *= error
+            a, b = a + rate * np.bincount(i, right, shape[0]), b + rate * np.bincount(j, left, shape[1])
         u[:, k], v[k] = a, b
-        rest = np.where(known, rest - np.outer(a, b), 0.0)
+        rest -= a[i] * b[j]
     return u, v
 
 
@@ -56,20 +60,34 @@ def completion_factors(ratings: DataFrame, rank: int, group: list[tuple[str, str
     """
     names = [n for n, _ in group or []]
 
-    def factors(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix, items, subjects = _matrix(pdf)
-        u, v = complete_rank(matrix, rank, epochs, rate)
-        rows = [(k + 1, "item", *item, None, u[i, k]) for k in range(rank) for i, item in enumerate(items)]
-        rows += [(k + 1, "subject", None, None, str(s), v[k, j]) for k in range(rank) for j, s in enumerate(subjects)]
-        out = pd.DataFrame(rows, columns=["k", "side", "compound", "const", "subject", "value"])
-        for n in reversed(names):
-            out.insert(0, n, pdf[n].iloc[0])
-        return out
-
-    schema = FACTORS.format(keys="".join(f"{n} {t}, " for n, t in group or []))
-    typed = ratings.select(*names, F.col("compound").cast("string"), F.col("const").cast("string"), F.col("subject").cast("string"), "rating")
-    keyed = typed.groupBy(*names) if names else typed.groupBy()
-    return keyed.applyInPandas(factors, schema)
+    fields = [f"{n} {t}" for n, t in group or []]
+    item = F.struct(*(F.col(c).cast("string").alias(c) for c in R.ITEM))
+    typed = ratings.select(*names, item.alias("item"), F.col("subject").cast("string").alias("subject"), F.col("rating").cast("double").alias("rating"))
+    typed = stored(typed.filter(" AND ".join(f"{c} IS NOT NULL" for c in ("item.compound", "item.const", "subject"))))
+    # rows and columns by number, so that no text comes into the task of a group: the place in the order of all, which is not gapless within a group
+    base = scratch_dir(ratings.sparkSession)
+    numbers = {c: stored(running(typed.select(c).distinct(), [c], name="n").withColumnRenamed(c, "key"), f"{base}/{c}") for c in ("item", "subject")}
+    cells = typed
+    for c, short in (("item", "i"), ("subject", "j")):
+        cells = cells.join(numbers[c].select(F.col("key").alias(c), F.col("n").alias(short)), c).drop(c)
+    cells = cells.filter("rating IS NOT NULL AND NOT isnan(rating)").groupBy(*names, "i", "j").agg(F.first("rating").alias("rating"))
+
+    def factors(table: pa.Table) -> pa.Table:
+        order = np.lexsort([np.asarray(table.column("j")), np.asarray(table.column("i"))])
+        (items, i), (subjects, j) = (np.unique(np.asarray(table.column(c))[order], return_inverse=True) for c in "ij")
+        u, v = complete_cells(i, j, np.asarray(table.column("rating"))[order], (len(items), len(subjects)), rank, epochs, rate)
+        many = (len(items) + len(subjects)) * rank
+        out = {n: pa.array([table.column(n)[0].as_py()] * many, table.schema.field(n).type) for n in names}
+        out["k"] = pa.array(np.concatenate([np.repeat(np.arange(1, rank + 1), len(x)) for x in (items, subjects)]), pa.int32())
+        out["of_item"] = pa.array([True] * (rank * len(items)) + [False] * (rank * len(subjects)))
+        out["n"] = pa.array(np.concatenate([np.tile(items, rank), np.tile(subjects, rank)]), pa.int64())
+        return pa.table(out | {"value": pa.array(np.concatenate([u.T.reshape(-1), v.reshape(-1)]))})
+
+    keyed = cells.groupBy(*names) if names else cells.groupBy()
+    found = stored(keyed.applyInArrow(factors, ", ".join([*fields, "k int, of_item boolean, n bigint, value double"])))
+    none, key = F.lit(None).cast("string"), F.col("key")
+    items = found.filter("of_item").join(numbers["item"], "n").select(*names, "k", F.lit("item").alias("side"), key["compound"].alias("compound"), key["const"].alias("const"), none.alias("subject"), "value")
+    return items.unionByName(found.filter("NOT of_item").join(numbers["subject"], "n").select(*names, "k", F.lit("subject").alias("side"), none.alias("compound"), none.alias("const"), key.alias("subject"), "value"))
 
 
 def _vectors(factors: DataFrame, name: str, *key: str) -> DataFrame:
