@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 from wordloom.llm import bpe, licenses, quality, queries, toxicity, words
 from wordloom.llm.ann import nearest
-from wordloom.llm.line_dedup import dedup_lines
+from wordloom.llm.line_dedup import CUT, dedup_lines
 from wordloom.llm.packing import SumOfSquares, pack_documents
 from wordloom.llm.pretokens import pieces
 from wordloom.llm.shared import shared_dir
@@ -266,6 +266,20 @@ def test_line_dedup_of_odd_texts(spark, odd, empty):
     assert same.columns == [*odd.columns, "removed_chunks", "removed_chars"] and same.count() == odd.count() and dedup_lines(empty).count() == 0
 
 
+def test_lines_end_where_the_plain_rules_say():
+    ends = lambda b: b % 8 == 6 and b > 32 or chr(b) in ",;:!?"
+    rng = random.Random(8)
+    for _ in range(200):
+        text = bytes(rng.choice(b"\n  ab.,nfrz\xe3\x80\x81\x82\xef\xbc\x8c\x9f\xc3\xa9") for _ in range(80))
+        cuts = [
+            k for k in range(1, 80)
+            if text[k - 1] == 10 or text[k - 1] == 32 and (k > 1 and ends(text[k - 2]) or text[k] > 32 and text[k] % 4 == 2)
+            or text[k - 3 : k] in (b"\xe3\x80\x81", b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x8c", b"\xef\xbc\x9f")
+        ]
+        assert [x.start() for x in re.finditer(CUT, text.decode("iso-8859-1")) if 0 < x.start() < 80] == cuts
+    assert all(re.match(r"[\n \x81\x82\x8c\x9f]", part) for part in re.findall(r"^\(\?<=(\[.*?\])\)", CUT)[0][1:-1].encode().decode("unicode_escape"))
+
+
 def test_passages_in_lines_of_any_length(spark):
     """No 50 words in a row stay in two texts, wherever the passage begins; first copies stay whole."""
     rng = random.Random(7)
