@@ -86,6 +86,26 @@ def test_byte_bpe_hands_on_documents_not_blocks(spark):
     assert {r["doc_id"]: (r["ids"], bytes(r["decoded"]).decode()) for r in coded} == {k: (encoding.encode_ordinary(t), t) for k, t in enumerate(texts)}
 
 
+def test_byte_bpe_hands_python_some_megabytes_at_once(spark, tmp_path, monkeypatch):
+    key, at, cut = "spark.sql.execution.arrow.maxBytesPerBatch", str(tmp_path / "sizes"), bpe.cut_documents
+    texts = [f"word{k} and more words " * 200 for k in range(4000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def measured(batches):
+        for b in batches:
+            with open(at, "a") as f:
+                f.write(f"{b.nbytes}\n")
+            yield b
+
+    monkeypatch.setattr(bpe, "cut_documents", lambda rows, *a: cut(rows.mapInArrow(measured, rows.schema), *a))
+    before = spark.conf.get(key)
+    rows = queries.op1_byte_bpe(spark, str(tmp_path)).collect()
+    assert spark.conf.get(key) == before and sorted(r["doc_id"] for r in rows) == list(range(4000))
+    assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in rows)
+    sizes = [int(x) for x in open(at)]
+    assert sum(sizes) > 16e6 and max(sizes) < 8e6
+
+
 def test_byte_bpe_of_very_long_pretokens(spark):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

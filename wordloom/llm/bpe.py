@@ -211,14 +211,14 @@ def encode_documents(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_
     A task works through its texts in blocks of ``block_bytes`` (a longer text
     is a block of its own) and encodes the distinct pretokens that its blocks
     before did not have; it starts anew once it has met over ``remember`` of
-    them, which bounds its memory.  It takes about ``splits`` input splits, among
-    which words repeat, if all cores have as many.  A null text counts as empty; an empty text
+    them, which bounds its memory.  It takes about ``splits`` input splits (a half more
+    at most), among which words repeat, if all cores have as many.  A null text counts as empty; an empty text
     has no ids.  Null and repeated doc_ids are kept row by row, and an empty
     table gives no rows.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    rows = rows.coalesce(cores * max(1, -(-rows.rdd.getNumPartitions() // (cores * splits))))
+    rows = rows.coalesce(cores * max(1, round(rows.rdd.getNumPartitions() / (cores * splits))))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents from the blocks of one task, in their order; a batch may begin within a block."""
