@@ -414,6 +414,14 @@ def test_neighbours_of_odd_vectors(spark):
     assert nearest(df.limit(0), df, k=3).count() == 0 and nearest(df, df.limit(0), k=3).count() == 0
 
 
+def test_neighbours_send_no_table_through_the_driver(spark, sf):
+    """A query's visits shuffle to very little, as its vector repeats, and are large once read."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    found = nearest(rows.filter("vec_id % 5 = 0"), rows, k=5)
+    assert found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_neighbours_of_very_large_and_small_vectors(spark):
     rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [3e300, 0.0]), (3, [0.0, 5e-324])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

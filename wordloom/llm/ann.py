@@ -124,8 +124,9 @@ def nearest(
     tiles = lambda n: F.ceil(F.col(n) / tile).cast("bigint")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), tiles(n) - 1))
     row_counts = index.groupBy(*place).agg(F.count("*").alias("n_rows"))
-    query_counts = visits.groupBy(*place).agg(F.count("*").alias("n_queries"))
-    sizes = row_counts.join(query_counts, place)
+    query_counts = visits.groupBy(*place).agg(F.count("*").alias("n_queries")).hint("merge")
+    # merged: what repeats is so small when shuffled that Spark would take it for a table to broadcast by way of the driver
+    sizes = row_counts.join(query_counts, place).hint("merge")
     left = visits.join(sizes, place).select("query_id", "vector", *place, F.pmod(F.xxhash64("query_id"), tiles("n_queries")).alias("q_tile"), every("n_rows").alias("d_tile"))
     right = index.join(sizes, place).select("ids", F.col("vector").alias("row"), *place, F.pmod(F.xxhash64("ids"), tiles("n_rows")).alias("d_tile"), every("n_queries").alias("q_tile"))
 
