@@ -8,6 +8,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,6 +46,37 @@ def test_pairs_of_subjects_by_tiles(spark, kind):
     assert R.pair_agreement(df.limit(0)).count() == 0 and R.pair_agreement(df, with_rho=False).columns == ["left", "right", "n", "agreement"]
 
 
+def test_few_values_are_counted_and_not_listed(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+
+    def tile(place, subjects, extra=0):
+        """Subjects with one rating of an item, or two of item 0; with ``extra``, a subject with as many values of other items."""
+        items = [np.append(np.flatnonzero(rng.random(20) < 0.7), 0) for _ in range(subjects)] + [100 + np.arange(extra)] * (extra > 0)
+        ratings = [rng.integers(1, 6, len(x)).astype(float) for x in items[:subjects]] + [100.0 + np.arange(extra)] * (extra > 0)
+        names = np.arange(len(items)) + 1000 * place
+        return pa.table({"subject": pa.array(names), "items": pa.array(items), "ratings": pa.array(ratings), "a": pa.array([0] * len(items)), "b": pa.array([place] * len(items))})
+
+    def pairs(left, right):
+        parts = list(R._agreements_of(left, right))
+        assert all(len(t) <= 256 * 1024 for t in parts)
+        rows = pa.concat_tables(parts).to_pylist()
+        return {(r["one"], r["other"]): (r["n"], r["agreement"], r["rho"]) for r in rows if r["one"] % 1000 < 300 and r["other"] % 1000 < 300}
+
+    for place in (0, 1):
+        left, right = tile(place, 300, 500), tile(1, 300) if place else None
+        few = left.slice(0, 300)
+        listed = pairs(left, left if right is None else right)
+        with monkeypatch.context() as m:
+            m.setattr(R, "_doubled_midranks", None)
+            counted = pairs(few, few if right is None else right)
+        assert counted == listed and len(counted) > 40_000
+
+    df = study(spark, 30, items=9)
+    plain = {(r["left"], r["right"]): r for r in R.pair_agreement(df).collect()}
+    rounded = {(r["left"], r["right"]): r for r in R.pair_agreement(df, digits=2).collect()}
+    assert plain.keys() == rounded.keys() and all(abs(r["rho"] - rounded[k]["rho"]) <= 0.005 + 1e-9 and round(rounded[k]["rho"], 2) == rounded[k]["rho"] for k, r in plain.items())
+
+
 def test_ranks_within_pairs_do_not_need_room_for_all_values():
     rng = np.random.default_rng(4)
     pair, code = rng.integers(0, 3000, 900), rng.integers(0, 4, 900)
