@@ -101,6 +101,27 @@ def test_cosines_within_groups_by_tiles(spark, tile):
     assert similarity.cosine_pairs(df.limit(0), "id", "label").count() == 0
 
 
+def met(monkeypatch):
+    """What meets in ``similarity`` from now on: the left side, the right side and the work."""
+    seen = []
+    monkeypatch.setattr(similarity, "meet", lambda left, right, keys, groups, work, schema: seen.append((left, right, work)))
+    return seen
+
+
+def sides(rows, **columns):
+    x = np.random.default_rng(6).standard_normal((2 * rows, 3))
+    return [pa.table({**{c: pa.array([kind(i) for i in range(at, at + rows)]) for c, kind in columns.items()}, "vector": pa.array(x[at : at + rows].tolist()), "a": pa.array([0] * rows), "b": pa.array([1] * rows)}) for at in (0, rows)]
+
+
+def test_cosines_within_groups_shuffle_few_copies_and_go_on_in_parts(spark, monkeypatch):
+    seen = met(monkeypatch)
+    similarity.cosine_pairs(spark.range(60_000).selectExpr("id", "0 AS label", "array(1.0D, id) AS vector"), "id", "label")
+    left, right, work = seen[0]
+    assert left.count() + right.count() <= 9 * 60_000
+    sizes = [len(t) for t in work(*sides(1500, id=int))]
+    assert sum(sizes) == 1500 * 1500 and max(sizes) <= 1 << 19
+
+
 def test_cosines_are_rounded_half_up(spark):
     assert similarity._half_up(np.array([0.25, -0.25, 0.24, -0.01]), 1).tolist() == [0.3, -0.3, 0.2, 0.0]
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [2.0, 1.0])], "word string, vector array<double>")
