@@ -122,6 +122,16 @@ def test_cosines_within_groups_shuffle_few_copies_and_go_on_in_parts(spark, monk
     assert sum(sizes) == 1500 * 1500 and max(sizes) <= 1 << 19
 
 
+def test_cosines_of_queries_shuffle_few_copies_and_go_on_in_parts(spark, monkeypatch):
+    seen = met(monkeypatch)
+    df = spark.range(60_000).selectExpr("concat('w', id) AS word", "array(1.0D, id) AS vector", "id")
+    similarity.cosine_block(df.filter("id % 5 = 0"), df)
+    left, right, work = seen[0]
+    assert left.count() + right.count() <= 2 * 60_000 + 8 * 12_000
+    sizes = [len(t) for t in work(*sides(1500, word=str))]
+    assert sum(sizes) == 1500 * 1500 and max(sizes) <= 1 << 19
+
+
 def test_cosines_are_rounded_half_up(spark):
     assert similarity._half_up(np.array([0.25, -0.25, 0.24, -0.01]), 1).tolist() == [0.3, -0.3, 0.2, 0.0]
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [2.0, 1.0])], "word string, vector array<double>")
