@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom.functions.tiles import every_pair
 from wordloom.operators import factor, images, similarity
 from wordloom.operators import ratings as R
 from wordloom.sources import writers
@@ -64,6 +65,43 @@ def test_empty_space_and_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f/sigmas")).count() == 2 and spark.read.parquet(str(tmp_path / "f/left")).count() == factors[0].count()
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_narrow_space_needs_two_passes_and_no_rounds(spark, monkeypatch, turned):
+    rng = np.random.default_rng(8)
+    matrix = rng.standard_normal((3, 40)) * (rng.random((3, 40)) < 0.7)
+    matrix = np.vstack([matrix, matrix[0] + matrix[1]])  # of rank 3
+    matrix = matrix.T if turned else matrix
+    cells = [(f"t{i}", f"c{j}", float(x)) for (i, j), x in np.ndenumerate(matrix) if x]
+    df = spark.createDataFrame(cells + [(t, c, 0.5) for t, c, _ in cells[:9]] + [(t, c, -0.5) for t, c, _ in cells[:9]], "target string, context string, value double")
+    s = np.linalg.svd(matrix, compute_uv=False)
+    with monkeypatch.context() as m:
+        m.setattr(factor, "_product", None)  # a round joins and sums up all cells
+        found = factor.space_svd(df, 4)
+    monkeypatch.setattr(factor, "NARROW", 0)
+    for left, sigmas, right in (found, factor.space_svd(df, 4)):
+        assert np.allclose([r["sigma"] for r in sigmas.orderBy("k").collect()], s[:3])
+        assert np.abs(dense(factor.reduce_space(left, sigmas, right), matrix.shape) - matrix).max() < 1e-6
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_zero_filled_ratings_whatever_the_way(spark, monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i}", None if i == 2 else "h", s, float(rng.integers(1, 8))) for i in range(5) for s in range(7) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "compound string, const string, subject long, rating double").withColumn("subject", F.col("subject").cast(kind))
+    both = []
+    for narrow in (512, 0):
+        monkeypatch.setattr(factor, "NARROW", narrow)
+        both.append({(r["compound"], r["const"], r["subject"]): r["rating"] for r in factor.zero_filled_svd(df, 2).collect()})
+    assert both[0].keys() == both[1].keys() and len(both[0]) == 35
+    assert max(abs(x - both[1][k]) for k, x in both[0].items()) < 1e-6
+
+
+def test_low_rank_cells_come_from_as_many_tasks_as_tiles(spark):
+    left, right = spark.range(3).selectExpr("id AS l"), spark.range(40_000).selectExpr("id AS r", "1.0D AS x")
+    found = every_pair(left, right)
+    assert found.count() == 120_000 and found.select(F.spark_partition_id()).distinct().count() > 20
+
+
 def test_zero_filled_ratings(spark):
     rng = np.random.default_rng(2)
     rows = [(f"c{i}", "h/x", s, float(rng.integers(1, 8))) for i in range(6) for s in range(5) if rng.random() < 0.8]

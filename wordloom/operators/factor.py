@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,9 @@ from wordloom.functions.tiles import every_pair
 from wordloom.operators import ratings as R
 from wordloom.operators.ranks import running
 
+#: Names of a side of a space whose Gram matrix may be summed up as one: at most 2 MB.
+NARROW = 512
+
 
 def complete_rank(matrix: np.ndarray, rank: int, epochs: int = 10_000, rate: float = 0.001, tolerance: float = 1e-5, start: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """``complete_cells`` of the cells of a matrix that are not NaN."""
@@ -118,23 +121,41 @@ def by_svd(rank: int, epochs: int = 10_000) -> R.Cleaner:
 
 def zero_filled_svd(ratings: DataFrame, rank: int) -> DataFrame:
     """Rank-``rank`` reconstruction of the rating matrix with blanks as 0, for every cell; names become text."""
-    item = F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in R.ITEM)))
-    cells = ratings.groupBy(item.alias("target"), F.col("subject").cast("string").alias("context")).agg(F.first("rating").alias("value"))
-    names = F.from_json("target", "compound string, const string")
-    return reduce_space(*space_svd(cells, rank, extra=rank + 32)).select(names.alias("i"), F.col("context").alias("subject"), F.col("value").alias("rating")).select("i.compound", "i.const", "subject", "rating")
+    item = F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in R.ITEM))).alias("target")
+    subject, value = F.col("subject").cast("string").alias("context"), F.first("rating").alias("value")
+    one_to_one = all(ratings.schema[c].dataType.typeName() in ("string", "byte", "short", "integer", "long") for c in (*R.ITEM, "subject"))
+    if one_to_one:  # no two names have one text, so they need not be dealt out by it
+        cells = ratings.groupBy(*R.ITEM, "subject").agg(value).select(item, subject, "value")
+    else:
+        cells = ratings.groupBy(item, subject).agg(value)
+    targets, sigmas, contexts = space_svd(cells, rank, extra=rank + 32, unique=True)
+    left, right = _factor_vectors(targets, sigmas, contexts)
+    names = left.select(F.from_json("target", "compound string, const string").alias("i"), "_target").select("i.compound", "i.const", "_target")
+    return every_pair(names, stored(right)).select(*R.ITEM, F.col("context").alias("subject"), _dot("_target", "_context").alias("rating"))
+
+
+def _dense(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield np.asarray(batch.column("values").flatten()).reshape(len(batch), -1)
+
 
+def _filled(batch: pa.RecordBatch, width: int, rows: int = 2048) -> Iterator[np.ndarray]:
+    """The rows of ``places`` and ``values`` with zeros elsewhere, some at a time."""
+    for at in range(0, len(batch), rows):
+        part = batch.slice(at, rows)
+        places, x = part.column("places"), np.zeros((len(part), width))
+        x[np.repeat(np.arange(len(part)), places.value_lengths().to_numpy()), places.flatten().to_numpy()] = part.column("values").flatten().to_numpy()
+        yield x
 
-def _grams(rows: DataFrame) -> np.ndarray:
-    """The sum of the outer products of ``values``: tasks add up their own, and groups of tasks those."""
-    fan_in = 64
+
+def _grams(rows: DataFrame, blocks: Callable[[pa.RecordBatch], Iterator[np.ndarray]] = _dense, fan_in: int = 64) -> np.ndarray:
+    """The sum of the outer products of the rows: tasks add up their own, and groups of tasks those, until ``fan_in`` sums are left."""
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total = None
         for b in batches:
-            if len(b):
-                x = np.asarray(b.column("values").flatten()).reshape(len(b), -1)
+            for x in blocks(b) if len(b) else ():
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["place", "sum"])
@@ -143,7 +164,7 @@ def _grams(rows: DataFrame) -> np.ndarray:
         total = sum(np.frombuffer(v) for v in table.sort_by("place").column("sum").to_pylist())
         return pa.table({"place": pa.array([table.column("place")[0].as_py() // fan_in], pa.int64()), "sum": pa.array([total.tobytes()], pa.binary())})
 
-    parts, left = rows.select("values").mapInArrow(of_task, "place bigint, sum binary"), rows.rdd.getNumPartitions()
+    parts, left = rows.mapInArrow(of_task, "place bigint, sum binary"), rows.rdd.getNumPartitions()
     while left > fan_in:
         parts = parts.groupBy(F.floor(F.col("place") / fan_in)).applyInArrow(add, "place bigint, sum binary")
         left = -(-left // fan_in)
@@ -169,9 +190,43 @@ def _product(cells: DataFrame, rows: DataFrame, by: str, to: str, width: int) ->
     return met.groupBy(to).agg(F.array(*(F.sum(F.col("value") * F.get("values", k)) for k in range(width))).alias("values"))
 
 
-def space_svd(space: DataFrame, rank: int, min_sigma: float | None = None, extra: int = 8, rounds: int = 60, tolerance: float = 1e-9, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _narrow_svd(cells: DataFrame, names: list[str], narrow: str, wide: str, rank: int, min_sigma: float | None, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors of the narrow side, sigmas, vectors of the wide side) of cells whose narrow side has few names.
+
+    The cells of a wide name are one row, and all rows are summed up to the
+    Gram matrix of the narrow side, which the driver solves.  A second pass
+    multiplies the rows by its vectors: lengths of the products are the
+    singular values, small ones too.  Cells without a name take no part.
+    """
+    spark, width = cells.sparkSession, len(names)
+    numbers = F.broadcast(spark.createDataFrame(list(zip(names, range(width), strict=True)), f"{narrow} string, n int"))
+    lists = F.collect_list(F.struct("n", "value"))
+    rows = cells.filter(F.col(wide).isNotNull()).join(numbers, narrow).groupBy(wide).agg(lists.alias("c")).select(wide, F.col("c.n").alias("places"), F.col("c.value").alias("values"))
+    rows = stored(rows, f"{base}/rows")
+    squares, vectors = np.linalg.eigh(_grams(rows.select("places", "values"), lambda b: _filled(b, width), max(2, min(64, (4 << 20) // (width * width)))))
+    vectors = vectors[:, np.argsort(-squares, kind="stable")[:rank]]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.concatenate([part @ vectors for part in _filled(b, width)]) if len(b) else np.zeros((0, vectors.shape[1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(wide), lists], [wide, "values"])
+
+    products = stored(rows.mapInArrow(multiply, f"{wide} string, values array<double>"), f"{base}/products")
+    sigmas = np.sqrt(np.diag(_grams(products.select("values"))))
+    order = np.argsort(-sigmas, kind="stable")
+    keep = [k for k in order if sigmas[k] > 1e-7 * sigmas[order[0]] and (min_sigma is None or sigmas[k] >= min_sigma)]
+    table = spark.createDataFrame([(i + 1, float(sigmas[k])) for i, k in enumerate(keep)], "k int, sigma double")
+    own = spark.createDataFrame([(name, i + 1, float(vectors[n, k])) for n, name in enumerate(names) for i, k in enumerate(keep)], f"{narrow} string, k int, value double")
+    other = products.select(wide, F.posexplode(F.array(*(F.get("values", int(k)) / float(sigmas[k]) for k in keep))).alias("k", "value")).select(wide, (F.col("k") + 1).alias("k"), "value")
+    return own, table, other
+
+
+def space_svd(space: DataFrame, rank: int, min_sigma: float | None = None, extra: int = 8, rounds: int = 60, tolerance: float = 1e-9, seed: int = 42, unique: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Truncated SVD of a sparse space: (targets, sigmas, contexts) in long form.
 
+    Repeated cells are added up; with ``unique`` there are none.
+
     Targets: (target, k, value) with left vectors, contexts likewise with right
     ones, sigmas: (k, sigma), without those below ``min_sigma`` or a ten-millionth of the first.
 
@@ -179,11 +234,18 @@ def space_svd(space: DataFrame, rank: int, min_sigma: float | None = None, extra
     context is multiplied by the cells and by their transpose, as joins and
     sums, and made orthonormal by its small Gram matrix, until the singular
     values change by less than ``tolerance`` of the first.  The driver holds
-    matrices of rank by rank only.
+    matrices of rank by rank only.  Where there are at most ``NARROW`` targets
+    or contexts, two passes over the cells do (``_narrow_svd``).
     """
     spark = space.sparkSession
     base, width = scratch_dir(spark), rank + extra
-    cells = stored(space.groupBy("target", "context").agg(F.sum("value").cast("double").alias("value")).filter("value <> 0"), f"{base}/cells")
+    summed = space.select("target", "context", F.col("value").cast("double").alias("value")) if unique else space.groupBy("target", "context").agg(F.sum("value").cast("double").alias("value"))
+    cells = stored(summed.filter("value <> 0"), f"{base}/cells")
+    for narrow, wide in (("target", "context"), ("context", "target")):
+        names = [r[0] for r in cells.select(narrow).distinct().limit(NARROW + 1).collect()]
+        if 0 < len(names) <= NARROW:
+            found = _narrow_svd(cells, sorted(x for x in names if x is not None), narrow, wide, rank, min_sigma, base)
+            return found if narrow == "target" else found[::-1]
     start = cells.select("context").distinct().withColumn("values", F.array(*(uniform(f"{seed}-{k}", "context") - 0.5 for k in range(width))))
 
     def orthonormal(rows: DataFrame, path: str) -> DataFrame:
@@ -226,6 +288,11 @@ def latent(targets: DataFrame, sigmas: DataFrame) -> DataFrame:
     return targets.join(F.broadcast(sigmas), "k").select("target", "k", (F.col("value") * F.col("sigma")).alias("value"))
 
 
+def _factor_vectors(targets: DataFrame, sigmas: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(target, _target) and (context, _context), whose products are the cells."""
+    return _vectors(latent(targets, sigmas), "_target", "target"), _vectors(contexts.join(F.broadcast(sigmas), "k"), "_context", "context")
+
+
 def reduce_space(targets: DataFrame, sigmas: DataFrame, contexts: DataFrame, min_sigma: float | None = None, max_dim: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """(target, context, value): the space put together again from its factors, without small singular values or later dimensions.
 
@@ -233,7 +300,7 @@ def reduce_space(targets: DataFrame, sigmas: DataFrame, contexts: DataFrame, min
     asks for some cells only.
     """
     kept = sigmas.filter(F.lit(True) if min_sigma is None else F.col("sigma") >= min_sigma).filter(F.lit(True) if max_dim is None else F.col("k") <= max_dim)
-    left, right = _vectors(latent(targets, kept), "_target", "target"), _vectors(contexts.join(F.broadcast(kept), "k"), "_context", "context")
+    left, right = _factor_vectors(targets, kept, contexts)
     if wanted is not None:
         met = wanted.select("target", "context").join(left, "target").join(right, "context")
     else:
